@@ -8,8 +8,9 @@ equal sets are recognised by a 128-bit digest).
 2. *Groups.* Classes that share a min-hash compare with that key's most typical member; verified ones form a
    group of similar documents, cut into blocks of bounded size. Every other class is a group of its own.
 3. *Token-group matrix.* Row (token, group) for the union of the members' prefix tokens, rarest first (the order
-   comes from a histogram over all tokens). A query document and a group meet only if the query's prefix hits the
-   union, their sizes are compatible and they aren't linked already.
+   comes from a histogram over all tokens). Prefixes are so long that linked sets share at least ``prefix_overlap``
+   tokens there; that bounds the overlap of a query document with a group's union. The two meet only if it is
+   reached, their sizes are compatible and they aren't linked already.
 4. A met group opens when ``|query & union of the whole member sets|`` reaches the least overlap the threshold asks
    for; only then are members compared.
 
@@ -60,6 +61,11 @@ def least_overlap(n: int, threshold: int) -> int:
     return (n * threshold + 99) // 100
 
 
+def prefix_overlap(n):
+    """Tokens that the prefixes of two linked sets share at least; n: the smaller set's size."""
+    return n // 20 + 1
+
+
 def token_histogram(docs: DataFrame, k: int) -> np.ndarray:
     """How many documents hold a token of each cell, over all documents."""
 
@@ -93,13 +99,13 @@ def _signatures(docs: DataFrame, k: int, threshold: int, order) -> DataFrame:
                         x.append(None)
                     continue
                 seen_here = seen[(tokens & U(CELLS - 1)).astype(np.int64)]
-                kept = size - least_overlap(size, threshold) + 1
+                kept = min(size, size - least_overlap(size, threshold) + prefix_overlap(size))
                 digest.append(_digest(tokens))
                 sketch.append(np.array([((tokens ^ s) * s).min() for s in _SEEDS], U).view(np.int64))
                 common.append(float(np.log2(seen_here + 1.0).mean()))
                 prefix.append(tokens[np.lexsort((tokens, seen_here))[:kept]].view(np.int64))
                 # an index entry is only for partners that are at least as large
-                n_index.append(size - -(-2 * threshold * size // (100 + threshold)) + 1)
+                n_index.append(min(size, size - -(-2 * threshold * size // (100 + threshold)) + prefix_overlap(size)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int32()), pa.array(digest, pa.binary()), pa.array(sketch, longs), pa.array(common, pa.float64()), pa.array(prefix, longs), pa.array(n_index, pa.int32())], ["doc_id", "n", "digest", "sketch", "common", "prefix", "n_index"])
 
     return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n int, digest binary, sketch array<long>, common double, prefix array<long>, n_index int")
@@ -196,7 +202,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: int = 80) -> Data
     shared = staged(shared.withColumn("lo", F.min("star").over(of_token)).withColumn("hi", F.max("star").over(of_token)).where("lo <> hi").drop("lo", "hi"), "shared")
     matrix = shared.where("indexed").groupBy("token", "group", "star").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"))
     met = shared.alias("q").join(matrix.alias("g"), F.expr(f"q.token = g.token and q.star <> g.star and q.n >= g.least_n and 100 * g.most_n >= {threshold} * q.n"))
-    met = staged(met.select("q.node", "q.digest", "g.group").distinct(), "met")
+    met = met.groupBy("q.node", "q.digest", "g.group").agg(F.count("*").alias("common"), F.min("g.least_n").alias("least_n"))
+    met = staged(met.where("common >= least_n div 20 + 1").select("node", "digest", "group"), "met")
     links = _open_groups(met, placed.select("node", "digest", "group"), docs, k, threshold)
     # a doc_id with several texts is one vertex, which joins their classes
     twice = signed.where("digest is not null").groupBy("doc_id").agg(F.min("digest").alias("one"), F.max("digest").alias("other")).where("one <> other").select("doc_id")
@@ -207,3 +214,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: int = 80) -> Data
     of_digest = nodes.join(root, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
     out = signed.select("doc_id", "n", "digest").join(of_digest, "digest", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
+    """The rows of ``docs`` without those that link, directly or not, with a smaller ``doc_id``; one row of each id stays."""
+    found = staged(jaccard_components(docs, k, threshold), "found")
+    gone = staged(found.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    again = staged(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    out = docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(*docs.columns)
+    if again.isEmpty():
+        return out
+    again = broadcast_if_small(again)
+    return out.join(again, "doc_id", "left_anti").select(*docs.columns).union(out.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
