@@ -114,7 +114,7 @@ def complete_cases(rows: DataFrame, columns: list[str], reads: str, least: int)
 
 def explode_list(rows: DataFrame, column: str, item: str, sep: str = ";") -> DataFrame:
     """One row per item of a delimited list, with its position from 0; empty lists give no row."""
-    parts = F.filter(F.transform(F.split(column, sep), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(column, sep), lambda x: F.trim(x)), lambda x: x != "")
     return rows.select("*", F.posexplode(parts).alias("position", item))
 
 
