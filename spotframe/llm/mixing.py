@@ -58,21 +58,22 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for every row of ``docs`` (doc_id, source, text)."""
-    sizes = staged(sized(docs).select("doc_id", "source", "size", "h"), "sizes")
+    sizes = staged(sized(docs), "sizes")
     return taken_words(sizes, *mix_plan(sizes, weights, share, most)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mix_documents(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, a copy that it takes in part included; same columns."""
-    sizes = staged(sized(docs).select("source", "size", "h"), "sizes")
-    out = taken_words(sized(docs), *mix_plan(sizes, **how)).where("taken > 0")
+    plan = mix_plan(staged(sized(docs).select("source", "size", "h"), "sizes"), **how)
+    rows = docs.select(F.struct("*").alias("row"), "source", word_count(F.col("text")).alias("size"), id_hash(F.col("doc_id")).alias("h"))
+    out = taken_words(rows, *plan).where("taken > 0")
     copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).select(*docs.columns)
+    return out.select("row", F.explode(F.sequence(F.lit(1), copies)).alias("copy")).select("row.*")
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """``docs`` with size, its number of words, and h, its hash."""
-    return docs.withColumn("size", word_count(F.col("text"))).withColumn("h", id_hash(F.col("doc_id")))
+    """(doc_id, source, size, h): size is the number of words, h the hash."""
+    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), id_hash(F.col("doc_id")).alias("h"))
 
 
 def mix_plan(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> tuple[DataFrame, DataFrame]:
