@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns and character Markov models, in DataFrame expressions only.
 
 Base spans come from three patterns, leftmost and non-overlapping for each kind. The models add spans of kind
-"random": runs of 20 or more characters of ``[A-Za-z0-9+/_=-]`` that no base span touches and whose mean
+"random": runs of 20 or more characters of ``[A-Za-z0-9+/_=-]`` with a letter and a digit that no base span touches and whose mean
 log-likelihood ratio over character pairs, random strings against ordinary identifiers, reaches a threshold. Both
 models are first-order chains over ASCII pairs with additive smoothing, trained from labelled samples: ordinary ones
 are words of a bounded sample of documents in several spellings, random ones are digests in two alphabets.
@@ -30,7 +30,7 @@ RUN = r"[A-Za-z0-9+/_=-]{20,}"
 #: Documents whose words are ordinary samples, and random strings drawn: the bounds of the training sample.
 SAMPLE_DOCS, SAMPLE_STRINGS = 1000, 4000
 #: Mean log-likelihood ratio for each pair of characters from which a run counts as random.
-RATIO = 0.7
+RATIO = 2.0
 _CODES = 128
 
 
@@ -102,7 +102,8 @@ def base_spans(text: Column) -> Column:
 def _random_spans(text: Column, base: Column, table: Column, ratio: float) -> Column:
     runs = _spans(text, RUN, "random")
     free = F.filter(runs, lambda r: ~F.exists(base, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    return F.filter(free, lambda r: _mean_ratio(F.substr(text, r["start"] + 1, r["end"] - r["start"]), table) >= ratio)
+    letters = F.filter(free, lambda r: F.substr(text, r["start"] + 1, r["end"] - r["start"]).rlike("[0-9].*[A-Za-z]|[A-Za-z].*[0-9]"))
+    return F.filter(letters, lambda r: _mean_ratio(F.substr(text, r["start"] + 1, r["end"] - r["start"]), table) >= ratio)
 
 
 def train(docs: DataFrame) -> list[float]:
@@ -135,7 +136,8 @@ def span_table(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of ``text`` replaced by ``mark``; touching and overlapping spans become one."""
-    found = find_secrets(docs)
+    rows = docs.select(F.struct("*").alias("row"), F.col("text"))
+    found = find_secrets(rows, train(docs))
     text = F.coalesce(F.col("text"), F.lit(""))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -144,6 +146,5 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.concat(s["out"], gap).alias("out"))
 
     cleaned = F.aggregate("spans", start, step, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1, F.char_length(text))))
-    return found.withColumn("text", F.when(F.size("spans") > 0, cleaned).otherwise(F.col("text"))).drop("base", "spans")
-
-
+    new = F.when(F.size("spans") > 0, cleaned).otherwise(F.col("text"))
+    return found.select(*[new.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
