@@ -2,8 +2,9 @@
 
 Every line that holds a word has a state, good or bad. Its features are its own counts and those of the lines before
 and after it; a transition matrix couples neighbouring lines. The field is fitted on a bounded sample of labelled
-documents, each line taking its document's label. A document's score is the mean of its lines' forward-backward
-marginals of the good state, weighted by the lines' lengths in characters.
+documents, each line taking its document's label. The mean of a document's forward-backward marginals of the good
+state, weighted by the lines' lengths in bytes, becomes its score by a rising logistic curve that is fitted on the same
+sample, so that scores are probabilities of the good label.
 
 Scores use the text alone. Defined cases: a null or blank text has no line and scores the share of good documents in
 the sample. Without any labelled document every score is 0.5. Rows that repeat a ``doc_id`` are scored one by one;
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .features import CLASSES, COMMON, Texts, common_index
-from .kernel import pieces
+from .kernel import pieces, tidy
 
 #: Labelled documents that the field is fitted on, and their most lines: the bound of the sample.
 SAMPLE, SAMPLE_LINES = 4000, 400_000
@@ -68,11 +69,13 @@ def line_features(t: Texts) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Field:
-    """Weights of the good state against the bad one, transition scores, and the score of a text without lines."""
+    """Weights of the good state against the bad one, transition scores, the score of a text without lines, and the curve."""
 
     weights: np.ndarray
     moves: np.ndarray
     prior: float
+    slope: float = 1.0
+    shift: float = 0.0
 
 
 def _chains(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,16 +136,34 @@ def fit(x: np.ndarray, doc: np.ndarray, good: np.ndarray, prior: float, steps: i
     return Field(weights, moves, prior)
 
 
+def _logit(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 1e-6, 1 - 1e-6)
+    return np.log(p / (1 - p))
+
+
+def fit_curve(means: np.ndarray, good: np.ndarray, ridge: float = 0.5) -> tuple[float, float]:
+    """Slope (at least 0.05) and shift of the logistic curve from the logit of a document's mean to its label."""
+    x, y = np.stack([_logit(means), np.ones(len(means))], 1), good.astype(np.float64)
+    w = np.array([1.0, 0.0])
+    for _ in range(50):  # Newton steps with a ridge towards the identity
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        g = x.T @ (p - y) + ridge * (w - [1.0, 0.0])
+        w = w - np.clip(np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(2), g), -1, 1)
+    return max(0.05, float(w[0])), float(w[1])
+
+
+def document_means(p: np.ndarray, doc: np.ndarray, size: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Length-weighted mean marginal of each of n documents, and which have a line."""
+    total = np.bincount(doc, size, n)
+    return np.bincount(doc, size * p, n) / np.maximum(total, 1), total > 0
+
+
 def scores(t: Texts, field: Field) -> np.ndarray:
     """One score per document."""
-    x = line_features(t)
-    p, _, _ = marginals(x @ field.weights, t.line_doc, field.moves)
-    size = (t.line_end - t.line_start).astype(np.float64)
-    total = np.bincount(t.line_doc, size, t.n)
-    out = np.full(t.n, field.prior)
-    has = total > 0
-    out[has] = np.bincount(t.line_doc, size * p, t.n)[has] / total[has]
-    return np.clip(out, 0.0, 1.0)
+    p, _, _ = marginals(line_features(t) @ field.weights, t.line_doc, field.moves)
+    means, has = document_means(p, t.line_doc, (t.line_end - t.line_start).astype(np.float64), t.n)
+    curve = 1 / (1 + np.exp(-np.clip(field.slope * _logit(means) + field.shift, -30, 30)))
+    return np.where(has, curve, field.prior)
 
 
 def held_out(doc_id: Column | str, folds: int = 5) -> Column:
@@ -155,11 +176,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int =
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     chosen = known.select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, buf, offs in pieces(batch.column("text")):
                 t = Texts(buf, offs)
                 x, bounds = line_features(t), np.searchsorted(t.line_doc, np.arange(t.n + 1))
+                x = np.concatenate([x, (t.line_end - t.line_start)[:, None]], 1)  # the length comes last
                 rows = [x[a:b].astype("<f4").tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "quality")], pa.array(np.diff(bounds), pa.int32()), pa.array(rows, pa.binary())], ["doc_id", "quality", "n", "x"])
 
@@ -175,12 +198,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int =
             good.append(np.full(r["n"], r["quality"] == 1))
     if not xs:
         return Field(np.zeros(3 * (OWN + 1) + 3), np.zeros((2, 2)), prior)
-    return fit(np.concatenate(xs).astype(np.float64), np.concatenate(doc), np.concatenate(good), prior)
+    x, size = np.split(np.concatenate(xs).astype(np.float64), [-1], axis=1)
+    lines, labels = np.unique(np.concatenate(doc), return_inverse=True)[1], np.concatenate(good)
+    field = fit(x, lines, labels, prior)
+    p, _, _ = marginals(x @ field.weights, lines, field.moves)
+    means, _ = document_means(p, lines, size[:, 0], lines[-1] + 1)
+    slope, shift = fit_curve(means, labels[np.searchsorted(lines, np.arange(lines[-1] + 1))])
+    return Field(field.weights, field.moves, prior, slope, shift)
 
 
 def score_quality(docs: DataFrame, field: Field, threshold: float = 0.3) -> DataFrame:
     """(doc_id, score, predicted) of every whole text of ``docs`` (doc_id, text)."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, buf, offs in pieces(batch.column("text")):
