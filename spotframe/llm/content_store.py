@@ -24,14 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import running_start, staged
-from .kernel import U, mix
+from .kernel import U, mix, tidy
 from .tokens import crc_join, encoder, ids_crc
 
 WINDOW, FANOUT = 16, 1024
 #: Least, usual (a power of two) and most ids of a chunk.
 LEAST, USUAL, MOST = 256, 1024, 8192
-#: Documents encoded together.
-TOGETHER = 400
 
 
 def chunk_ends(ids: np.ndarray) -> list[int]:
@@ -66,15 +64,15 @@ def _encoded(docs: DataFrame, path: str, cut: str, end_id: int) -> DataFrame:
     """One row per document; a payload is null where the same task has given that chunk before."""
     kinds = {"n_tokens": pa.int64(), "digests": pa.list_(pa.binary()), "root": pa.binary(), "chunks": pa.list_(pa.struct([("digest", pa.binary()), ("n", pa.int32()), ("payload", pa.binary())]))}
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, given = encoder(path, cut), set()
-        end = np.array([end_id], coder.dtype).tobytes()
-        for whole in batches:
-            for lo in range(0, whole.num_rows, TOGETHER):
-                batch, rows = whole.slice(lo, TOGETHER), []
-                for data in coder.encode_many([x or "" for x in batch.column("text").to_pylist()]):
-                    data += end
-                    ids = np.frombuffer(data, coder.dtype)
+        end = np.array([end_id], coder.dtype)
+        for batch in batches:
+            for lo, hi, all_ids, bounds in coder.encode_column(batch.column("text")):
+                rows = []
+                for start, stop in zip(bounds[:-1], bounds[1:], strict=True):
+                    ids = np.concatenate([all_ids[start:stop], end])
                     digests, new, at = [], [], 0
                     for e in chunk_ends(ids):
                         payload = ids[at:e].tobytes()
@@ -86,7 +84,7 @@ def _encoded(docs: DataFrame, path: str, cut: str, end_id: int) -> DataFrame:
                     rows.append((len(ids), digests, _root(digests), new))
                 if len(given) > 200_000:
                     given.clear()
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)]], ["doc_id", *kinds])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), *[pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)]], ["doc_id", *kinds])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, digests array<binary>, root binary, chunks array<struct<digest: binary, n: int, payload: binary>>")
 
@@ -133,6 +131,7 @@ def read_digests(spark: SparkSession, folder: str, dtype: str = "<u2") -> DataFr
     values, and its Merkle root is checked against the recipe. A broken or missing chunk raises an error.
     """
 
+    @tidy
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             crc = []
@@ -142,6 +141,7 @@ def read_digests(spark: SparkSession, folder: str, dtype: str = "<u2") -> DataFr
                 crc.append(ids_crc(np.frombuffer(payload, dtype)))
             yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("n"), pa.array(crc, pa.int64())], ["digest", "n", "crc"])
 
+    @tidy
     def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_tokens, crcs = [], []

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, running_start, staged
+from .kernel import tidy
 
 #: Leading principal dimensions of the grid; rows of a block.
 DIMENSIONS, BLOCK = 4, 256
@@ -54,6 +55,7 @@ def _unit(column: pa.Array) -> list[np.ndarray]:
 def principal_axes(classes: DataFrame, dimensions: int) -> np.ndarray:
     """Leading eigenvectors of the covariance over all vectors; only sums of fixed size leave the tasks."""
 
+    @tidy
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, list] = {}
         for batch in batches:
@@ -84,6 +86,7 @@ def _sequenced(classes: DataFrame, axes: np.ndarray, eps: float) -> DataFrame:
     """The classes with their projection and place in the epsilon grid order: digest, rep, weight, label, vec, proj, block."""
     dims = axes.shape[1]
 
+    @tidy
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             unit = _unit(batch.column("vec"))

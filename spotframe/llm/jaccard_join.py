@@ -5,14 +5,15 @@ Every document is the set of its distinct word shingles. Two documents link when
 equal sets are recognised by a 128-bit digest).
 
 1. Equal sets are one class, whose node is the smallest ``doc_id``.
-2. *Groups.* Classes that share a min-hash compare with that key's most typical member; verified ones form a
-   group of similar documents, cut into blocks of bounded size. Every other class is a group of its own.
+2. *Groups.* Classes that share a min-hash compare with that key's most typical member; linked ones form a group of
+   similar documents, those that come near without a link another one. Groups are cut into blocks of bounded size.
+   Every other class is a group of its own.
 3. *Token-group matrix.* Row (token, group) for the union of the members' prefix tokens, rarest first (the order
    comes from a histogram over all tokens). Prefixes are so long that linked sets share at least ``prefix_overlap``
-   tokens there; that bounds the overlap of a query document with a group's union. The two meet only if it is
-   reached, their sizes are compatible and they aren't linked already.
-4. A met group opens when ``|query & union of the whole member sets|`` reaches the least overlap the threshold asks
-   for; only then are members compared.
+   tokens there. Two groups meet only if their unions share as many, their sizes are compatible and they aren't known
+   to be linked.
+4. Where groups have met, a query document opens the other group if ``|query & union of the whole member sets|``
+   reaches the least overlap that the threshold asks for; only then are members compared.
 
 No step emits the pairs of a group of copies: links inside a group are already known from its centre.
 
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, components, release, staged
-from .kernel import U, mix, pieces, shingle_sets, words_of
+from .kernel import U, mix, pieces, shingle_sets, tidy, words_of
 
 #: Cells of the token histogram: its size, and so what is broadcast, is the same for any input (2 MB).
 CELLS = 1 << 18
@@ -41,8 +42,10 @@ CELLS = 1 << 18
 SKETCH, KEYS = 16, 4
 #: A pair goes to the centre test if so many of its SKETCH values agree. Other pairs meet in the matrix.
 AGREE = 9
-#: Members of a block, and queries that open a block in one task.
-BLOCK, QUERIES = 64, 512
+#: Members of a block.
+BLOCK = 64
+#: Cells of a block's member-token table up to which it is laid out in full.
+CELLS_LAID_OUT = 20_000_000
 
 _SEEDS = mix(np.arange(1, SKETCH + 1, dtype=U) * U(0xA24BAED4963EE407)) | U(1)
 
@@ -69,6 +72,7 @@ def prefix_overlap(n):
 def token_histogram(docs: DataFrame, k: int) -> np.ndarray:
     """How many documents hold a token of each cell, over all documents."""
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.int64)
         for batch in batches:
@@ -87,6 +91,7 @@ def _signatures(docs: DataFrame, k: int, threshold: int, order) -> DataFrame:
     """(doc_id, n, digest, sketch, common, prefix, n_index): one row per document."""
     longs = pa.list_(pa.int64())
 
+    @tidy
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = order.value
         for batch in batches:
@@ -114,6 +119,7 @@ def _signatures(docs: DataFrame, k: int, threshold: int, order) -> DataFrame:
 def _whole_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """(digest, tokens): the whole sets of the documents in ``ids`` (a staged table of doc_id)."""
 
+    @tidy
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [x for _, x in _sets(batch, k)]
@@ -135,52 +141,68 @@ def _tokens(x: bytes) -> np.ndarray:
     return np.frombuffer(x, U)
 
 
-def _centre_links(cls: DataFrame, docs: DataFrame, k: int, threshold: int) -> DataFrame:
-    """(node, centre): classes that link with the most typical class of one of their min-hash keys."""
+def _centre_links(cls: DataFrame, docs: DataFrame, k: int, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """(node, centre) of classes that link with the most typical class of one of their min-hash keys, and of all that come near one."""
     keyed = cls.select("node", "digest", "sketch", "n", "common", F.posexplode(F.slice("sketch", 1, KEYS)).alias("r", "v"))
     centre = keyed.groupBy("r", "v").agg(F.max(F.struct("common", F.negative(F.col("node")).alias("less"), "digest", "sketch", "n")).alias("c"), F.count("*").alias("m")).where("m > 1")
     agree = F.size(F.filter(F.zip_with("sketch", "c.sketch", lambda x, y: x == y), lambda x: x))
-    near = keyed.join(centre, ["r", "v"]).where((F.negative(F.col("c.less")) != F.col("node")) & (agree >= AGREE) & (100 * F.least("n", "c.n") >= threshold * F.greatest("n", "c.n")))
-    pairs = staged(near.select("node", "digest", F.negative(F.col("c.less")).alias("centre"), F.col("c.digest").alias("centre_digest")).distinct(), "near")
-    ids = staged(pairs.select(F.col("node").alias("doc_id")).union(pairs.select("centre")).distinct(), "ids")
+    near = keyed.join(centre, ["r", "v"]).where((F.negative(F.col("c.less")) != F.col("node")) & (agree >= AGREE))
+    possible = 100 * F.least("n", "c.n") >= threshold * F.greatest("n", "c.n")
+    pairs = staged(near.select("node", "digest", F.negative(F.col("c.less")).alias("centre"), F.col("c.digest").alias("centre_digest"), possible.alias("possible")).distinct(), "near")
+    asked = pairs.where("possible")
+    ids = staged(asked.select(F.col("node").alias("doc_id")).union(asked.select("centre")).distinct(), "ids")
     sets = staged(_whole_sets(docs, ids, k), "sets")
 
+    @tidy
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = batch.column("tokens").to_pylist(), batch.column("centre_tokens").to_pylist()
             ok = pa.array([_links(_tokens(a), _tokens(b), threshold) for a, b in zip(x, y, strict=True)], pa.bool_())
             yield batch.select(["node", "centre"]).filter(ok)
 
-    both = pairs.join(sets, "digest").join(sets.select(F.col("digest").alias("centre_digest"), F.col("tokens").alias("centre_tokens")), "centre_digest")
+    both = asked.join(sets, "digest").join(sets.select(F.col("digest").alias("centre_digest"), F.col("tokens").alias("centre_tokens")), "centre_digest")
     out = staged(both.select("node", "centre", "tokens", "centre_tokens").mapInArrow(verify, "node long, centre long"), "centre_links")
-    for x in (pairs, ids, sets):
+    for x in (ids, sets):
         release(x)
-    return out
+    return out, pairs.select("node", "centre")
+
+
+def _overlaps(queries: list[np.ndarray], own: list[np.ndarray], threshold: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each query that the union of ``own`` can't rule out: its place and its overlap with every member."""
+    union = np.unique(np.concatenate(own))
+    table = None
+    if len(own) * len(union) <= CELLS_LAID_OUT:
+        table = np.zeros((len(own), len(union)), np.uint8)
+        for i, t in enumerate(own):
+            table[i, np.searchsorted(union, t)] = 1
+    for i, q in enumerate(queries):
+        at = np.minimum(np.searchsorted(union, q), len(union) - 1)
+        at = at[union[at] == q]
+        if len(at) >= least_overlap(len(q), threshold):
+            yield i, table[:, at].sum(1, dtype=np.int64) if table is not None else np.array([len(np.intersect1d(q, t, assume_unique=True)) for t in own])
 
 
 def _open_groups(met: DataFrame, members: DataFrame, docs: DataFrame, k: int, threshold: int) -> DataFrame:
-    """Links (a, b) of met (query, group) pairs. met: node, digest, group; members: node, digest, group."""
-    wanted = members.join(met.select("group").distinct(), "group", "left_semi")
-    load = met.groupBy("group").agg(F.count("*").alias("q"))
-    salts = F.ceil(F.col("q") / QUERIES).cast("int")
-    wanted = wanted.join(load, "group").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    met = met.join(load, "group").withColumn("salt", F.pmod(F.xxhash64("node"), salts).cast("int"))
-    ids = staged(met.select(F.col("node").alias("doc_id")).union(wanted.select("node")).distinct(), "ids")
+    """Links (a, b) between members of met groups. met: ga, gb (ga <= gb); members: node, digest, group."""
+    wanted = members.join(met.select(F.col("ga").alias("group")).union(met.select("gb")).distinct(), "group", "left_semi")
+    ids = staged(wanted.select(F.col("node").alias("doc_id")).distinct(), "ids")
     sets = staged(_whole_sets(docs, ids, k), "sets")
+    held = staged(wanted.join(sets, "digest").select("group", "node", "tokens"), "held")
 
     def opened(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[int, int]] = []
-        own = [(n, _tokens(t)) for n, t in zip(right["node"], right["member_tokens"], strict=True)]
-        union = np.unique(np.concatenate([t for _, t in own])) if own else np.zeros(0, U)
-        for node, query in zip(left["node"], map(_tokens, left["tokens"]), strict=True):
-            if np.isin(query, union, assume_unique=True).sum() < least_overlap(len(query), threshold):
-                continue
-            found += [(node, n) for n, t in own if n != node and _links(query, t, threshold)]
+        if len(left) and len(right):
+            queries, own = [_tokens(t) for t in left["tokens"]], [_tokens(t) for t in right["own_tokens"]]
+            names, sizes = right["own"].to_numpy(), np.array([len(t) for t in own])
+            for i, both in _overlaps(queries, own, threshold):
+                node = left["node"].iloc[i]
+                hit = (100 * both >= threshold * (len(queries[i]) + sizes - both)) & (names != node)
+                found += [(node, n) for n in names[hit]]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    queries = met.join(sets, "digest").select("group", "salt", "node", "tokens").groupBy("group", "salt")
-    own = wanted.join(sets, "digest").select("group", "salt", "node", F.col("tokens").alias("member_tokens")).groupBy("group", "salt")
-    return staged(queries.cogroup(own).applyInPandas(opened, "a long, b long"), "links")
+    queries = met.join(held.withColumnRenamed("group", "ga"), "ga").select("ga", "gb", "node", "tokens")
+    own = met.join(held.withColumnRenamed("group", "gb"), "gb").select(F.col("ga").alias("oa"), F.col("gb").alias("ob"), F.col("node").alias("own"), F.col("tokens").alias("own_tokens"))
+    return staged(queries.groupBy("ga", "gb").cogroup(own.groupBy("oa", "ob")).applyInPandas(opened, "a long, b long").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
@@ -190,20 +212,26 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: int = 80) -> Data
     signed = staged(_signatures(docs, k, threshold, order), "signed")
     nodes = staged(signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node")), "nodes")
     cls = signed.select("doc_id", "digest", "n", "sketch", "common").join(nodes.select(F.col("node").alias("doc_id"), "digest", "node"), ["doc_id", "digest"]).drop("doc_id").dropDuplicates(["digest"])
-    stars = _centre_links(cls, docs, k, threshold)
+    stars, near = _centre_links(cls, docs, k, threshold)
     star = components(stars, "node", "centre")
-    placed = nodes.join(star, "node", "left").select("node", "digest", F.coalesce("root", "node").alias("star"))
-    sizes = placed.groupBy("star").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = staged(placed.join(sizes, "star").select("node", "digest", "star", F.xxhash64("star", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("group")), "placed")
-    # rows of the matrix; sizes let a group and a query miss each other without being opened
-    tokens = signed.select(F.col("doc_id").alias("node"), "digest", "n", "n_index", "prefix").join(placed, ["node", "digest"]).select("node", "digest", "star", "group", "n", "n_index", F.posexplode("prefix").alias("pos", "token"))
+    near = near.groupBy("node").agg(F.min("centre").alias("near"))
+    kind = F.when(F.col("root").isNotNull(), "linked").when(F.col("near").isNotNull(), "near").otherwise("alone")
+    placed = nodes.join(star, "node", "left").join(near, "node", "left").select("node", "digest", kind.alias("kind"), F.coalesce("root", "near", "node").alias("key"))
+    sizes = placed.groupBy("kind", "key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = placed.join(sizes, ["kind", "key"]).withColumn("group", F.xxhash64("kind", "key", F.pmod(F.xxhash64("node"), F.col("blocks"))))
+    # groups of one star are linked already; any other group stands for itself
+    placed = staged(placed.select("node", "digest", "group", F.when(F.col("kind") == "linked", F.col("key")).otherwise(F.col("group")).alias("star"), "kind"), "placed")
+    tokens = signed.select(F.col("doc_id").alias("node"), "digest", "n", "n_index", "prefix").join(placed, ["node", "digest"]).select("star", "group", "n", "n_index", F.posexplode("prefix").alias("pos", "token"))
     of_token = Window.partitionBy("token")
-    shared = tokens.select("node", "digest", "star", "group", "n", (F.col("pos") < F.col("n_index")).alias("indexed"), "token")
+    shared = tokens.select("star", "group", "n", (F.col("pos") < F.col("n_index")).alias("indexed"), "token")
     shared = staged(shared.withColumn("lo", F.min("star").over(of_token)).withColumn("hi", F.max("star").over(of_token)).where("lo <> hi").drop("lo", "hi"), "shared")
-    matrix = shared.where("indexed").groupBy("token", "group", "star").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"))
-    met = shared.alias("q").join(matrix.alias("g"), F.expr(f"q.token = g.token and q.star <> g.star and q.n >= g.least_n and 100 * g.most_n >= {threshold} * q.n"))
-    met = met.groupBy("q.node", "q.digest", "g.group").agg(F.count("*").alias("common"), F.min("g.least_n").alias("least_n"))
-    met = staged(met.where("common >= least_n div 20 + 1").select("node", "digest", "group"), "met")
+    # rows of the matrix; sizes let two groups miss each other without being opened
+    rows = lambda side: side.groupBy("token", "group", "star").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"))
+    meets = F.expr(f"q.token = g.token and q.star <> g.star and q.most_n >= g.least_n and 100 * g.most_n >= {threshold} * q.least_n")
+    met = rows(shared).alias("q").join(rows(shared.where("indexed")).alias("g"), meets).groupBy(F.col("q.group").alias("x"), F.col("g.group").alias("y")).agg(F.count("*").alias("common"), F.min("g.least_n").alias("least_n"))
+    met = met.where("common >= least_n div 20 + 1").select(F.least("x", "y").alias("ga"), F.greatest("x", "y").alias("gb"))
+    within = placed.where("kind = 'near'").groupBy("group").count().where("count > 1").select(F.col("group").alias("ga"), F.col("group").alias("gb"))
+    met = staged(met.union(within).distinct(), "met")
     links = _open_groups(met, placed.select("node", "digest", "group"), docs, k, threshold)
     # a doc_id with several texts is one vertex, which joins their classes
     twice = signed.where("digest is not null").groupBy("doc_id").agg(F.min("digest").alias("one"), F.max("digest").alias("other")).where("one <> other").select("doc_id")
@@ -217,7 +245,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: int = 80) -> Data
 
 
 def one_of_each_group(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
-    """The rows of ``docs`` without those that link, directly or not, with a smaller ``doc_id``; one row of each id stays."""
+    """The rows of ``docs`` without those that link, directly or not, with a smaller ``doc_id``; one row of each id stays.
+
+    Rows without a ``doc_id`` stay.
+    """
     found = staged(jaccard_components(docs, k, threshold), "found")
     gone = staged(found.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
     again = staged(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")

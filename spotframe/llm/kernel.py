@@ -5,7 +5,9 @@ Words are maximal runs of bytes outside 0x20 and 0x09-0x0D, as in the pattern ``
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,13 +28,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=U) * U(0xD1B54A32D192ED03))
+_BYTE_SALTED = mix(np.arange(1, 257, dtype=U) * U(0xE7037ED1A0B428DB))
 _BYTE_LOWER = _BYTE.copy()
 _BYTE_LOWER[65:91] = _BYTE[97:123]
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers.get("up", ())) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 19)
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             x = np.full(size, base, U)
             x[0] = 1
@@ -50,17 +53,18 @@ class Words:
     ends: np.ndarray
     first: np.ndarray  # words before each document, one more entry than documents
 
-    def hashes(self, lower: bool) -> np.ndarray:
-        """A 64-bit hash of each word's bytes; ``lower`` treats A-Z as a-z."""
+    def hashes(self, lower: bool, salt: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word's bytes; ``lower`` treats A-Z as a-z; ``salt`` 1 gives another hash."""
         n = len(self.buf)
         up, down = _power(n + 1)
         total = np.zeros(n + 1, U)
-        np.cumsum((_BYTE_LOWER if lower else _BYTE)[self.buf] * up[:n], out=total[1:])
+        np.cumsum((_BYTE_SALTED if salt else _BYTE_LOWER if lower else _BYTE)[self.buf] * up[:n], out=total[1:])
         return mix((total[self.ends] - total[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(U))
 
 
-def words_of(buf: np.ndarray, offs: np.ndarray) -> Words:
-    inside = ~_SPACE[buf]
+def words_of(buf: np.ndarray, offs: np.ndarray, between: np.ndarray = _SPACE) -> Words:
+    """Maximal runs of bytes that the table ``between`` doesn't hold."""
+    inside = ~between[buf]
     edge = np.empty(len(buf) + 1, bool)
     edge[0], edge[-1] = (inside[0], inside[-1]) if len(buf) else (False, False)
     edge[1:-1] = inside[1:] != inside[:-1]
@@ -77,7 +81,7 @@ def words_of(buf: np.ndarray, offs: np.ndarray) -> Words:
     return Words(buf, offs, starts, ends, np.searchsorted(starts, offs))
 
 
-def pieces(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def pieces(column: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of whole texts of about ``most`` bytes; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -93,6 +97,24 @@ def pieces(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np
         lo = hi
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def tidy(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """A batch function that gives freed memory back when its task ends; workers stay for later tasks."""
+
+    @functools.wraps(run)
+    def tidied(batches: Batches) -> Batches:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            return
+
+    return tidied
+
+
 def windows(h: np.ndarray, k: int) -> np.ndarray:
     """The hash of each run of ``k`` word hashes; entry i covers words i to i+k-1."""
     n = max(0, len(h) - k + 1)

@@ -24,10 +24,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import shuffle_width, staged
+from .kernel import tidy
 from .tokens import encoder, ids_crc
 
-TOGETHER = 400
-
 
 @dataclass(frozen=True)
 class Limits:
@@ -49,14 +48,16 @@ def pieces_of(docs: DataFrame, tokenizer: str, cut: str, end_id: int, most: int)
     """(doc_id, piece, start, length, ids_crc32) of every document."""
     kinds = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()}
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer, cut)
-        end = np.array([end_id], coder.dtype).tobytes()
-        for whole in batches:
-            for lo in range(0, whole.num_rows, TOGETHER):
-                batch, rows = whole.slice(lo, TOGETHER), []
-                for doc_id, data in zip(batch.column("doc_id").to_pylist(), coder.encode_many([x or "" for x in batch.column("text").to_pylist()]), strict=True):
-                    ids = np.frombuffer(data + end, coder.dtype)
+        end = np.array([end_id], coder.dtype)
+        for batch in batches:
+            doc_ids = batch.column("doc_id").to_pylist()
+            for lo, hi, all_ids, bounds in coder.encode_column(batch.column("text")):
+                rows = []
+                for doc_id, a, b in zip(doc_ids[lo:hi], bounds[:-1], bounds[1:], strict=True):
+                    ids = np.concatenate([all_ids[a:b], end])
                     rows += [(doc_id, k, s, n, ids_crc(ids[s : s + n])) for k, (s, n) in enumerate(cut_pieces(len(ids), most))]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], [*kinds])
 
@@ -113,6 +114,7 @@ def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), cut: str =
     inside = Window.partitionBy("length", "dealt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = found.withColumn("local", F.row_number().over(inside) - 1).join(dealt.select("length", "dealt", "before"), ["length", "dealt"]).withColumn("rank", F.col("before") + F.col("local"))
 
+    @tidy
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         length, first, _, sequence, each, offset = plan.value.T
         keys = length * (1 << 44) + first

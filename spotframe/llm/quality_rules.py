@@ -2,7 +2,8 @@
 
 Each document's histograms of character classes and of common words compare by Jensen-Shannon distance (base 2,
 between 0 and 1) with references of its language, which sum the histograms of all its documents. A document of at
-least ``min_words`` words fails if either distance exceeds its limit; shorter ones are judged by the base rules alone.
+least ``min_words`` words fails if either distance exceeds its limit, which falls with the length of the text; shorter
+ones are judged by the base rules alone.
 Base rules: fewer than 10 words, or more than a fifth of the words in five-word windows that the text repeats.
 
 Defined cases: null text: no words, fails. A null language is a language of its own. A language with fewer than
@@ -21,10 +22,11 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, staged
 from .features import CLASSES, COMMON, Texts, common_index
-from .kernel import pieces
+from .kernel import pieces, tidy
 
 MIN_WORDS, MIN_REFERENCE = 50, 2000
-CHAR_LIMIT, WORD_LIMIT = 0.30, 0.60
+#: A limit is a + b / sqrt(words): b allows for the chance differences of short texts.
+CHAR_LIMIT, WORD_LIMIT = (0.10, 2.0), (0.10, 3.0)
 
 _SCHEMA = "doc_id long, lang string, row_key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars array<long>, words array<long>"
 
@@ -37,6 +39,7 @@ def row_key() -> Column:
 def document_counts(docs: DataFrame) -> DataFrame:
     """Base counts and the two histograms of every whole text; one row per row of ``docs`` (doc_id, lang, text)."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, buf, offs in pieces(batch.column("text")):
@@ -56,43 +59,51 @@ def _sums(name: str, n: int) -> Column:
     return F.array(*[F.sum(F.col(name)[i]) for i in range(n)]).alias(name)
 
 
-def _share(x: Column) -> Column:
-    total = F.aggregate(x, F.lit(0).cast("long"), lambda s, y: s + y)
-    return F.transform(x, lambda y: F.when(total > 0, y / F.nullif(total, F.lit(0))).otherwise(F.lit(0.0)))
+def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon distance of each row of counts ``p`` from the counts in the same row of ``q``; no counts: 0."""
+    empty = (p.sum(1) == 0) | (q.sum(1) == 0)
+    p, q = (x / np.maximum(x.sum(1, keepdims=True), 1) for x in (p.astype(np.float64), q.astype(np.float64)))
+    m = (p + q) / 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        both = sum(np.where(x > 0, x * np.log2(x / m), 0.0).sum(1) for x in (p, q))
+    return np.where(empty, 0.0, np.sqrt(np.maximum(both / 2, 0.0)))
 
 
-def js_distance(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance of two arrays of shares."""
+def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replaces the histograms of rows with their distances from the references beside them."""
+    for batch in batches:
+        n = batch.num_rows
+        table = {c: batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(n, -1) for c in ("chars", "words", "ref_chars", "ref_common")}
+        rest = [c for c in batch.schema.names if c not in table]
+        far = [pa.array(js_distance(table["chars"], table["ref_chars"])), pa.array(js_distance(table["words"], table["ref_common"]))]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], *far], [*rest, "char_distance", "word_distance"])
 
-    def term(x: Column, m: Column) -> Column:
-        return F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
 
-    each = F.zip_with(p, q, lambda x, y: term(x, (x + y) / 2) + term(y, (x + y) / 2))
-    return F.sqrt(F.greatest(F.aggregate(each, F.lit(0.0), lambda s, y: s + y) / 2, F.lit(0.0)))
-
-
-def judge(counts: DataFrame, min_words: int = MIN_WORDS, char_limit: float = CHAR_LIMIT, word_limit: float = WORD_LIMIT, min_reference: int = MIN_REFERENCE) -> DataFrame:
+def judge(counts: DataFrame, min_words: int = MIN_WORDS, char_limit: tuple[float, float] = CHAR_LIMIT, word_limit: tuple[float, float] = WORD_LIMIT, min_reference: int = MIN_REFERENCE) -> DataFrame:
     """The counts with base_failed, char_distance, word_distance and kept."""
     key = F.coalesce("lang", F.lit(""))
     of = counts.withColumn("key", key)
     by_lang = staged(of.groupBy("key").agg(F.sum("n_words").alias("ref_words"), _sums("chars", CLASSES), _sums("words", len(COMMON) + 1)), "references")
     whole = by_lang.agg(_sums("chars", CLASSES), _sums("words", len(COMMON) + 1)).select(F.col("chars").alias("all_chars"), F.col("words").alias("all_words"))
     own = F.col("ref_words") >= min_reference
-    refs = by_lang.crossJoin(F.broadcast(whole)).select("key", _share(F.when(own, F.col("chars")).otherwise(F.col("all_chars"))).alias("ref_chars"), _share(F.when(own, F.col("words")).otherwise(F.col("all_words"))).alias("ref_words_share"))
-    out = of.join(broadcast_if_small(refs, 10_000), "key")
-    out = out.withColumn("char_distance", js_distance(_share(F.col("chars")), F.col("ref_chars"))).withColumn("word_distance", js_distance(_share(F.col("words")), F.col("ref_words_share")))
+    refs = by_lang.crossJoin(F.broadcast(whole)).select("key", F.when(own, F.col("chars")).otherwise(F.col("all_chars")).alias("ref_chars"), F.when(own, F.col("words")).otherwise(F.col("all_words")).alias("ref_common"))
+    out = of.join(broadcast_if_small(refs, 10_000), "key").drop("key")
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema if f.name not in ("chars", "words", "ref_chars", "ref_common"))
+    out = out.mapInArrow(_distances, f"{kept}, char_distance double, word_distance double")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    far = (F.col("n_words") >= min_words) & ((F.col("char_distance") > char_limit) | (F.col("word_distance") > word_limit))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~far).drop("key", "ref_chars", "ref_words_share", "chars", "words")
+    limit = lambda a, b: a + b / F.sqrt(F.greatest("n_words", F.lit(1)))
+    far = (F.col("n_words") >= min_words) & ((F.col("char_distance") > limit(*char_limit)) | (F.col("word_distance") > limit(*word_limit)))
+    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~far)
 
 
 def quality_rules(docs: DataFrame, **limits) -> DataFrame:
     """Counts and verdict of every document of ``docs`` (doc_id, lang, text)."""
-    return judge(staged(document_counts(docs), "counts"), **limits).drop("row_key", "lang", "ref_words")
+    return judge(staged(document_counts(docs), "counts"), **limits).drop("row_key", "lang")
 
 
 def passing_documents(docs: DataFrame, **limits) -> DataFrame:
     """The rows of ``docs`` that the rules keep, unchanged."""
     verdict = judge(staged(document_counts(docs), "counts"), **limits)
     rejected = staged(verdict.where("not kept").select("row_key").distinct(), "rejected")
-    return docs.withColumn("row_key", row_key()).join(broadcast_if_small(rejected), "row_key", "left_anti").select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), row_key().alias("row_key"))
+    return rows.join(broadcast_if_small(rejected), "row_key", "left_anti").select("row.*")

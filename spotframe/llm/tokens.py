@@ -3,23 +3,77 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
-#: Distinct stretches that a worker keeps; beyond it the memory starts anew.
-CACHE = 400_000
-#: Stretches of at most so many characters are kept.
-KEPT_CHARS = 40
+from .kernel import U, Words, pieces, words_of
 
+#: Distinct stretches that a worker keeps, about 30 bytes each: the first ones it meets, which are the frequent ones.
+CACHE = 1_500_000
+#: Stretches of at most so many bytes are kept.
+KEPT_BYTES = 64
+#: New stretches encoded in one string, and the mark between them.
+RUN, MARK = 1000, "~"
+
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+_ONE = np.zeros(256, bool)
+_ONE[0x20] = True
 _encoders: dict[tuple, Encoder] = {}
 
 
+class _Memory:
+    """Ids by two 64-bit hashes of a stretch, in sorted arrays; additions wait in a small table and are merged."""
+
+    def __init__(self, dtype: np.dtype):
+        self.tables = [tuple(np.zeros(0, t) for t in (U, U, np.int64, np.int64)) for _ in range(2)]
+        self.pool, self.used = np.zeros(1 << 16, dtype), 0
+
+    def __len__(self) -> int:
+        return sum(len(t[0]) for t in self.tables)
+
+    def find(self, key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place in the pool and number of ids of each stretch; -1 where it is new."""
+        at, n = np.full(len(key), -1), np.zeros(len(key), np.int64)
+        for k, c, a, m in self.tables:
+            if len(k):
+                i = np.minimum(np.searchsorted(k, key), len(k) - 1)
+                hit = (k[i] == key) & (c[i] == check)
+                at[hit], n[hit] = a[i[hit]], m[i[hit]]
+        return at, n
+
+    def put(self, ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Write ids behind the used part of the pool; they stay only if ``keep`` follows."""
+        n = np.array([len(x) for x in ids], np.int64)
+        total = int(n.sum())
+        while self.used + total > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        if ids:
+            self.pool[self.used : self.used + total] = np.concatenate(ids)
+        return self.used + np.cumsum(n) - n, n
+
+    def keep(self, key: np.ndarray, check: np.ndarray, at: np.ndarray, n: np.ndarray) -> None:
+        self.used += int(n.sum())
+        main, late = self.tables
+        late = tuple(np.concatenate(x) for x in zip(late, (key, check, at, n), strict=True))
+        if len(late[0]) > 50_000 + len(main[0]) // 4:
+            late = tuple(np.concatenate(x) for x in zip(main, late, strict=True))
+            order = np.argsort(late[0], kind="stable")
+            self.tables = [tuple(x[order] for x in late), tuple(x[:0] for x in late)]
+        else:
+            order = np.argsort(late[0], kind="stable")
+            self.tables = [main, tuple(x[order] for x in late)]
+
+
 class Encoder:
-    """``encode(text)``: ids as little-endian bytes, equal to encoding the whole text without special tokens.
+    """Ids of whole texts, equal to encoding each text without special tokens.
 
     ``cut`` names where the tokenizer's own pre-tokenizer always ends a piece, so that the stretches between can be
     encoded one by one: "blank" (ASCII white space, which the tokenizer drops) or "space" (before each single space).
-    Texts that the "space" rule can't cut (two spaces in a row) are encoded whole.
+    Texts that the "space" rule can't cut (two spaces in a row, or one at an end) are encoded whole. Stretches are told
+    apart by 128 bits of hashes.
     """
 
     def __init__(self, path: str, cut: str):
@@ -27,33 +81,78 @@ class Encoder:
 
         self.tokenizer, self.cut = Tokenizer.from_file(path), cut
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.memory: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def stretches(self, text: str) -> list[str]:
+        (self.mark,) = self.tokenizer.encode(f" {MARK}", add_special_tokens=False).ids
+        self.memory = _Memory(self.dtype)
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, self.dtype) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _new(self, new: list[str]) -> list[np.ndarray]:
+        """Each stretch's ids. Most are encoded together, a mark that none of them holds between them."""
+        lead = " " if self.cut == "space" else ""
+        out: list[np.ndarray | None] = [None] * len(new)
+        easy = [i for i, x in enumerate(new) if MARK not in x and x.startswith(lead) and x.strip()]
+        for lo in range(0, len(easy), RUN):
+            run = easy[lo : lo + RUN]
+            ids = self.whole([(f" {MARK}{'' if lead else ' '}").join([new[i] for i in run])])[0]
+            ends = np.flatnonzero(ids == self.mark)
+            if len(ends) == len(run) - 1:  # else the mark went into a longer token
+                for i, x in zip(run, np.split(ids, ends), strict=True):
+                    out[i] = x if i == run[0] else x[1:]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(rest, self.whole([new[i] for i in rest]), strict=True):
+            out[i] = x
+        return out
+
+    def _stretches(self, buf: np.ndarray, offs: np.ndarray) -> tuple[Words, np.ndarray]:
+        """Stretches of each document, and which documents must be encoded whole."""
         if self.cut == "blank":
-            return text.translate(_BLANK).split(" ")
-        if "  " in text:
-            return [text]
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
-
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        if len(self.memory) > CACHE:
-            self.memory.clear()
-        memory, cut = self.memory, [self.stretches(x) for x in texts]
-        new = list({x for xs in cut for x in xs if x not in memory})
-        found = dict(zip(new, self._whole(new), strict=True))
-        memory.update((k, v) for k, v in found.items() if len(k) <= KEPT_CHARS)
-        long = {k: v for k, v in found.items() if len(k) > KEPT_CHARS}
-        if not long:
-            return [b"".join([memory[x] for x in xs]) for xs in cut]
-        return [b"".join([memory[x] if x in memory else long[x] for x in xs]) for xs in cut]
-
-
-_BLANK = {i: " " for i in (*range(0x09, 0x0E), 0x20)}
+            return words_of(buf, offs, _BLANK), np.zeros(len(offs) - 1, bool)
+        w = words_of(buf, offs, _ONE)
+        space = np.concatenate([[False], buf == 0x20, [False]])
+        odd = space[1:-1] & (space[:-2] | space[2:])
+        odd[offs[:-1][offs[:-1] < len(buf)]] |= space[1:-1][offs[:-1][offs[:-1] < len(buf)]]
+        odd[np.maximum(offs[1:] - 1, 0)[offs[1:] > offs[:-1]]] |= space[1:-1][np.maximum(offs[1:] - 1, 0)[offs[1:] > offs[:-1]]]
+        total = np.concatenate([[0], np.cumsum(odd)])
+        first = np.zeros(len(w.starts), bool)
+        first[w.first[:-1][np.diff(w.first) > 0]] = True
+        w.starts = w.starts - ~first
+        return w, total[offs[1:]] > total[offs[:-1]]
+
+    def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets): the ids of all documents of a piece, and each document's range."""
+        w, odd = self._stretches(buf, offs)
+        key, check = w.hashes(lower=False), w.hashes(lower=False, salt=1)
+        distinct, first, place = np.unique(key, return_index=True, return_inverse=True)
+        if (check[first][place] != check).any():
+            odd = np.ones(len(offs) - 1, bool)
+        at, n = self.memory.find(distinct, check[first])
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            data = buf.tobytes()
+            new = new[np.argsort((w.ends - w.starts)[first[new]] > KEPT_BYTES, kind="stable")]  # long ones last
+            spans = zip(w.starts[first[new]].tolist(), w.ends[first[new]].tolist(), strict=True)
+            at[new], n[new] = self.memory.put(self._new([data[a:b].decode() for a, b in spans]))
+            if len(self.memory) < CACHE:
+                kept = new[(w.ends - w.starts)[first[new]] <= KEPT_BYTES]
+                self.memory.keep(distinct[kept], check[first[kept]], at[kept], n[kept])
+        each = n[place]
+        upto = np.concatenate([[0], np.cumsum(each)])
+        ids = self.memory.pool[np.repeat(at[place] - upto[:-1], each) + np.arange(upto[-1])]
+        bounds = upto[w.first]
+        if odd.any():
+            parts = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            texts = [buf[offs[i] : offs[i + 1]].tobytes().decode() for i in np.flatnonzero(odd)]
+            for i, x in zip(np.flatnonzero(odd), self.whole(texts), strict=True):
+                parts[i] = x
+            bounds = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+            ids = np.concatenate(parts)
+        return ids, bounds
+
+    def encode_column(self, column: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first row, end row, ids, offsets) of runs of rows; a null text has no ids."""
+        for lo, hi, buf, offs in pieces(column, most):
+            yield lo, hi, *self.encode(buf, offs)
 
 
 def encoder(path: str, cut: str) -> Encoder:
