@@ -4,9 +4,9 @@ Every document has a 60-bit hash of its id. A source's mix takes whole copies of
 target allows, then one more copy of the documents below a hash threshold. The threshold is found without sorting:
 a histogram sums the words by source and hash bucket, the bucket in which the budget ends is refined by the next bits
 of the hash, and only its rows take part in the next histogram. Lower budgets give lower thresholds, so mixes are
-nested. At the boundary hash itself the remaining words are shared evenly among rows of equal size, so a source's
-taken words meet its target to less than one word for each row there; with distinct ids that is one row, of which the
-mix takes the first words, and the target is met exactly up to rounding.
+nested. At the boundary hash itself the remaining words are shared evenly among rows of equal size, larger sizes
+first, so a source's taken words meet its target to less than one word for each row there; with distinct ids that is
+one row, of which the mix takes the first words, and the target is met exactly up to rounding.
 
 Defined cases: a null or blank text has no word and nothing is taken from it. A null source is a source of its own and
 comes last. Rows that repeat a ``doc_id`` share a hash. Extra columns are ignored; an empty table gives an empty result.
@@ -98,11 +98,19 @@ def mix_plan(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: floa
         # the first bucket whose end passes the budget; none if the budget covers all
         crossing = cells.where(F.col("upto") > F.col("left")).groupBy("source").agg(F.min(F.struct("cell", "upto", "words", "left")).alias("c"))
         edge = staged(crossing.select(F.col("source").alias("s"), F.col("c.cell").alias("prefix"), (F.col("c.left") - F.col("c.upto") + F.col("c.words")).alias("left")), "edge")
-    # rows at the boundary hash: one class per size, larger sizes first, each class shares what is left evenly
+    # rows at the boundary hash: one class per size
     rows = sizes.select("source", "h", "size")
     at_edge = rows.join(broadcast_if_small(edge, SOURCES), rows["source"].eqNullSafe(edge["s"]) & (rows["h"] == edge["prefix"])).groupBy("source", "h", "size", "left").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum(F.col("size") * F.col("n")).over(Window.partitionBy("source").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = at_edge.withColumn("each", F.least("size", F.floor(F.greatest(F.col("left") - before, F.lit(0)) / F.col("n")))).select(F.col("source").alias("s2"), F.col("h").alias("h2"), F.col("size").alias("size2"), "each")
+    classes = at_edge.groupBy("source", "h").agg(F.max("left").alias("left"), F.sort_array(F.collect_list(F.struct("size", "n")), asc=False).alias("classes"))
+    dealt = "array<struct<size:bigint,each:bigint>>"
+    start = F.struct(F.col("left"), F.array().cast(dealt).alias("out"))
+
+    def deal(s: Column, c: Column) -> Column:
+        """A class takes an even share of what is left; the words that don't divide go on to the next class."""
+        each = F.least(c["size"], F.floor(F.greatest(s["left"], F.lit(0)) / c["n"]))
+        return F.struct((s["left"] - each * c["n"]).alias("left"), F.concat(s["out"], F.array(F.struct(c["size"].alias("size"), each.alias("each")))).alias("out"))
+
+    parts = classes.select("source", "h", F.inline(F.aggregate("classes", start, deal, lambda s: s["out"]))).select(F.col("source").alias("s2"), F.col("h").alias("h2"), F.col("size").alias("size2"), "each")
     parts = staged(parts, "parts")
     plan = targets.select(F.col("source").alias("s1"), "source_size", "target", "copies", "budget", F.lit(int(most)).alias("limit"))
     plan = staged(plan.join(edge, plan["s1"].eqNullSafe(edge["s"]), "left").select("s1", "source_size", "target", "copies", "budget", "limit", F.col("prefix").alias("boundary")), "plan")
