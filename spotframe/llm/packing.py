@@ -15,6 +15,7 @@ empty table gives no piece.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,10 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_width, staged
+from .common import broadcast_if_small, shuffle_width, staged
 from .kernel import tidy
 from .tokens import encoder, ids_crc
 
+#: Parts that pieces are dealt into for ranking, a shuffle partition.
+DEALS = 4
+
 
 @dataclass(frozen=True)
 class Limits:
@@ -102,17 +106,22 @@ def best_fit_plan(counts: dict[int, int], limits: Limits) -> tuple[np.ndarray, i
 
 def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), cut: str = "space", end_id: int = 0) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): one row per piece."""
-    width = 4 * shuffle_width(docs.sparkSession)
     found = pieces_of(docs, tokenizer, cut, end_id, limits.tokens)
-    found = staged(found.withColumn("dealt", F.pmod(F.xxhash64("doc_id", "ids_crc32"), F.lit(width)).cast("int")), "pieces")
-    dealt = found.groupBy("length", "dealt").agg(F.count("*").alias("n"))
-    dealt = staged(dealt.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("dealt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))), "dealt")
-    counts = {r["length"]: r["n"] for r in dealt.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most limits.tokens rows
+    found = staged(found.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    counts = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most limits.tokens rows
     segments, _ = best_fit_plan(counts, limits)
     segments = segments[np.lexsort((segments[:, 1], segments[:, 0]))]
     plan = docs.sparkSession.sparkContext.broadcast(segments)
-    inside = Window.partitionBy("length", "dealt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = found.withColumn("local", F.row_number().over(inside) - 1).join(dealt.select("length", "dealt", "before"), ["length", "dealt"]).withColumn("rank", F.col("before") + F.col("local"))
+    # a class is dealt into parts of even size, at most limits.tokens + DEALS * shuffle_width parts in all
+    share = max(1, sum(counts.values()) // (DEALS * shuffle_width(docs.sparkSession)))
+    parts = [max(1, -(-counts.get(n, 0) // share)) for n in range(1, limits.tokens + 1)]
+    dealt = F.pmod(F.xxhash64("row"), F.element_at(F.from_json(F.lit(json.dumps(parts)), "array<bigint>"), F.col("length").cast("int")))
+    found = found.withColumn("dealt", dealt)
+    sums = found.groupBy("length", "dealt").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("length").orderBy("dealt").rowsBetween(Window.unboundedPreceding, -1)
+    sums = staged(sums.select("length", "dealt", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")), "dealt")
+    inside = Window.partitionBy("length", "dealt").orderBy("doc_id", "piece", "row")
+    ranked = found.withColumn("local", F.row_number().over(inside) - 1).join(broadcast_if_small(sums), ["length", "dealt"]).withColumn("rank", F.col("before") + F.col("local"))
 
     @tidy
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
