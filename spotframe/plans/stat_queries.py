@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spotframe.operators import graph, linalg, matrix, spatial, stats
+from spotframe.operators import graph, linalg, mapping, matrix, spatial, stats
 
 from .registry import query
 from .views import table, view
@@ -41,12 +41,12 @@ def region_markers(spark, d):
     return stats.adjust_bh(tested, ["cluster"], "p", ["feature"]).where("p_adjusted <= 0.05").select("cluster", "feature", "t", "p", "p_adjusted")
 
 
-@query("""WITH s AS (SELECT spot, cluster, count(*) OVER (PARTITION BY cluster) AS n1, count(*) OVER () AS n FROM {spots}), g AS (SELECT DISTINCT gene FROM {counts} WHERE gene % 25 = 0),
+@query("""WITH s AS (SELECT spot, cluster, count(*) OVER (PARTITION BY cluster) AS n1, count(*) OVER () AS n FROM {spots}), g AS (SELECT DISTINCT gene FROM {counts}),
     f AS (SELECT g.gene, s.spot, s.cluster, s.n1, s.n, coalesce(c.n, 0) AS v FROM g CROSS JOIN s LEFT JOIN counts c ON c.gene = g.gene AND c.spot = s.spot),
     r AS (SELECT *, 2 * rank() OVER (PARTITION BY gene ORDER BY v) + count(*) OVER (PARTITION BY gene, v) - 1 AS r2, count(*) OVER (PARTITION BY gene, v) AS t FROM f)
     SELECT gene, cluster, any_value(n1) AS n1, any_value(n) AS n, CAST(sum(r2) AS BIGINT) AS rank_sum_x2, CAST(sum(sum(t * t - 1)) OVER (PARTITION BY gene) AS BIGINT) AS ties FROM r GROUP BY gene, cluster""")
 def wilcoxon_z(spark, d):
-    counts = view(spark, d, "counts").where("gene % 25 = 0")
+    counts = view(spark, d, "counts")
     out = stats.rank_sums(counts, view(spark, d, "spots"), "spot", "gene", "cluster", "n")
     return out.select("gene", "cluster", "n1", F.col("n"), F.col("rank_sum_x2").cast("long").alias("rank_sum_x2"), F.col("ties").cast("long").alias("ties"))
 
@@ -187,17 +187,17 @@ def wnn(spark, d):
 
 @query()
 def lr_score(spark, d):
-    values = matrix.normalize(view(spark, d, "counts"), "spot", "n").where("gene < 40").select(F.col("spot").alias("id"), "gene", F.col("scaled").alias("value"))
-    pairs = view(spark, d, "genes").where("gene < 20").select(F.col("gene").alias("pair"), F.col("gene").alias("ligand"), (F.col("gene") + 20).alias("receptor"))
+    values = matrix.normalize(view(spark, d, "counts"), "spot", "n").select(F.col("spot").alias("id"), "gene", F.col("scaled").alias("value"))
+    pairs = view(spark, d, "genes").select(F.col("gene").alias("pair"), F.col("gene").alias("ligand"), (F.col("gene") + 20).alias("receptor"))
     spots = _points(spark, d, "true").withColumns({"x": F.col("x") * 100, "y": F.col("y") * 100})
     return spatial.pair_scores(values, spots, pairs)
 
 
-@query("""WITH c AS (SELECT * FROM {counts} WHERE gene % 10 = 0), r AS (SELECT spot, CAST(sum(n) AS DOUBLE) AS r FROM c GROUP BY spot), g AS (SELECT gene, CAST(sum(n) AS DOUBLE) AS c FROM c GROUP BY gene), t AS (SELECT sum(r) AS t FROM r), k AS (SELECT count(*) AS m FROM {spots}),
+@query("""WITH c AS (SELECT * FROM {counts}), r AS (SELECT spot, CAST(sum(n) AS DOUBLE) AS r FROM c GROUP BY spot), g AS (SELECT gene, CAST(sum(n) AS DOUBLE) AS c FROM c GROUP BY gene), t AS (SELECT sum(r) AS t FROM r), k AS (SELECT count(*) AS m FROM {spots}),
     f AS (SELECT s.spot, g.gene, coalesce(r, 0) * g.c / t AS mu, coalesce(c.n, 0) AS n, sqrt(m) AS lim FROM spots s CROSS JOIN g CROSS JOIN t CROSS JOIN k LEFT JOIN r ON r.spot = s.spot LEFT JOIN c ON c.spot = s.spot AND c.gene = g.gene)
     SELECT gene, round(var_pop(greatest(-lim, least(lim, coalesce((n - mu) / nullif(sqrt(mu + mu * mu / 100), 0), 0)))), 6) AS variance FROM f GROUP BY gene""")
 def pearson_hvg(spark, d):
-    out = linalg.residual_variance(view(spark, d, "counts").where("gene % 10 = 0"), view(spark, d, "spots"))
+    out = linalg.residual_variance(view(spark, d, "counts"), view(spark, d, "spots"))
     return out.withColumn("variance", F.round("variance", 6))
 
 
@@ -210,13 +210,13 @@ def pca_block(spark, d):
 
 @query()
 def iter_pca_impute(spark, d):
-    rows = view(spark, d, "observed").where("feature < 400").select(F.col("spot").alias("row"), F.col("feature").alias("col"), (F.col("num") / (10 * F.col("den"))).alias("value"))
+    rows = view(spark, d, "observed").select(F.col("spot").alias("row"), F.col("feature").alias("col"), (F.col("num") / (10 * F.col("den"))).alias("value"))
     return linalg.impute_pca(rows, 3, 5, start_at_mean=True, bounds=(0.0, 1.0))[3]
 
 
 @query()
 def nmf_consensus(spark, d):
-    rows = view(spark, d, "counts").where("gene < 400").select(F.col("spot").alias("row"), F.col("gene").alias("col"), F.col("n").alias("value"))
+    rows = view(spark, d, "counts").select(F.col("spot").alias("row"), F.col("gene").alias("col"), F.col("n").alias("value"))
     return linalg.nmf(rows, 3, 4)[0]
 
 
@@ -225,3 +225,42 @@ def pruned_scan(spark, d):
     rows = table(spark, d, "lineitem").where("l_discount >= 0.05").select("l_partkey", "l_suppkey", "l_quantity")
     parts = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
     return rows.join(parts, "l_partkey").groupBy("p_brand").agg(F.count("*").alias("n"), F.sum("l_quantity").cast("long").alias("quantity"), F.count_distinct("l_suppkey").alias("spots"))
+
+
+@query("""WITH u AS (SELECT gene AS unit, gene AS a, gene + 3 AS b, symbol FROM {genes}),
+    i AS (SELECT u.unit, count(*) AS n, min(g.gene) AS one, count(*) FILTER (g.symbol = u.symbol) AS m, min(g.gene) FILTER (g.symbol = u.symbol) AS hit FROM u JOIN genes g ON g.gene IN (a, b) AND g.gene % 4 <> 0 GROUP BY u.unit),
+    s AS (SELECT symbol, count(*) AS k, min(gene) AS named FROM genes WHERE gene % 4 <> 0 GROUP BY symbol)
+    SELECT u.unit, CAST(0 AS BIGINT) AS position, u.symbol, CASE WHEN n = 1 THEN one WHEN n > 1 THEN CASE WHEN m = 1 THEN hit END WHEN k = 1 THEN named END AS gene
+    FROM u LEFT JOIN i ON u.unit = i.unit LEFT JOIN s ON u.symbol = s.symbol""")
+def gene_resolution(spark, d):
+    genes = view(spark, d, "genes").select(F.col("gene").cast("string").alias("gene"), "symbol")
+    pairs = view(spark, d, "genes").select(F.col("gene").alias("unit"), F.concat_ws("|", F.col("gene").cast("string"), (F.col("gene") + 3).cast("string")).alias("ids"), F.col("symbol").alias("names"))
+    found = mapping.resolve_genes(mapping.split_complexes(pairs, "unit", "ids", "names"), genes.where("CAST(gene AS BIGINT) % 4 <> 0"), "unit", "gene", "symbol")
+    return found.select("unit", F.col("position").cast("long").alias("position"), "symbol", F.col("gene").cast("long").alias("gene"))
+
+
+@query()
+def cell_cycle_phase(spark, d):
+    values = matrix.normalize(view(spark, d, "counts"), "spot", "n").select("spot", "gene", F.log1p("scaled").alias("value"))
+    lists = [view(spark, d, "genes").where(F.col("symbol") == s).select("gene") for s in ("SMALL", "PROMO")]
+    return mapping.cell_cycle(values, view(spark, d, "spots"), *lists)
+
+
+@query()
+def harmony(spark, d):
+    return mapping.harmonize(view(spark, d, "vectors").select("id", F.pmod(F.col("id"), F.lit(3)).alias("batch"), "vec"), rounds=3)
+
+
+@query()
+def consensus_programs(spark, d):
+    rows = view(spark, d, "counts").select(F.col("spot").alias("row"), F.col("gene").alias("col"), F.col("n").alias("value"))
+    return mapping.consensus_programs(rows, 3, runs=2, iterations=3)[0]
+
+
+@query()
+def deconvolution(spark, d):
+    counts, spots = view(spark, d, "counts"), view(spark, d, "spots")
+    sums = counts.join(spots, "spot").groupBy("cluster", "gene").agg(F.sum("n").alias("n"))
+    total = sums.groupBy("cluster").agg(F.sum("n").alias("t"))
+    profiles = sums.join(total, "cluster").select(F.concat(F.lit("t"), "cluster").alias("type"), "gene", (F.col("n") / F.col("t")).alias("share"))
+    return mapping.expand_weights(spots, mapping.deconvolve(counts, profiles), counts.select("spot").distinct())

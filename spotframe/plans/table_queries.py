@@ -55,10 +55,10 @@ def support_threshold(spark, d):
     return tables.support_threshold(_detail(spark, d), "spot", 500, 100)
 
 
-@query("""WITH w AS (SELECT l_orderkey AS spot, l_suppkey AS part, l_discount AS ca, l_tax AS cc, CAST(l_linenumber AS DOUBLE) AS ct FROM {lineitem} WHERE l_quantity < 5)
+@query("""WITH w AS (SELECT l_orderkey AS spot, l_suppkey AS part, l_discount AS ca, l_tax AS cc, CAST(l_linenumber AS DOUBLE) AS ct FROM {lineitem})
     SELECT spot, part, context, rate FROM w UNPIVOT (rate FOR context IN (ca, cc, ct))""")
 def contexts_unpivot(spark, d):
-    rows = table(spark, d, "lineitem").where("l_quantity < 5").select(F.col("l_orderkey").alias("spot"), F.col("l_suppkey").alias("part"), F.col("l_discount").alias("ca"), F.col("l_tax").alias("cc"), F.col("l_linenumber").cast("double").alias("ct"))
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("spot"), F.col("l_suppkey").alias("part"), F.col("l_discount").alias("ca"), F.col("l_tax").alias("cc"), F.col("l_linenumber").cast("double").alias("ct"))
     return tables.unpivot_rates(rows, ["spot", "part"], ["ca", "cc", "ct"])
 
 
@@ -127,11 +127,11 @@ def crosstab_sample_cluster(spark, d):
 
 
 @query("""WITH d AS (SELECT cluster, sample FROM (SELECT DISTINCT cluster FROM {spots}) CROSS JOIN (SELECT DISTINCT sample FROM spots)),
-    f AS (SELECT cluster, sample, count(*) AS n, sum(c.n) AS s FROM {counts} c JOIN spots USING (spot) WHERE gene % 50 = 0 AND c.n > 40 GROUP BY 1, 2)
+    f AS (SELECT cluster, sample, count(*) AS n, sum(c.n) AS s FROM {counts} c JOIN spots USING (spot) WHERE c.n > 40 GROUP BY 1, 2)
     SELECT d.cluster, d.sample, coalesce(f.n, 0) AS n, CASE WHEN f.n > 0 THEN CAST(s AS DOUBLE) / f.n END AS mean FROM d LEFT JOIN f ON d.cluster = f.cluster AND d.sample = f.sample""")
 def group_mean_dense(spark, d):
     spots = view(spark, d, "spots")
-    rows = view(spark, d, "counts").where("gene % 50 = 0 and n > 40").join(spots.select("spot", "cluster", "sample"), "spot")
+    rows = view(spark, d, "counts").where("n > 40").join(spots.select("spot", "cluster", "sample"), "spot")
     return tables.dense_means(rows, {"cluster": spots, "sample": spots}, "n")
 
 
@@ -207,12 +207,12 @@ def rank_plot(spark, d):
     return counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "user_id")).cast("long"))
 
 
-@query("""WITH h AS (SELECT feature AS pattern, spot AS feature, CAST(num AS DOUBLE) AS value FROM {observed} WHERE feature < 50), t AS (SELECT pattern, sum(value) AS s FROM h GROUP BY pattern)
+@query("""WITH h AS (SELECT feature AS pattern, spot AS feature, CAST(num AS DOUBLE) AS value FROM {observed}), t AS (SELECT pattern, sum(value) AS s FROM h GROUP BY pattern)
     SELECT h.pattern, h.feature, value / CASE WHEN s > 0 THEN s ELSE 1.0::DOUBLE END AS value FROM h JOIN t USING (pattern)""")
 def factor_rescale(spark, d):
     from spotframe.operators.linalg import rescale_factors
 
-    h = view(spark, d, "observed").where("feature < 50").select(F.col("feature").alias("pattern"), F.col("spot").alias("feature"), F.col("num").cast("double").alias("value"))
+    h = view(spark, d, "observed").select(F.col("feature").alias("pattern"), F.col("spot").alias("feature"), F.col("num").cast("double").alias("value"))
     w = h.select(F.col("feature").alias("id"), "pattern", "value")
     return rescale_factors(w, h)[1]
 
