@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spotframe.expect import expect
 from spotframe.functions.columns import divide
-from spotframe.operators.linalg import nmf
+from spotframe.operators.linalg import fit_factor, nmf_runs, run_sums
 from spotframe.staging import staged
 
 
@@ -129,25 +129,106 @@ def harmonize(vectors: DataFrame, clusters: int | None = None, rounds: int = 5,
     return current
 
 
-def consensus_programs(entries: DataFrame, k: int, runs: int = 5, iterations: int = 20, keep: float = 0.8) -> tuple[DataFrame, list[float]]:
-    """(program, feature, value): medians over seeded factorisations, and the runs' errors.
+def group_spectra(gram: np.ndarray, k: int, neighbors: int, density: float, starts: int = 10, seed: int = 0) -> tuple[np.ndarray, float]:
+    """Cluster of each spectrum, -1 where it is left out, and the clusters' mean silhouette.
 
-    Spectra (k for each run, unit length) are joined to the most similar spectrum of the first run; the share ``keep``
-    of the closest ones counts, so odd spectra are left out. The spectra table has runs * k rows of features.
+    ``gram``: inner products of unit spectra. A spectrum whose mean distance to its nearest ``neighbors`` is ``density``
+    or more is left out; the others are parted by k-means with the least inertia of seeded starts. With fewer than k
+    others all are left out.
     """
-    spectra, errors = None, []
-    for seed in range(runs):
-        _, h, err = nmf(entries, k, iterations, seed)
-        errors.append(err[-1])
-        rows = h.select(F.lit(seed).alias("run"), F.posexplode("vec").alias("j", "x"), "id")
-        rows = staged(rows.withColumn("x", divide(F.col("x"), F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("run", "j"))))), "spectra")
-        spectra = rows if spectra is None else spectra.union(rows)
-    base = spectra.where("run = 0").select(F.col("j").alias("program"), "id", F.col("x").alias("y"))
-    alike = spectra.join(base, "id").groupBy("run", "j", "program").agg(F.sum(F.col("x") * F.col("y")).alias("cosine"))
-    best = alike.withColumn("r", F.row_number().over(Window.partitionBy("run", "j").orderBy(F.desc("cosine"), "program"))).where("r = 1")
-    share = F.percent_rank().over(Window.partitionBy("program").orderBy(F.desc("cosine"), "run", "j"))
-    near = best.withColumn("p", share).where(F.col("p") <= keep).select("run", "j", "program")
-    return spectra.join(near, ["run", "j"]).groupBy("program", F.col("id").alias("feature")).agg(F.median("x").alias("value")), errors
+    far = np.sqrt(np.maximum(2 - 2 * gram, 0))
+    np.fill_diagonal(far, 0)
+    kept = np.flatnonzero(np.sort(far, 1)[:, 1 : neighbors + 1].mean(1) < density)
+    if len(kept) < k:
+        return np.full(len(gram), -1), 0.0
+    far, (values, axes) = far[np.ix_(kept, kept)], np.linalg.eigh(gram[np.ix_(kept, kept)])
+    x, rng, best = axes * np.sqrt(np.maximum(values, 0)), np.random.default_rng(seed), (np.inf, None)
+    for _ in range(starts):
+        at = [rng.integers(len(x))]
+        while len(at) < k:
+            d = (far[:, at] ** 2).min(1)
+            at.append(rng.choice(len(x), p=d / d.sum()) if d.sum() > 0 else rng.integers(len(x)))
+        centre, label = x[at], None
+        for _ in range(300):
+            d = ((x[:, None] - centre) ** 2).sum(2)
+            if label is not None and np.array_equal(label, d.argmin(1)):
+                break
+            label = d.argmin(1)
+            centre = np.array([x[label == c].mean(0) if (label == c).any() else x[d.min(1).argmax()] for c in range(k)])
+        best = min(best, (d.min(1).sum(), label), key=lambda t: t[0])
+    own = np.eye(k)[best[1]]
+    size, total = own.sum(0), far @ own
+    inner = total[np.arange(len(x)), best[1]] / np.maximum(size[best[1]] - 1, 1)
+    outer = np.where((own > 0) | (size == 0), np.inf, total / np.maximum(size, 1)).min(1)
+    score = np.where(size[best[1]] > 1, (outer - inner) / np.maximum(np.maximum(outer, inner), 1e-300), 0.0) if np.isfinite(outer).all() else np.zeros(1)
+    labels = np.full(len(gram), -1)
+    labels[kept] = best[1]
+    return labels, float(score.mean())
+
+
+def consensus(entries: DataFrame, k: int, runs: int = 100, iterations: int = 1000, density: float = 0.5, neighbors: float = 0.3, tol: float = 1e-4, seed: int = 0) -> tuple[DataFrame, DataFrame, dict]:
+    """Programs (program, feature, value), usages (id, vec) and figures of ``runs`` factorisations of rank k.
+
+    Spectra of unit length are filtered by local density (``neighbors``: share of the runs), clustered, and each
+    cluster's median over its spectra is scaled to sum 1. Usages are the rows fitted anew on the medians. Programs are
+    numbered by falling total share of usage. Figures: errors of the runs, iterations, spectra kept, silhouette,
+    prediction_error of the medians. Only the spectra's inner products, (runs k)^2 values, reach the driver. Where
+    fewer than k spectra pass the filter the runs don't agree: there is no row, and spectra is 0.
+    """
+    _, h, errors, taken = nmf_runs(entries, k, runs, iterations, tol, seed)
+    m = runs * k
+
+    def products(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = np.zeros((m, m))
+        for t in parts:
+            if len(t):
+                x = np.stack(t["vec"])
+                out += x.T @ x
+        yield pd.DataFrame({"i": np.arange(m), "x": list(out)})
+
+    sums = h.select("vec").mapInPandas(products, "i int, x array<double>").select("i", F.posexplode("x").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x")).toPandas()
+    gram = np.zeros((m, m))
+    gram[sums["i"], sums["j"]] = sums["x"]
+    norm = np.sqrt(np.maximum(np.diag(gram), 1e-300))
+    labels, silhouette = group_spectra(gram / np.outer(norm, norm), k, max(1, int(neighbors * runs)), density, seed=seed)
+    figures = {"errors": errors, "iterations": taken, "spectra": int((labels >= 0).sum()), "silhouette": silhouette}
+    if not figures["spectra"]:
+        kinds = [entries.schema[c].dataType.simpleString() for c in ("row", "col")]
+        none = lambda schema: entries.sparkSession.createDataFrame([], schema)
+        return none(f"program int, feature {kinds[1]}, value double"), none(f"id {kinds[0]}, vec array<double>"), figures | {"prediction_error": float("nan")}
+
+    def medians(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in parts:
+            if len(t):
+                x = np.stack(t["vec"]) / norm
+                yield pd.DataFrame({"id": t["id"], "vec": list(np.stack([np.median(x[:, labels == c], 1) if (labels == c).any() else np.zeros(len(x)) for c in range(k)], 1))})
+
+    median = staged(h.mapInPandas(medians, h.schema), "median")
+    total = np.array(median.agg(F.array(*[F.sum(F.col("vec")[c]) for c in range(k)])).first()[0])
+    median = staged(median.select("id", F.array(*[F.col("vec")[c] / float(total[c] or 1.0) for c in range(k)]).alias("vec"), F.array(F.lit(0.0)).alias("cross")), "median")
+    cells = entries.select("row", "col", F.col("value").cast("double").alias("value"))
+    basis = run_sums(median, 1, k)[0]
+    usage = staged(fit_factor(cells, median, None, "row", basis, 200), "usage")
+    own, cross = run_sums(usage, 1, k)
+    square = cells.agg(F.sum(F.col("value") * F.col("value"))).first()[0] or 0.0
+    whole = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x)
+    shares = usage.agg(*[F.sum(divide(F.col("vec")[c], whole)).alias(f"s{c}") for c in range(k)]).first()
+    order = sorted(range(k), key=lambda c: (-(shares[c] or 0.0), c))
+    ordered = lambda t: t.select("id", F.array(*[F.col("vec")[c] for c in order]).alias("vec"))
+    programs = ordered(median).select(F.posexplode("vec").alias("program", "value"), F.col("id").alias("feature")).select("program", "feature", "value")
+    return programs, ordered(usage), figures | {"prediction_error": float(square - 2 * cross[0] + (basis * own).sum())}
+
+
+def consensus_programs(entries: DataFrame, k: int, runs: int = 100, iterations: int = 1000, density: float = 0.5) -> tuple[DataFrame, list[float]]:
+    """(program, feature, value) of ``consensus``, and the runs' errors."""
+    programs, _, figures = consensus(entries, k, runs, iterations, density)
+    return programs, figures["errors"]
+
+
+def program_stability(entries: DataFrame, ranks: list[int], runs: int = 100, iterations: int = 1000) -> list[tuple[int, float, float]]:
+    """(k, silhouette, prediction error) for each rank, over all spectra, for the choice of k."""
+    found = [(k, consensus(entries, k, runs, iterations, density=np.inf)[2]) for k in ranks]
+    return [(k, f["silhouette"], f["prediction_error"]) for k, f in found]
 
 
 def deconvolve(counts: DataFrame, profiles: DataFrame, iterations: int = 200) -> DataFrame:

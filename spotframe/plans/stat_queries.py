@@ -217,7 +217,7 @@ def iter_pca_impute(spark, d):
 @query()
 def nmf_consensus(spark, d):
     rows = view(spark, d, "counts").select(F.col("spot").alias("row"), F.col("gene").alias("col"), F.col("n").alias("value"))
-    return linalg.nmf(rows, 3, 4)[0]
+    return mapping.consensus(rows, 3, runs=20)[1]
 
 
 @query("""SELECT p_brand, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS quantity, count(DISTINCT l_suppkey) AS spots FROM {lineitem} JOIN {part} ON l_partkey = p_partkey WHERE l_discount >= 0.05 GROUP BY p_brand""")
@@ -254,7 +254,7 @@ def harmony(spark, d):
 @query()
 def consensus_programs(spark, d):
     rows = view(spark, d, "counts").select(F.col("spot").alias("row"), F.col("gene").alias("col"), F.col("n").alias("value"))
-    return mapping.consensus_programs(rows, 3, runs=2, iterations=3)[0]
+    return mapping.consensus_programs(rows, 3, runs=20)[0]
 
 
 @query()

@@ -45,6 +45,30 @@ def test_consensus(spark):
     assert programs.count() == 16 and len(errors) == 2
 
 
+def test_consensus_takes_every_run(spark):
+    rng = np.random.default_rng(3)
+    basis = np.kron(np.eye(3), np.ones(5)) * rng.uniform(0.5, 1.5, 15)
+    x = np.repeat(np.eye(3), [12, 8, 5], 0) * rng.uniform(1, 3, (25, 1)) @ basis + 0.05 * rng.random((25, 15))
+    cells = spark.createDataFrame([(i, j, float(x[i, j])) for i in range(25) for j in range(15)], "row long, col long, value double")
+    programs, usage, figures = mapping.consensus(cells, 3, runs=10)
+    got = programs.toPandas().pivot(index="program", columns="feature", values="value").to_numpy()
+    truth = basis / basis.sum(1, keepdims=True)
+    assert got == pytest.approx(truth, abs=0.02)  # the largest program first
+    shares = np.array([r["vec"] for r in usage.orderBy("id").collect()])
+    assert list(shares.argmax(1)) == [0] * 12 + [1] * 8 + [2] * 5
+    assert figures["spectra"] == 30 and figures["silhouette"] > 0.9 and figures["iterations"] < 1000
+    assert figures["prediction_error"] < 0.02 * (x**2).sum()
+
+
+def test_spectra_far_from_others_are_left_out():
+    rng = np.random.default_rng(5)
+    x = np.vstack([np.repeat(np.eye(8)[:2], 10, 0) + 0.02 * rng.random((20, 8)), np.eye(8)[5:6]])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    labels, silhouette = mapping.group_spectra(x @ x.T, 2, 3, 0.5)
+    assert labels[20] == -1 and len(set(labels[:10])) == len(set(labels[10:20])) == 1 and labels[0] != labels[10] and silhouette > 0.9
+    assert list(mapping.group_spectra(np.eye(4), 2, 1, 0.5)[0]) == [-1] * 4
+
+
 def test_deconvolution(spark):
     rng = np.random.default_rng(2)
     basis = rng.dirichlet(np.ones(40), 3)
