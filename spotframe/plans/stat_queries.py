@@ -211,7 +211,7 @@ def pca_block(spark, d):
 @query()
 def iter_pca_impute(spark, d):
     rows = view(spark, d, "observed").select(F.col("spot").alias("row"), F.col("feature").alias("col"), (F.col("num") / (10 * F.col("den"))).alias("value"))
-    return linalg.impute_pca(rows, 3, 5, start_at_mean=True, bounds=(0.0, 1.0))[3]
+    return linalg.impute_pca(rows, 3, start_at_mean=True, bounds=(0.0, 1.0))[2]
 
 
 @query()

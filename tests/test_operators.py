@@ -158,6 +158,26 @@ def test_imputation_recovers_low_rank(spark):
     assert history[-1]["mse"] < 0.1 * history[0]["mse"]
 
 
+def test_imputed_cells_against_dense_rounds(spark):
+    rng = np.random.default_rng(8)
+    x = np.clip(0.5 + rng.normal(size=(20, 2)) @ rng.normal(size=(2, 12)) * 0.3, 0, 1)
+    seen = rng.random(x.shape) < 0.7
+    want, largest = np.where(seen, x, np.where(seen, x, 0).sum(0) / seen.sum(0)), 0.0
+    for r in range(1, 101):
+        mean = want.mean(0)
+        u, s, v = np.linalg.svd(want - mean, full_matrices=False)
+        new = np.where(seen, x, np.clip(u[:, :2] * s[:2] @ v[:2] + mean, 0, 1))
+        mse = ((new - want) ** 2).sum() / (~seen).sum()
+        want, largest = new, max(largest, mse)
+        if r > 1 and mse < 1e-3 * largest:
+            break
+    cells = spark.createDataFrame([(i, j, float(x[i, j])) for i in range(20) for j in range(12) if seen[i, j]], "row long, col long, value double")
+    _, _, imputed, history = linalg.impute_pca(cells, 2, start_at_mean=True, bounds=(0.0, 1.0))
+    got = {(c["row"], c["col"]): c["value"] for c in imputed.collect()}
+    assert set(got) == set(zip(*np.nonzero(~seen), strict=True)) and history.count() == r
+    assert [got[c] for c in sorted(got)] == pytest.approx(want[~seen], abs=1e-6)
+
+
 def test_nmf_error_falls(spark):
     rng = np.random.default_rng(6)
     x = rng.random((12, 2)) @ rng.random((2, 9))
