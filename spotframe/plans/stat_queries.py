@@ -175,7 +175,7 @@ def masked_diffusion_t(spark, d):
 
 @query()
 def leiden(spark, d):
-    return graph.communities(graph.shared_neighbors(_knn(spark, d, 10), 10, False), levels=2, rounds=4)
+    return graph.communities(graph.shared_neighbors(_knn(spark, d, 10), 10, False))
 
 
 @query()

@@ -137,6 +137,25 @@ def test_communities_of_two_cliques(spark):
     assert graph.modularity(df, got).first()["modularity"] > 0.4
 
 
+def test_communities_end_without_gain_and_connected(spark):
+    rng = np.random.default_rng(9)
+    edges = [(a, a + 1, 1.0) for a in range(31)] + [(a, b, 0.5) for a in range(0, 32, 8) for b in range(a + 2, a + 8) if rng.random() < 0.5]
+    df = spark.createDataFrame(edges, "a long, b long, weight double")
+    got = {r["id"]: r["cluster"] for r in graph.communities(df).collect()}
+    w = np.zeros((32, 32))
+    for a, b, x in edges:
+        w[a, b] = w[b, a] = x
+    label, degree = np.array([got[i] for i in range(32)]), w.sum(0)
+    for i in range(32):
+        other = [w[i, label == c].sum() - degree[i] * (degree[label == c].sum() - degree[i] * (c == label[i])) / w.sum() for c in range(label.max() + 1)]
+        assert max(other) <= other[label[i]] + 1e-8
+    for c in range(label.max() + 1):
+        reach, inside = {int(np.flatnonzero(label == c)[0])}, set(np.flatnonzero(label == c).tolist())
+        while more := {j for i in reach for j in np.flatnonzero(w[i]).tolist() if j in inside} - reach:
+            reach |= more
+        assert reach == inside
+
+
 def test_pca_against_svd(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(30, 3)) @ rng.normal(size=(3, 12)) + 0.01 * rng.normal(size=(30, 12)) + 5
