@@ -67,13 +67,37 @@ class _Memory:
             self.tables = [main, tuple(x[order] for x in late)]
 
 
+def _any_of_each(flags: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Whether each document has a flagged byte."""
+    total = np.concatenate([[0], np.cumsum(flags)])
+    return total[offs[1:]] > total[offs[:-1]]
+
+
+def _white(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Whether the UTF-8 bytes ``a b c`` are one white space character of three bytes."""
+    general = (a == 0xE2) & (b == 0x80) & ((c >= 0x80) & (c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))
+    return general | (a == 0xE1) & (b == 0x9A) & (c == 0x80) | (a == 0xE2) & (b == 0x81) & (c == 0x9F) | (a == 0xE3) & (b == 0x80) & (c == 0x80)
+
+
+def _spaces_within_runs(buf: np.ndarray) -> np.ndarray:
+    """Places of spaces that stand next to another space, or have white space on both sides."""
+    at = np.flatnonzero(buf == 0x20)
+    wide = np.concatenate([np.zeros(3, np.uint8), buf, np.zeros(3, np.uint8)])
+    b3, b2, b1, a1, a2, a3 = (wide[at + 3 + k] for k in (-3, -2, -1, 1, 2, 3))
+    two = lambda x, y: (x == 0xC2) & ((y == 0x85) | (y == 0xA0))
+    before = _BLANK[b1] | two(b2, b1) | _white(b3, b2, b1)
+    after = _BLANK[a1] | two(a1, a2) | _white(a1, a2, a3)
+    return at[before & after | (b1 == 0x20) | (a1 == 0x20)]
+
+
 class Encoder:
     """Ids of whole texts, equal to encoding each text without special tokens.
 
     ``cut`` names where the tokenizer's own pre-tokenizer always ends a piece, so that the stretches between can be
     encoded one by one: "blank" (ASCII white space, which the tokenizer drops) or "space" (before each single space).
-    Texts that the "space" rule can't cut (two spaces in a row, or one at an end) are encoded whole. Stretches are told
-    apart by 128 bits of hashes.
+    The latter takes a run of any Unicode white space but its last character as one piece, so a space within such a run
+    is no cut. Texts with one, with two spaces in a row, a space at an end, or the string of a special token are encoded
+    whole. Stretches are told apart by 128 bits of hashes.
     """
 
     def __init__(self, path: str, cut: str):
@@ -82,6 +106,7 @@ class Encoder:
         self.tokenizer, self.cut = Tokenizer.from_file(path), cut
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         (self.mark,) = self.tokenizer.encode(f" {MARK}", add_special_tokens=False).ids
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memory = _Memory(self.dtype)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
@@ -106,18 +131,25 @@ class Encoder:
 
     def _stretches(self, buf: np.ndarray, offs: np.ndarray) -> tuple[Words, np.ndarray]:
         """Stretches of each document, and which documents must be encoded whole."""
+        odd = np.zeros(len(buf), bool)
+        data = buf.tobytes()
+        for x in self.special:
+            at = data.find(x)
+            while at >= 0:
+                odd[at] = True
+                at = data.find(x, at + 1)
         if self.cut == "blank":
-            return words_of(buf, offs, _BLANK), np.zeros(len(offs) - 1, bool)
+            return words_of(buf, offs, _BLANK), _any_of_each(odd, offs)
         w = words_of(buf, offs, _ONE)
-        space = np.concatenate([[False], buf == 0x20, [False]])
-        odd = space[1:-1] & (space[:-2] | space[2:])
-        odd[offs[:-1][offs[:-1] < len(buf)]] |= space[1:-1][offs[:-1][offs[:-1] < len(buf)]]
-        odd[np.maximum(offs[1:] - 1, 0)[offs[1:] > offs[:-1]]] |= space[1:-1][np.maximum(offs[1:] - 1, 0)[offs[1:] > offs[:-1]]]
-        total = np.concatenate([[0], np.cumsum(odd)])
+        odd[_spaces_within_runs(buf)] = True
+        space = buf == 0x20
+        filled = offs[1:] > offs[:-1]
+        for ends in (offs[:-1][filled], offs[1:][filled] - 1):
+            odd[ends] |= space[ends]
         first = np.zeros(len(w.starts), bool)
         first[w.first[:-1][np.diff(w.first) > 0]] = True
         w.starts = w.starts - ~first
-        return w, total[offs[1:]] > total[offs[:-1]]
+        return w, _any_of_each(odd, offs)
 
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): the ids of all documents of a piece, and each document's range."""

@@ -285,3 +285,20 @@ def test_running_start(spark):
     for i in range(500):
         assert got[i] == at
         at += i % 7
+
+
+@pytest.mark.parametrize("name, cut", [("byte_bpe_50k.json", "space"), ("word_bpe_49k.json", "blank")])
+def test_ids_equal_the_tokenizer_on_mixed_blanks(name, cut):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from spotframe.llm.tokens import Encoder
+
+    rng, path = random.Random(3), public_tokenizers.path(name)
+    blanks = [*range(0x09, 0x0E), *[0x20] * 4, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0x1C, 0x200B]
+    parts = ["a", "word", "Ünï", "漢字", "'s", "1", "23", "~", "#!", "é", "́", "ab cd", "<|endoftext|>"]
+    texts = ["a \xa0 \xa0 b", "word \xa0 \xa0 \xa0 word", "x\n <|endoftext|>", "a\n \nb", "", None]
+    texts += ["".join(chr(rng.choice(blanks)) if rng.random() < 0.5 else rng.choice(parts) for _ in range(rng.randrange(1, 9))) for _ in range(30_000)]
+    want = [x.ids for x in Tokenizer.from_file(path).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    for lo, hi, ids, bounds in Encoder(path, cut).encode_column(pa.array(texts)):
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == want[lo:hi]
