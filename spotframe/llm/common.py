@@ -1,68 +1,16 @@
-"""Staged tables, checked broadcasts, prefix sums and connected components."""
+"""Checked broadcasts, prefix sums and connected components; staged tables are the library's."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spotframe.staging import new_folder, release, staged
+
 #: Rows up to which a side may be broadcast; beyond it Spark's own shuffled joins are used.
 BROADCAST_ROWS = 500_000
 
-_own_folder: list[str] = []
-_staged: set[str] = set()
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset (tests), a temporary folder."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not _own_folder:
-        _own_folder.append(tempfile.mkdtemp(prefix="spotframe-"))
-    return _own_folder[0]
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    _staged.add(path)
-    return path
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._staged_path = path
-    return out
-
-
-def release(df: DataFrame | None) -> None:
-    """Delete the files of a staged table that no later plan reads."""
-    if path := getattr(df, "_staged_path", None):
-        remove_folder(df.sparkSession, path)
-
-
-def remove_folder(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    _staged.discard(path)
-
-
-@atexit.register
-def _clean() -> None:
-    spark = SparkSession.getActiveSession()
-    for path in list(_staged):
-        try:
-            remove_folder(spark, path)
-        except Exception:  # the session may have ended
-            return
-
+__all__ = ["BROADCAST_ROWS", "broadcast_if_small", "components", "new_folder", "release", "running_start", "shuffle_width", "staged"]
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint only where a staged table has at most ``limit`` rows."""
