@@ -6,7 +6,9 @@ squared piece lengths). A piece's demand on all three follows from its length, s
 The plan is made on the class counts, a table of at most ``capacity`` rows whatever the corpus: an open sequence takes,
 again and again, the class that leaves the least weighted norm of residual capacities among all classes that fit every
 constraint; the finished pattern repeats while each of its classes lasts. Pieces then find their place in the plan by
-their rank within their class.
+their rank within their class, and carry their ids there.
+
+With the default limits a sequence is full of tokens before it is full of documents or cost; lower limits bind.
 
 Defined cases: a null text is empty and gives one piece, its end id. Rows that repeat a ``doc_id`` are documents of
 their own. A piece that alone breaks a document or cost capacity raises ValueError. Extra columns are ignored. An
@@ -30,6 +32,7 @@ from .tokens import encoder, ids_crc
 
 #: Parts that pieces are dealt into for ranking, a shuffle partition.
 DEALS = 4
+_PIECE = ["doc_id", "piece", "start", "length", "ids"]
 
 
 @dataclass(frozen=True)
@@ -49,8 +52,8 @@ def cut_pieces(n: int, most: int) -> list[tuple[int, int]]:
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, cut: str, end_id: int, most: int) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of every document."""
-    kinds = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()}
+    """(doc_id, piece, start, length, ids) of every document; ids as little-endian 16- or 32-bit integers."""
+    kinds = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids": pa.binary()}
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,10 +65,10 @@ def pieces_of(docs: DataFrame, tokenizer: str, cut: str, end_id: int, most: int)
                 rows = []
                 for doc_id, a, b in zip(doc_ids[lo:hi], bounds[:-1], bounds[1:], strict=True):
                     ids = np.concatenate([all_ids[a:b], end])
-                    rows += [(doc_id, k, s, n, ids_crc(ids[s : s + n])) for k, (s, n) in enumerate(cut_pieces(len(ids), most))]
+                    rows += [(doc_id, k, s, n, ids[s : s + n].tobytes()) for k, (s, n) in enumerate(cut_pieces(len(ids), most))]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], [*kinds])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
 
 
 def best_fit_plan(counts: dict[int, int], limits: Limits) -> tuple[np.ndarray, int]:
@@ -105,7 +108,7 @@ def best_fit_plan(counts: dict[int, int], limits: Limits) -> tuple[np.ndarray, i
 
 
 def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), cut: str = "space", end_id: int = 0) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): one row per piece."""
+    """(doc_id, piece, start, length, ids, sequence_id, offset): one row per piece, with its ids and its place."""
     found = pieces_of(docs, tokenizer, cut, end_id, limits.tokens)
     found = staged(found.withColumn("row", F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most limits.tokens rows
@@ -132,6 +135,26 @@ def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), cut: str =
             k = np.searchsorted(keys, n * (1 << 44) + rank, "right") - 1
             inner = rank - first[k]
             out = [pa.array(sequence[k] + inner // each[k]), pa.array(offset[k] + inner % each[k] * n)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(x) for x in ("doc_id", "piece", "start", "length", "ids_crc32")], *out], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(x) for x in _PIECE], *out], [*_PIECE, "sequence_id", "offset"])
+
+    return ranked.select(*_PIECE, "rank").mapInArrow(place, "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long")
+
+
+def sequences(packed: DataFrame) -> DataFrame:
+    """(sequence_id, length, ids): the packed sequences themselves, their pieces' ids joined in order of offset."""
+    places = F.array_sort(F.collect_list(F.struct("offset", "ids")))  # at most limits.tokens ids
+    joined = F.unhex(F.array_join(F.transform(places, lambda p: F.hex(p["ids"])), ""))
+    return packed.groupBy("sequence_id").agg(F.sum("length").alias("length"), joined.alias("ids"))
+
+
+def piece_digests(packed: DataFrame, keep_ids: bool = False) -> DataFrame:
+    """``packed`` with ids_crc32, the CRC-32 of the ids as little-endian unsigned 32-bit integers; ids stay if asked."""
+    fields = [f for f in packed.schema if keep_ids or f.name != "ids"]
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            crc = [ids_crc(np.frombuffer(x, f"<u{len(x) // n}")) for x, n in zip(batch.column("ids").to_pylist(), batch.column("length").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in fields], pa.array(crc, pa.int64())], [*[f.name for f in fields], "ids_crc32"])
 
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return packed.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", ids_crc32 long")

@@ -47,9 +47,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from .packing import pack
+    from .common import staged
+    from .packing import pack, piece_digests
 
-    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return piece_digests(staged(pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")), "packed"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +70,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     text = "</s>[INST] ok [/INST]"
-    own = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], rows.schema)
+    own = spark.sql(f"SELECT * FROM VALUES (-1L, 0, 'user', '{text}'), (-1L, 1, 'assistant', '{text}') AS t(conv_id, turn, role, text)")
     return format_and_read(rows.union(own))
 
 

@@ -87,11 +87,13 @@ def test_content_store(docs, rows, empty, spark, tmp_path):
 def test_packing(docs, rows, empty):
     from tokenizers import Tokenizer
 
-    from spotframe.llm.packing import Limits, best_fit_plan, pack
+    from spotframe.llm.packing import Limits, best_fit_plan, pack, piece_digests
+    from spotframe.llm.packing import sequences as packed_sequences
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer, pieces, sequences = Tokenizer.from_file(path), {}, {}
-    for r in pack(docs, path).collect():
+    packed = pack(docs, path)
+    for r in piece_digests(packed, keep_ids=True).collect():
         pieces.setdefault(r["doc_id"], []).append(r)
         sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
     for i, text, *_ in rows:
@@ -107,6 +109,11 @@ def test_packing(docs, rows, empty):
             assert offset == at
             at += length
         assert at <= 2048
+    whole = {r["sequence_id"]: (r["length"], bytes(r["ids"])) for r in packed_sequences(packed).collect()}
+    assert set(whole) == set(sequences)
+    for r in (r for p in pieces.values() for r in p):
+        length, ids = whole[r["sequence_id"]]
+        assert len(ids) == 2 * length and ids[2 * r["offset"] : 2 * (r["offset"] + r["length"])] == r["ids"]
     total = sum(n for s in sequences.values() for _, n in s)
     assert len(sequences) <= total / 2048 * 1.1 + 1
     assert pack(empty, path).count() == 0
@@ -118,6 +125,12 @@ def test_packing(docs, rows, empty):
             f[0], f[1], f[2] = f[0] + length, f[1] + 1, f[2] + length * length
     assert all(f[0] <= 20 and f[1] <= 4 and f[2] <= 150 for f in filled)
     assert sum(f[1] for f in filled) == 27
+    tight = Limits(tokens=2048, documents=3, cost=1_500_000)
+    held = {}
+    for r in pack(docs.where("doc_id < 205").union(docs.where("doc_id in (3, 5)")), path, tight).collect():
+        held.setdefault(r["sequence_id"], []).append(r["length"])
+    assert all(sum(x) <= 2048 and len(x) <= 3 and sum(n * n for n in x) <= 1_500_000 for x in held.values())
+    assert any(len(x) == 3 for x in held.values()) and sum(map(len, held.values())) >= 100
 
 
 def test_secrets(docs, rows, empty, spark):
