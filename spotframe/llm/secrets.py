@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns and character Markov models, in DataFrame expressions only.
 
 Base spans come from three patterns, leftmost and non-overlapping for each kind. The models add spans of kind
-"random": runs of 20 or more characters of ``[A-Za-z0-9+/_=-]`` with a letter and a digit that no base span touches and whose mean
-log-likelihood ratio over character pairs, random strings against ordinary identifiers, reaches a threshold. Both
+"random": runs of 20 or more characters of ``[A-Za-z0-9+/_=-]``, less what base spans cover, with a letter and a digit,
+whose mean log-likelihood ratio over character pairs, random strings against ordinary identifiers, reaches a threshold. Both
 models are first-order chains over ASCII pairs with additive smoothing, trained from labelled samples: ordinary ones
 are words of a bounded sample of documents in several spellings, random ones are digests in two alphabets.
 
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,40 +27,65 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "random")
 
-RUN = r"[A-Za-z0-9+/_=-]{20,}"
+RUN_LEAST = 20
+RUN = rf"[A-Za-z0-9+/_=-]{{{RUN_LEAST},}}"
 #: Documents whose words are ordinary samples, and random strings drawn: the bounds of the training sample.
 SAMPLE_DOCS, SAMPLE_STRINGS = 1000, 4000
 #: Mean log-likelihood ratio for each pair of characters from which a run counts as random.
 RATIO = 2.0
 _CODES = 128
+#: Matches of a text that are located one after another; longer lists go by chunks.
+CHUNK = 64
+_SPANS = "array<struct<start:int,rank:int,end:int>>"
+
+
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once."""
+    return F.transform(F.array(value), f)[0]
 
 
 def _spans(text: Column, pattern: str, kind: str, group: int = 0, least: int = 0) -> Column:
-    """Spans of all matches whose ``group`` has ``least`` characters; positions follow from the gaps between matches."""
+    """Spans of all matches whose ``group`` has ``least`` characters.
+
+    Positions follow from the lengths of matches and of the gaps between them, summed up by chunks and within each.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    gaps = F.split(text, pattern, -1)
-    steps = F.zip_with(F.slice(gaps, 1, F.size(found)), F.zip_with(found, value, lambda m, v: F.struct(F.char_length(m).alias("n"), F.char_length(v).alias("v"))), lambda g, m: F.struct(F.char_length(g).alias("gap"), m["n"].alias("n"), m["v"].alias("v")))
-    kept = "array<struct<start:int,rank:int,end:int,v:int>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kept).alias("out"))
+    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else None
+    sizes = F.transform(found, lambda m: F.char_length(m))
+    sizes = F.zip_with(sizes, F.transform(value, lambda m: F.char_length(m)) if group else sizes, lambda n, v: F.struct(n.alias("n"), v.alias("v")))
+    matches = F.filter(F.zip_with(F.split(text, pattern, -1), sizes, lambda g, m: F.struct(F.char_length(g).alias("gap"), m["n"].alias("n"), m["v"].alias("v"))), lambda m: m["n"].isNotNull())
     rank = F.lit(KINDS.index(kind))
 
-    def step(s: Column, m: Column) -> Column:
-        a = s["at"] + m["gap"]
-        return F.struct((a + m["n"]).alias("at"), F.concat(s["out"], F.array(F.struct(a.alias("start"), rank.alias("rank"), (a + m["n"]).alias("end"), m["v"].alias("v")))).alias("out"))
+    def inside(chunk: Column, at: Column) -> Column:
+        """The spans of one chunk, whose first gap begins at ``at``."""
+        start = F.struct(at.alias("at"), F.array().cast(_SPANS).alias("out"))
+
+        def step(s: Column, m: Column) -> Column:
+            a = s["at"] + m["gap"]
+            span = F.struct(a.alias("start"), rank.alias("rank"), (a + m["n"]).alias("end"))
+            return F.struct((a + m["n"]).alias("at"), F.when(m["v"] >= least, F.concat(s["out"], F.array(span))).otherwise(s["out"]).alias("out"))
+
+        return F.aggregate(chunk, start, step, lambda s: s["out"])
 
-    all_spans = F.aggregate(steps, start, step, lambda s: s["out"])
-    spans = F.transform(F.filter(all_spans, lambda x: x["v"] >= least), lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end")))
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast("array<struct<start:int,rank:int,end:int>>"))
+    def located(chunks: Column) -> Column:
+        lengths = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda s, m: s + m["gap"] + m["n"]))
+        upto = F.aggregate(lengths, F.array(F.lit(0)), lambda s, n: F.concat(s, F.array(F.element_at(s, -1) + n)))
+        return F.flatten(F.zip_with(chunks, F.slice(upto, 1, F.size(chunks)), inside))
+
+    chunks = _bound(matches, lambda m: F.transform(F.sequence(F.lit(0), F.floor((F.size(m) - 1) / CHUNK).cast("int")), lambda c: F.slice(m, c * CHUNK + 1, CHUNK)))
+    return F.when(text.rlike(pattern), _bound(chunks, located)).otherwise(F.array().cast(_SPANS))
 
 
 def labelled_samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, strings: int = SAMPLE_STRINGS) -> DataFrame:
-    """(value, random): ordinary identifiers from words of a sample of ``docs``, random strings from digests."""
+    """(value, random): ordinary identifiers from the words of a sample of ``docs``, random strings from digests.
+
+    The sample is the ``sample_docs`` rows of least hash of id and text, of which whole texts are read.
+    """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull())
-    every = max(1, rows.count() // sample_docs)
-    some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).limit(2 * sample_docs)
-    word = some.select(F.explode(F.regexp_extract_all(F.substring("text", 1, 20_000), F.lit("(?<![A-Za-z0-9+/_=-])[A-Za-z]{3,19}(?![A-Za-z0-9+/_=-])"), F.lit(0))).alias("w")).groupBy("w").count()
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("k"), "text").where(F.col("text").isNotNull())
+    chosen = rows.select("k").orderBy("k").limit(sample_docs).distinct()
+    some = rows.join(F.broadcast(chosen), "k", "left_semi")
+    word = some.select(F.explode(F.regexp_extract_all("text", F.lit("(?<![A-Za-z0-9+/_=-])[A-Za-z]{3,19}(?![A-Za-z0-9+/_=-])"), F.lit(0))).alias("w")).distinct()
     lower, upper = F.lower("w"), F.upper("w")
     ordinary = word.select(F.explode(F.array("w", lower, upper, F.concat(lower, F.lit("_"), lower), F.concat(lower, F.initcap("w")), F.concat(upper, F.lit("_"), upper), F.concat(lower, F.lit("-"), lower), F.concat(lower, F.lit("/"), lower), F.concat(lower, F.lit("="), lower), F.concat(lower, F.lit("2")))).alias("value"), F.lit(False).alias("random"))
     digest = spark.range(strings).select(F.sha2(F.col("id").cast("string").cast("binary"), 256).alias("x"))
@@ -99,9 +125,18 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(_spans(text, ASSIGN, "assign", 2, ASSIGN_LEAST), _spans(text, ACCESS, "access"), _spans(text, HEX, "hex")))
 
 
+def _outside(run: Column, base: Column) -> Column:
+    """The parts of a run, RUN_LEAST characters or longer, that no base span touches."""
+    hits = F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+    begins = F.array_distinct(F.concat(F.array(run["start"]), F.transform(hits, lambda b: b["end"])))
+    until = lambda a: F.coalesce(F.array_min(F.filter(F.transform(hits, lambda b: b["start"]), lambda s: s >= a)), run["end"])
+    parts = F.transform(begins, lambda a: F.struct(a.alias("start"), run["rank"].alias("rank"), until(a).alias("end")))
+    return F.filter(parts, lambda p: (p["end"] - p["start"] >= RUN_LEAST) & ~F.exists(hits, lambda b: (b["start"] < p["end"]) & (p["start"] < b["end"])))
+
+
 def _random_spans(text: Column, base: Column, table: Column, ratio: float) -> Column:
     runs = _spans(text, RUN, "random")
-    free = F.filter(runs, lambda r: ~F.exists(base, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
+    free = F.flatten(F.transform(runs, lambda r: _outside(r, base)))
     letters = F.filter(free, lambda r: F.substr(text, r["start"] + 1, r["end"] - r["start"]).rlike("[0-9].*[A-Za-z]|[A-Za-z].*[0-9]"))
     return F.filter(letters, lambda r: _mean_ratio(F.substr(text, r["start"] + 1, r["end"] - r["start"]), table) >= ratio)
 
