@@ -268,6 +268,26 @@ def test_epsilon(spark):
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in epsilon_join(df).collect()}
     assert got == B.epsilon(rows)
     assert epsilon_join(df.limit(0)).count() == 0
+    # rows that repeat an id are vectors of their own, of their own labels too; exact ties at the limit link
+    a, b, c = [1.0, 0.0, 0.0], [1.0, 0.01, 0.0], [0.0, 0.0, 1.0]
+    again = [(5, a, 0), (5, b, 0), (6, c, 0), (6, a, 1), (7, b, 1), (None, a, 1), (9, a, 2), (9, a, 2)]
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in epsilon_join(spark.createDataFrame(again, "vec_id long, embedding array<double>, label int")).collect()), key=str)
+    assert got == sorted([(5, 1, 5), (5, 1, 5), (6, 0, 6), (6, 2, 6), (7, 2, 6), (None, 2, None), (9, 1, 9), (9, 1, 9)], key=str)
+    tie = [(1, [1.0, 0.0], 0), (2, [0.6, 0.8], 0), (3, [0.59, 0.8], 0)]
+    got = {r["vec_id"]: r["n_links"] for r in epsilon_join(spark.createDataFrame(tie, "vec_id long, embedding array<double>, label int"), least=0.6).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_epsilon_over_many_blocks(spark, monkeypatch):
+    from spotframe.llm import epsilon_join as E
+
+    monkeypatch.setattr(E, "BLOCK", 32)
+    monkeypatch.setattr(E, "RUN", 8)
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 12))
+    rows = [(i, (centres[i % 40] + rng.normal(scale=rng.choice([0.01, 0.05, 0.4]), size=12)).tolist(), int(i % 2)) for i in range(700)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in E.epsilon_join(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == B.epsilon(rows)
 
 
 def test_crf_marginals_match_enumeration():
