@@ -5,10 +5,10 @@ from __future__ import annotations
 ORACLE: dict[str, str] = {
     "op2_extendible_sharding": r"""
 WITH d AS (SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
-p AS (SELECT depth, h >> (60 - depth) AS prefix, sum(n_bytes) AS b, count(*) AS c FROM d, (SELECT CAST(unnest(range(0, 31)) AS INTEGER) AS depth) GROUP BY 1, 2),
-l AS (SELECT doc_id, n_bytes, min(depth) AS depth FROM d JOIN p ON p.prefix = h >> (60 - depth) WHERE b <= 67108864 GROUP BY doc_id, n_bytes, h)
+p AS (SELECT depth, h >> (60 - depth) AS prefix, sum(n_bytes) AS b, count(*) AS c, count(DISTINCT h) AS k FROM d, (SELECT CAST(unnest(range(0, 61)) AS INTEGER) AS depth) GROUP BY 1, 2),
+l AS (SELECT doc_id, n_bytes, min(depth) AS depth FROM d JOIN p ON p.prefix = h >> (60 - depth) WHERE b <= 65536 OR k = 1 GROUP BY doc_id, n_bytes, h)
 SELECT l.doc_id, CAST(l.n_bytes AS BIGINT) AS n_bytes, l.depth, CASE WHEN l.depth = 0 THEN '' ELSE lpad(bin(p.prefix), l.depth, '0') END AS shard, CAST(0 AS BIGINT) AS page,
-  CAST(p.c AS BIGINT) AS shard_docs, CAST(p.b AS BIGINT) AS shard_bytes, p.b <= 67108864 AS fits
+  CAST(p.c AS BIGINT) AS shard_docs, CAST(p.b AS BIGINT) AS shard_bytes, p.b <= 65536 AS fits
 FROM l JOIN d ON d.doc_id = l.doc_id JOIN p ON p.depth = l.depth AND p.prefix = d.h >> (60 - l.depth)""",
     "op3_epsilon_join": r"""
 WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),

@@ -23,7 +23,7 @@ def op1_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard
 
-    return shard(_table(spark, sf_dir, "documents"))
+    return shard(_table(spark, sf_dir, "documents"), limit=64 << 10)
 
 
 def op3_epsilon_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -154,7 +154,7 @@ def shards(rows, limit):
     out = {}
 
     def split(group, depth):
-        if sum(g[2] for g in group) <= limit or depth == 60:
+        if sum(g[2] for g in group) <= limit or len({g[0] for g in group}) == 1:
             out.update({g[1]: (depth, g[0][:depth]) for g in group})
             return
         for bit in "01":

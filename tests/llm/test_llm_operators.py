@@ -242,18 +242,33 @@ def test_chat(spark):
     assert digests(merged).first()["loss_chars"] == 1
 
 
-def test_sharding(docs, rows, empty, spark):
-    from spotframe.llm.sharding import shard
+def test_sharding(docs, rows, empty, spark, tmp_path):
+    from spotframe.llm.sharding import shard, write_shards
 
     for limit in (2_000, 20_000, 10**9):
         got = shard(docs, limit).collect()
         assert {r["doc_id"]: (r["depth"], r["shard"]) for r in got} == B.shards([(r[0], r[1]) for r in rows], limit)
         assert len(got) == len(rows)
-        assert all(r["fits"] or r["depth"] == 60 or r["n_bytes"] > limit for r in got)
+        assert all(r["fits"] or r["n_bytes"] > limit for r in got)
     assert shard(empty, 100).count() == 0
-    hot = spark.createDataFrame([(7, "x" * 100)] * 50 + [(i, "y" * 10) for i in range(10)], "doc_id long, text string")
+    assert len({r["depth"] for r in shard(docs, 2_000).collect()}) > 4
+    # one hash holds most rows, of many sizes: each page keeps the limit, but for rows above it, alone on theirs
+    rng = random.Random(2)
+    sizes = [rng.choice([100, 100, 30, 7, 0, rng.randrange(1, 250), 251]) for _ in range(600)]
+    hot = spark.createDataFrame([(7, "x" * n) for n in sizes] + [(None, "z" * 60)] * 20 + [(i, "y" * 10) for i in range(10)], "doc_id long, text string").repartition(3)
     out = shard(hot, 250).collect()
-    assert len(out) == 60 and all(r["fits"] or r["page"] is not None for r in out) and len({(r["shard"], r["page"]) for r in out}) > 10
+    pages = {}
+    for r in out:
+        pages.setdefault((r["shard"], r["page"]), []).append(r["n_bytes"])
+    assert sorted(r["n_bytes"] for r in out if r["doc_id"] == 7) == sorted([*sizes, 10])
+    assert all(r["fits"] == (r["n_bytes"] <= 250) and (r["shard_docs"], r["shard_bytes"]) == (len(p := pages[r["shard"], r["page"]]), sum(p)) for r in out)
+    assert all(sum(p) <= 250 or len(p) == 1 for p in pages.values())
+    assert len(pages) <= 2.5 * sum(sizes) / 250 + 40
+    again = {(r["doc_id"], r["n_bytes"], r["shard"], r["page"]) for r in shard(hot.repartition(5), 250).collect()}
+    assert again == {(r["doc_id"], r["n_bytes"], r["shard"], r["page"]) for r in out}
+    write_shards(docs, f"{tmp_path}/shards", 20_000)
+    back = spark.read.option("basePath", f"{tmp_path}/shards").parquet(f"{tmp_path}/shards")
+    assert sorted(r["doc_id"] for r in back.collect()) == sorted(r[0] for r in rows) and {"size", "clash"} & {*back.columns} == {"size"}
 
 
 def test_epsilon(spark):
