@@ -94,7 +94,7 @@ def _tree(leaves: DataFrame) -> DataFrame:
     nodes, level = [], leaves
     for depth in range(1, 8):
         level = level.groupBy(F.expr(f"index div {FANOUT}").alias("index")).agg(F.array_sort(F.collect_list(F.struct("index", "digest"))).alias("x"))
-        level = level.select("index", F.sha2(F.aggregate("x", F.lit(b"").cast("binary"), lambda s, y: F.concat(s, y["digest"])), 256).cast("binary").alias("digest"))
+        level = level.select("index", F.sha2(F.array_join(F.transform("x", lambda y: F.hex(y["digest"])), "").cast("binary"), 256).cast("binary").alias("digest"))
         level = staged(level, "tree")
         nodes.append(level.select(F.lit(depth).alias("level"), "index", "digest"))
         if level.limit(2).count() < 2:
@@ -105,6 +105,12 @@ def _tree(leaves: DataFrame) -> DataFrame:
     return out
 
 
+def _leaves(recipes: DataFrame) -> DataFrame:
+    """(index, digest): a digest over all that a recipe states."""
+    said = F.concat_ws(":", "rank", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "start", "n_tokens", F.hex("root"))
+    return recipes.select(F.col("rank").alias("index"), F.sha2(said.cast("binary"), 256).cast("binary").alias("digest"))
+
+
 def write_store(docs: DataFrame, folder: str, tokenizer: str, cut: str = "blank", end_id: int = 1) -> None:
     """Encode ``docs`` (doc_id, text) with the vocabulary file ``tokenizer`` and write the store to ``folder``."""
     encoded = staged(_encoded(docs, tokenizer, cut, end_id), "encoded")
@@ -114,22 +120,30 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, cut: str = "blank"
     recipes = ordered.select("rank", "doc_id", "start", "n_tokens", "digests", "root")
     recipes.repartitionByRange("rank").sortWithinPartitions("rank").write.option("compression", "zstd").parquet(f"{folder}/recipes")
     kept = docs.sparkSession.read.parquet(f"{folder}/recipes")
-    _tree(kept.select(F.col("rank").alias("index"), F.col("root").alias("digest"))).write.parquet(f"{folder}/manifest")
+    _tree(_leaves(kept)).write.parquet(f"{folder}/manifest")
 
 
 def verify_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """Nodes of the manifest that differ from the recipes as they are now; no row: all agree."""
     kept = spark.read.parquet(f"{folder}/manifest")
-    now = _tree(spark.read.parquet(f"{folder}/recipes").select(F.col("rank").alias("index"), F.col("root").alias("digest")))
+    now = _tree(_leaves(spark.read.parquet(f"{folder}/recipes")))
     return kept.exceptAll(now).union(now.exceptAll(kept))
 
 
+def check_manifest(spark: SparkSession, folder: str) -> None:
+    """Raises ValueError unless the manifest agrees with the recipes; names the lowest node that differs."""
+    if node := verify_manifest(spark, folder).orderBy("level", "index").first():
+        raise ValueError(f"the manifest differs from the recipes at level {node['level']}, node {node['index']}")
+
+
 def read_digests(spark: SparkSession, folder: str, dtype: str = "<u2") -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the stored chunks and recipes.
 
-    Each chunk's payload is read and checked against its digest once; a document's value follows from its chunks'
-    values, and its Merkle root is checked against the recipe. A broken or missing chunk raises an error.
+    The manifest is checked against the recipes first. Each chunk's payload is read and checked against its digest once;
+    a document's value follows from its chunks' values, and its Merkle root is checked against the recipe. A broken or
+    missing chunk raises an error.
     """
+    check_manifest(spark, folder)
 
     @tidy
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +176,8 @@ def read_digests(spark: SparkSession, folder: str, dtype: str = "<u2") -> DataFr
 
 
 def read_ids(spark: SparkSession, folder: str) -> DataFrame:
-    """(rank, doc_id, start, payload): every document's ids joined from its chunks."""
+    """(rank, doc_id, start, payload): every document's ids joined from its chunks, once the manifest is checked."""
+    check_manifest(spark, folder)
     recipes = spark.read.parquet(f"{folder}/recipes").select("rank", "doc_id", "start", F.posexplode("digests").alias("pos", "digest"))
     parts = recipes.join(spark.read.parquet(f"{folder}/chunks"), "digest").groupBy("rank", "doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("pos", "payload"))).alias("x"))
-    return parts.select("rank", "doc_id", "start", F.aggregate("x", F.lit(b"").cast("binary"), lambda s, y: F.concat(s, y["payload"])).alias("payload"))
+    return parts.select("rank", "doc_id", "start", F.unhex(F.array_join(F.transform("x", lambda y: F.hex(y["payload"])), "")).alias("payload"))

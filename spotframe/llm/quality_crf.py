@@ -7,8 +7,8 @@ state, weighted by the lines' lengths in bytes, becomes its score by a rising lo
 sample, so that scores are probabilities of the good label.
 
 Scores use the text alone. Defined cases: a null or blank text has no line and scores the share of good documents in
-the sample. Without any labelled document every score is 0.5. Rows that repeat a ``doc_id`` are scored one by one;
-labels that repeat a ``doc_id`` count once each. Extra columns are ignored; an empty table gives an empty result.
+the sample. Without any labelled document every score is 0.5. Rows that repeat a ``doc_id`` are scored one by one, and
+equal rows alike; different labels of one ``doc_id`` count once each. A null ``doc_id`` is held out. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -167,14 +167,32 @@ def scores(t: Texts, field: Field) -> np.ndarray:
 
 
 def held_out(doc_id: Column | str, folds: int = 5) -> Column:
-    """Whether CRC-32 of the id as text leaves no remainder: such rows are never learnt from."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == 0
+    """Whether CRC-32 of the id as text leaves no remainder: such rows are never learnt from. A null id is the empty text."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int = SAMPLE_LINES) -> Field:
-    """Fit on ``sample`` labelled documents: those of least hash among all that aren't held out."""
+def training_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int = SAMPLE_LINES) -> DataFrame:
+    """(doc_id, quality, text): labelled documents outside the held-out fold, in order of the hash of id and text.
+
+    At most ``sample`` of them, and of these only as long as they have ``lines`` lines together; a document that would
+    exceed that is passed over. Equal rows count once. The bounds hold before any text is read by a task of the fit.
+    """
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
-    chosen = known.select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
+    chosen = known.select("doc_id", "quality").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", F.xxhash64("doc_id", "text").alias("k"), F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("n"), "text")
+    each = found.select("doc_id", "quality", "k", "n").distinct().orderBy("k", "doc_id", "quality").limit(sample).collect()  # at most ``sample`` rows
+    taken, left = [], lines
+    for r in each:
+        if r["n"] <= left:
+            taken.append((r["k"], r["quality"]))
+            left -= r["n"]
+    kept = docs.sparkSession.createDataFrame(taken, "k long, quality int").withColumnRenamed("quality", "q")
+    same = (found["k"] == kept["k"]) & (found["quality"] == kept["q"])
+    return found.join(F.broadcast(kept), same, "left_semi").dropDuplicates(["doc_id", "k", "quality"]).select("doc_id", "quality", "text")
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int = SAMPLE_LINES) -> Field:
+    """Fit on a bounded ``training_sample``; the features of its lines are all that comes to the driver."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,24 +204,23 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int =
                 rows = [x[a:b].astype("<f4").tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "quality")], pa.array(np.diff(bounds), pa.int32()), pa.array(rows, pa.binary())], ["doc_id", "quality", "n", "x"])
 
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), "text").mapInArrow(run, "doc_id long, quality int, n int, x binary")
+    found = training_sample(docs, labels, sample, lines).select("doc_id", F.col("quality").cast("int").alias("quality"), "text").mapInArrow(run, "doc_id long, quality int, n int, x binary")
     rows = sorted(found.collect(), key=lambda r: (r["doc_id"], r["quality"], r["n"], bytes(r["x"])))
     prior = float(np.mean([r["quality"] for r in rows])) if rows else 0.5
-    xs, doc, good, total = [], [], [], 0
+    xs, doc, good = [], [], []
     for i, r in enumerate(rows):
-        if r["n"] and total + r["n"] <= lines:
-            total += r["n"]
+        if r["n"]:
             xs.append(np.frombuffer(r["x"], "<f4").reshape(r["n"], -1))
             doc.append(np.full(r["n"], i))
             good.append(np.full(r["n"], r["quality"] == 1))
     if not xs:
         return Field(np.zeros(3 * (OWN + 1) + 3), np.zeros((2, 2)), prior)
     x, size = np.split(np.concatenate(xs).astype(np.float64), [-1], axis=1)
-    lines, labels = np.unique(np.concatenate(doc), return_inverse=True)[1], np.concatenate(good)
-    field = fit(x, lines, labels, prior)
-    p, _, _ = marginals(x @ field.weights, lines, field.moves)
-    means, _ = document_means(p, lines, size[:, 0], lines[-1] + 1)
-    slope, shift = fit_curve(means, labels[np.searchsorted(lines, np.arange(lines[-1] + 1))])
+    of, states = np.unique(np.concatenate(doc), return_inverse=True)[1], np.concatenate(good)
+    field = fit(x, of, states, prior)
+    p, _, _ = marginals(x @ field.weights, of, field.moves)
+    means, _ = document_means(p, of, size[:, 0], of[-1] + 1)
+    slope, shift = fit_curve(means, states[np.searchsorted(of, np.arange(of[-1] + 1))])
     return Field(field.weights, field.moves, prior, slope, shift)
 
 

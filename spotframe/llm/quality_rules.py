@@ -28,12 +28,14 @@ MIN_WORDS, MIN_REFERENCE = 50, 2000
 #: A limit is a + b / sqrt(words): b allows for the chance differences of short texts.
 CHAR_LIMIT, WORD_LIMIT = (0.10, 2.0), (0.10, 3.0)
 
-_SCHEMA = "doc_id long, lang string, row_key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars array<long>, words array<long>"
+_SCHEMA = "doc_id long, lang string, row_key string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars array<long>, words array<long>"
 
 
 def row_key() -> Column:
-    """Rows of equal doc_id, lang and text share a key, and a verdict."""
-    return F.xxhash64("doc_id", "lang", "text")
+    """Rows of equal doc_id, lang and text share a key, and a verdict: the id and 128 bits of a digest."""
+    lang = F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit(""))
+    text = F.coalesce(F.concat(F.lit("="), F.col("text")), F.lit(""))
+    return F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.concat(F.char_length(lang).cast("string"), lang, text).cast("binary")))
 
 
 def document_counts(docs: DataFrame) -> DataFrame:

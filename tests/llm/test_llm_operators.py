@@ -1,6 +1,7 @@
 """Each operator against a plain reference on small tables, with nulls, ties, repeated rows and clashing columns."""
 
 import random
+import zlib
 
 import brute as B
 import numpy as np
@@ -80,6 +81,29 @@ def test_content_store(docs, rows, empty, spark, tmp_path):
     assert verify_manifest(spark, f"{tmp_path}/s").count() == 0
     chunks = spark.read.parquet(f"{tmp_path}/s/chunks")
     assert chunks.count() == chunks.select("digest").distinct().count()
+    again = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "c"), (None, "d e f"), (0, None)], "doc_id long, text string")
+    write_store(again, f"{tmp_path}/r", path)
+    got = collect(read_digests(spark, f"{tmp_path}/r"), "doc_id", "start", "n_tokens")
+    assert [(i, n) for i, at, n in sorted(got, key=lambda r: r[1])][:2] == [(None, 4), (0, 1)] and sorted(r[2] for r in got if r[0] == 1) == [2, 3, 3]
+    assert sorted(r[1] for r in got) == [sum(x[2] for x in sorted(got, key=lambda r: r[1])[:k]) for k in range(5)]
+
+    def damaged(part, change):
+        """A copy of the store with one table changed."""
+        to = f"{tmp_path}/{part}-{len(list(tmp_path.iterdir()))}"
+        for x in ("chunks", "recipes", "manifest"):
+            table = spark.read.parquet(f"{tmp_path}/s/{x}")
+            (change(table) if x == part else table).write.parquet(f"{to}/{x}")
+        return to
+
+    for part, change in (
+        ("chunks", lambda t: t.withColumn("payload", F.overlay("payload", F.lit(b"??").cast("binary"), 1))),
+        ("chunks", lambda t: t.where(F.col("digest") != F.lit(bytes(t.orderBy("digest").first()["digest"])))),
+        ("recipes", lambda t: t.withColumn("digests", F.when(F.col("doc_id") == 205, F.reverse("digests")).otherwise(F.col("digests")))),
+        ("recipes", lambda t: t.withColumn("start", F.col("start") + 1)),
+        ("manifest", lambda t: t.withColumn("digest", F.sha2("digest", 256).cast("binary"))),
+    ):
+        with pytest.raises(Exception, match="chunk|recipe"):
+            read_digests(spark, damaged(part, change)).collect()
     write_store(empty, f"{tmp_path}/e", path)
     assert read_digests(spark, f"{tmp_path}/e").count() == 0
 
@@ -194,6 +218,9 @@ def test_quality_rules(docs, rows, empty):
     kept = passing_documents(docs)
     assert kept.columns == docs.columns
     assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in quality_rules(docs).where("kept").collect()}
+    twice = docs.where("doc_id < 30").union(docs.where("doc_id < 30")).union(docs.where("doc_id = 204").withColumn("doc_id", F.lit(3).cast("long")))
+    verdicts = [(r["doc_id"], r["kept"]) for r in quality_rules(twice).collect()]
+    assert len(verdicts) == 61 and passing_documents(twice).count() == sum(k for _, k in verdicts) and (3, False) in verdicts
 
 
 def test_divergence_rejects_odd_text(spark):
@@ -327,7 +354,7 @@ def test_crf_marginals_match_enumeration():
 
 
 def test_crf_quality(spark, docs, empty):
-    from spotframe.llm.quality_crf import quality_scores
+    from spotframe.llm.quality_crf import quality_scores, training_sample
 
     rng = random.Random(11)
     line = lambda good: " ".join(rng.choice(["the", "and", "river", "stone", "of"]) if good else rng.choice(["$$$", "a|b", "###", "X!!"]) for _ in range(8))
@@ -335,6 +362,12 @@ def test_crf_quality(spark, docs, empty):
     df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
     got = quality_scores(df.select("doc_id", "text"), df.select("doc_id", "quality")).join(df, "doc_id").where("held_out").collect()
     assert len(got) > 30 and np.mean([r["predicted"] == r["quality"] for r in got]) > 0.97
+    many = spark.createDataFrame([(1, "x y\n" * 30_000, 1), (2, "a b\nc", 1), (2, "a b\nc", 1), (3, "d", 0), (None, "e", 0), (4, None, 1)], "doc_id long, text string, quality int")
+    labels = many.select("doc_id", "quality")
+    sample = sorted(r["doc_id"] for r in training_sample(many.select("doc_id", "text"), labels, lines=1000).collect())
+    assert sample == [i for i in (2, 3, 4) if zlib.crc32(str(i).encode()) % 5]
+    out = quality_scores(many.select("doc_id", "text"), labels).collect()
+    assert len(out) == 6 and all(r["held_out"] is not None for r in out) and len({r["score"] for r in out if r["doc_id"] == 2}) == 1
     none = df.select("doc_id", "quality").limit(0)
     assert {r["score"] for r in quality_scores(docs, none).where("doc_id = 200").collect()} == {0.5}
     assert all(0 <= r["score"] <= 1 for r in quality_scores(docs, df.select("doc_id", "quality")).collect())
