@@ -29,6 +29,8 @@ SAMPLE, SAMPLE_LINES = 4000, 400_000
 #: The fit: gradient steps, and the weight of the squared norm.
 STEPS, RIDGE = 300, 1e-3
 OWN = 16
+#: Lines of a run that documents are cut into for the recursions.
+SEGMENT = 128
 
 
 def line_features(t: Texts) -> np.ndarray:
@@ -78,42 +80,73 @@ class Field:
     shift: float = 0.0
 
 
-def _chains(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First line and number of lines of each document, longest first, and how many reach each position."""
-    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, int)
-    count = np.diff(np.concatenate([first, [len(doc)]]))
+def _chains(first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of runs of lines that begin at ``first``, longest first; their lengths so; how many reach each position."""
+    count = np.diff(np.concatenate([first, [n]]))
     order = np.argsort(-count, kind="stable")
-    first, count = first[order], count[order]
-    reach = np.searchsorted(-count, -np.arange(count[0] if len(count) else 0), "left")
-    return first, count, reach
+    count = count[order]
+    return order, count, np.searchsorted(-count, -np.arange(count[0] if len(count) else 0), "left")
 
 
 def marginals(gain: np.ndarray, doc: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """P(good) of each line, expected counts of each transition, and the sum of log partition functions.
 
-    ``gain``: score of the good state over the bad one for each line.
+    ``gain``: score of the good state over the bad one for each line. Documents are cut into runs of SEGMENT lines, all
+    of which step through their lines together; transfer matrices of whole runs carry messages from run to run, so a
+    document of many lines takes about as many steps as it has runs.
     """
-    first, count, reach = _chains(doc)
     n = len(gain)
+    if not n:
+        return np.zeros(0), np.zeros((2, 2)), 0.0
     peak = np.maximum(gain, 0)
     emit = np.stack([np.exp(-peak), np.exp(gain - peak)], 1)
     step = np.exp(moves)
-    alpha, scale, beta = np.zeros((n, 2)), np.ones(n), np.ones((n, 2))
-    logz = float(peak.sum())
+    opens = np.concatenate([[True], doc[1:] != doc[:-1]])
+    of_doc = np.flatnonzero(opens)
+    place = np.arange(n) - of_doc[np.cumsum(opens) - 1]
+    first = np.flatnonzero(place % SEGMENT == 0)
+    order, count, reach = _chains(first, n)
+    starts, begins = first[order], opens[first]
+    entry, leave = np.where(begins[:, None], 1.0, 0.5) * np.ones((len(first), 2)), np.ones((len(first), 2))
+    if not begins.all():
+        whole = np.tile(np.eye(2), (len(first), 1, 1))  # by the runs' order
+        for t, m in enumerate(reach):
+            at = starts[:m] + t
+            one = step * emit[at][:, None, :]
+            if t == 0:
+                one = np.where(opens[at][:, None, None], np.eye(2) * emit[at][:, None, :], one)
+            whole[:m] = whole[:m] @ one
+            whole[:m] /= whole[:m].sum((1, 2), keepdims=True)
+        transfer = np.empty_like(whole)
+        transfer[order] = whole
+        runs_from = np.flatnonzero(begins)
+        runs = np.diff(np.concatenate([runs_from, [len(first)]]))
+        for k in range(1, int(runs.max())):
+            at = runs_from[runs > k] + k
+            a = (entry[at - 1][:, None, :] @ transfer[at - 1])[:, 0]
+            entry[at] = a / a.sum(1, keepdims=True)
+        for k in range(int(runs.max()) - 2, -1, -1):
+            at = runs_from[runs > k + 1] + k
+            b = (transfer[at + 1] @ leave[at + 1][:, :, None])[:, :, 0]
+            leave[at] = b / b.sum(1, keepdims=True)
+    alpha, beta, scale = np.zeros((n, 2)), np.zeros((n, 2)), np.ones(n)
     for t, m in enumerate(reach):
-        at = first[:m] + t
-        a = emit[at] if t == 0 else (alpha[at - 1] @ step) * emit[at]
+        at = starts[:m] + t
+        before = entry[order[:m]] if t == 0 else alpha[at - 1]
+        a = np.where(opens[at][:, None], before, before @ step) * emit[at]
         scale[at] = a.sum(1)
         alpha[at] = a / scale[at, None]
-    logz += float(np.log(scale).sum())
-    pairs = np.zeros((2, 2))
+    beta[starts + count - 1] = leave[order]
     for t in range(len(reach) - 2, -1, -1):
-        at = first[: reach[t + 1]] + t
-        ahead = emit[at + 1] * beta[at + 1] / scale[at + 1, None]
-        beta[at] = ahead @ step.T
-        pairs += step * (alpha[at].T @ ahead)
+        at = starts[: reach[t + 1]] + t
+        b = (emit[at + 1] * beta[at + 1]) @ step.T
+        beta[at] = b / b.sum(1, keepdims=True)
     both = alpha * beta
-    return both[:, 1] / both.sum(1), pairs, logz
+    inner = np.flatnonzero(~opens)  # lines with one before
+    ahead = emit[inner] * beta[inner]
+    weight = ((alpha[inner - 1] @ step) * ahead).sum(1)
+    pairs = step * (alpha[inner - 1].T @ (ahead / weight[:, None]))
+    return both[:, 1] / both.sum(1), pairs, float(peak.sum()) + float(np.log(scale).sum())
 
 
 def fit(x: np.ndarray, doc: np.ndarray, good: np.ndarray, prior: float, steps: int = STEPS) -> Field:

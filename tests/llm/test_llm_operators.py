@@ -332,11 +332,14 @@ def test_epsilon_over_many_blocks(spark, monkeypatch):
     assert got == B.epsilon(rows)
 
 
-def test_crf_marginals_match_enumeration():
+@pytest.mark.parametrize("segment", [1, 2, 3, 128])
+def test_crf_marginals_match_enumeration(monkeypatch, segment):
     from itertools import product
 
+    from spotframe.llm import quality_crf
     from spotframe.llm.quality_crf import marginals
 
+    monkeypatch.setattr(quality_crf, "SEGMENT", segment)
     rng = np.random.default_rng(2)
     gain, doc, moves = rng.normal(size=9), np.array([0, 0, 0, 0, 1, 2, 2, 2, 2]), rng.normal(size=(2, 2))
     p, pairs, logz = marginals(gain, doc, moves)
