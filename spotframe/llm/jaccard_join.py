@@ -4,7 +4,7 @@ Every document is the set of its distinct word shingles. Two documents link when
 ``100 * |intersection| >= threshold * |union|``; the result is exact (sets hold 64-bit hashes of shingles,
 equal sets are recognised by a 128-bit digest).
 
-1. Equal sets are one class, whose node is the smallest ``doc_id``.
+1. Equal sets are one class, whose node is a number of its own.
 2. *Groups.* Classes that share a min-hash compare with that key's most typical member; linked ones form a group of
    similar documents, those that come near without a link another one. Groups are cut into blocks of bounded size.
    Every other class is a group of its own.
@@ -18,8 +18,9 @@ equal sets are recognised by a 128-bit digest).
 No step emits the pairs of a group of copies: links inside a group are already known from its centre.
 
 Defined cases: null or blank text: no shingles, no link, its own component. Fewer than ``k`` words: one shingle, the
-whole sequence. Rows that repeat a ``doc_id`` are one vertex. A null ``doc_id`` has a null component. Extra columns
-are ignored. An empty table gives an empty result.
+whole sequence. Rows that repeat a ``doc_id`` are one vertex of the components, but rows of their own where one of each
+group is chosen. A row with a null ``doc_id`` has a null component and links nothing. Extra columns are ignored. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, components, release, staged
@@ -69,6 +70,11 @@ def prefix_overlap(n):
     return n // 20 + 1
 
 
+def text_key() -> Column:
+    """128 bits of a text; a null text and an empty one differ."""
+    return F.md5(F.coalesce(F.concat(F.lit("="), F.col("text")), F.lit("")).cast("binary"))
+
+
 def token_histogram(docs: DataFrame, k: int) -> np.ndarray:
     """How many documents hold a token of each cell, over all documents."""
 
@@ -88,7 +94,7 @@ def token_histogram(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, k: int, threshold: int, order) -> DataFrame:
-    """(doc_id, n, digest, sketch, common, prefix, n_index): one row per document."""
+    """(doc_id, text_key, n, digest, sketch, common, prefix, n_index): one row per document; text_key: 128 bits of the text."""
     longs = pa.list_(pa.int64())
 
     @tidy
@@ -111,9 +117,9 @@ def _signatures(docs: DataFrame, k: int, threshold: int, order) -> DataFrame:
                 prefix.append(tokens[np.lexsort((tokens, seen_here))[:kept]].view(np.int64))
                 # an index entry is only for partners that are at least as large
                 n_index.append(min(size, size - -(-2 * threshold * size // (100 + threshold)) + prefix_overlap(size)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int32()), pa.array(digest, pa.binary()), pa.array(sketch, longs), pa.array(common, pa.float64()), pa.array(prefix, longs), pa.array(n_index, pa.int32())], ["doc_id", "n", "digest", "sketch", "common", "prefix", "n_index"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(n, pa.int32()), pa.array(digest, pa.binary()), pa.array(sketch, longs), pa.array(common, pa.float64()), pa.array(prefix, longs), pa.array(n_index, pa.int32())], ["doc_id", "text_key", "n", "digest", "sketch", "common", "prefix", "n_index"])
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n int, digest binary, sketch array<long>, common double, prefix array<long>, n_index int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text").mapInArrow(sign, "doc_id long, text_key string, n int, digest binary, sketch array<long>, common double, prefix array<long>, n_index int")
 
 
 def _whole_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -143,14 +149,17 @@ def _tokens(x: bytes) -> np.ndarray:
 
 def _centre_links(cls: DataFrame, docs: DataFrame, k: int, threshold: int) -> tuple[DataFrame, DataFrame]:
     """(node, centre) of classes that link with the most typical class of one of their min-hash keys, and of all that come near one."""
-    keyed = cls.select("node", "digest", "sketch", "n", "common", F.posexplode(F.slice("sketch", 1, KEYS)).alias("r", "v"))
-    centre = keyed.groupBy("r", "v").agg(F.max(F.struct("common", F.negative(F.col("node")).alias("less"), "digest", "sketch", "n")).alias("c"), F.count("*").alias("m")).where("m > 1")
-    agree = F.size(F.filter(F.zip_with("sketch", "c.sketch", lambda x, y: x == y), lambda x: x))
-    near = keyed.join(centre, ["r", "v"]).where((F.negative(F.col("c.less")) != F.col("node")) & (agree >= AGREE))
-    possible = 100 * F.least("n", "c.n") >= threshold * F.greatest("n", "c.n")
-    pairs = staged(near.select("node", "digest", F.negative(F.col("c.less")).alias("centre"), F.col("c.digest").alias("centre_digest"), possible.alias("possible")).distinct(), "near")
+    carried = ["node", "doc_id", "digest", "sketch", "n"]
+    keyed = cls.select(*carried, "common", F.posexplode(F.slice("sketch", 1, KEYS)).alias("r", "v"))
+    centre = keyed.groupBy("r", "v").agg(F.max(F.struct("common", F.negative(F.col("node")).alias("less"), *carried)).alias("c"), F.count("*").alias("m")).where("m > 1")
+    # written, so that the join deals both sides out anew and a key of many members can be split
+    centre = staged(centre.select("r", "v", *[F.col(f"c.{x}").alias(f"centre_{x}" if x != "node" else "centre") for x in carried]), "centres")
+    agree = F.size(F.filter(F.zip_with("sketch", "centre_sketch", lambda x, y: x == y), lambda x: x))
+    near = keyed.join(centre, ["r", "v"]).where((F.col("centre") != F.col("node")) & (agree >= AGREE))
+    possible = 100 * F.least("n", "centre_n") >= threshold * F.greatest("n", "centre_n")
+    pairs = staged(near.select("node", "digest", "doc_id", "centre", "centre_digest", "centre_doc_id", possible.alias("possible")).distinct(), "near")
     asked = pairs.where("possible")
-    ids = staged(asked.select(F.col("node").alias("doc_id")).union(asked.select("centre")).distinct(), "ids")
+    ids = staged(asked.select("doc_id").union(asked.select("centre_doc_id")).distinct(), "ids")
     sets = staged(_whole_sets(docs, ids, k), "sets")
 
     @tidy
@@ -162,7 +171,7 @@ def _centre_links(cls: DataFrame, docs: DataFrame, k: int, threshold: int) -> tu
 
     both = asked.join(sets, "digest").join(sets.select(F.col("digest").alias("centre_digest"), F.col("tokens").alias("centre_tokens")), "centre_digest")
     out = staged(both.select("node", "centre", "tokens", "centre_tokens").mapInArrow(verify, "node long, centre long"), "centre_links")
-    for x in (ids, sets):
+    for x in (ids, sets, centre):
         release(x)
     return out, pairs.select("node", "centre")
 
@@ -183,9 +192,9 @@ def _overlaps(queries: list[np.ndarray], own: list[np.ndarray], threshold: int)
 
 
 def _open_groups(met: DataFrame, members: DataFrame, docs: DataFrame, k: int, threshold: int) -> DataFrame:
-    """Links (a, b) between members of met groups. met: ga, gb (ga <= gb); members: node, digest, group."""
+    """Links (a, b) between members of met groups. met: ga, gb (ga <= gb); members: node, doc_id, digest, group."""
     wanted = members.join(met.select(F.col("ga").alias("group")).union(met.select("gb")).distinct(), "group", "left_semi")
-    ids = staged(wanted.select(F.col("node").alias("doc_id")).distinct(), "ids")
+    ids = staged(wanted.select("doc_id").distinct(), "ids")
     sets = staged(_whole_sets(docs, ids, k), "sets")
     held = staged(wanted.join(sets, "digest").select("group", "node", "tokens"), "held")
 
@@ -205,55 +214,82 @@ def _open_groups(met: DataFrame, members: DataFrame, docs: DataFrame, k: int, th
     return staged(queries.groupBy("ga", "gb").cogroup(own.groupBy("oa", "ob")).applyInPandas(opened, "a long, b long").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text). ``threshold`` in percent."""
+def linked_classes(docs: DataFrame, k: int = 5, threshold: int = 80, merge_ids: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The signatures of all rows (doc_id, text_key, n, digest), and (digest, root) of each class: its component.
+
+    With ``merge_ids`` the classes of one ``doc_id`` are linked. ``threshold`` in percent.
+    """
     spark = docs.sparkSession
     order = spark.sparkContext.broadcast(token_histogram(docs, k))
-    signed = staged(_signatures(docs, k, threshold, order), "signed")
-    nodes = staged(signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node")), "nodes")
-    cls = signed.select("doc_id", "digest", "n", "sketch", "common").join(nodes.select(F.col("node").alias("doc_id"), "digest", "node"), ["doc_id", "digest"]).drop("doc_id").dropDuplicates(["digest"])
+    signed = staged(_signatures(docs, k, threshold, order).withColumn("row", F.monotonically_increasing_id()), "signed")
+    rows = signed.where("digest is not null and doc_id is not null")
+    # one row stands for a class, that of its least id; its number is the class's node
+    nodes = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "text_key", "row")).alias("x"))
+    nodes = staged(nodes.select("digest", "x.doc_id", F.col("x.row").alias("node")), "nodes")
+    cls = signed.select(F.col("row").alias("node"), "n", "sketch", "common").join(nodes, "node")
     stars, near = _centre_links(cls, docs, k, threshold)
     star = components(stars, "node", "centre")
     near = near.groupBy("node").agg(F.min("centre").alias("near"))
     kind = F.when(F.col("root").isNotNull(), "linked").when(F.col("near").isNotNull(), "near").otherwise("alone")
-    placed = nodes.join(star, "node", "left").join(near, "node", "left").select("node", "digest", kind.alias("kind"), F.coalesce("root", "near", "node").alias("key"))
+    placed = nodes.select("node", "doc_id", "digest").join(star, "node", "left").join(near, "node", "left").select("node", "doc_id", "digest", kind.alias("kind"), F.coalesce("root", "near", "node").alias("key"))
     sizes = placed.groupBy("kind", "key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = placed.join(sizes, ["kind", "key"]).withColumn("group", F.xxhash64("kind", "key", F.pmod(F.xxhash64("node"), F.col("blocks"))))
     # groups of one star are linked already; any other group stands for itself
-    placed = staged(placed.select("node", "digest", "group", F.when(F.col("kind") == "linked", F.col("key")).otherwise(F.col("group")).alias("star"), "kind"), "placed")
-    tokens = signed.select(F.col("doc_id").alias("node"), "digest", "n", "n_index", "prefix").join(placed, ["node", "digest"]).select("star", "group", "n", "n_index", F.posexplode("prefix").alias("pos", "token"))
+    placed = staged(placed.select("node", "doc_id", "digest", "group", F.when(F.col("kind") == "linked", F.col("key")).otherwise(F.col("group")).alias("star"), "kind"), "placed")
+    tokens = signed.select(F.col("row").alias("node"), "n", "n_index", "prefix").join(placed.select("node", "star", "group"), "node").select("star", "group", "n", "n_index", F.posexplode("prefix").alias("pos", "token"))
     of_token = Window.partitionBy("token")
-    shared = tokens.select("star", "group", "n", (F.col("pos") < F.col("n_index")).alias("indexed"), "token")
-    shared = staged(shared.withColumn("lo", F.min("star").over(of_token)).withColumn("hi", F.max("star").over(of_token)).where("lo <> hi").drop("lo", "hi"), "shared")
-    # rows of the matrix; sizes let two groups miss each other without being opened
-    rows = lambda side: side.groupBy("token", "group", "star").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"))
+    shared = tokens.withColumns({"lo": F.min("star").over(of_token), "hi": F.max("star").over(of_token)}).where("lo <> hi")
+    # rows of the matrix; sizes let two groups miss each other without being opened. Written, so that the join deals both
+    # sides out anew and a token of many groups can be split
+    indexed = F.when(F.col("pos") < F.col("n_index"), F.col("n"))
+    sides = shared.groupBy("token", "group", "star").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.min(indexed).alias("least_i"), F.max(indexed).alias("most_i"))
+    sides = staged(sides, "matrix")
+    q, g = sides.alias("q"), sides.where("least_i is not null").select("token", "group", "star", F.col("least_i").alias("least_n"), F.col("most_i").alias("most_n")).alias("g")
     meets = F.expr(f"q.token = g.token and q.star <> g.star and q.most_n >= g.least_n and 100 * g.most_n >= {threshold} * q.least_n")
-    met = rows(shared).alias("q").join(rows(shared.where("indexed")).alias("g"), meets).groupBy(F.col("q.group").alias("x"), F.col("g.group").alias("y")).agg(F.count("*").alias("common"), F.min("g.least_n").alias("least_n"))
+    met = q.join(g, meets).groupBy(F.col("q.group").alias("x"), F.col("g.group").alias("y")).agg(F.count("*").alias("common"), F.min("g.least_n").alias("least_n"))
     met = met.where("common >= least_n div 20 + 1").select(F.least("x", "y").alias("ga"), F.greatest("x", "y").alias("gb"))
     within = placed.where("kind = 'near'").groupBy("group").count().where("count > 1").select(F.col("group").alias("ga"), F.col("group").alias("gb"))
     met = staged(met.union(within).distinct(), "met")
-    links = _open_groups(met, placed.select("node", "digest", "group"), docs, k, threshold)
-    # a doc_id with several texts is one vertex, which joins their classes
-    twice = signed.where("digest is not null").groupBy("doc_id").agg(F.min("digest").alias("one"), F.max("digest").alias("other")).where("one <> other").select("doc_id")
-    same = signed.join(twice, "doc_id").join(nodes, "digest").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    root = components(star.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links).union(same))
-    for x in (stars, shared, met):
+    links = _open_groups(met, placed.select("node", "doc_id", "digest", "group"), docs, k, threshold)
+    edges = star.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links)
+    if merge_ids:
+        of_id = rows.select("doc_id", "digest").join(nodes.select("digest", "node"), "digest").groupBy("doc_id").agg(F.min("node").alias("one"), F.max("node").alias("other"))
+        several = staged(of_id.where("one <> other").select("doc_id", "one"), "several")
+        edges = edges.union(rows.select("doc_id", "digest").join(several, "doc_id").join(nodes.select("digest", "node"), "digest").select(F.col("node").alias("a"), F.col("one").alias("b")))
+    root = components(edges)
+    for x in (stars, sides, met):
         release(x)
-    of_digest = nodes.join(root, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
-    out = signed.select("doc_id", "n", "digest").join(of_digest, "digest", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
+    return signed.select("doc_id", "text_key", "n", "digest"), nodes.join(root, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text). ``threshold`` in percent."""
+    signed, classes = linked_classes(docs, k, threshold)
+    classes = staged(classes, "classes")
+    named = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("least")).join(classes, "digest")
+    component = staged(named.groupBy("root").agg(F.min("least").alias("component")), "component")
+    out = signed.join(classes.join(component, "root").select("digest", "component"), "digest", "left")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
 def one_of_each_group(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
-    """The rows of ``docs`` without those that link, directly or not, with a smaller ``doc_id``; one row of each id stays.
+    """One row of ``docs`` of each group that links, directly or not: that of the least ``doc_id``, then of the least digest.
 
-    Rows without a ``doc_id`` stay.
+    Rows that share an id and have other texts are documents of their own; equal rows of one id leave one. Rows without
+    a ``doc_id`` and rows without a word link with nothing.
     """
-    found = staged(jaccard_components(docs, k, threshold), "found")
-    gone = staged(found.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
-    again = staged(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
-    out = docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(*docs.columns)
+    signed, classes = linked_classes(docs, k, threshold, merge_ids=False)
+    found = signed.where("doc_id is not null").join(classes, "digest", "left").select("doc_id", "text_key", "digest", "root").distinct()
+    found = staged(found, "found")
+    first = found.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "digest", "text_key")).alias("x"))
+    kept = first.select("x.doc_id", "x.text_key")
+    gone = staged(found.where("root is not null").select("doc_id", "text_key").join(kept, ["doc_id", "text_key"], "left_anti"), "gone")
+    again = signed.where("doc_id is not null").groupBy("doc_id", "text_key").count().where("count > 1").select("doc_id", "text_key")
+    again = staged(again, "again")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"))
+    out = rows.join(broadcast_if_small(gone), ["doc_id", "text_key"], "left_anti")
     if again.isEmpty():
-        return out
+        return out.select("row.*")
     again = broadcast_if_small(again)
-    return out.join(again, "doc_id", "left_anti").select(*docs.columns).union(out.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    single, twice = out.join(again, ["doc_id", "text_key"], "left_anti"), out.join(again, ["doc_id", "text_key"], "left_semi")
+    return single.select("row.*").union(twice.dropDuplicates(["doc_id", "text_key"]).select("row.*"))
