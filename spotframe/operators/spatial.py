@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spotframe.expect import expect
 from spotframe.functions.columns import divide
+from spotframe.staging import staged
 
 
 def affine(rows: DataFrame, x: str, y: str, degrees: float, dx: float, dy: float, centre: tuple[float, float]) -> DataFrame:
@@ -30,12 +33,41 @@ def within(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     return a.join(b, ["part", "_cx", "_cy"]).withColumn("d2", d2).where(F.col("d2") <= radius * radius).select("part", "id", "other", "d2", "x", "y", "ox", "oy")
 
 
-def nearest_spot(moving: DataFrame, reference: DataFrame, radius: float, exclude_self: bool = False) -> DataFrame:
-    """(id, other, d2): the nearest reference spot of each moving one within ``radius``; ties go to the smaller id."""
-    pairs = within(moving, reference, radius)
+def nearest_spot(moving: DataFrame, reference: DataFrame, exclude_self: bool = False) -> DataFrame:
+    """(part, id, other, d2): the nearest reference spot of each moving one in its part; ties go to the smaller id.
+
+    Null other and d2 where the part has no reference spot, or with ``exclude_self`` none but the spot itself. There is no
+    radius: boxes of a quartered grid are searched from the whole part down to cells of a few spots, and of a spot's
+    boxes only those stay whose nearest corner isn't farther than the farthest corner of another one. So each spot keeps
+    a handful of boxes at every level, and no pair of far spots is ever formed.
+    """
+    spots = reference.select("part", F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"))
+    span = spots.groupBy("part").agg(F.min("ox").alias("x0"), F.min("oy").alias("y0"), F.greatest(F.max("ox") - F.min("ox"), F.max("oy") - F.min("oy")).alias("span"), F.count("*").alias("n"))
+    most = span.agg(F.max("n")).first()[0] or 1
+    levels = max(0, math.ceil(math.log(most / 4, 16))) if most > 4 else 0  # a level has 16 times the boxes of the one above
+    side = 1 << (2 * levels)
+    cell = lambda v, v0: F.least(F.lit(side - 1), F.coalesce(F.floor(divide(F.col(v) - F.col(v0), F.col("span")) * side), F.lit(0))).cast("long")
+    spots = staged(spots.join(span, "part").withColumns({"cx": cell("ox", "x0"), "cy": cell("oy", "y0")}).drop("x0", "y0", "span", "n"), "cells")
+    found = moving.select("part", "id", "x", "y").withColumns({"px": F.lit(0).cast("long"), "py": F.lit(0).cast("long")})
+    for level in range(levels + 1):
+        up = 2 * (levels - level)
+        boxes = spots.groupBy("part", F.shiftright("cx", up).alias("bx"), F.shiftright("cy", up).alias("by"))
+        boxes = boxes.agg(F.min("ox").alias("xl"), F.max("ox").alias("xh"), F.min("oy").alias("yl"), F.max("oy").alias("yh"), F.count("*").alias("n"))
+        boxes = boxes.withColumns({"px": F.shiftright("bx", 2 if level else 0), "py": F.shiftright("by", 2 if level else 0)})
+        near = [F.greatest(F.col(lo) - F.col(v), F.col(v) - F.col(hi), F.lit(0.0)) for v, lo, hi in (("x", "xl", "xh"), ("y", "yl", "yh"))]
+        far = [F.greatest(F.abs(F.col(v) - F.col(lo)), F.abs(F.col(v) - F.col(hi))) for v, lo, hi in (("x", "xl", "xh"), ("y", "yl", "yh"))]
+        # a box of one spot may hold just the spot itself, which is no bound for another one
+        bound = F.when((F.col("n") > 1) | F.lit(not exclude_self), far[0] * far[0] + far[1] * far[1])
+        met = found.join(boxes, ["part", "px", "py"]).withColumns({"near": near[0] * near[0] + near[1] * near[1], "far": bound})
+        least = F.min("far").over(Window.partitionBy("part", "id"))
+        met = met.withColumn("least", least).where(F.col("least").isNull() | (F.col("near") <= F.col("least")))
+        found = staged(met.select("part", "id", "x", "y", F.col("bx").alias("px"), F.col("by").alias("py")), "boxes")
+    d2 = (F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy"))
+    pairs = found.join(spots.withColumnsRenamed({"cx": "px", "cy": "py"}), ["part", "px", "py"])
     if exclude_self:
         pairs = pairs.where("id <> other")
-    return pairs.groupBy("part", "id").agg(F.min(F.struct("d2", "other")).alias("k")).select("part", "id", F.col("k.other").alias("other"), F.col("k.d2").alias("d2"))
+    best = pairs.groupBy("part", "id").agg(F.min(F.struct(d2.alias("d2"), F.col("other").alias("other"))).alias("k"))
+    return moving.select("part", "id").join(best, ["part", "id"], "left").select("part", "id", F.col("k.other").alias("other"), F.col("k.d2").alias("d2"))
 
 
 def square_overlap(moving: DataFrame, reference: DataFrame, side: float) -> DataFrame:
@@ -46,9 +78,9 @@ def square_overlap(moving: DataFrame, reference: DataFrame, side: float) -> Data
     return expect(hits, unique=[["part", "other"]])
 
 
-def nearest_median(source: DataFrame, target: DataFrame, radius: float) -> DataFrame:
-    """Per part: median distance of source spots to their nearest other target spot."""
-    return nearest_spot(source, target, radius, exclude_self=True).groupBy("part").agg(F.count("*").alias("n"), F.median(F.sqrt("d2")).alias("median_distance"))
+def nearest_median(source: DataFrame, target: DataFrame) -> DataFrame:
+    """Per part: source spots that have another target spot, and the median distance to the nearest of these."""
+    return nearest_spot(source, target, exclude_self=True).groupBy("part").agg(F.count("d2").alias("n"), F.median(F.sqrt("d2")).alias("median_distance"))
 
 
 def grid_neighbors(rows: DataFrame, part: list[str], row: str, col: str) -> DataFrame:
