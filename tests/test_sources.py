@@ -66,20 +66,45 @@ def test_json_and_tables(spark, tmp_path):
     assert tuple(readers.read_pairs(spark, q, "a", "b").first()) == ("01_02", "03_04")
 
 
-def test_binary(spark, tmp_path):
-    def box(kind, payload):
-        return gzip.compress(binary.SIGNATURE + bytes([kind]) + len(payload).to_bytes(8, "little") + payload)
+def container(kind, payload, signature=266563789635, size=None):
+    return gzip.compress(signature.to_bytes(8, "little") + kind.encode() + (len(payload) if size is None else size).to_bytes(8, "little") + payload)
+
+
+def runs(width, *pairs):
+    return bytes([width]) + b"".join(code.to_bytes(width, "little") + n.to_bytes(2, "little") for code, n in pairs)
 
-    runs = b"quiet\0active\0\0" + bytes([0, 2, 0, 1, 1, 0])
-    sites = b"chr1\0" + bytes([5]) + (0x8000 | 300).to_bytes(2, "big") + b"\0" + b"chr2\0" + bytes([7]) + b"\0"
-    (tmp_path / "m").write_bytes(box(2, runs))
-    (tmp_path / "s").write_bytes(box(7, sites))
+
+def test_binary(spark, tmp_path):
+    sites = b"chr1\0" + bytes([5, 0x81, 0x2C]) + b"\xff" + b"chr2\0" + (3 << 62 | 70_000).to_bytes(8, "big") + b"\x01"  # deltas 5, 300; 70000, 1
+    (tmp_path / "m").write_bytes(container("2", b"quiet\0active\0unused\0\0" + runs(1, (0, 2), (1, 2))))
+    (tmp_path / "s").write_bytes(container("7", sites))
     ref, mask = binary.read_site_reference(spark, str(tmp_path / "s")), binary.read_state_runs(spark, str(tmp_path / "m"))
-    assert sorted(tuple(r) for r in binary.site_states(ref, mask, ["quiet"]).collect()) == [("chr1", 5, "quiet"), ("chr1", 305, "quiet"), ("chr2", 7, "active")]
-    with pytest.raises(Violation):
-        binary.site_states(ref, mask, ["other"])
+    got = sorted(tuple(r) for r in binary.site_states(ref, mask, ["quiet"]).collect())
+    assert got == [("chr1", 4, "quiet"), ("chr1", 304, "quiet"), ("chr2", 69_999, "active"), ("chr2", 70_000, "active")]
+    labels = binary.read_state_labels(spark, str(tmp_path / "m"))
+    assert binary.site_states(ref, mask, ["unused"], labels).count() == 4
+    for states, rows in ((["other"], ref), ([], ref.limit(2))):
+        with pytest.raises(Violation):
+            binary.site_states(rows, mask, states, labels)
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 8])
+def test_binary_code_widths(width):
+    labels, code, n = binary.decode_runs(binary.payload_of(container("2", b"a\0b\0\0" + runs(width, (1, 65_535), (0, 1))), "2"))
+    assert (labels, code.tolist(), n.tolist()) == (["a", "b"], [1, 0], [65_535, 1])
+
+
+@pytest.mark.parametrize("kind, data", [
+    ("2", container("2", b"a\0\0" + runs(1, (0, 1)), signature=7)), ("7", container("2", b"a\0\0" + runs(1, (0, 1)))), ("2", gzip.compress(b"short")),
+    ("2", container("2", b"a\0\0" + runs(1, (0, 1)), size=3)), ("2", container("2", b"a\0")), ("2", container("2", b"a\0\0")), ("2", container("2", b"a\0\0" + runs(4, (0, 1)))),
+    ("2", container("2", b"a\0\0" + runs(1, (0, 1)) + b"x")), ("2", container("2", b"a\0\0" + runs(1, (1, 1)))), ("2", container("2", b"a\0\0" + runs(1, (0, 0)))), ("2", container("2", b"\xfe\0\0" + runs(1, (0, 1)))),
+    ("7", container("7", b"chr1")), ("7", container("7", b"\0\x05")), ("7", container("7", b"c\0\x05\xffc\0\x05")), ("7", container("7", b"c\0\x00")), ("7", container("7", b"c\0\x81")), ("7", container("7", b"c\0\xc1\x00")),
+    ("7", container("7", b"c\0" + (3 << 62 | 1 << 33).to_bytes(8, "big"))), ("7", container("7", b"\xfe\0\x05")),
+])
+def test_binary_errors(kind, data):
     with pytest.raises(Violation):
-        binary.site_states(ref.limit(2), mask)
+        payload = binary.payload_of(data, kind)
+        binary.decode_runs(payload) if kind == "2" else list(binary.decode_positions(payload))
 
 
 def test_bundle_and_sinks(spark, tmp_path):
