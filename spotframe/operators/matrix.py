@@ -77,6 +77,27 @@ def high_expression(counts: DataFrame, spot: str, gene: str, value: str, least:
     return scaled.join(cut, gene).where((F.col(value) >= least) & (F.col("scaled") >= F.col("cut"))).select(spot, gene, value)
 
 
+def complex_counts(counts: DataFrame, members: DataFrame, spot: str, gene: str, unit: str, value: str) -> DataFrame:
+    """(spot, unit, value): the least count of the unit's genes in each spot; spots that lack one of them have no row.
+
+    ``members``: unit, gene, one row per gene of a unit.
+    """
+    size = members.groupBy(unit).agg(F.count("*").alias("_size"))
+    found = counts.where(F.col(value) > 0).join(members, gene).groupBy(spot, unit).agg(F.count("*").alias("_n"), F.min(value).alias(value))
+    return found.join(size, unit).where("_n = _size").select(spot, unit, value)
+
+
+def high_complexes(counts: DataFrame, members: DataFrame, spot: str, gene: str, unit: str, value: str, least: int, quantile: float) -> DataFrame:
+    """(spot, unit, value): cells of ``complex_counts`` with ``least`` counts whose scaled value reaches the unit's quantile.
+
+    Values are scaled by the spot's total over all genes; the quantile runs over the unit's positive cells.
+    """
+    totals = counts.groupBy(spot).agg(F.sum(value).alias("_total"))
+    scaled = complex_counts(counts, members, spot, gene, unit, value).join(totals, spot).withColumn("_scaled", F.col(value) / F.col("_total") * 1e4)
+    cut = scaled.groupBy(unit).agg(F.percentile("_scaled", quantile).alias("_cut"))
+    return scaled.join(cut, unit).where((F.col(value) >= least) & (F.col("_scaled") >= F.col("_cut"))).select(spot, unit, value)
+
+
 def expression_groups(logged: DataFrame, spots: DataFrame, spot: str, gene: str, region: str) -> DataFrame:
     """(region, gene, mean, level): none for a mean of 0, low up to the median of all nonzero logged values, else high."""
     middle = logged.where("logged > 0").agg(F.median("logged").alias("middle"))

@@ -7,7 +7,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spotframe.expect import expect
 from spotframe.functions.columns import divide, unseen_share
+from spotframe.operators.tables import top_k
+from spotframe.staging import running_start
 
 
 def adjust_bh(rows: DataFrame, group: list[str], p: str, key: list[str], out: str = "p_adjusted") -> DataFrame:
@@ -66,13 +69,16 @@ def t_p_value(t: str, df: str) -> Column:
     return F.pandas_udf(run, "double")(t, df)
 
 
+# Coefficients of the expansion of the complementary error function.
+ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+
+
 def normal_p_value(z: Column) -> Column:
     """Two-sided p of a standard normal, by the rational expansion of the complementary error function (error < 1.2e-7)."""
     x = F.abs(z) / F.sqrt(F.lit(2.0))
     t = 1 / (1 + 0.5 * x)
-    coefficients = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
-    poly = F.lit(coefficients[-1])
-    for c in reversed(coefficients[:-1]):
+    poly = F.lit(ERFC[-1])
+    for c in reversed(ERFC[:-1]):
         poly = poly * t + c
     return F.least(F.lit(1.0), t * F.exp(-x * x + poly))
 
@@ -141,16 +147,39 @@ def wilcoxon(ranks: DataFrame) -> DataFrame:
     return ranks.withColumn("z", z).withColumn("p", F.when(z.isNull(), 1.0).otherwise(normal_p_value(z)))
 
 
-def gene_markers(logged: DataFrame, counts: DataFrame, spots: DataFrame, spot: str, gene: str, group: str, value: str) -> DataFrame:
-    """Per group and gene: z, p, adjusted p, log2 fold change of means over all spots, and the share of spots expressing it."""
-    tested = adjust_bh(wilcoxon(rank_sums(counts, spots, spot, gene, group, value)), [group], "p", [gene])
-    rows = logged.join(spots.select(spot, group), spot).groupBy(gene, group).agg(F.sum("logged").alias("s"), F.count("*").alias("k"))
+def gene_markers(normalized: DataFrame, spots: DataFrame, spot: str, gene: str, group: str) -> DataFrame:
+    """Per group and gene: n1, n, z, p, adjusted p, log2 fold change of means over all spots, and the share of spots expressing it.
+
+    ``normalized`` has scaled and logged values (see matrix.normalize); ranks run on the former, which orders as the latter.
+    """
+    tested = adjust_bh(wilcoxon(rank_sums(normalized, spots, spot, gene, group, "scaled")), [group], "p", [gene])
+    rows = normalized.where(F.col("scaled") > 0).join(spots.select(spot, group), spot).groupBy(gene, group).agg(F.sum("logged").alias("s"), F.count("*").alias("k"))
     totals = rows.groupBy(gene).agg(F.sum("s").alias("all_s"))
     out = tested.join(rows, [gene, group], "left").join(totals, gene, "left")
     inside = divide(F.coalesce("s", F.lit(0.0)), F.col("n1"))
     outside = divide(F.coalesce("all_s", F.lit(0.0)) - F.coalesce("s", F.lit(0.0)), F.col("n") - F.col("n1"))
     fold = F.log2((F.expm1(inside) + 1e-9) / (F.expm1(F.greatest(outside, F.lit(0.0))) + 1e-9))
-    return out.select(gene, group, "z", "p", "p_adjusted", fold.alias("log2_fold"), divide(F.coalesce("k", F.lit(0)), F.col("n1")).alias("fraction"))
+    return out.select(gene, group, "n1", "n", "z", "p", "p_adjusted", fold.alias("log2_fold"), divide(F.coalesce("k", F.lit(0)), F.col("n1")).alias("fraction"))
+
+
+def _finite(x: str) -> Column:
+    return F.col(x).isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+
+
+def rising_markers(tested: DataFrame, group: str, feature: str, score: str, effect: str, fdr: float = 0.05, top: int = 50) -> DataFrame:
+    """The ``top`` features of each group by score with a finite effect above 0 and adjusted p of at most ``fdr``, ranked from 1."""
+    kept = tested.where(_finite(effect) & _finite("p_adjusted") & (F.col(effect) > 0) & (F.col("p_adjusted") <= fdr))
+    return top_k(kept, [group], [F.desc(score), F.col(feature)], top)
+
+
+def cluster_markers(tested: DataFrame, group: str, gene: str, fdr: float = 0.05, least_fold: float = 0.25, least_fraction: float = 0.1, top: int = 100, least_spots: int = 2) -> DataFrame:
+    """The ``top`` genes of each cluster by z with adjusted p below ``fdr``, enough fold change and enough expressing spots.
+
+    Clusters of fewer than ``least_spots`` spots, inside or outside, have none.
+    """
+    sizes = (F.col("n1") >= least_spots) & (F.col("n") - F.col("n1") >= least_spots)
+    kept = tested.where(sizes & _finite("log2_fold") & _finite("p_adjusted") & (F.col("p_adjusted") < fdr) & (F.col("log2_fold") >= least_fold) & (F.col("fraction") >= least_fraction))
+    return top_k(kept, [group], [F.desc("z"), F.col(gene)], top)
 
 
 def guarded_correlation(rows: DataFrame, x: str, y: str) -> DataFrame:
@@ -162,11 +191,9 @@ def guarded_correlation(rows: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def average_rank(rows: DataFrame, value: str, out: str) -> DataFrame:
-    """Average ranks over the whole table, from counts of distinct values."""
-    levels = rows.groupBy(value).agg(F.count("*").alias("_c"))
-    below = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    levels = levels.withColumn(out, F.coalesce(F.sum("_c").over(below), F.lit(0)) + (F.col("_c") + 1) / 2).drop("_c")
-    return rows.join(levels, value)
+    """Average ranks over the whole table, from counts of distinct values that are summed up by ranges of values."""
+    levels = running_start(rows.groupBy(value).agg(F.count("*").alias("_c")), [value], {"_c": "_b"})
+    return rows.join(levels.select(value, (F.col("_b") + (F.col("_c") + 1) / 2).alias(out)), value)
 
 
 def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
@@ -178,7 +205,7 @@ def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
 def otsu_threshold(reads: DataFrame, value: str) -> DataFrame:
     """One row: n, bins and the threshold that parts log10 of positive values best; at least 1.
 
-    floor(sqrt(n)) bins within 32 and 256; the first split of largest between-class variance; its right edge, rounded up.
+    Fewer than two positive levels raise an error. floor(sqrt(n)) bins within 32 and 256; the first split of largest between-class variance; its right edge, rounded up.
     """
     logs = reads.where(F.col(value) > 0).select(F.log10(F.col(value).cast("double")).alias("x"))
     span = logs.agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
@@ -193,22 +220,30 @@ def otsu_threshold(reads: DataFrame, value: str) -> DataFrame:
     w1 = F.col("n") - F.col("w0")
     gap = divide(F.col("m0"), F.col("w0")) - divide(F.col("m") - F.col("m0"), w1)
     score = F.coalesce(F.col("w0") * w1 * gap * gap, F.lit(0.0))
-    best = dims.withColumn("score", F.round(score, 6)).agg(F.max_by(F.struct("n", "bins", "lo", "width", "bin"), F.struct("score", -F.col("bin"))).alias("k"))
+    best = dims.withColumn("score", F.round(score, 6)).agg(F.max_by(F.struct("n", "bins", "lo", "hi", "width", "bin"), F.struct("score", -F.col("bin"))).alias("k"))
     edge = F.col("k.lo") + (F.col("k.bin") + 1) * F.col("k.width")
-    return best.select(F.col("k.n").alias("n"), F.col("k.bins").alias("bins"), F.greatest(F.lit(1), F.ceil(F.round(F.pow(F.lit(10.0), edge), 6))).cast("long").alias("threshold"))
+    threshold = F.greatest(F.lit(1), F.ceil(F.round(F.pow(F.lit(10.0), edge), 6))).cast("long")
+    levels = F.when(F.col("k.lo") < F.col("k.hi"), threshold).otherwise(F.raise_error(F.lit("no threshold: fewer than two positive levels")).cast("long"))
+    return best.select(F.col("k.n").alias("n"), F.col("k.bins").alias("bins"), levels.alias("threshold"))
 
 
-def saturation_curve(depth: DataFrame, reads: DataFrame, step: int, least_reads: int) -> DataFrame:
-    """(target, n_spots, q25, q50, q75): expected distinct sites after thinning each spot to ``target`` reads.
+def saturation_curve(histogram: DataFrame, samples: DataFrame, step: float) -> DataFrame:
+    """(sample, target, fraction, n_spots, q25, q50, q75): expected distinct sites after thinning whole samples.
 
-    Only spots of more than ``least_reads`` reads count, each up to its own reads. ``depth``: spot, depth, site_count.
+    ``histogram``: sample, spot, reads, depth, site_count; ``samples``: sample, source, threshold. Targets are the multiples
+    of ``step`` up to the sample's source; at each, all spots of more reads than the threshold are thinned by target /
+    source. Raises Violation for bad values, spots with two numbers of reads, samples without such a spot or below a step.
     """
-    picked = reads.where(F.col("reads") > least_reads).select("spot", "reads").where(F.col("reads") >= step)
-    targets = picked.withColumn("target", F.explode(F.expr(f"sequence({step}L, (reads div {step}) * {step}L, {step}L)")))
-    share = F.col("target") / F.col("reads")
-    each = targets.join(depth, "spot").groupBy("target", "spot").agg(F.sum(F.col("site_count") * unseen_share(share, F.col("depth"))).alias("expected"))
-    quartiles = each.groupBy("target").agg(F.count("*").alias("n_spots"), F.percentile("expected", [0.25, 0.5, 0.75]).alias("q"))
-    return quartiles.select("target", "n_spots", *[F.col("q")[i].alias(f"q{p}") for i, p in enumerate((25, 50, 75))])
+    expect(histogram, not_empty=True, reads=F.col("reads") >= 0, depth=F.col("depth") > 0, site_count=F.col("site_count") > 0)
+    kept = histogram.join(samples, "sample").where(F.col("reads") > F.col("threshold"))
+    spots = histogram.groupBy("sample", "spot").agg(F.min("reads").alias("lo"), F.max("reads").alias("hi"))
+    good = spots.join(samples, "sample").groupBy("sample").agg(F.count_if(F.col("lo") > F.col("threshold")).alias("n"), F.bool_and(F.col("lo") == F.col("hi")).alias("same"), F.max("source").alias("source"))
+    expect(good, spots_above_the_threshold=F.col("n") > 0, one_number_of_reads_a_spot=F.col("same"), source_of_a_step=F.floor(F.col("source") / step) >= 1)
+    steps = F.explode(F.sequence(F.lit(1), F.floor(F.col("source") / step).cast("int")))
+    targets = kept.withColumn("k", steps).withColumn("target", F.col("k") * float(step)).withColumn("fraction", F.col("target") / F.col("source"))
+    each = targets.groupBy("sample", "target", "fraction", "spot").agg(F.sum(F.col("site_count") * unseen_share(F.col("fraction"), F.col("depth"))).alias("expected"))
+    quartiles = each.groupBy("sample", "target", "fraction").agg(F.count("*").alias("n_spots"), F.percentile("expected", [0.25, 0.5, 0.75]).alias("q"))
+    return quartiles.select("sample", "target", "fraction", "n_spots", *[F.col("q")[i].alias(f"q{p}") for i, p in enumerate((25, 50, 75))])
 
 
 def factor_r2(rows: DataFrame, keys: list[str], value: str) -> DataFrame:

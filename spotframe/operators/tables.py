@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spotframe.expect import Violation
 from spotframe.functions.columns import divide
+from spotframe.staging import broadcast_if_small
 
 
 def bin_rates(sites: DataFrame, width: int, spot: str | None = None) -> DataFrame:
@@ -33,7 +34,7 @@ def pair_counts(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 def state_detail(sites: DataFrame, states: DataFrame, spots: DataFrame, spot: str = "spot") -> DataFrame:
     """Per spot and state: matched sites and their mean rate; every pair is there, null rate where none matches."""
-    dims = spots.select(spot).distinct().crossJoin(F.broadcast(states.select("state").distinct()))
+    dims = spots.select(spot).distinct().crossJoin(broadcast_if_small(states.select("state").distinct()))
     found = sites.join(states, ["chrom", "pos"]).groupBy(spot, "state").agg(F.count("*").alias("n"), F.sum("pct").alias("s"))
     out = dims.join(found, [spot, "state"], "left")
     return out.select(spot, "state", F.coalesce("n", F.lit(0)).alias("site_count"), divide(F.col("s"), F.col("n") * 100).alias("rate"), F.coalesce("s", F.lit(0)).alias("pct_sum"))
@@ -47,7 +48,7 @@ def support_threshold(detail: DataFrame, spot: str, least_total: int, least_each
 
 def state_summary(detail: DataFrame, spots: DataFrame, spot: str, group: str, least_each: int) -> DataFrame:
     """Per group and state, empty pairs included: passing spots, their sites and the pooled rate."""
-    dims = spots.select(group).distinct().crossJoin(F.broadcast(detail.select("state").distinct()))
+    dims = spots.select(group).distinct().crossJoin(broadcast_if_small(detail.select("state").distinct()))
     found = detail.where(F.col("site_count") >= least_each).join(spots.select(spot, group), spot).groupBy(group, "state").agg(F.count("*").alias("n"), F.sum("site_count").alias("c"), F.sum("pct_sum").alias("s"))
     out = dims.join(found, [group, "state"], "left")
     return out.select(group, "state", F.coalesce("n", F.lit(0)).alias("n_spots"), F.coalesce("c", F.lit(0)).alias("n_sites"), divide(F.col("s"), F.col("c") * 100).alias("pooled_rate"))
@@ -55,7 +56,7 @@ def state_summary(detail: DataFrame, spots: DataFrame, spot: str, group: str, le
 
 def dense_means(rows: DataFrame, keys: dict[str, DataFrame], value: str) -> DataFrame:
     """Mean of ``value`` for every combination of the keys' members; combinations without rows have count 0."""
-    dims = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), [d.select(k).distinct() for k, d in keys.items()])
+    dims = reduce(lambda a, b: a.crossJoin(broadcast_if_small(b)), [d.select(k).distinct() for k, d in keys.items()])
     found = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.sum(value).alias("_s"))
     return dims.join(found, list(keys), "left").select(*keys, F.coalesce("_n", F.lit(0)).alias("n"), divide(F.col("_s"), F.col("_n")).alias("mean"))
 
@@ -83,7 +84,7 @@ def in_all(rows: DataFrame, key: str, member: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count_distinct(member).alias("_n")).crossJoin(F.broadcast(n)).where("_n = _all").select(key)
 
 
-def outer_union(rows: DataFrame, key: str, sample: str, annotation: str) -> DataFrame:
+def one_annotation(rows: DataFrame, key: str, sample: str, annotation: str) -> DataFrame:
     """(key, annotation, n_samples) over all samples; raises where samples annotate a key differently."""
     out = rows.groupBy(key).agg(F.count_distinct(annotation).alias("_kinds"), F.min(annotation).alias(annotation), F.count_distinct(sample).alias("n_samples"))
     if not out.where("_kinds > 1").isEmpty():
@@ -91,6 +92,26 @@ def outer_union(rows: DataFrame, key: str, sample: str, annotation: str) -> Data
     return out.drop("_kinds")
 
 
+def outer_union(rows: DataFrame, key: str, sample: str, annotation: str, value: str) -> DataFrame:
+    """(sample, key, annotation, value): for each sample every key of any sample, its summed value or 0.
+
+    Raises where samples annotate a key differently.
+    """
+    keys = one_annotation(rows, key, sample, annotation).drop("n_samples")
+    found = rows.groupBy(sample, key).agg(F.sum(value).alias(value))
+    dims = keys.crossJoin(broadcast_if_small(rows.select(sample).distinct()))
+    return dims.join(found, [sample, key], "left").select(sample, key, annotation, F.coalesce(value, F.lit(0)).alias(value))
+
+
+def inner_concat(rows: DataFrame, key: str, sample: str, annotation: str) -> DataFrame:
+    """The rows whose key occurs in every sample; raises where samples annotate a common key differently, or share none."""
+    common = in_all(rows, key, sample)
+    out = rows.join(common, key, "left_semi")
+    if one_annotation(out, key, sample, annotation).isEmpty():
+        raise Violation(f"{key}: the samples share none")
+    return out
+
+
 def membership_counts(rows: DataFrame, key: str, sets: list[Column]) -> DataFrame:
     """(mask, n): how many keys belong to exactly the sets whose bits the mask holds."""
     bits = reduce(lambda a, b: a.bitwiseOR(b), [F.when(s, F.lit(1 << i)).otherwise(F.lit(0)) for i, s in enumerate(sets)])
@@ -139,7 +160,7 @@ def status_ladder(rows: DataFrame, rungs: list[tuple[Column, str]], start: str)
 
 def downsample(rows: DataFrame, label: str, key: str, most: int, seed: int = 0) -> DataFrame:
     """At most ``most`` rows of each label, those of least seeded hash; the same rows at every run."""
-    order = Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
+    order = Window.partitionBy(label).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), key)
     return rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).drop("_r")
 
 

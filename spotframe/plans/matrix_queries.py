@@ -78,6 +78,16 @@ def high_expression(spark, d):
     return matrix.high_expression(view(spark, d, "counts"), "spot", "gene", "n", 30, 0.75)
 
 
+@query("""WITH m AS (SELECT gene AS unit, gene FROM {genes} WHERE gene % 3 = 0 UNION ALL SELECT gene AS unit, gene + 1 FROM {genes} WHERE gene % 3 = 0 AND gene % 2 = 0),
+    z AS (SELECT unit, count(*) AS k FROM m GROUP BY unit), t AS (SELECT spot, CAST(sum(n) AS DOUBLE) AS total FROM {counts} GROUP BY spot),
+    u AS (SELECT c.spot, m.unit, count(*) AS k, min(c.n) AS n FROM counts c JOIN m ON c.gene = m.gene GROUP BY 1, 2), x AS (SELECT u.spot, u.unit, u.n, u.n / total * 10000.0::DOUBLE AS sc FROM u JOIN z ON u.unit = z.unit AND u.k = z.k JOIN t ON t.spot = u.spot),
+    q AS (SELECT unit, quantile_cont(sc, 0.5) AS cut FROM x GROUP BY unit) SELECT x.spot, x.unit, x.n FROM x JOIN q ON x.unit = q.unit WHERE x.n >= 20 AND sc >= cut""")
+def complex_high_expression(spark, d):
+    genes = view(spark, d, "genes").where("gene % 3 = 0")
+    members = genes.select(F.col("gene").alias("unit"), "gene").union(genes.where("gene % 2 = 0").select(F.col("gene").alias("unit"), F.col("gene") + 1))
+    return matrix.high_complexes(view(spark, d, "counts"), members, "spot", "gene", "unit", "n", 20, 0.5)
+
+
 @query("SELECT count(*) AS rows_outside FROM {counts} c WHERE n <> 0 AND NOT EXISTS (SELECT 1 FROM {observed} o WHERE o.spot = c.spot AND o.feature = c.gene AND o.num > 0)")
 def outside_mask(spark, d):
     mask = view(spark, d, "observed").where("num > 0").select("spot", F.col("feature").alias("gene"))

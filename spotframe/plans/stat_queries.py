@@ -51,10 +51,48 @@ def wilcoxon_z(spark, d):
     return out.select("gene", "cluster", "n1", F.col("n"), F.col("rank_sum_x2").cast("long").alias("rank_sum_x2"), F.col("ties").cast("long").alias("ties"))
 
 
-@query()
+def _horner() -> str:
+    out = str(stats.ERFC[-1])
+    for c in reversed(stats.ERFC[:-1]):
+        out = f"({out} * t + {c})"
+    return out
+
+
+TESTED = f"""s AS (SELECT spot, cluster, count(*) OVER (PARTITION BY cluster) AS n1, count(*) OVER () AS n FROM {{spots}}), w AS (SELECT spot, gene, n * 10000.0::DOUBLE / sum(n) OVER (PARTITION BY spot) AS v FROM {{counts}}), g AS (SELECT DISTINCT gene FROM counts),
+    f AS (SELECT g.gene, s.cluster, s.n1, s.n, coalesce(w.v, 0) AS v FROM g CROSS JOIN s LEFT JOIN w ON w.gene = g.gene AND w.spot = s.spot),
+    r AS (SELECT *, 2 * rank() OVER (PARTITION BY gene ORDER BY v) + count(*) OVER (PARTITION BY gene, v) - 1 AS r2, count(*) OVER (PARTITION BY gene, v) AS t FROM f),
+    a AS (SELECT gene, cluster, CAST(any_value(n1) AS DOUBLE) AS n1, CAST(any_value(n) AS DOUBLE) AS n, CAST(sum(r2) AS DOUBLE) / 2 AS rs, CAST(sum(sum(t * t - 1)) OVER (PARTITION BY gene) AS DOUBLE) AS ties,
+      sum(ln(1 + v)) AS lg, count(*) FILTER (v > 0) AS k FROM r GROUP BY gene, cluster),
+    z AS (SELECT *, (rs - n1 * (n + 1) / 2) / nullif(sqrt(n1 * (n - n1) * (n + 1) / 12 * (1 - ties / (n * n * n - n))), 0) AS z, lg / n1 AS inside, (sum(lg) OVER (PARTITION BY gene) - lg) / (n - n1) AS outside FROM a),
+    e AS (SELECT *, abs(z) / sqrt(2) AS x, 1 / (1 + 0.5 * abs(z) / sqrt(2)) AS t FROM z),
+    p AS (SELECT *, CASE WHEN z IS NULL THEN 1.0 ELSE least(1.0, t * exp(-x * x + {_horner()})) END AS p FROM e),
+    o AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY p, gene) AS i, count(*) OVER (PARTITION BY cluster) AS m FROM p),
+    tested AS (SELECT gene, cluster, n1, n, z, p, min(least(1.0, p * m / i)) OVER (PARTITION BY cluster ORDER BY i DESC ROWS UNBOUNDED PRECEDING) AS p_adjusted,
+      log2((exp(inside) - 1 + 1e-9) / (exp(greatest(outside, 0)) - 1 + 1e-9)) AS log2_fold, k / n1 AS fraction FROM o)"""
+
+
+def _tested(spark, d):
+    return stats.gene_markers(matrix.normalize(view(spark, d, "counts"), "spot", "n"), view(spark, d, "spots"), "spot", "gene", "cluster")
+
+
+@query(f"WITH {TESTED} SELECT gene, cluster, round(z, 6) + 0.0 AS z, round(p, 6) AS p, round(p_adjusted, 6) AS p_adjusted, round(log2_fold, 6) + 0.0 AS log2_fold, round(fraction, 6) AS fraction FROM tested")
 def gene_markers(spark, d):
-    counts = view(spark, d, "counts")
-    return stats.gene_markers(matrix.normalize(counts, "spot", "n"), counts, view(spark, d, "spots"), "spot", "gene", "cluster", "n").where("p_adjusted <= 0.5")
+    signed = [(F.round(c, 6) + 0.0).alias(c) for c in ("z", "log2_fold")]
+    return _tested(spark, d).select("gene", "cluster", signed[0], F.round("p", 6).alias("p"), F.round("p_adjusted", 6).alias("p_adjusted"), signed[1], F.round("fraction", 6).alias("fraction"))
+
+
+@query(f"""WITH {TESTED}, k AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(z, 9) DESC, gene) AS rank FROM tested WHERE log2_fold > 0 AND p_adjusted <= 0.999)
+    SELECT cluster, gene, rank FROM k WHERE rank <= 20""")
+def rising_markers(spark, d):
+    tested = _tested(spark, d).withColumn("z", F.round("z", 9))
+    return stats.rising_markers(tested, "cluster", "gene", "z", "log2_fold", 0.999, 20).select("cluster", "gene", "rank")
+
+
+@query(f"""WITH {TESTED}, k AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(z, 9) DESC, gene) AS rank FROM tested WHERE n1 >= 2 AND n - n1 >= 2 AND p_adjusted < 0.999 AND log2_fold >= 0.25 AND fraction >= 0.1)
+    SELECT cluster, gene, rank FROM k WHERE rank <= 100""")
+def cluster_markers(spark, d):
+    tested = _tested(spark, d).withColumn("z", F.round("z", 9))
+    return stats.cluster_markers(tested, "cluster", "gene", fdr=0.999).select("cluster", "gene", "rank")
 
 
 @query("""WITH x AS (SELECT log10(CAST(reads AS DOUBLE)) AS x FROM {reads}), s AS (SELECT count(*) AS n, min(x) AS lo, max(x) AS hi, CAST(least(256, greatest(32, floor(sqrt(count(*))))) AS BIGINT) AS bins FROM x),
@@ -67,12 +105,15 @@ def otsu_threshold(spark, d):
     return stats.otsu_threshold(view(spark, d, "reads"), "reads")
 
 
-@query("""WITH h AS (SELECT spot, reads FROM {reads} WHERE reads > 3 AND reads >= 2), t AS (SELECT spot, reads, CAST(unnest(range(2, (reads // 2) * 2 + 1, 2)) AS BIGINT) AS target FROM h),
-    e AS (SELECT target, t.spot, sum(site_count * (1 - power(1 - CAST(target AS DOUBLE) / reads, depth))) AS x FROM t JOIN {depth} d ON t.spot = d.spot GROUP BY 1, 2)
-    SELECT target, count(*) AS n_spots, round(quantile_cont(x, 0.25), 6) AS q25, round(quantile_cont(x, 0.5), 6) AS q50, round(quantile_cont(x, 0.75), 6) AS q75 FROM e GROUP BY target""")
+@query("""WITH h AS (SELECT r.spot % 3 AS sample, r.spot, reads, depth, site_count, CAST(2 + r.spot % 3 AS DOUBLE) AS source FROM {reads} r JOIN {depth} d ON r.spot = d.spot WHERE reads > 3),
+    t AS (SELECT *, unnest(range(1, CAST(floor(source / 0.25) AS BIGINT) + 1)) * 0.25::DOUBLE AS target FROM h),
+    e AS (SELECT sample, target, target / source AS fraction, spot, sum(site_count * (1 - power(1 - target / source, depth))) AS x FROM t GROUP BY 1, 2, 3, 4)
+    SELECT sample, target, fraction, count(*) AS n_spots, round(quantile_cont(x, 0.25), 6) AS q25, round(quantile_cont(x, 0.5), 6) AS q50, round(quantile_cont(x, 0.75), 6) AS q75 FROM e GROUP BY 1, 2, 3""")
 def saturation_curve(spark, d):
-    out = stats.saturation_curve(view(spark, d, "depth"), view(spark, d, "reads"), 2, 3)
-    return out.select("target", "n_spots", *[F.round(f"q{p}", 6).alias(f"q{p}") for p in (25, 50, 75)])
+    histogram = view(spark, d, "reads").join(view(spark, d, "depth"), "spot").withColumn("sample", F.col("spot") % 3)
+    samples = spark.range(3).select(F.col("id").alias("sample"), (F.col("id") + 2.0).alias("source"), F.lit(3).alias("threshold"))
+    out = stats.saturation_curve(histogram, samples, 0.25)
+    return out.select("sample", "target", "fraction", "n_spots", *[F.round(f"q{p}", 6).alias(f"q{p}") for p in (25, 50, 75)])
 
 
 R2 = """c AS (SELECT {k} AS k, count(*) AS n, sum(value) AS s, sum(value * value) AS q FROM {{event}} GROUP BY 1), z AS (SELECT sum(n) AS n, count(*) AS g, sum(s) AS s, sum(q) AS q, sum(s * s / n) AS b FROM c)"""
@@ -103,15 +144,15 @@ def _points(spark, d, condition: str):
 
 
 @query("""WITH p AS (SELECT a.sample AS part, a.spot AS id, b.spot AS other, CAST((a.grid_row - b.grid_row) * (a.grid_row - b.grid_row) + (a.grid_col - b.grid_col) * (a.grid_col - b.grid_col) AS DOUBLE) AS d2 FROM {spots} a JOIN {spots} b ON a.sample = b.sample WHERE a.cluster = 0 AND b.cluster = 1)
-    SELECT part, id, other, d2 FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, other) AS k FROM p WHERE d2 <= 25) WHERE k = 1""")
+    SELECT s.sample AS part, s.spot AS id, other, d2 FROM spots s LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, other) AS k FROM p) q ON q.id = s.spot AND k = 1 WHERE cluster = 0""")
 def nearest_spot(spark, d):
-    return spatial.nearest_spot(_points(spark, d, "cluster = 0"), _points(spark, d, "cluster = 1"), 5.0)
+    return spatial.nearest_spot(_points(spark, d, "cluster = 0"), _points(spark, d, "cluster = 1"))
 
 
 @query("""WITH p AS (SELECT a.sample AS part, a.spot AS id, min((a.grid_row - b.grid_row) * (a.grid_row - b.grid_row) + (a.grid_col - b.grid_col) * (a.grid_col - b.grid_col)) AS d2 FROM {spots} a JOIN {spots} b ON a.sample = b.sample AND a.spot <> b.spot WHERE a.cluster <= 1 AND b.cluster <= 2 GROUP BY 1, 2)
-    SELECT part, count(*) AS n, round(median(sqrt(d2)), 9) AS median_distance FROM p WHERE d2 <= 64 GROUP BY part""")
+    SELECT part, count(*) AS n, round(median(sqrt(d2)), 9) AS median_distance FROM p GROUP BY part""")
 def nearest_excl_self_median(spark, d):
-    out = spatial.nearest_median(_points(spark, d, "cluster <= 1"), _points(spark, d, "cluster <= 2"), 8.0)
+    out = spatial.nearest_median(_points(spark, d, "cluster <= 1"), _points(spark, d, "cluster <= 2"))
     return out.withColumn("median_distance", F.round("median_distance", 9))
 
 
@@ -185,12 +226,16 @@ def wnn(spark, d):
     return graph.weighted_neighbors(unit(1), unit(33), 5, 20)
 
 
-@query()
+@query("""WITH v AS (SELECT spot, gene, n * 10000.0::DOUBLE / sum(n) OVER (PARTITION BY spot) AS v FROM {counts}), k AS (SELECT gene AS pair, gene AS ligand, gene + 20 AS receptor FROM {genes}),
+    w AS (SELECT a.spot AS id, b.spot AS other, exp(-10000.0::DOUBLE * ((a.grid_row - b.grid_row) * (a.grid_row - b.grid_row) + (a.grid_col - b.grid_col) * (a.grid_col - b.grid_col)) / (2 * 125 * 125)) AS w
+      FROM {spots} a JOIN spots b ON a.sample = b.sample AND (a.grid_row - b.grid_row) * (a.grid_row - b.grid_row) + (a.grid_col - b.grid_col) * (a.grid_col - b.grid_col) <= 6.25),
+    t AS (SELECT id, sum(w) AS t FROM w GROUP BY id), g AS (SELECT w.id, k.pair, k.receptor, sum(w.w * v.v) AS g FROM w JOIN v ON v.spot = w.other JOIN k ON k.ligand = v.gene GROUP BY 1, 2, 3)
+    SELECT g.id, g.pair, round(g.g / t.t * v.v, 6) AS score FROM g JOIN t ON t.id = g.id JOIN v ON v.spot = g.id AND v.gene = g.receptor""")
 def lr_score(spark, d):
     values = matrix.normalize(view(spark, d, "counts"), "spot", "n").select(F.col("spot").alias("id"), "gene", F.col("scaled").alias("value"))
     pairs = view(spark, d, "genes").select(F.col("gene").alias("pair"), F.col("gene").alias("ligand"), (F.col("gene") + 20).alias("receptor"))
     spots = _points(spark, d, "true").withColumns({"x": F.col("x") * 100, "y": F.col("y") * 100})
-    return spatial.pair_scores(values, spots, pairs)
+    return spatial.pair_scores(values, spots, pairs).withColumn("score", F.round("score", 6))
 
 
 @query("""WITH c AS (SELECT * FROM {counts}), r AS (SELECT spot, CAST(sum(n) AS DOUBLE) AS r FROM c GROUP BY spot), g AS (SELECT gene, CAST(sum(n) AS DOUBLE) AS c FROM c GROUP BY gene), t AS (SELECT sum(r) AS t FROM r), k AS (SELECT count(*) AS m FROM {spots}),

@@ -108,10 +108,24 @@ def set_intersect_n(spark, d):
     return tables.in_all(view(spark, d, "counts").join(view(spark, d, "spots").select("spot", "sample"), "spot"), "gene", "sample")
 
 
-@query("SELECT c.gene, min(symbol) AS symbol, count(DISTINCT sample) AS n_samples FROM {counts} c JOIN {spots} s ON c.spot = s.spot JOIN {genes} g ON c.gene = g.gene WHERE c.n > 20 GROUP BY c.gene")
+UNION_ROWS = """r AS (SELECT s.sample, c.gene, g.symbol, c.n FROM {counts} c JOIN {spots} s ON c.spot = s.spot JOIN {genes} g ON c.gene = g.gene WHERE c.n > 45)"""
+
+
+def _annotated(spark, d):
+    return view(spark, d, "counts").where("n > 45").join(view(spark, d, "spots").select("spot", "sample"), "spot").join(view(spark, d, "genes").select("gene", "symbol"), "gene")
+
+
+@query(f"""WITH {UNION_ROWS}, k AS (SELECT gene, min(symbol) AS symbol FROM r GROUP BY gene), d AS (SELECT DISTINCT sample FROM r), t AS (SELECT sample, gene, CAST(sum(n) AS BIGINT) AS n FROM r GROUP BY 1, 2)
+    SELECT d.sample, k.gene, k.symbol, coalesce(t.n, 0) AS n FROM k CROSS JOIN d LEFT JOIN t ON t.sample = d.sample AND t.gene = k.gene""")
 def outer_union_fill0(spark, d):
-    rows = view(spark, d, "counts").where("n > 20").join(view(spark, d, "spots").select("spot", "sample"), "spot").join(view(spark, d, "genes").select("gene", "symbol"), "gene")
-    return tables.outer_union(rows, "gene", "sample", "symbol")
+    return tables.outer_union(_annotated(spark, d), "gene", "sample", "symbol", "n")
+
+
+@query(f"""WITH {UNION_ROWS}, k AS (SELECT gene FROM r GROUP BY gene HAVING count(DISTINCT sample) = (SELECT count(DISTINCT sample) FROM r))
+    SELECT sample, gene, symbol, CAST(sum(n) AS BIGINT) AS n FROM r JOIN k USING (gene) GROUP BY 1, 2, 3""")
+def inner_concat(spark, d):
+    rows = tables.inner_concat(_annotated(spark, d), "gene", "sample", "symbol")
+    return rows.groupBy("sample", "gene", "symbol").agg(F.sum("n").alias("n"))
 
 
 @query("""WITH m AS (SELECT gene, bit_or(CASE WHEN cluster = 0 AND n > 20 THEN 1 ELSE 0 END | CASE WHEN cluster = 1 AND n > 20 THEN 2 ELSE 0 END | CASE WHEN cluster = 2 AND n > 20 THEN 4 ELSE 0 END) AS mask
@@ -185,7 +199,7 @@ def row_fractions(spark, d):
     return tables.row_fractions(counts, ["user_id"], "n")
 
 
-@query()
+@query("WITH x AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY md5('0:' || CAST(event_id AS VARCHAR)), event_id) AS r FROM {event}) SELECT event_id, event_type FROM x WHERE r <= 100")
 def hash_downsample(spark, d):
     return tables.downsample(view(spark, d, "event").select("event_id", "event_type"), "event_type", "event_id", 100)
 

@@ -253,3 +253,88 @@ def test_fixed_point_genes(spark):
     spots = spark.createDataFrame([(s,) for s in range(8)], "spot long")
     genes, kept = linalg.variable_fixed_point(counts, spots, 3)
     assert genes.count() == 3 and kept.count() == 8
+
+
+def test_nearest_spot_without_a_radius(spark):
+    rng = np.random.default_rng(4)
+    pts = lambda n, part, x0: [(part, int(i), float(x0 + x), float(y)) for i, (x, y) in enumerate(rng.integers(0, 60, (n, 2)))]
+    a = pts(150, "p", 0) + pts(20, "q", 0) + pts(3, "none", 0) + [("one", 7, 0.0, 0.0), ("far", 1, -1e6, 5.0)]
+    b = pts(200, "p", 500) + pts(30, "p", 0) + pts(1, "q", 9) + [("one", 7, 0.0, 0.0), ("far", 3, 1e6, 5.0), ("far", 2, 1e6, 5.0)]
+    b = [(p, 1000 + k if p == "p" else i, x, y) for k, (p, i, x, y) in enumerate(b)] + [x for x in a if x[0] == "p"][:40]
+    schema = "part string, id long, x double, y double"
+    for exclude in (False, True):
+        got = {(r["part"], r["id"]): (r["other"], r["d2"]) for r in spatial.nearest_spot(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), exclude).collect()}
+        for p, i, x, y in a:
+            others = sorted(((x - u) ** 2 + (y - v) ** 2, j) for q, j, u, v in b if q == p and not (exclude and i == j))
+            assert got[p, i] == ((others[0][1], others[0][0]) if others else (None, None))
+        assert len(got) == len(a)
+
+
+def test_saturation_and_threshold_errors(spark):
+    rows = [("s", "a", 10, 1, 5), ("s", "a", 10, 3, 2), ("s", "b", 2, 1, 9), ("s", "c", 8, 2, 4)]
+    schema = "sample string, spot string, reads int, depth int, site_count int"
+    samples = spark.createDataFrame([("s", 1.0, 3.0)], "sample string, source double, threshold double")
+    got = {r["target"]: r for r in stats.saturation_curve(spark.createDataFrame(rows, schema), samples, 0.5).collect()}
+    assert set(got) == {0.5, 1.0} and got[0.5]["n_spots"] == 2 and got[1.0]["q50"] == pytest.approx((7 + 4) / 2)
+    assert got[0.5]["q50"] == pytest.approx((5 * 0.5 + 2 * 0.875 + 4 * 0.75) / 2)
+    for bad in ([("s", "a", 1, 1, 5)], [*rows, ("s", "a", 11, 1, 1)], [*rows, ("s", "d", 9, 0, 1)], []):
+        with pytest.raises(Violation):
+            stats.saturation_curve(spark.createDataFrame(bad, schema), samples, 0.5)
+    with pytest.raises(Violation):
+        stats.saturation_curve(spark.createDataFrame(rows, schema), samples, 2.0)
+    for levels in ([], [5, 5, 0]):
+        with pytest.raises(Exception, match="two positive levels"):
+            stats.otsu_threshold(spark.createDataFrame([(x,) for x in levels], "reads int"), "reads").collect()
+
+
+def test_complexes_take_the_least_gene(spark):
+    counts = spark.createDataFrame([(1, "a", 5), (1, "b", 3), (2, "a", 9), (3, "a", 4), (3, "b", 8), (3, "c", 88)], "spot int, gene string, n int")
+    members = spark.createDataFrame([("ab", "a"), ("ab", "b"), ("a", "a"), ("ax", "a"), ("ax", "x")], "unit string, gene string")
+    got = {(r["spot"], r["unit"]): r["n"] for r in matrix.complex_counts(counts, members, "spot", "gene", "unit", "n").collect()}
+    assert got == {(1, "ab"): 3, (3, "ab"): 4, (1, "a"): 5, (2, "a"): 9, (3, "a"): 4}
+    high = matrix.high_complexes(counts, members, "spot", "gene", "unit", "n", 3, 0.5)
+    assert {(r["spot"], r["unit"]) for r in high.collect()} == {(1, "ab"), (2, "a"), (1, "a")}
+
+
+def test_unions_check_annotations(spark):
+    rows = [("g1", "s1", "x", 2), ("g1", "s2", "x", 3), ("g2", "s1", "y", 4)]
+    df = spark.createDataFrame(rows, "gene string, sample string, symbol string, n long")
+    assert {(r["sample"], r["gene"]): r["n"] for r in tables.outer_union(df, "gene", "sample", "symbol", "n").collect()} == {("s1", "g1"): 2, ("s2", "g1"): 3, ("s1", "g2"): 4, ("s2", "g2"): 0}
+    assert {r["gene"] for r in tables.inner_concat(df, "gene", "sample", "symbol").collect()} == {"g1"}
+    other = spark.createDataFrame([*rows, ("g1", "s3", "z", 1)], df.schema)
+    for f in (lambda x: tables.outer_union(x, "gene", "sample", "symbol", "n"), lambda x: tables.inner_concat(x, "gene", "sample", "symbol")):
+        with pytest.raises(Violation):
+            f(other)
+
+
+def test_residual_variance_and_pca_against_numpy(spark):
+    rng = np.random.default_rng(3)
+    x = rng.poisson(1.2, (40, 12)).astype(float)
+    x[5] = 0
+    part = np.arange(40) % 2
+    counts = spark.createDataFrame([(i, j, int(v)) for (i, j), v in np.ndenumerate(x) if v], "spot long, gene long, n long")
+    spots = spark.createDataFrame([(i, int(p)) for i, p in enumerate(part)], "spot long, sample long")
+
+    def residuals(x):
+        mu = x.sum(1)[:, None] * x.sum(0) / x.sum()
+        with np.errstate(invalid="ignore"):
+            return np.clip(np.nan_to_num((x - mu) / np.sqrt(mu + mu * mu / 100)), -np.sqrt(len(x)), np.sqrt(len(x)))
+
+    got = {r["gene"]: r["variance"] for r in linalg.residual_variance(counts, spots).collect()}
+    assert [got[j] for j in range(12)] == pytest.approx(residuals(x).var(0))
+    got = {(r["sample"], r["gene"]): r["variance"] for r in linalg.residual_variance(counts, spots, part=["sample"]).collect()}
+    for p in (0, 1):
+        assert [got[p, j] for j in range(12)] == pytest.approx(residuals(x[part == p]).var(0))
+    genes = spark.createDataFrame([(j,) for j in range(8)], "gene long")
+    scores, _, deviations = linalg.residual_pca(counts, spots, genes, 3, iterations=15)
+    r = residuals(x[:, :8])
+    exact = np.linalg.svd(r - r.mean(0))[1][:3] / np.sqrt(39)
+    assert deviations == pytest.approx(exact, rel=2e-2) and scores.count() == 40
+
+
+def test_average_ranks_over_ranges(spark):
+    rng = np.random.default_rng(6)
+    x, y = rng.integers(0, 40, 300), rng.integers(0, 300, 300)
+    got = stats.spearman(spark.createDataFrame([(int(a), int(b)) for a, b in zip(x, y, strict=True)], "x int, y int"), "x", "y").first()
+    rank = lambda v: np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v])
+    assert got["spearman"] == pytest.approx(np.corrcoef(rank(x), rank(y))[0, 1])
