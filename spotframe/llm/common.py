@@ -1,43 +1,14 @@
-"""Checked broadcasts, prefix sums and connected components; staged tables are the library's."""
+"""Connected components; staged tables, checked broadcasts and ordered sums are the library's."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spotframe.staging import new_folder, release, staged
-
-#: Rows up to which a side may be broadcast; beyond it Spark's own shuffled joins are used.
-BROADCAST_ROWS = 500_000
+from spotframe.staging import BROADCAST_ROWS, broadcast_if_small, new_folder, release, running_start, shuffle_width, staged
 
 __all__ = ["BROADCAST_ROWS", "broadcast_if_small", "components", "new_folder", "release", "running_start", "shuffle_width", "staged"]
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint only where a staged table has at most ``limit`` rows."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def running_start(df: DataFrame, order: list[str], values: dict[str, str]) -> DataFrame:
-    """For each {value column: new column}: the sum over all rows before each row in the order of ``order``.
-
-    Rows are range-partitioned and staged; only one total per partition meets in one place. Rows equal
-    in ``order`` are taken one after another in any order. Nulls come first; a null value counts as 0.
-    """
-    ranged = df.repartitionByRange(shuffle_width(df.sparkSession), *order)
-    ranged = staged(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()), "ranged")
-    filled = {v: F.coalesce(F.col(v), F.lit(0)).cast("long") for v in values}
-    totals = ranged.groupBy("_part").agg(*[F.sum(x).alias(f"_t_{v}") for v, x in filled.items()])
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("_part", *[F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_b_{v}") for v in values])
-    inside = Window.partitionBy("_part").orderBy(*order, "_row").rowsBetween(Window.unboundedPreceding, -1)
-    local = ranged.select("*", *[F.coalesce(F.sum(x).over(inside), F.lit(0)).alias(f"_l_{v}") for v, x in filled.items()])
-    out = local.join(F.broadcast(bases), "_part").withColumns({new: (F.col(f"_b_{v}") + F.col(f"_l_{v}")).cast("long") for v, new in values.items()})
-    return out.drop("_part", "_row", *[f"_{x}_{v}" for x in "bl" for v in values])
-
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): the smallest node that each node of ``edges`` reaches. Nodes without an edge are absent.
