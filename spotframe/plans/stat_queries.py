@@ -216,7 +216,7 @@ def masked_diffusion_t(spark, d):
 
 @query()
 def leiden(spark, d):
-    return graph.communities(graph.shared_neighbors(_knn(spark, d, 10), 10, False))
+    return graph.communities(graph.shared_neighbors(_knn(spark, d, 10), 10, False), repeats=2)
 
 
 @query()
