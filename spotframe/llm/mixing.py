@@ -87,17 +87,26 @@ def mix_plan(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: floa
     targets = targets.withColumn("copies", F.least(F.floor(F.col("goal") / size), F.lit(int(most)))).fillna(0, ["copies"]).withColumn("budget", F.col("goal") - F.col("copies") * F.col("source_size"))
     # prefix: the hash bits fixed so far; left: words of the budget still free below that prefix's end
     edge = targets.select(F.col("source").alias("s"), F.lit(0).cast("long").alias("prefix"), F.col("budget").alias("left"))
-    rows = sizes.select("source", "h", "size")
+    rows, settled = sizes.select("source", "h", "size"), []
     for used in range(BITS, ALL_BITS + 1, BITS):
         key = F.shiftright("h", ALL_BITS - used)
         same = rows["source"].eqNullSafe(edge["s"])
         inside = rows.join(broadcast_if_small(edge, SOURCES), same & (F.shiftright(rows["h"], ALL_BITS - used + BITS) == edge["prefix"])).select("source", "h", "size", "left")
-        cells = inside.groupBy("source", key.alias("cell")).agg(F.sum("size").alias("words"), F.max("left").alias("left"))
+        cells = inside.groupBy("source", key.alias("cell")).agg(F.sum("size").alias("words"), F.max("left").alias("left"), F.min("h").alias("lo"), F.max("h").alias("hi"))
         running = F.sum("words").over(Window.partitionBy("source").orderBy("cell"))
         cells = cells.withColumn("upto", running)
         # the first bucket whose end passes the budget; none if the budget covers all
-        crossing = cells.where(F.col("upto") > F.col("left")).groupBy("source").agg(F.min(F.struct("cell", "upto", "words", "left")).alias("c"))
-        edge = staged(crossing.select(F.col("source").alias("s"), F.col("c.cell").alias("prefix"), (F.col("c.left") - F.col("c.upto") + F.col("c.words")).alias("left")), "edge")
+        crossing = cells.where(F.col("upto") > F.col("left")).groupBy("source").agg(F.min(F.struct("cell", "upto", "words", "left", "lo", "hi")).alias("c"))
+        found = staged(crossing.select(F.col("source").alias("s"), F.col("c.cell").alias("prefix"), (F.col("c.left") - F.col("c.upto") + F.col("c.words")).alias("left"), "c.lo", "c.hi"), "edge")
+        # a bucket of one hash needs no more bits
+        settled.append(found.where("lo = hi").select("s", F.col("lo").alias("prefix"), "left"))
+        edge = found.where("lo < hi").select("s", "prefix", "left")
+        if edge.isEmpty():
+            break
+    edge = settled[0]
+    for x in settled[1:]:
+        edge = edge.union(x)
+    edge = staged(edge, "edge")
     # rows at the boundary hash: one class per size
     rows = sizes.select("source", "h", "size")
     at_edge = rows.join(broadcast_if_small(edge, SOURCES), rows["source"].eqNullSafe(edge["s"]) & (rows["h"] == edge["prefix"])).groupBy("source", "h", "size", "left").agg(F.count("*").alias("n"))

@@ -270,6 +270,9 @@ def test_chat(spark):
     pair = spark.createDataFrame([(x,) for x in texts if x is not None], "x string")
     for r in pair.select("x", escape(F.col("x")).alias("e"), unescape(escape(F.col("x"))).alias("back")).collect():
         assert r["back"] == r["x"] and not any(c in r["e"] for c in ("<s>", "</s>", "<sep>", "[INST]", "[/INST]"))
+    long = spark.createDataFrame([(1, i, ("user", "assistant")[i % 3 > 0], f"turn {i} <s> text") for i in range(4000)], "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in format_and_read(long).collect()}
+    assert got == B.chat([(1, i, ("user", "assistant")[i % 3 > 0], f"turn {i} <s> text") for i in range(4000)])
     merged = format_conversations(spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "user", "b"), (1, 2, "assistant", "c")], "conv_id long, turn long, role string, text string"))
     assert merged.first()["formatted"] == "[INST]user\na<sep>b[/INST]<s>assistant\nc</s>"
     assert digests(merged).first()["loss_chars"] == 1

@@ -94,3 +94,26 @@ def test_stages_and_run(spark, folder):
     whole = P.run(spark, folder)
     key = lambda r: (r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"])
     assert sorted(map(key, whole.collect())) == sorted(map(key, rows[5]))
+
+
+def test_stages_on_repeated_rows_clashes_and_no_rows(spark, folder):
+    import corpus_pipeline as P
+
+    rng = random.Random(5)
+    text = " ".join(rng.choice(PLAIN) + str(rng.randrange(1000)) for _ in range(80))
+    other = " ".join(rng.choice(PLAIN) + str(rng.randrange(1000)) for _ in range(80))
+    rows = [(1, text, "en", "a", 0)] * 2 + [(1, other, "en", "a", 0), (None, other + " more", None, None, None), (7, "", "en", "b", 0), (8, None, "en", "b", 0)]
+    clash = ["row", "size", "h", "base", "spans", "taken", "digest", "root", "text_key", "row_key", "kept", "ids", "length", "s", "k"]
+    docs = spark.createDataFrame(rows, COLUMNS)
+    for c in clash:
+        docs = docs.withColumn(c, docs["doc_id"] * 0)
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns, name
+        ids = Counter(r["doc_id"] for r in out.collect())
+        if name == "n-gram jaccard join":
+            assert ids == {1: 2, None: 1, 7: 1, 8: 1}
+        elif name == "secret scans":
+            assert ids == {1: 3, None: 1, 7: 1, 8: 1}
+        assert stage(spark, docs.limit(0), folder).count() == 0
+    assert P.STAGES[-1][1](spark, docs, folder).count() == 6 and P.STAGES[-1][1](spark, docs.limit(0), folder).count() == 0
