@@ -25,6 +25,8 @@ from .common import broadcast_if_small, running_start, shuffle_width, staged
 BITS, ALL_BITS = 15, 60
 #: Production limit of a shard, in bytes of text.
 SHARD_BYTES = 64 << 20
+#: Entries of the directory up to which it may be broadcast.
+ENTRIES = 20_000
 #: Size classes of the rows of an overflowing shard.
 CLASSES = 10
 
@@ -106,7 +108,7 @@ def _placed(rows: DataFrame, leaves: DataFrame, limit: int) -> DataFrame:
     """``rows`` (doc_id, n_bytes, h, t and more) with depth, prefix and page."""
     bits, entries = lookup(leaves)
     mine = F.expr(f"filter(leaves, x -> shiftright(h, {ALL_BITS} - x.depth) = x.prefix)")
-    found = rows.withColumn("cell", F.shiftright("h", ALL_BITS - bits)).join(broadcast_if_small(entries), "cell").select(*rows.columns, F.inline(mine))
+    found = rows.withColumn("cell", F.shiftright("h", ALL_BITS - bits)).join(broadcast_if_small(entries, ENTRIES), "cell").select(*rows.columns, F.inline(mine))
     out = found.withColumn("page", F.lit(0).cast("long"))
     if leaves.where("over").isEmpty():
         return out
@@ -126,7 +128,7 @@ def shard(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
     sizes = staged(docs.select(*_sizes(docs)), "sizes")
     both = staged(_placed(sizes, directory(sizes, limit), limit).select("doc_id", "n_bytes", "depth", "prefix", "page"), "placed")
     totals = staged(both.groupBy("depth", "prefix", "page").agg(F.count("*").alias("shard_docs"), F.sum("n_bytes").alias("shard_bytes")), "totals")
-    out = both.join(broadcast_if_small(totals), ["depth", "prefix", "page"])
+    out = both.join(broadcast_if_small(totals, ENTRIES), ["depth", "prefix", "page"])
     return out.select("doc_id", "n_bytes", "depth", _bits(F.col("prefix"), F.col("depth")).alias("shard"), "page", "shard_docs", "shard_bytes", (F.col("shard_bytes") <= limit).alias("fits"))
 
 
