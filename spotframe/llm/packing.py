@@ -30,8 +30,8 @@ from .common import broadcast_if_small, shuffle_width, staged
 from .kernel import tidy
 from .tokens import encoder, ids_crc
 
-#: Parts that pieces are dealt into for ranking, a shuffle partition.
-DEALS = 4
+#: Parts of even size that pieces are dealt into for ranking, a shuffle partition; what a piece weighs besides its tokens.
+DEALS, PIECE_WEIGHT = 16, 32
 _PIECE = ["doc_id", "piece", "start", "length", "ids"]
 
 
@@ -116,8 +116,9 @@ def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), cut: str =
     segments = segments[np.lexsort((segments[:, 1], segments[:, 0]))]
     plan = docs.sparkSession.sparkContext.broadcast(segments)
     # a class is dealt into parts of even size, at most limits.tokens + DEALS * shuffle_width parts in all
-    share = max(1, sum(counts.values()) // (DEALS * shuffle_width(docs.sparkSession)))
-    parts = [max(1, -(-counts.get(n, 0) // share)) for n in range(1, limits.tokens + 1)]
+    weight = {n: c * (n + PIECE_WEIGHT) for n, c in counts.items()}
+    share = max(1, sum(weight.values()) // (DEALS * shuffle_width(docs.sparkSession)))
+    parts = [max(1, -(-weight.get(n, 0) // share)) for n in range(1, limits.tokens + 1)]
     dealt = F.pmod(F.xxhash64("row"), F.element_at(F.from_json(F.lit(json.dumps(parts)), "array<bigint>"), F.col("length").cast("int")))
     found = found.withColumn("dealt", dealt)
     sums = found.groupBy("length", "dealt").agg(F.count("*").alias("n"))
