@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,23 +22,37 @@ class Bundle:
         return self.tables[name]
 
 
+def _into(spark: SparkSession, folder: str, write: Callable[[str], None]) -> None:
+    """Let ``write`` fill a folder beside ``folder``, which then takes its name; an existing one is an error."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(target):
+        raise FileExistsError(folder)
+    parent, _, name = folder.rstrip("/").rpartition("/")
+    path = f"{parent}/.{name}-{uuid.uuid4().hex}"
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        write(path)
+        if not fs.rename(own, target):
+            raise OSError(f"{path} can't be renamed to {folder}")
+    except BaseException:
+        fs.delete(own, True)
+        raise
+
+
 def write_bundle(spark: SparkSession, bundle: Bundle, folder: str) -> None:
-    """Write all tables, then the manifest that makes the bundle readable; an existing bundle is an error.
+    """Write all tables and the manifest beside ``folder``, then rename them there; an existing bundle is an error.
 
     If a table fails, what has been written is removed.
     """
-    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(where):
-        raise FileExistsError(folder)
-    try:
+
+    def write(path: str) -> None:
         for name, df in bundle.tables.items():
-            df.write.mode("errorifexists").option("compression", "zstd").parquet(f"{folder}/{name}")
+            df.write.mode("errorifexists").option("compression", "zstd").parquet(f"{path}/{name}")
         manifest = {"tables": sorted(bundle.tables), "meta": bundle.meta}
-        spark.createDataFrame([(json.dumps(manifest, sort_keys=True, allow_nan=False),)], "value string").coalesce(1).write.text(f"{folder}/_manifest")
-    except BaseException:
-        fs.delete(where, True)
-        raise
+        spark.createDataFrame([(json.dumps(manifest, sort_keys=True, allow_nan=False),)], "value string").coalesce(1).write.text(f"{path}/_manifest")
+
+    _into(spark, folder, write)
 
 
 def read_bundle(spark: SparkSession, folder: str, names: list[str] | None = None) -> Bundle:
@@ -51,15 +67,27 @@ def read_bundle(spark: SparkSession, folder: str, names: list[str] | None = None
 def write_gene_bins(rows: DataFrame, folder: str) -> None:
     """Gene-bin rates as zstd Parquet, in ranges of genes, rows sorted by gene, spot and bin."""
     out = rows.repartitionByRange("gene").sortWithinPartitions("gene", "spot", "bin")
-    out.write.mode("errorifexists").option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(folder)
+    options = {"compression": "zstd", "parquet.compression.codec.zstd.level": 3, "parquet.block.row.count.limit": 100_000}
+    _into(rows.sparkSession, folder, lambda path: out.write.options(**options).parquet(path))
 
 
 def write_delimited(rows: DataFrame, folder: str, sep: str = "\t", compressed: bool = False, digits: int | None = None) -> None:
     """Delimited text with a header; doubles with a fixed number of digits where asked for."""
     if digits is not None:
         rows = rows.select(*[F.format_string(f"%.{digits}f", f.name).alias(f.name) if f.dataType.simpleString() in ("double", "float") else F.col(f.name) for f in rows.schema])
-    out = rows.write.mode("errorifexists").option("sep", sep).option("header", True)
-    (out.option("compression", "gzip") if compressed else out).csv(folder)
+    out = rows.write.option("sep", sep).option("header", True)
+    _into(rows.sparkSession, folder, (out.option("compression", "gzip") if compressed else out).csv)
+
+
+def write_factors(usages: DataFrame, loadings: DataFrame, k: int, folder: str) -> None:
+    """Factors (id, vec of k values) as two tables of text, usages and loadings, a column for each pattern."""
+
+    def write(path: str) -> None:
+        for name, factor in (("usages", usages), ("loadings", loadings)):
+            wide = factor.select("id", *[F.col("vec")[i].alias(f"pattern_{i + 1}") for i in range(k)])
+            wide.write.option("header", True).csv(f"{path}/{name}")
+
+    _into(usages.sparkSession, folder, write)
 
 
 def write_statistics(spark: SparkSession, values: dict, folder: str) -> None:

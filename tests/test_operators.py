@@ -338,3 +338,31 @@ def test_average_ranks_over_ranges(spark):
     got = stats.spearman(spark.createDataFrame([(int(a), int(b)) for a, b in zip(x, y, strict=True)], "x int, y int"), "x", "y").first()
     rank = lambda v: np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v])
     assert got["spearman"] == pytest.approx(np.corrcoef(rank(x), rank(y))[0, 1])
+
+
+def test_cohort_errors_and_edges(spark):
+    from spotframe.operators import cohorts
+
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c")], "k int, v string")
+    one = spark.createDataFrame([(1, 5), (2, 6)], "k int, w int")
+    assert cohorts.lookup(rows, one, "k").count() == 3
+    for bad in (lambda: cohorts.lookup(rows, one.where("k = 1"), "k"), lambda: cohorts.lookup(one, rows, "k"), lambda: cohorts.one_to_one([one, rows], "k"), lambda: cohorts.members_only(one, "k", [1, 7])):
+        with pytest.raises(Violation):
+            bad()
+    vec = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "k int, vec array<double>")
+    assert {r["k"]: r["vec"] for r in cohorts.stack_vectors([vec, vec], "k", "vec").collect()} == {1: [1.0, 1.0], 2: [2.0, 2.0]}
+    with pytest.raises(Violation):
+        cohorts.stack_vectors([vec, vec.where("k = 1")], "k", "vec")
+    with pytest.raises(Violation):
+        cohorts.reference_summary(spark.createDataFrame([("a", 1), (" ", 2)], "label string, umi int"), "label", "umi", 1, 1, 1)
+    numbers = spark.createDataFrame([(0.5, 0.5), (1.5, 2.0), (-2.5, float("inf")), (float("nan"), 1.0), (None, 1.0)], "x double, y double")
+    got = numbers.select(cohorts.round_half_even(F.when(~F.isnan("x"), F.col("x"))).alias("r"), cohorts.is_close(F.col("x"), F.col("y"), absolute=0.6).alias("c")).collect()
+    assert [r["r"] for r in got] == [0, 2, -2, None, None] and [r["c"] for r in got] == [True, True, False, False, False]
+    names = spark.createDataFrame([(1, "A b"), (2, "A?b"), (3, "***")], "k int, name string")
+    assert [r["slug"] for r in cohorts.file_slugs(names, "name", "k").orderBy("k").collect()] == ["A-b", "A-b-2", "annotation"]
+    with pytest.raises(Violation):
+        cohorts.file_slugs(names.union(spark.createDataFrame([(0, "A-b-2")], names.schema)), "name", "k").count()
+    genes = spark.createDataFrame([(1, "c", 100, 200, "+"), (2, "c", 300, 400, "-")], "gene int, chrom string, lo long, hi long, strand string")
+    regions = spark.createDataFrame([(i, "c", a, b) for i, (a, b) in enumerate([(90, 100), (90, 101), (101, 110), (400, 410), (390, 399)])], "region int, chrom string, lo long, hi long")
+    got = {r["region"]: (r["gene"], r["distance"]) for r in cohorts.signed_tss_distance(regions, genes, "region", "gene").collect()}
+    assert got == {0: (1, -1), 1: (1, 0), 2: (1, 1), 3: (2, -1), 4: (2, 1)}

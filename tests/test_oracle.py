@@ -10,7 +10,7 @@ duckdb = pytest.importorskip("duckdb")
 DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
 
-from spotframe.plans import genome_queries, matrix_queries, registry, stat_queries, table_queries  # noqa: E402, F401
+from spotframe.plans import cohort_queries, genome_queries, matrix_queries, registry, stat_queries, table_queries  # noqa: E402, F401
 
 
 @pytest.fixture(scope="module")

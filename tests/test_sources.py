@@ -116,6 +116,12 @@ def test_bundle_and_sinks(spark, tmp_path):
         bundle.write_bundle(spark, bundle.Bundle({"cells": rows}), f"{tmp_path}/b")
     with pytest.raises(KeyError):
         bundle.read_bundle(spark, f"{tmp_path}/b", ["none"])
+    with pytest.raises(Exception, match="zero"):  # nothing is left of a bundle that fails
+        bundle.write_bundle(spark, bundle.Bundle({"fine": rows, "broken": rows.selectExpr("raise_error('zero')")}), f"{tmp_path}/x")
+    assert not [x for x in tmp_path.iterdir() if "x" in x.name]
+    factor = spark.createDataFrame([(1, [0.5, 2.0])], "id int, vec array<double>")
+    bundle.write_factors(factor, factor, 2, f"{tmp_path}/f")
+    assert [tuple(r) for r in spark.read.option("header", True).csv(f"{tmp_path}/f/loadings").collect()] == [("1", "0.5", "2.0")]
     bundle.write_gene_bins(rows, f"{tmp_path}/g")
     assert spark.read.parquet(f"{tmp_path}/g").count() == 2
     bundle.write_delimited(rows, f"{tmp_path}/t", compressed=True, digits=3)
