@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from spotframe.expect import expect
 from spotframe.functions.columns import divide
 from spotframe.operators.linalg import fit_factor, nmf_runs, run_sums
-from spotframe.staging import staged
+from spotframe.staging import running_start, staged
 
 
 def split_complexes(pairs: DataFrame, unit: str, ids: str, symbols: str) -> DataFrame:
@@ -52,10 +52,13 @@ def list_score(values: DataFrame, spots: DataFrame, members: DataFrame, bins: in
     """
     n = spots.select("spot").distinct().agg(F.count("*").alias("n"))
     mean = values.groupBy("gene").agg(F.sum("value").alias("s")).crossJoin(F.broadcast(n)).select("gene", divide(F.col("s"), F.col("n")).alias("m"))
-    binned = mean.withColumn("bin", F.ntile(bins).over(Window.orderBy("m", "gene")))
+    ranked = staged(running_start(mean.withColumn("one", F.lit(1)), ["m", "gene"], {"one": "rank"}).drop("one"), "ranked")
+    each, more = divmod(ranked.count(), bins)  # the first ``more`` bins hold one gene more
+    after = F.lit(more) + F.floor((F.col("rank") - more * (each + 1)) / max(each, 1))
+    binned = ranked.withColumn("bin", F.when(F.col("rank") < more * (each + 1), F.floor(F.col("rank") / (each + 1))).otherwise(after))
     listed = binned.join(members.select("gene"), "gene", "left_semi")
     pool = binned.join(listed.select("bin").distinct(), "bin", "left_semi").join(members.select("gene"), "gene", "left_anti")
-    drawn = pool.withColumn("r", F.row_number().over(Window.partitionBy("bin").orderBy(F.xxhash64("gene", F.lit(seed)), "gene"))).where(F.col("r") <= controls)
+    drawn = pool.withColumn("r", F.row_number().over(Window.partitionBy("bin").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("gene").cast("string")).cast("binary")), "gene"))).where(F.col("r") <= controls)
     roles = listed.select("gene", F.lit(1).alias("role")).union(drawn.select("gene", F.lit(0).alias("role")))
     sizes = roles.groupBy("role").agg(F.count("*").alias("k"))
     sums = values.join(roles, "gene").groupBy("spot", "role").agg(F.sum("value").alias("s")).join(F.broadcast(sizes), "role")

@@ -284,11 +284,20 @@ def gene_resolution(spark, d):
     return found.select("unit", F.col("position").cast("long").alias("position"), "symbol", F.col("gene").cast("long").alias("gene"))
 
 
-@query()
+def _list_score(name: str, symbol: str, seed: int) -> str:
+    return f"""{name}_l AS (SELECT b.gene, bin FROM b JOIN genes USING (gene) WHERE symbol = '{symbol}'),
+    {name}_d AS (SELECT gene FROM (SELECT gene, row_number() OVER (PARTITION BY bin ORDER BY md5('{seed}:' || CAST(gene AS VARCHAR)), gene) AS r FROM b WHERE bin IN (SELECT bin FROM {name}_l) AND gene NOT IN (SELECT gene FROM {name}_l)) WHERE r <= 50),
+    {name} AS (SELECT spot, coalesce(sum(v) FILTER (gene IN (SELECT gene FROM {name}_l)), 0) / (SELECT count(*) FROM {name}_l) - coalesce(sum(v) FILTER (gene IN (SELECT gene FROM {name}_d)), 0) / (SELECT count(*) FROM {name}_d) AS s FROM v GROUP BY spot)"""
+
+
+@query(f"""WITH v AS (SELECT spot, gene, ln(1 + n * 10000.0::DOUBLE / sum(n) OVER (PARTITION BY spot)) AS v FROM {{counts}}), k AS (SELECT count(*) AS k FROM {{genes}}), m AS (SELECT gene, sum(v) / (SELECT count(*) FROM {{spots}}) AS m FROM v GROUP BY gene),
+    b AS (SELECT gene, ntile(25) OVER (ORDER BY m, gene) AS bin FROM m), {_list_score("one", "SMALL", 0)}, {_list_score("two", "PROMO", 1)}
+    SELECT s.spot, round(coalesce(one.s, 0), 6) + 0.0 AS s_score, round(coalesce(two.s, 0), 6) + 0.0 AS g2m_score, CASE WHEN one.s < 0 AND two.s < 0 THEN 'G1' WHEN two.s > one.s THEN 'G2M' ELSE 'S' END AS phase
+    FROM spots s LEFT JOIN one ON one.spot = s.spot LEFT JOIN two ON two.spot = s.spot""")
 def cell_cycle_phase(spark, d):
     values = matrix.normalize(view(spark, d, "counts"), "spot", "n").select("spot", "gene", F.log1p("scaled").alias("value"))
     lists = [view(spark, d, "genes").where(F.col("symbol") == s).select("gene") for s in ("SMALL", "PROMO")]
-    return mapping.cell_cycle(values, view(spark, d, "spots"), *lists)
+    return mapping.cell_cycle(values, view(spark, d, "spots"), *lists).withColumns({c: F.round(c, 6) + 0.0 for c in ("s_score", "g2m_score")})
 
 
 @query()
