@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from spotframe.expect import expect
 from spotframe.functions.columns import divide
 from spotframe.operators.linalg import fit_factor, nmf_runs, run_sums
-from spotframe.staging import running_start, staged
+from spotframe.staging import broadcast_if_small, running_start, staged
 
 
 def split_complexes(pairs: DataFrame, unit: str, ids: str, symbols: str) -> DataFrame:
@@ -234,32 +234,41 @@ def program_stability(entries: DataFrame, ranks: list[int], runs: int = 100, ite
     return [(k, f["silhouette"], f["prediction_error"]) for k, f in found]
 
 
-def deconvolve(counts: DataFrame, profiles: DataFrame, iterations: int = 200) -> DataFrame:
+def deconvolve(counts: DataFrame, profiles: DataFrame, iterations: int = 200, most: int = 500_000) -> DataFrame:
     """(spot, weights map, converged): non-negative mixture of reference profiles for each spot, by Poisson likelihood.
 
-    ``counts``: spot, gene, n; ``profiles``: type, gene, share. The profiles' table (types x genes, a fixed reference)
-    goes to every task; a spot's cells meet in one row. Weights follow the multiplicative update of the likelihood.
+    ``counts``: spot, gene, n; ``profiles``: type, gene, share, of few types. Cells meet their gene's shares in Spark, and
+    a spot's cells make one row; about ``most`` cells of whole spots are fitted at once by the multiplicative update of
+    the likelihood. Genes without a profile are left out.
     """
-    table = profiles.toPandas().pivot_table(index="gene", columns="type", values="share", fill_value=0.0)
-    genes, types, basis = {g: i for i, g in enumerate(table.index)}, [str(c) for c in table.columns], table.to_numpy(float)
-    cells = counts.join(F.broadcast(profiles.select("gene").distinct()), "gene", "left_semi").groupBy("spot").agg(F.collect_list(F.struct("gene", "n")).alias("cells"))
+    sums = {r["type"]: r["s"] for r in profiles.groupBy("type").agg(F.sum("share").alias("s")).collect()}  # one row a type
+    types = sorted(sums)
+    norm, k = np.maximum(np.array([sums[t] for t in types], float), 1e-12), len(types)
+    by_gene = profiles.groupBy("gene").agg(F.array(*[F.coalesce(F.sum(F.when(F.col("type") == t, F.col("share"))), F.lit(0.0)).cast("double") for t in types]).alias("shares"))
+    met = counts.join(broadcast_if_small(staged(by_gene, "profiles"), 50_000), "gene").groupBy("spot").agg(F.collect_list(F.struct(F.col("n").cast("double").alias("n"), "shares")).alias("c"))
+    cells = met.select("spot", F.col("c.n").alias("n"), F.flatten("c.shares").alias("shares"))
+
+    def fitted(x: np.ndarray, basis: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        starts, of = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
+        weights = np.repeat(np.add.reduceat(x, starts)[:, None] / k, k, 1)
+        done = np.zeros(len(sizes), bool)
+        for _ in range(iterations):
+            rate = np.maximum((basis * weights[of]).sum(1), 1e-12)
+            new = weights / norm * np.add.reduceat(basis * (x / rate)[:, None], starts)
+            settled = np.abs(new - weights).sum(1) <= 1e-4 * np.maximum(weights.sum(1), 1e-12)
+            weights = np.where(done[:, None], weights, new)
+            done |= settled
+            if done.all():
+                break
+        return weights, done
 
     def fit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        norm = np.maximum(basis.sum(0), 1e-12)
         for t in parts:
-            weights, done = [], []
-            for row in t["cells"]:
-                at, x = np.array([genes[c["gene"]] for c in row]), np.array([c["n"] for c in row], float)
-                b, w, ok = basis[at], np.full(len(types), x.sum() / len(types)), False
-                for _ in range(iterations):
-                    new = w / norm * (b.T @ (x / np.maximum(b @ w, 1e-12)))
-                    ok = np.abs(new - w).sum() <= 1e-4 * max(w.sum(), 1e-12)
-                    w = new
-                    if ok:
-                        break
-                weights.append(dict(zip(types, w.tolist(), strict=True)))
-                done.append(bool(ok))
-            yield pd.DataFrame({"spot": t["spot"], "weights": weights, "converged": done})
+            sizes = t["n"].map(len).to_numpy()
+            for _, at in pd.Series(range(len(t))).groupby(np.cumsum(sizes) // most):
+                part = t.iloc[at.to_numpy()]
+                weights, done = fitted(np.concatenate(part["n"].to_list()), np.concatenate(part["shares"].to_list()).reshape(-1, k), sizes[at])
+                yield pd.DataFrame({"spot": part["spot"].to_numpy(), "weights": [dict(zip(types, w, strict=True)) for w in weights.tolist()], "converged": done})
 
     kind = counts.schema["spot"].dataType.simpleString()
     return cells.mapInPandas(fit, f"spot {kind}, weights map<string, double>, converged boolean")
