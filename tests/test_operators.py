@@ -238,7 +238,7 @@ def test_expectations(spark):
     with pytest.raises(Violation):
         require_same_ids(rows, rows.withColumn("id", F.lit(2)), "id")
     with pytest.raises(Violation):
-        tables.outer_union(spark.createDataFrame([(1, "s", "a"), (1, "t", "b")], "k int, s string, a string"), "k", "s", "a")
+        tables.one_annotation(spark.createDataFrame([(1, "s", "a"), (1, "t", "b")], "k int, s string, a string"), "k", "s", "a")
 
 
 def test_names_and_keys(spark):
