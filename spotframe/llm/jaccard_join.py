@@ -279,7 +279,8 @@ def one_of_each_group(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataF
     a ``doc_id`` and rows without a word link with nothing.
     """
     signed, classes = linked_classes(docs, k, threshold, merge_ids=False)
-    found = signed.where("doc_id is not null").join(classes, "digest", "left").select("doc_id", "text_key", "digest", "root").distinct()
+    # repeated rows stay here: a distinct by digest would keep Spark from splitting a digest of many rows
+    found = signed.where("doc_id is not null").join(staged(classes, "classes"), "digest", "left").select("doc_id", "text_key", "digest", "root")
     found = staged(found, "found")
     first = found.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "digest", "text_key")).alias("x"))
     kept = first.select("x.doc_id", "x.text_key")
