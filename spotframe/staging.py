@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from spotframe.expect import Violation
 
 #: Rows up to which a side may be broadcast; beyond it Spark's own shuffled joins are used.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 100_000
 
 _own_folder: list[str] = []
 _staged: set[str] = set()
