@@ -80,6 +80,25 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op11_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ball_kmeans import cluster_table
+
+    return cluster_table(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import filter_audit
+
+    return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import new_folder
+    from .wacz import page_table, write_archives
+
+    return page_table(write_archives(_table(spark, sf_dir, "pages"), new_folder(spark, "archives"), min_bytes=0))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -93,5 +112,8 @@ QUERIES = {
         op8_quality_rules,
         op9_chat_format,
         op10_jaccard_join,
+        op11_ball_kmeans,
+        op12_filter_audit,
+        op13_warc_archives,
     )
 }
