@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,16 +139,30 @@ def disambiguated(rows: DataFrame, name: str, ident: str) -> DataFrame:
     return rows.withColumn("label", F.when(twice, F.concat(F.col(name), F.lit(" ["), F.col(ident).cast("string"), F.lit("]"))).otherwise(F.col(name)))
 
 
-def file_slugs(rows: DataFrame, name: str, position: str, most: int = 80, empty: str = "annotation") -> DataFrame:
-    """``rows`` with slug: letters, digits and ``._-`` of the name; later rows of one slug end in -2, -3 and so on.
+def file_slugs(rows: DataFrame, name: str, position: str, most: int = 80, empty: str = "annotation", taken: tuple[str, ...] = ("overview",)) -> DataFrame:
+    """``rows`` with slug: letters, digits and ``._-`` of the name; a row whose slug is taken counts on from -2 until one is free.
 
-    Two such suffixed slugs may only meet another name's own slug, which then raises.
+    Rows take their slugs in the order of ``position``; those of ``taken`` are never given. Slugs that differ in
+    trailing numbers only may meet, so such rows (names of one table, alike but for their endings) are one group.
     """
     plain = F.substring(F.regexp_replace(F.regexp_replace(name, r"[^A-Za-z0-9._-]+", "-"), r"^[-._]+|[-._]+$", ""), 1, most)
     base = rows.withColumn("_s", F.when(plain == "", empty).otherwise(plain))
-    k = F.row_number().over(Window.partitionBy("_s").orderBy(position))
-    out = base.withColumn("slug", F.when(k == 1, F.col("_s")).otherwise(F.concat("_s", F.lit("-"), k.cast("string")))).drop("_s")
-    return expect(out, unique=[["slug"]])
+
+    def numbered(x: pd.DataFrame) -> pd.DataFrame:
+        used, count, out = set(taken), {}, []
+        for s in (x := x.sort_values("_p", kind="stable"))["_s"]:
+            free = s
+            while free in used:
+                count[s] = count.get(s, 1) + 1
+                free = f"{s}-{count[s]}"
+            used.add(free)
+            out.append(free)
+        return pd.DataFrame({"_p": x["_p"], "_s": x["_s"], "slug": out})
+
+    kind = rows.schema[position].dataType.simpleString()
+    keys = expect(base.select(F.col(position).alias("_p"), "_s"), unique=[["_p"]])
+    slugs = keys.groupBy(F.regexp_replace("_s", r"(-\d+)+$", "")).applyInPandas(numbered, f"_p {kind}, _s string, slug string")
+    return base.join(slugs.select(F.col("_p").alias(position), "slug"), position).select(*rows.columns, "slug")
 
 
 def round_half_even(x: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -101,20 +102,23 @@ def drop_isolated(rows: DataFrame, part: list[str], spot: str, row: str, col: st
     return rows.join(near, spot, "left").withColumn(label, F.when((F.col(label) == none) | F.col("_ok"), F.col(label)).otherwise(none)).drop("_ok")
 
 
-def call_layer(weights: DataFrame, layers: dict[str, list[str]], fitted: Column, least: float = 0.5, margin: float = 0.0) -> DataFrame:
+def call_layer(weights: DataFrame, layers: dict[str, list[str]], fitted: Column, least: float = 0.5, margin: float = 0.0, types: list[str] = ()) -> DataFrame:
     """``weights`` with best_weight and layer: the one layer at ``least`` or more, fitted, ahead by the margin; else none.
 
-    A layer's weight is the sum of its columns and null if one is null.
+    A layer's weight is the sum of its columns. A row that lacks any weight, those of ``types`` outside the layers
+    included, has no layer; a negative or infinite weight raises.
     """
+    every = [F.col(c).cast("double") for c in dict.fromkeys([*(c for cols in layers.values() for c in cols), *types])]
+    finite = lambda x: x.isNotNull() & ~F.isnan(x)
+    bad = functools.reduce(lambda a, b: a | b, [finite(x) & ((x < 0) | (F.abs(x) == float("inf"))) for x in every])
+    weights = weights.where(F.when(bad, F.raise_error(F.lit("weights must be nonnegative finite numbers or missing")).cast("boolean")).otherwise(True))
     sums = {}
     for name, cols in layers.items():
         total = F.col(cols[0])
         for c in cols[1:]:
             total = total + F.col(c)
         sums[name] = total
-    complete = F.lit(True)
-    for s in sums.values():
-        complete = complete & s.isNotNull()
+    complete = functools.reduce(lambda a, b: a & b, [finite(x) for x in every])
     ranked = F.sort_array(F.array(*[F.struct(s.alias("w"), F.lit(-i).alias("o"), F.lit(n).alias("n")) for i, (n, s) in enumerate(sums.items())]), asc=False)
     qualifying = sum((F.when((s >= least) & (s > 0), 1).otherwise(0) for s in sums.values()), F.lit(0))
     gap = ranked[0]["w"] - ranked[1]["w"]

@@ -84,7 +84,7 @@ def median_centroids(spark, d):
 
 
 @query("""WITH p AS (SELECT a.sample AS part, a.spot, min((a.grid_row - b.grid_row) * (a.grid_row - b.grid_row) + (a.grid_col - b.grid_col) * (a.grid_col - b.grid_col)) AS d2 FROM {spots} a JOIN {spots} b ON a.sample = b.sample AND a.spot <> b.spot GROUP BY 1, 2)
-    SELECT part, count(*) AS n, round(median(sqrt(d2)), 9) AS median_distance FROM p GROUP BY part""")
+    SELECT s.sample AS part, count(d2) AS n, round(median(sqrt(d2)), 9) AS median_distance FROM spots s LEFT JOIN p ON p.spot = s.spot GROUP BY s.sample""")
 def median_pitch(spark, d):
     points = view(spark, d, "spots").select(F.col("sample").alias("part"), F.col("spot").alias("id"), F.col("grid_col").cast("double").alias("x"), F.col("grid_row").cast("double").alias("y"))
     return spatial.nearest_median(points, points).withColumn("median_distance", F.round("median_distance", 9))

@@ -37,8 +37,9 @@ def welch_stats(spark, d):
 
 @query()
 def region_markers(spark, d):
-    tested = stats.welch_p(stats.welch(_moments(spark, d)))
-    return stats.adjust_bh(tested, ["cluster"], "p", ["feature"]).where("p_adjusted <= 0.05").select("cluster", "feature", "t", "p", "p_adjusted")
+    tested = stats.adjust_bh(stats.welch_p(stats.welch(_moments(spark, d))), ["cluster"], "p", ["feature"])
+    tested = tested.withColumn("effect", F.col("mean_in") - F.col("mean_out"))
+    return stats.rising_markers(tested, "cluster", "feature", "t", "effect").select("cluster", "feature", "rank", "t", "effect", "p", "p_adjusted")
 
 
 @query("""WITH s AS (SELECT spot, cluster, count(*) OVER (PARTITION BY cluster) AS n1, count(*) OVER () AS n FROM {spots}), g AS (SELECT DISTINCT gene FROM {counts}),
@@ -71,8 +72,8 @@ TESTED = f"""s AS (SELECT spot, cluster, count(*) OVER (PARTITION BY cluster) AS
       log2((exp(inside) - 1 + 1e-9) / (exp(greatest(outside, 0)) - 1 + 1e-9)) AS log2_fold, k / n1 AS fraction FROM o)"""
 
 
-def _tested(spark, d):
-    return stats.gene_markers(matrix.normalize(view(spark, d, "counts"), "spot", "n"), view(spark, d, "spots"), "spot", "gene", "cluster")
+def _tested(spark, d, counts: str = "counts"):
+    return stats.gene_markers(matrix.normalize(view(spark, d, counts), "spot", "n"), view(spark, d, "spots"), "spot", "gene", "cluster")
 
 
 @query(f"WITH {TESTED} SELECT gene, cluster, round(z, 6) + 0.0 AS z, round(p, 6) AS p, round(p_adjusted, 6) AS p_adjusted, round(log2_fold, 6) + 0.0 AS log2_fold, round(fraction, 6) AS fraction FROM tested")
@@ -81,18 +82,22 @@ def gene_markers(spark, d):
     return _tested(spark, d).select("gene", "cluster", signed[0], F.round("p", 6).alias("p"), F.round("p_adjusted", 6).alias("p_adjusted"), signed[1], F.round("fraction", 6).alias("fraction"))
 
 
-@query(f"""WITH {TESTED}, k AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(z, 9) DESC, gene) AS rank FROM tested WHERE log2_fold > 0 AND p_adjusted <= 0.999)
+# with planted markers the published rate of 0.05 parts the genes
+RAISED = TESTED.replace("{counts}", "{planted}").replace("FROM counts", "FROM planted")
+
+
+@query(f"""WITH {RAISED}, k AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(z, 9) DESC, gene) AS rank FROM tested WHERE log2_fold > 0 AND p_adjusted <= 0.05)
     SELECT cluster, gene, rank FROM k WHERE rank <= 20""")
 def rising_markers(spark, d):
-    tested = _tested(spark, d).withColumn("z", F.round("z", 9))
-    return stats.rising_markers(tested, "cluster", "gene", "z", "log2_fold", 0.999, 20).select("cluster", "gene", "rank")
+    tested = _tested(spark, d, "planted").withColumn("z", F.round("z", 9))
+    return stats.rising_markers(tested, "cluster", "gene", "z", "log2_fold", 0.05, 20).select("cluster", "gene", "rank")
 
 
-@query(f"""WITH {TESTED}, k AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(z, 9) DESC, gene) AS rank FROM tested WHERE n1 >= 2 AND n - n1 >= 2 AND p_adjusted < 0.999 AND log2_fold >= 0.25 AND fraction >= 0.1)
+@query(f"""WITH {RAISED}, k AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(z, 9) DESC, gene) AS rank FROM tested WHERE n1 >= 2 AND n - n1 >= 2 AND p_adjusted < 0.05 AND log2_fold >= 0.25 AND fraction >= 0.1)
     SELECT cluster, gene, rank FROM k WHERE rank <= 100""")
 def cluster_markers(spark, d):
-    tested = _tested(spark, d).withColumn("z", F.round("z", 9))
-    return stats.cluster_markers(tested, "cluster", "gene", fdr=0.999).select("cluster", "gene", "rank")
+    tested = _tested(spark, d, "planted").withColumn("z", F.round("z", 9))
+    return stats.cluster_markers(tested, "cluster", "gene").select("cluster", "gene", "rank")
 
 
 @query("""WITH x AS (SELECT log10(CAST(reads AS DOUBLE)) AS x FROM {reads}), s AS (SELECT count(*) AS n, min(x) AS lo, max(x) AS hi, CAST(least(256, greatest(32, floor(sqrt(count(*))))) AS BIGINT) AS bins FROM x),
@@ -150,7 +155,7 @@ def nearest_spot(spark, d):
 
 
 @query("""WITH p AS (SELECT a.sample AS part, a.spot AS id, min((a.grid_row - b.grid_row) * (a.grid_row - b.grid_row) + (a.grid_col - b.grid_col) * (a.grid_col - b.grid_col)) AS d2 FROM {spots} a JOIN {spots} b ON a.sample = b.sample AND a.spot <> b.spot WHERE a.cluster <= 1 AND b.cluster <= 2 GROUP BY 1, 2)
-    SELECT part, count(*) AS n, round(median(sqrt(d2)), 9) AS median_distance FROM p GROUP BY part""")
+    SELECT s.sample AS part, count(d2) AS n, round(median(sqrt(d2)), 9) AS median_distance FROM spots s LEFT JOIN p ON p.id = s.spot WHERE s.cluster <= 1 GROUP BY s.sample""")
 def nearest_excl_self_median(spark, d):
     out = spatial.nearest_median(_points(spark, d, "cluster <= 1"), _points(spark, d, "cluster <= 2"))
     return out.withColumn("median_distance", F.round("median_distance", 9))
@@ -162,12 +167,12 @@ def grid_neighbor_filter(spark, d):
     return spatial.drop_isolated(rows, [], "spot", "grid_row", "grid_col", "layer").select("spot", "layer")
 
 
-@query("""WITH w AS (SELECT event_id, value / 500 AS a, (user_id % 10) / 10.0::DOUBLE AS b, CASE WHEN event_id % 13 = 0 THEN NULL ELSE 0.3::DOUBLE END AS c FROM {event})
-    SELECT event_id, CASE WHEN c IS NULL THEN 'none' WHEN (CASE WHEN a >= 0.5 THEN 1 ELSE 0 END) + (CASE WHEN b >= 0.5 THEN 1 ELSE 0 END) + (CASE WHEN c >= 0.5 THEN 1 ELSE 0 END) <> 1 THEN 'none'
+@query("""WITH w AS (SELECT event_id, value / 500 AS a, (user_id % 10) / 10.0::DOUBLE AS b, CASE WHEN event_id % 13 = 0 THEN NULL ELSE 0.3::DOUBLE END AS c, CASE WHEN event_id % 7 = 0 THEN NULL ELSE 0.1::DOUBLE END AS other FROM {event})
+    SELECT event_id, CASE WHEN c IS NULL OR other IS NULL THEN 'none' WHEN (CASE WHEN a >= 0.5 THEN 1 ELSE 0 END) + (CASE WHEN b >= 0.5 THEN 1 ELSE 0 END) + (CASE WHEN c >= 0.5 THEN 1 ELSE 0 END) <> 1 THEN 'none'
       WHEN a >= 0.5 AND a - greatest(b, c) >= 0.1 THEN 'A' WHEN b >= 0.5 AND b - greatest(a, c) >= 0.1 THEN 'B' ELSE 'none' END AS layer FROM w""")
 def layer_call(spark, d):
-    rows = view(spark, d, "event").select("event_id", (F.col("value") / 500).alias("a"), (F.col("user_id") % 10 / 10.0).alias("b"), F.when(F.col("event_id") % 13 != 0, F.lit(0.3)).alias("c"))
-    return spatial.call_layer(rows, {"A": ["a"], "B": ["b"], "C": ["c"]}, F.lit(True), 0.5, 0.1).select("event_id", "layer")
+    rows = view(spark, d, "event").select("event_id", (F.col("value") / 500).alias("a"), (F.col("user_id") % 10 / 10.0).alias("b"), F.when(F.col("event_id") % 13 != 0, F.lit(0.3)).alias("c"), F.when(F.col("event_id") % 7 != 0, F.lit(0.1)).alias("other"))
+    return spatial.call_layer(rows, {"A": ["a"], "B": ["b"], "C": ["c"]}, F.lit(True), 0.5, 0.1, ["other"]).select("event_id", "layer")
 
 
 @query("WITH u AS (SELECT DISTINCT sample, grid_row FROM {spots}), g AS (SELECT sample, grid_row - lag(grid_row) OVER (PARTITION BY sample ORDER BY grid_row) AS g FROM u) SELECT sample, CAST(min(g) AS BIGINT) AS pitch FROM g GROUP BY sample")

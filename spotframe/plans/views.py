@@ -22,7 +22,7 @@ VIEWS = {
     # regions of interest: 0-based, half-open
     "regions": """SELECT o_orderkey AS region, concat('Brand#', CAST(1 + o_orderkey % 5 AS STRING), CAST(1 + CAST(floor(o_orderkey / 5) AS BIGINT) % 5 AS STRING)) AS chrom,
         CAST((o_custkey * 91) % 10400 AS BIGINT) AS lo, CAST((o_custkey * 91) % 10400 + 20 + o_orderkey % 180 AS BIGINT) AS hi
-        FROM {orders} WHERE o_orderstatus = 'F'""",
+        FROM {orders}""",
     "sites": """SELECT p_brand AS chrom, CAST((l_orderkey * 13) % 10000 AS BIGINT) AS pos, CAST(round(l_discount * 1000) AS BIGINT) AS pct,
         CAST(l_quantity AS BIGINT) AS meth, CAST(l_linenumber AS BIGINT) AS unmeth, l_suppkey AS spot
         FROM {lineitem} JOIN {part} ON l_partkey = p_partkey""",
@@ -35,6 +35,10 @@ VIEWS = {
     "event": "SELECT event_id, user_id, event_type, value, ts, props FROM {events}",
 }
 
+# counts in which five genes of eleven are found in one cluster each
+VIEWS["planted"] = f"""SELECT c.spot, c.gene, c.n FROM ({VIEWS["counts"]}) c JOIN ({VIEWS["spots"]}) s ON c.spot = s.spot
+    WHERE c.gene % 11 > 4 OR c.gene % 11 = s.cluster"""
+
 _NAME = re.compile(r"\{(\w+)\}")
 
 

@@ -217,6 +217,11 @@ def test_layer_ties_and_isolated_spots(spark):
     rows = spark.createDataFrame([(0, 0, 0, 0.6, 0.3), (1, 0, 1, 0.6, 0.3), (2, 5, 5, 0.6, 0.3), (3, 0, 2, 0.5, 0.5), (4, 1, 1, None, 0.9)], "id int, r int, c int, a double, b double")
     called = spatial.call_layer(rows, {"A": ["a"], "B": ["b"]}, F.lit(True))
     assert [r["layer"] for r in called.orderBy("id").collect()] == ["A", "A", "A", "none", "none"]
+    others = rows.withColumn("other", F.when(F.col("id") != 1, F.lit(0.1)))
+    assert [r["layer"] for r in spatial.call_layer(others, {"A": ["a"], "B": ["b"]}, F.lit(True), types=["other"]).orderBy("id").collect()] == ["A", "none", "A", "none", "none"]
+    for bad in (-0.1, float("inf")):
+        with pytest.raises(Exception, match="nonnegative finite"):
+            spatial.call_layer(rows.withColumn("other", F.lit(bad)), {"A": ["a"], "B": ["b"]}, F.lit(True), types=["other"]).collect()
     kept = spatial.drop_isolated(called, [], "id", "r", "c", "layer")
     assert [r["layer"] for r in kept.orderBy("id").collect()] == ["A", "A", "none", "none", "none"]
 
@@ -360,8 +365,8 @@ def test_cohort_errors_and_edges(spark):
     assert [r["r"] for r in got] == [0, 2, -2, None, None] and [r["c"] for r in got] == [True, True, False, False, False]
     names = spark.createDataFrame([(1, "A b"), (2, "A?b"), (3, "***")], "k int, name string")
     assert [r["slug"] for r in cohorts.file_slugs(names, "name", "k").orderBy("k").collect()] == ["A-b", "A-b-2", "annotation"]
-    with pytest.raises(Violation):
-        cohorts.file_slugs(names.union(spark.createDataFrame([(0, "A-b-2")], names.schema)), "name", "k").count()
+    more = names.union(spark.createDataFrame([(0, "A-b-2"), (4, "A-b"), (5, "A-b-2"), (6, "overview"), (7, "A b-3")], names.schema))
+    assert [r["slug"] for r in cohorts.file_slugs(more, "name", "k").orderBy("k").collect()] == ["A-b-2", "A-b", "A-b-3", "annotation", "A-b-4", "A-b-2-2", "overview-2", "A-b-3-2"]
     genes = spark.createDataFrame([(1, "c", 100, 200, "+"), (2, "c", 300, 400, "-")], "gene int, chrom string, lo long, hi long, strand string")
     regions = spark.createDataFrame([(i, "c", a, b) for i, (a, b) in enumerate([(90, 100), (90, 101), (101, 110), (400, 410), (390, 399)])], "region int, chrom string, lo long, hi long")
     got = {r["region"]: (r["gene"], r["distance"]) for r in cohorts.signed_tss_distance(regions, genes, "region", "gene").collect()}
