@@ -7,6 +7,7 @@ wherever they stand. Unique chunks are stored once under their digest; a documen
     chunks/    digest, n, payload     each unique chunk once; ids as little-endian 16- or 32-bit integers
     recipes/   rank, doc_id, start, n_tokens, digests, root
     manifest/  level, index, digest   Merkle nodes: FANOUT documents or nodes each; the last level is the root
+    format/    id_bytes               width of an id in a payload
 
 Defined cases: a null text is empty and stored as its end id alone. Rows that repeat a ``doc_id`` are documents of
 their own, in any order among themselves; a null ``doc_id`` comes first. Extra columns are ignored. An empty table
@@ -113,10 +114,13 @@ def _leaves(recipes: DataFrame) -> DataFrame:
 
 def write_store(docs: DataFrame, folder: str, tokenizer: str, cut: str = "blank", end_id: int = 1) -> None:
     """Encode ``docs`` (doc_id, text) with the vocabulary file ``tokenizer`` and write the store to ``folder``."""
+    width = np.dtype(encoder(tokenizer, cut).dtype).itemsize
+    docs.sparkSession.createDataFrame([(width,)], "id_bytes int").coalesce(1).write.parquet(f"{folder}/format")
     encoded = staged(_encoded(docs, tokenizer, cut, end_id), "encoded")
     chunks = encoded.select(F.explode("chunks").alias("c")).select("c.*").dropDuplicates(["digest"])
     chunks.write.option("compression", "zstd").parquet(f"{folder}/chunks")
-    ordered = running_start(encoded.select("doc_id", "n_tokens", "digests", "root", F.lit(1).alias("one")), ["doc_id"], {"n_tokens": "start", "one": "rank"})
+    rows = encoded.select("doc_id", "n_tokens", "digests", "root", F.lit(1).alias("one"), F.monotonically_increasing_id().alias("salt"))
+    ordered = running_start(rows, ["doc_id", "salt"], {"n_tokens": "start", "one": "rank"})
     recipes = ordered.select("rank", "doc_id", "start", "n_tokens", "digests", "root")
     recipes.repartitionByRange("rank").sortWithinPartitions("rank").write.option("compression", "zstd").parquet(f"{folder}/recipes")
     kept = docs.sparkSession.read.parquet(f"{folder}/recipes")
@@ -136,43 +140,48 @@ def check_manifest(spark: SparkSession, folder: str) -> None:
         raise ValueError(f"the manifest differs from the recipes at level {node['level']}, node {node['index']}")
 
 
-def read_digests(spark: SparkSession, folder: str, dtype: str = "<u2") -> DataFrame:
+def read_digests(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the stored chunks and recipes.
 
-    The manifest is checked against the recipes first. Each chunk's payload is read and checked against its digest once;
-    a document's value follows from its chunks' values, and its Merkle root is checked against the recipe. A broken or
-    missing chunk raises an error.
+    The manifest is checked against the recipes first. Each chunk's payload is read and checked against its digest and
+    length once; a document's value follows from its chunks' values, and its Merkle root and length are checked against
+    the recipe. A broken or missing chunk raises an error.
     """
     check_manifest(spark, folder)
+    width = spark.read.parquet(f"{folder}/format").first()["id_bytes"]
 
     @tidy
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             crc = []
-            for digest, payload in zip(batch.column("digest").to_pylist(), batch.column("payload").to_pylist(), strict=True):
-                if _digest(payload) != digest:
+            for digest, n, payload in zip(*(batch.column(c).to_pylist() for c in ("digest", "n", "payload")), strict=True):
+                if payload is None or _digest(payload) != digest:
                     raise ValueError(f"chunk {digest.hex()} doesn't hold what its digest says")
-                crc.append(ids_crc(np.frombuffer(payload, dtype)))
+                if n is None or len(payload) != n * width:
+                    raise ValueError(f"chunk {digest.hex()} holds another number of ids than it says")
+                crc.append(ids_crc(np.frombuffer(payload, f"<u{width}")))
             yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("n"), pa.array(crc, pa.int64())], ["digest", "n", "crc"])
 
     @tidy
     def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_tokens, crcs = [], []
-            for parts, root in zip(batch.column("parts").to_pylist(), batch.column("root").to_pylist(), strict=True):
+            for parts, root, said in zip(*(batch.column(c).to_pylist() for c in ("parts", "root", "n_tokens")), strict=True):
                 if any(p["n"] is None for p in parts) or _root([p["digest"] for p in parts]) != root:
                     raise ValueError("a document's chunks don't make up its recipe")
                 crc = 0
                 for p in parts:
                     crc = crc_join(crc, p["crc"], 4 * p["n"])
-                n_tokens.append(sum(p["n"] for p in parts))
+                if sum(p["n"] for p in parts) != said:
+                    raise ValueError("a document's chunks hold another number of ids than its recipe says")
+                n_tokens.append(said)
                 crcs.append(crc)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array(n_tokens, pa.int64()), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     chunks = spark.read.parquet(f"{folder}/chunks").select("digest", "n", "payload").mapInArrow(check, "digest binary, n int, crc long")
-    recipes = spark.read.parquet(f"{folder}/recipes").select("rank", "doc_id", "start", "root", F.posexplode("digests").alias("pos", "digest"))
-    parts = recipes.join(chunks, "digest", "left").groupBy("rank").agg(F.first("doc_id").alias("doc_id"), F.first("start").alias("start"), F.first("root").alias("root"), F.array_sort(F.collect_list(F.struct("pos", "digest", "n", "crc"))).alias("parts"))
-    return parts.select("doc_id", "start", "root", "parts").mapInArrow(join_up, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    recipes = spark.read.parquet(f"{folder}/recipes").select("rank", "doc_id", "start", "n_tokens", "root", F.posexplode("digests").alias("pos", "digest"))
+    parts = recipes.join(chunks, "digest", "left").groupBy("rank").agg(*[F.first(c).alias(c) for c in ("doc_id", "start", "n_tokens", "root")], F.array_sort(F.collect_list(F.struct("pos", "digest", "n", "crc"))).alias("parts"))
+    return parts.select("doc_id", "start", "n_tokens", "root", "parts").mapInArrow(join_up, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_ids(spark: SparkSession, folder: str) -> DataFrame:

@@ -96,7 +96,7 @@ def test_content_store(docs, rows, empty, spark, tmp_path):
     def damaged(part, change):
         """A copy of the store with one table changed."""
         to = f"{tmp_path}/{part}-{len(list(tmp_path.iterdir()))}"
-        for x in ("chunks", "recipes", "manifest"):
+        for x in ("chunks", "recipes", "manifest", "format"):
             table = spark.read.parquet(f"{tmp_path}/s/{x}")
             (change(table) if x == part else table).write.parquet(f"{to}/{x}")
         return to
@@ -105,11 +105,18 @@ def test_content_store(docs, rows, empty, spark, tmp_path):
         ("chunks", lambda t: t.withColumn("payload", F.overlay("payload", F.lit(b"??").cast("binary"), 1))),
         ("chunks", lambda t: t.where(F.col("digest") != F.lit(bytes(t.orderBy("digest").first()["digest"])))),
         ("recipes", lambda t: t.withColumn("digests", F.when(F.col("doc_id") == 205, F.reverse("digests")).otherwise(F.col("digests")))),
+        ("chunks", lambda t: t.withColumn("n", F.col("n") + 1)),
+        ("format", lambda t: t.withColumn("id_bytes", F.lit(4))),
+        ("recipes", lambda t: t.withColumn("n_tokens", F.col("n_tokens") + 1)),
         ("recipes", lambda t: t.withColumn("start", F.col("start") + 1)),
         ("manifest", lambda t: t.withColumn("digest", F.sha2("digest", 256).cast("binary"))),
     ):
         with pytest.raises(Exception, match="chunk|recipe"):
             read_digests(spark, damaged(part, change)).collect()
+    many = spark.createDataFrame([(None if i % 2 else 7, f"text {i}") for i in range(60)], "doc_id long, text string").repartition(6)
+    write_store(many, f"{tmp_path}/m", path)
+    got = sorted(collect(read_digests(spark, f"{tmp_path}/m"), "start", "n_tokens", "doc_id"))
+    assert [r[0] for r in got] == np.cumsum([0, *[r[1] for r in got[:-1]]]).tolist() and [r[2] for r in got] == [None] * 30 + [7] * 30
     write_store(empty, f"{tmp_path}/e", path)
     assert read_digests(spark, f"{tmp_path}/e").count() == 0
 
