@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from spotframe.expect import expect
 from spotframe.functions.columns import divide
 from spotframe.operators.linalg import fit_factor, nmf_runs, run_sums
-from spotframe.staging import broadcast_if_small, running_start, staged
+from spotframe.staging import running_start, staged
 
 
 def split_complexes(pairs: DataFrame, unit: str, ids: str, symbols: str) -> DataFrame:
@@ -169,16 +169,17 @@ def group_spectra(gram: np.ndarray, k: int, neighbors: int, density: float, star
     return labels, float(score.mean())
 
 
-def consensus(entries: DataFrame, k: int, runs: int = 100, iterations: int = 1000, density: float = 0.5, neighbors: float = 0.3, tol: float = 1e-4, seed: int = 0) -> tuple[DataFrame, DataFrame, dict]:
+def consensus(entries: DataFrame, k: int, runs: int = 100, iterations: int = 1000, density: float = 0.5, neighbors: float = 0.3, tol: float = 1e-4, seed: int = 0, spectra: tuple[DataFrame, list[float], int] | None = None) -> tuple[DataFrame, DataFrame, dict]:
     """Programs (program, feature, value), usages (id, vec) and figures of ``runs`` factorisations of rank k.
 
     Spectra of unit length are filtered by local density (``neighbors``: share of the runs), clustered, and each
     cluster's median over its spectra is scaled to sum 1. Usages are the rows fitted anew on the medians. Programs are
     numbered by falling total share of usage. Figures: errors of the runs, iterations, spectra kept, silhouette,
     prediction_error of the medians. Only the spectra's inner products, (runs k)^2 values, reach the driver. Where
-    fewer than k spectra pass the filter the runs don't agree: there is no row, and spectra is 0.
+    fewer than k spectra pass the filter the runs don't agree: there is no row, and spectra is 0. ``spectra`` are those of
+    a finished grid (programs.merged_spectra), which are taken as they are.
     """
-    _, h, errors, taken = nmf_runs(entries, k, runs, iterations, tol, seed)
+    h, errors, taken = spectra or nmf_runs(entries, k, runs, iterations, tol, seed)[1:]
     m = runs * k
 
     def products(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -234,46 +235,6 @@ def program_stability(entries: DataFrame, ranks: list[int], runs: int = 100, ite
     return [(k, f["silhouette"], f["prediction_error"]) for k, f in found]
 
 
-def deconvolve(counts: DataFrame, profiles: DataFrame, iterations: int = 200, most: int = 500_000) -> DataFrame:
-    """(spot, weights map, converged): non-negative mixture of reference profiles for each spot, by Poisson likelihood.
-
-    ``counts``: spot, gene, n; ``profiles``: type, gene, share, of few types. Cells meet their gene's shares in Spark, and
-    a spot's cells make one row; about ``most`` cells of whole spots are fitted at once by the multiplicative update of
-    the likelihood. Genes without a profile are left out.
-    """
-    sums = {r["type"]: r["s"] for r in profiles.groupBy("type").agg(F.sum("share").alias("s")).collect()}  # one row a type
-    types = sorted(sums)
-    norm, k = np.maximum(np.array([sums[t] for t in types], float), 1e-12), len(types)
-    by_gene = profiles.groupBy("gene").agg(F.array(*[F.coalesce(F.sum(F.when(F.col("type") == t, F.col("share"))), F.lit(0.0)).cast("double") for t in types]).alias("shares"))
-    met = counts.join(broadcast_if_small(staged(by_gene, "profiles"), 50_000), "gene").groupBy("spot").agg(F.collect_list(F.struct(F.col("n").cast("double").alias("n"), "shares")).alias("c"))
-    cells = met.select("spot", F.col("c.n").alias("n"), F.flatten("c.shares").alias("shares"))
-
-    def fitted(x: np.ndarray, basis: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        starts, of = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
-        weights = np.repeat(np.add.reduceat(x, starts)[:, None] / k, k, 1)
-        done = np.zeros(len(sizes), bool)
-        for _ in range(iterations):
-            rate = np.maximum((basis * weights[of]).sum(1), 1e-12)
-            new = weights / norm * np.add.reduceat(basis * (x / rate)[:, None], starts)
-            settled = np.abs(new - weights).sum(1) <= 1e-4 * np.maximum(weights.sum(1), 1e-12)
-            weights = np.where(done[:, None], weights, new)
-            done |= settled
-            if done.all():
-                break
-        return weights, done
-
-    def fit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for t in parts:
-            sizes = t["n"].map(len).to_numpy()
-            for _, at in pd.Series(range(len(t))).groupby(np.cumsum(sizes) // most):
-                part = t.iloc[at.to_numpy()]
-                weights, done = fitted(np.concatenate(part["n"].to_list()), np.concatenate(part["shares"].to_list()).reshape(-1, k), sizes[at])
-                yield pd.DataFrame({"spot": part["spot"].to_numpy(), "weights": [dict(zip(types, w, strict=True)) for w in weights.tolist()], "converged": done})
-
-    kind = counts.schema["spot"].dataType.simpleString()
-    return cells.mapInPandas(fit, f"spot {kind}, weights map<string, double>, converged boolean")
-
-
 def expand_weights(spots: DataFrame, fitted: DataFrame, selected: DataFrame) -> DataFrame:
     """All spots with status, proportions, dominant type and its share; later rungs of the status win."""
     chosen, marked = selected.select("spot", F.lit(True).alias("_sel")), fitted.withColumn("_fit", F.lit(True))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spotframe.operators import graph, linalg, mapping, matrix, spatial, stats
+from spotframe.operators import deconvolution as deconvolve
+from spotframe.operators import graph, linalg, mapping, matrix, programs, spatial, stats
+from spotframe.staging import new_folder
 
 from .registry import query
 from .views import table, view
@@ -266,8 +268,9 @@ def iter_pca_impute(spark, d):
 
 @query()
 def nmf_consensus(spark, d):
-    rows = view(spark, d, "counts").select(F.col("spot").alias("row"), F.col("gene").alias("col"), F.col("n").alias("value"))
-    return mapping.consensus(rows, 3, runs=20)[1]
+    counts, spots = view(spark, d, "planted"), view(spark, d, "spots")
+    entries = programs.program_input(counts, spots.join(counts, "spot", "left_semi"), programs.overdispersed_genes(counts, spots, 500))
+    return mapping.consensus(entries, 5, runs=20)[1]
 
 
 @query("""SELECT p_brand, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS quantity, count(DISTINCT l_suppkey) AS spots FROM {lineitem} JOIN {part} ON l_partkey = p_partkey WHERE l_discount >= 0.05 GROUP BY p_brand""")
@@ -310,16 +313,42 @@ def harmony(spark, d):
     return mapping.harmonize(view(spark, d, "vectors").select("id", F.pmod(F.col("id"), F.lit(3)).alias("batch"), "vec"), rounds=3)
 
 
+FANO = """t AS (SELECT spot, gene, n * 1000000.0::DOUBLE / sum(n) OVER (PARTITION BY spot) AS v FROM {planted}), m AS (SELECT count(*) AS m FROM {spots}),
+    g AS (SELECT gene, sum(v) / m AS mean, greatest(0, sum(v * v) / m - (sum(v) / m) * (sum(v) / m)) AS var FROM t, m GROUP BY gene, m), f AS (SELECT *, var / mean AS fano FROM g),
+    a AS (SELECT min(cv) AS a FROM (SELECT sqrt(var) / mean AS cv FROM f ORDER BY mean DESC, gene LIMIT 20)),
+    q AS (SELECT quantile_cont(mean, 0.1) AS ml, quantile_cont(mean, 0.9) AS mh, quantile_cont(fano, 0.1) AS fl, quantile_cont(fano, 0.9) AS fh FROM f),
+    b AS (SELECT median(fano) AS b2 FROM f, q WHERE mean > ml AND mean < mh AND fano > fl AND fano < fh),
+    r AS (SELECT gene, round(fano / nullif(a * a * mean + b2, 0), 9) AS ratio FROM f, a, b)"""
+
+
+@query(f"WITH {FANO} SELECT gene, round(ratio, 6) AS ratio, rank FROM (SELECT *, row_number() OVER (ORDER BY ratio DESC, gene) AS rank FROM r) WHERE rank <= 500")
+def overdispersed_genes(spark, d):
+    out = programs.overdispersed_genes(view(spark, d, "planted"), view(spark, d, "spots"), 500)
+    return out.withColumn("ratio", F.round("ratio", 6))
+
+
 @query()
 def consensus_programs(spark, d):
-    rows = view(spark, d, "counts").select(F.col("spot").alias("row"), F.col("gene").alias("col"), F.col("n").alias("value"))
-    return mapping.consensus_programs(rows, 3, runs=20)[0]
+    counts, spots = view(spark, d, "planted"), view(spark, d, "spots")
+    return programs.programs(counts, spots.join(counts, "spot", "left_semi"), 5, new_folder(spark, "grid"), 500, runs=20)[0]
+
+
+def _types(spark, d):
+    cells = view(spark, d, "planted").withColumnRenamed("spot", "cell")
+    return deconvolve.type_profiles(cells, view(spark, d, "spots").select(F.col("spot").alias("cell"), F.concat(F.lit("t"), "cluster").alias("type")))
 
 
 @query()
 def deconvolution(spark, d):
-    counts, spots = view(spark, d, "counts"), view(spark, d, "spots")
-    sums = counts.join(spots, "spot").groupBy("cluster", "gene").agg(F.sum("n").alias("n"))
-    total = sums.groupBy("cluster").agg(F.sum("n").alias("t"))
-    profiles = sums.join(total, "cluster").select(F.concat(F.lit("t"), "cluster").alias("type"), "gene", (F.col("n") / F.col("t")).alias("share"))
-    return mapping.expand_weights(spots, mapping.deconvolve(counts, profiles), counts.select("spot").distinct())
+    counts, spots = view(spark, d, "planted"), view(spark, d, "spots")
+    return mapping.expand_weights(spots, deconvolve.deconvolve(counts, _types(spark, d))[0], counts.select("spot").distinct())
+
+
+@query()
+def deconvolution_doublet(spark, d):
+    return deconvolve.deconvolve(view(spark, d, "planted"), _types(spark, d), "doublet")[0].drop("weights")
+
+
+@query()
+def deconvolution_multi(spark, d):
+    return deconvolve.deconvolve(view(spark, d, "planted"), _types(spark, d), "multi")[0].drop("weights")
