@@ -60,7 +60,8 @@ def test_grid_resumes_and_programs_are_recovered(spark, tmp_path):
     best = {}
     for r in out:
         best.setdefault(r["program"], set()).add(r["gene"])
-    assert sorted(sum(g // 15 == i for g in best[p]) >= 13 for p in best for i in range(3)) == [False] * 6 + [True] * 3
+    hits = [[sum(g // 15 == i for g in best[p]) for i in range(3)] for p in sorted(best)]
+    assert min(max(h) for h in hits) >= 11 and {h.index(max(h)) for h in hits} == {0, 1, 2}, hits
 
     u = np.zeros((len(n), 3))
     for r in usage.collect():
