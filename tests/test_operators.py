@@ -38,9 +38,30 @@ def test_overlap_against_nested_loop(spark):
 
 def test_body_bins_of_both_tools_differ_on_minus(spark):
     gene = spark.createDataFrame([(p, 0, 50, "-") for p in range(50)], "pos long, lo long, hi long, strand string")
-    row = gene.select(intervals.gene_bin(F.col("pos")).alias("a"), intervals.profile_bin(F.col("pos")).alias("b")).collect()
-    assert all(r["a"] - 20 != r["b"] - 30 for r in row)
-    assert sorted(r["b"] - 30 for r in row) == list(range(0, 100, 2))
+    edges = [r["at"] for r in gene.limit(1).select(F.inline(intervals.profile_edges())).orderBy("edge").collect()]
+    assert len(edges) == 161 and edges[30] == 50 and edges[130] == 0 and edges[0] == 3050 and edges[160] == -3000
+    for r in gene.select("pos", intervals.gene_bin(F.col("pos")).alias("a")).collect():
+        b = [i for i in range(160) if edges[i + 1] <= r["pos"] < edges[i]]
+        assert len(b) == 1 and b[0] - 30 == 2 * (49 - r["pos"]) != r["a"] - 20
+
+
+def test_profile_equals_a_loop_over_genes_and_sites(spark):
+    rng = np.random.default_rng(8)
+    sites = [("xy"[rng.integers(2)], int(p), float(rng.integers(0, 1001)) / 7) for p in rng.integers(0, 9000, 300)] + [("x", 0, 100.0), ("x", 0, 50.0)]
+    genes = [(i, "xyz"[i % 3], int(lo), int(lo + rng.integers(1, 900)), "+-"[i % 2]) for i, lo in enumerate(rng.integers(0, 8000, 30))]
+    got = {r["bin"]: r for r in intervals.metagene_profile(spark.createDataFrame(sites, "chrom string, pos long, pct double"), spark.createDataFrame(genes, "gene int, chrom string, lo long, hi long, strand string")).collect()}
+    held = {}
+    for i, chrom, lo, hi, strand in genes:
+        for c, pos, pct in sites:
+            offset = pos - lo if strand == "+" else hi - 1 - pos
+            if c == chrom and -3000 <= offset < hi - lo + 3000:
+                b = (offset + 3000) // 100 if offset < 0 else 30 + offset * 100 // (hi - lo) if offset < hi - lo else 130 + (offset - hi + lo) // 100
+                held.setdefault(b, {}).setdefault(i, []).append(pct)
+    assert len(got) == 160
+    for b, r in got.items():
+        means = [sum(v) / len(v) for v in held.get(b, {}).values()]
+        assert (r["covered_genes"], r["observations"]) == (len(means), sum(map(len, held.get(b, {}).values())))
+        assert r["mean_percent"] == (pytest.approx(sum(means) / len(means), abs=1e-5) if means else None)
 
 
 def test_duplicate_sites_are_averaged_first(spark):
