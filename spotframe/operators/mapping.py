@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from spotframe.expect import expect
 from spotframe.functions.columns import divide
 from spotframe.operators.linalg import fit_factor, nmf_runs, run_sums
-from spotframe.staging import running_start, staged
+from spotframe.staging import release, running_start, staged
 
 
 def split_complexes(pairs: DataFrame, unit: str, ids: str, symbols: str) -> DataFrame:
@@ -76,60 +77,129 @@ def cell_cycle(values: DataFrame, spots: DataFrame, first: DataFrame, second: Da
     return both.withColumn("phase", phase)
 
 
-def harmonize(vectors: DataFrame, clusters: int | None = None, rounds: int = 5, theta: float = 2.0, sigma: float = 0.1, ridge: float = 1.0) -> DataFrame:
-    """(id, batch, vec): embeddings (id, batch, vec) corrected for their batch.
+def _unit_rows(m: np.ndarray) -> np.ndarray:
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
 
-    Each round assigns rows softly to centroids by cosine, with less weight for batches that a cluster already holds too
-    much of, and subtracts each cluster's ridge estimate of the batch's shift. Only sums of size clusters x batches x
-    dimensions leave the tasks. The outline is that of the published method; details are our own.
+
+def _summed(rows: DataFrame, f: Callable[[pd.DataFrame], np.ndarray], size: int) -> np.ndarray:
+    """The sum of ``f``'s arrays of ``size`` values over all rows; tasks add up theirs, Spark adds the tasks'."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(size)
+        for t in parts:
+            if len(t):
+                total += f(t)
+        yield pd.DataFrame({"i": np.arange(size), "x": total})
+
+    out = np.zeros(size)
+    for r in rows.mapInPandas(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
+        out[r["i"]] = r["x"]
+    return out
+
+
+def harmonize(vectors: DataFrame, clusters: int | None = None, rounds: int = 50, theta: float = 2.0, sigma: float = 0.1, ridge: float = 1.0, steps: int = 20, cluster_tol: float = 1e-5, round_tol: float = 1e-4, blocks: int = 2) -> tuple[DataFrame, list[float], bool]:
+    """(id, batch, vec): embeddings (id, batch, vec) corrected for their batch; the objective of each round; whether it settled.
+
+    Clusters start from k-means on the cosine. A round assigns rows softly, one hashed block after the other, so that the
+    objective falls: distances to centroids, entropy of the assignments, and divergence of a cluster's batches from those
+    of all rows. It goes on until the objective falls by less than ``cluster_tol`` of itself or ``steps`` are done. Each
+    cluster's ridge regression of the embeddings on the batches is then taken off. Rounds end once the objective falls by
+    less than ``round_tol``, or after ``rounds``, as published; only in the first case the result has settled. Sums of size
+    clusters x batches x dimensions leave the tasks.
     """
-    batches = [r[0] for r in vectors.select("batch").distinct().orderBy("batch").collect()]
-    n = vectors.count()
+    batches = [r[0] for r in vectors.select("batch").distinct().orderBy("batch").collect()]  # one row a batch
+    place = {b: i for i, b in enumerate(batches)}
+    n, nb = vectors.count(), len(batches)
     k = clusters or max(2, min(100, round(n / 30)))
     start = vectors.orderBy(F.xxhash64("id"), "id").limit(k).collect()
-    centre = np.array([r["vec"] for r in start], float)
-    k, d, nb = len(centre), centre.shape[1], len(batches)
-    place = {b: i for i, b in enumerate(batches)}
-    balance = np.ones((k, nb))
-    current = vectors.select("id", "batch", F.transform("vec", lambda x: x.cast("double")).alias("vec"))
-
-    def soft(x: np.ndarray, b: np.ndarray, centre: np.ndarray, balance: np.ndarray) -> np.ndarray:
-        unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-        logit = -2 * (1 - unit(x) @ unit(centre).T) / sigma
+    centre = _unit_rows(np.array([r["vec"] for r in start], float))
+    k, d = centre.shape
+    vec = F.transform("vec", lambda x: x.cast("double"))
+    current = staged(vectors.select("id", "batch", vec.alias("z"), vec.alias("vec"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).alias("blk")), "embedding")
+
+    def batch_of(t: pd.DataFrame) -> np.ndarray:
+        return t["batch"].map(place).to_numpy()
+
+    def nearest(t: pd.DataFrame, centre: np.ndarray) -> np.ndarray:
+        u = _unit_rows(np.stack(t["vec"]))
+        far = u @ centre.T
+        return np.concatenate([(np.eye(k)[far.argmax(1)].T @ u).ravel(), [far.max(1).sum()], np.bincount(batch_of(t), minlength=nb)])
+
+    close = -np.inf
+    for _ in range(steps):  # k-means start
+        flat = _summed(current, functools.partial(nearest, centre=centre), k * d + 1 + nb)
+        sums, before, close = flat[: k * d].reshape(k, d), close, flat[k * d]
+        centre = np.where(np.linalg.norm(sums, axis=1, keepdims=True) > 0, _unit_rows(sums), centre)
+        if close - before <= 1e-4 * abs(close):
+            break
+    frequency = flat[k * d + 1 :] / n
+
+    def soft(u: np.ndarray, b: np.ndarray, centre: np.ndarray, balance: np.ndarray) -> np.ndarray:
+        logit = -2 * (1 - u @ centre.T) / sigma
         r = np.exp(logit - logit.max(1, keepdims=True)) * balance[:, b].T
         return r / r.sum(1, keepdims=True)
 
+    def assigned(t: pd.DataFrame, centre: np.ndarray, balance: np.ndarray) -> np.ndarray:
+        u, b = _unit_rows(np.stack(t["vec"])), batch_of(t)
+        r = soft(u, b, centre, balance)
+        held = np.stack([r[b == i].sum(0) for i in range(nb)], 1)
+        return np.concatenate([held.ravel(), (r.T @ u).ravel(), [(r * 2 * (1 - u @ centre.T)).sum() + sigma * (r * np.log(np.maximum(r, 1e-300))).sum()]])
+
+    def moments(t: pd.DataFrame, used: list) -> np.ndarray:
+        z, u, b, blk = np.stack(t["z"]), _unit_rows(np.stack(t["vec"])), batch_of(t), t["blk"].to_numpy()
+        mass, total = np.zeros((k, nb)), np.zeros((k, nb, d))
+        for at, (c, w) in enumerate(used):
+            for i in range(nb):
+                some = (blk == at) & (b == i)
+                r = soft(u[some], b[some], c, w)
+                mass[:, i] += r.sum(0)
+                total[:, i] += r.T @ z[some]
+        return np.concatenate([mass.ravel(), total.ravel()])
+
+    objective, settled = [], False
     for _ in range(rounds):
-        current = staged(current, "embedding")
-
-        def sums(parts: Iterator[pd.DataFrame], centre=centre, balance=balance) -> Iterator[pd.DataFrame]:
-            total, mass = np.zeros((k, nb, d)), np.zeros((k, nb))
-            for t in parts:
-                x, b = np.stack(t["vec"]), t["batch"].map(place).to_numpy()
-                r = soft(x, b, centre, balance)
-                for i in range(nb):
-                    total[:, i] += r[b == i].T @ x[b == i]
-                    mass[:, i] += r[b == i].sum(0)
-            flat = np.concatenate([total.ravel(), mass.ravel()])
-            yield pd.DataFrame({"i": np.arange(len(flat)), "x": flat})
-
-        rows = current.mapInPandas(sums, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()
-        flat = np.array([r["x"] for r in rows])
-        total, mass = flat[: k * nb * d].reshape(k, nb, d), flat[k * nb * d :].reshape(k, nb)
-        centre = total.sum(1) / np.maximum(mass.sum(1), 1e-12)[:, None]
-        expected = mass.sum(1, keepdims=True) * mass.sum(0) / max(mass.sum(), 1e-12)
-        balance = ((expected + 1) / (mass + 1)) ** theta
-        shift = (total - mass[:, :, None] * centre[:, None]) / (mass + ridge)[:, :, None]
-
-        def move(parts: Iterator[pd.DataFrame], centre=centre, balance=balance, shift=shift) -> Iterator[pd.DataFrame]:
+        held, sums, used, value = np.zeros((blocks, k, nb)), np.zeros((blocks, k, d)), [(centre, np.ones((k, nb)))] * blocks, np.inf
+        for step in range(steps):
+            parts = np.zeros(blocks)
+            for at in range(blocks):
+                rest = held.sum(0) - held[at]
+                balance = ((rest.sum(1, keepdims=True) * frequency + 1) / (rest + 1)) ** theta
+                used[at] = (centre, balance)
+                flat = _summed(current.where(F.col("blk") == at), functools.partial(assigned, centre=centre, balance=balance), k * nb + k * d + 1)
+                held[at], sums[at], parts[at] = flat[: k * nb].reshape(k, nb), flat[k * nb : -1].reshape(k, d), flat[-1]
+            whole = held.sum(0)
+            spread = sigma * theta * (whole * np.log((whole + 1) / (whole.sum(1, keepdims=True) * frequency + 1))).sum()
+            before, value = value, parts.sum() + spread
+            if step and before - value <= cluster_tol * abs(before):
+                break
+            centre = _unit_rows(sums.sum(0))
+        objective.append(float(value))
+        flat = _summed(current, functools.partial(moments, used=list(used)), k * nb * (d + 1))
+        mass, total = flat[: k * nb].reshape(k, nb), flat[k * nb :].reshape(k, nb, d)
+        shift = np.zeros((k, nb, d))
+        for c in range(k):
+            a = np.zeros((nb + 1, nb + 1))
+            a[0, 0], a[0, 1:], a[1:, 0] = mass[c].sum(), mass[c], mass[c]
+            a[1:, 1:] = np.diag(mass[c] + ridge)
+            shift[c] = np.linalg.lstsq(a, np.vstack([total[c].sum(0), total[c]]), rcond=None)[0][1:]
+
+        def move(parts: Iterator[pd.DataFrame], used=list(used), shift=shift) -> Iterator[pd.DataFrame]:
             for t in parts:
-                x, b = np.stack(t["vec"]), t["batch"].map(place).to_numpy()
-                r = soft(x, b, centre, balance)
-                t["vec"] = list(x - np.einsum("nk,knd->nd", r, shift[:, b]))
+                z, u, b, blk = np.stack(t["z"]), _unit_rows(np.stack(t["vec"])), batch_of(t), t["blk"].to_numpy()
+                out = z.copy()
+                for at, (c, w) in enumerate(used):
+                    some = blk == at
+                    out[some] -= np.einsum("nk,knd->nd", soft(u[some], b[some], c, w), shift[:, b[some]])
+                t["vec"] = list(out)
                 yield t
 
-        current = current.mapInPandas(move, current.schema)
-    return current
+        moved = staged(current.mapInPandas(move, current.schema), "embedding")
+        release(current)
+        current = moved
+        if len(objective) > 1 and objective[-2] - objective[-1] < round_tol * abs(objective[-2]):
+            settled = True
+            break
+    return current.select("id", "batch", "vec"), objective, settled
 
 
 def group_spectra(gram: np.ndarray, k: int, neighbors: int, density: float, starts: int = 10, seed: int = 0) -> tuple[np.ndarray, float]:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from spotframe.operators import deconvolution as deconvolve
 from spotframe.operators import graph, linalg, mapping, matrix, programs, spatial, stats
-from spotframe.staging import new_folder
+from spotframe.staging import new_folder, staged
 
 from .registry import query
 from .views import table, view
@@ -212,12 +212,16 @@ def knn_smooth(spark, d):
     return graph.smooth(values, _knn(spark, d), 5)
 
 
-@query(f"""WITH {KNN}, s0 AS (SELECT id, CASE WHEN id % 3 = 0 THEN CAST(label AS DOUBLE) ELSE 0 END AS v, CASE WHEN id % 3 = 0 THEN 1.0::DOUBLE ELSE 0 END AS m FROM vectors),
-    s1 AS (SELECT k.id, sum(v) / 5 AS v, sum(m) / 5 AS m FROM knn k JOIN s0 ON k.other = s0.id GROUP BY k.id), s2 AS (SELECT k.id, sum(v) / 5 AS v, sum(m) / 5 AS m FROM knn k JOIN s1 ON k.other = s1.id GROUP BY k.id)
+@query(f"""WITH {KNN.replace("rank <= 5", "rank <= 15")}, b AS (SELECT id, sqrt(d2) AS b FROM knn WHERE rank = 5),
+    a AS (SELECT knn.id, other, CASE WHEN d2 = 0 THEN 1 WHEN b > 0 THEN exp(-power(sqrt(d2) / b, 1.0)) ELSE 0 END AS a FROM knn JOIN b ON b.id = knn.id),
+    y AS (SELECT id, other, sum(a) / 2 AS a FROM (SELECT * FROM a WHERE a >= 0.0001 UNION ALL SELECT other, id, a FROM a WHERE a >= 0.0001) GROUP BY 1, 2 UNION ALL SELECT id, id, 1.0 FROM vectors),
+    w AS (SELECT id, other, a / sum(a) OVER (PARTITION BY id) AS w FROM y), s0 AS (SELECT id, CASE WHEN id % 3 = 0 THEN CAST(label AS DOUBLE) ELSE 0 END AS v, CASE WHEN id % 3 = 0 THEN 1.0::DOUBLE ELSE 0 END AS m FROM vectors),
+    s1 AS (SELECT w.id, sum(w * v) AS v, sum(w * m) AS m FROM w JOIN s0 ON w.other = s0.id GROUP BY w.id), s2 AS (SELECT w.id, sum(w * v) AS v, sum(w * m) AS m FROM w JOIN s1 ON w.other = s1.id GROUP BY w.id)
     SELECT id, round(CASE WHEN m > 0 THEN v / m END, 6) AS value FROM s2""")
 def masked_diffusion_t(spark, d):
     rows = view(spark, d, "vectors")
-    out = graph.diffuse(rows.where("id % 3 = 0").select("id", F.col("label").cast("double").alias("value")), rows.select("id"), _knn(spark, d), 2)
+    operator = graph.diffusion_operator(staged(_knn(spark, d, 15), "near"), 5)
+    out = graph.diffuse(rows.where("id % 3 = 0").select("id", F.col("label").cast("double").alias("value")), rows.select("id"), operator, 2)
     return out.withColumn("value", F.round("value", 6))
 
 
@@ -255,9 +259,8 @@ def pearson_hvg(spark, d):
 
 @query()
 def pca_block(spark, d):
-    rows = view(spark, d, "counts").select(F.col("spot").alias("row"), F.col("gene").alias("col"), F.log1p("n").alias("value"))
-    scores, _, _ = linalg.pca(rows, view(spark, d, "spots").select(F.col("spot").alias("id")), 4, 3)
-    return scores
+    rows = view(spark, d, "planted").groupBy(F.col("spot").alias("row"), (F.col("gene") % 110).alias("col")).agg(F.log1p(F.sum("n")).alias("value"))
+    return linalg.pca(rows, view(spark, d, "spots").select(F.col("spot").alias("id")), 4)[0]
 
 
 @query()
@@ -310,7 +313,7 @@ def cell_cycle_phase(spark, d):
 
 @query()
 def harmony(spark, d):
-    return mapping.harmonize(view(spark, d, "vectors").select("id", F.pmod(F.col("id"), F.lit(3)).alias("batch"), "vec"), rounds=3)
+    return mapping.harmonize(view(spark, d, "vectors").select("id", F.pmod(F.col("id"), F.lit(3)).alias("batch"), "vec"))[0]
 
 
 FANO = """t AS (SELECT spot, gene, n * 1000000.0::DOUBLE / sum(n) OVER (PARTITION BY spot) AS v FROM {planted}), m AS (SELECT count(*) AS m FROM {spots}),

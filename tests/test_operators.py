@@ -142,13 +142,32 @@ def test_knn_ties_and_self(spark):
 
 def test_diffusion_without_support_is_null(spark):
     nodes = spark.createDataFrame([(i,) for i in range(4)], "id long")
-    edges = spark.createDataFrame([(0, 1), (1, 0), (2, 3), (3, 2)], "id long, other long")
+    edges = spark.createDataFrame([(0, 1, 1.0), (1, 0, 1.0), (2, 3, 1.0), (3, 2, 1.0)], "id long, other long, w double")
     values = spark.createDataFrame([(0, 0.0), (1, 4.0)], "id long, value double")
     got = {r["id"]: r["value"] for r in graph.diffuse(values, nodes, edges, 1).collect()}
     assert got == {0: 4.0, 1: 0.0, 2: None, 3: None}
     assert {r["id"]: r["value"] for r in graph.diffuse(values, nodes, edges, 0).collect()} == {0: 0.0, 1: 4.0, 2: None, 3: None}
 
 
+@pytest.mark.parametrize("decay", [1.0, 6.0])
+def test_diffusion_operator_against_dense(spark, decay):
+    rng = np.random.default_rng(6)
+    x = np.vstack([rng.normal(size=(30, 3)), np.zeros((8, 3))])  # eight equal vectors: no bandwidth
+    near = graph.knn(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>"), 12).cache()
+    got = np.zeros((38, 38))
+    for r in graph.diffusion_operator(near, 4, decay).collect():
+        got[r["id"], r["other"]] = r["w"]
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    kernel = np.eye(38)
+    for r in near.collect():
+        i, j = r["id"], r["other"]
+        b = np.sort(far[i])[4]
+        a = 1.0 if far[i, j] == 0 else np.exp(-((far[i, j] / b) ** decay)) if b > 0 else 0.0
+        kernel[i, j] = a if a >= 1e-4 else 0.0
+    kernel = (kernel + kernel.T) / 2
+    assert got == pytest.approx(kernel / kernel.sum(1, keepdims=True), abs=1e-9) and got.sum(1) == pytest.approx(np.ones(38))
+
+
 def test_communities_of_two_cliques(spark):
     edges = [(a, b, 1.0) for k in (0, 10) for a in range(k, k + 6) for b in range(a + 1, k + 6)] + [(5, 10, 0.1)]
     df = spark.createDataFrame(edges, "a long, b long, weight double")
@@ -182,11 +201,23 @@ def test_pca_against_svd(spark):
     x = rng.normal(size=(30, 3)) @ rng.normal(size=(3, 12)) + 0.01 * rng.normal(size=(30, 12)) + 5
     cells = spark.createDataFrame([(i, j, float(x[i, j])) for i in range(30) for j in range(12)], "row long, col long, value double")
     rows = spark.createDataFrame([(i,) for i in range(30)], "id long")
-    scores, _, sd = linalg.pca(cells, rows, 3, 4)
-    s = np.array([r["vec"] for r in scores.orderBy("id").collect()])
+    scores, loadings, sd = linalg.pca(cells, rows, 3)
+    s, v = (np.array([r["vec"] for r in t.orderBy("id").collect()]) for t in (scores, loadings))
     c = x - x.mean(0)
-    assert sd == pytest.approx(np.linalg.svd(c)[1][:3] / np.sqrt(29), rel=1e-2)
+    assert sd == pytest.approx(np.linalg.svd(c)[1][:3] / np.sqrt(29), rel=1e-6)
     assert np.abs(s @ s.T) == pytest.approx(np.abs(c @ c.T), abs=0.5)
+    assert v.T @ v == pytest.approx(np.eye(3), abs=1e-6) and c @ v == pytest.approx(s, abs=1e-6)
+
+
+def test_pca_settles_or_raises(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, 60))  # no gap anywhere
+    cells = spark.createDataFrame([(i, j, float(x[i, j])) for i in range(40) for j in range(60)], "row long, col long, value double")
+    rows = spark.createDataFrame([(i,) for i in range(40)], "id long")
+    want = np.linalg.svd(x - x.mean(0))[1][:4] / np.sqrt(39)
+    assert linalg.pca(cells, rows, 4)[2] == pytest.approx(want, rel=1e-6)
+    with pytest.raises(Violation):
+        linalg.pca(cells, rows, 4, iterations=3)
 
 
 def test_imputation_recovers_low_rank(spark):
@@ -352,7 +383,7 @@ def test_residual_variance_and_pca_against_numpy(spark):
     for p in (0, 1):
         assert [got[p, j] for j in range(12)] == pytest.approx(residuals(x[part == p]).var(0))
     genes = spark.createDataFrame([(j,) for j in range(8)], "gene long")
-    scores, _, deviations = linalg.residual_pca(counts, spots, genes, 3, iterations=15)
+    scores, _, deviations = linalg.residual_pca(counts, spots, genes, 3)
     r = residuals(x[:, :8])
     exact = np.linalg.svd(r - r.mean(0))[1][:3] / np.sqrt(39)
     assert deviations == pytest.approx(exact, rel=2e-2) and scores.count() == 40
