@@ -23,6 +23,14 @@ VIEWS = {
     "regions": """SELECT o_orderkey AS region, concat('Brand#', CAST(1 + o_orderkey % 5 AS STRING), CAST(1 + CAST(floor(o_orderkey / 5) AS BIGINT) % 5 AS STRING)) AS chrom,
         CAST((o_custkey * 91) % 10400 AS BIGINT) AS lo, CAST((o_custkey * 91) % 10400 + 20 + o_orderkey % 180 AS BIGINT) AS hi
         FROM {orders}""",
+    # exons of transcripts, and the coding parts of some of them; neighbours may overlap
+    "exons": """SELECT l_orderkey AS transcript, concat('Brand#', CAST(1 + l_orderkey % 5 AS STRING), CAST(1 + CAST(floor(l_orderkey / 5) AS BIGINT) % 5 AS STRING)) AS chrom,
+        CASE WHEN l_orderkey % 3 = 0 THEN '-' ELSE '+' END AS strand, kind, CAST(2000 * l_orderkey + 1500 * l_linenumber + l_partkey % 1000 + cut AS BIGINT) AS lo,
+        CAST(2000 * l_orderkey + 1500 * l_linenumber + l_partkey % 1000 + 30 * CAST(l_quantity AS BIGINT) + 20 - cut AS BIGINT) AS hi
+        FROM {lineitem} JOIN (SELECT 'exon' AS kind, 0 AS cut UNION ALL SELECT 'CDS', 8) k ON kind = 'exon' OR l_linenumber BETWEEN 2 AND 4""",
+    "loci": """SELECT o_orderkey AS region, concat('Brand#', CAST(1 + o_orderkey % 5 AS STRING), CAST(1 + CAST(floor(o_orderkey / 5) AS BIGINT) % 5 AS STRING)) AS chrom,
+        CAST(greatest(0, 2000 * o_orderkey + (o_custkey * 91) % 30000 - 8000) AS BIGINT) AS lo,
+        CAST(greatest(0, 2000 * o_orderkey + (o_custkey * 91) % 30000 - 8000) + 20 + o_orderkey % 180 AS BIGINT) AS hi FROM {orders}""",
     "sites": """SELECT p_brand AS chrom, CAST((l_orderkey * 13) % 10000 AS BIGINT) AS pos, CAST(round(l_discount * 1000) AS BIGINT) AS pct,
         CAST(l_quantity AS BIGINT) AS meth, CAST(l_linenumber AS BIGINT) AS unmeth, l_suppkey AS spot
         FROM {lineitem} JOIN {part} ON l_partkey = p_partkey""",
