@@ -230,11 +230,23 @@ def leiden(spark, d):
     return graph.communities(graph.shared_neighbors(_knn(spark, d, 10), 10, False), repeats=2)
 
 
-@query()
+@query("""WITH v AS (SELECT m, id, CAST(CASE m WHEN 1 THEN vec[1:32] ELSE vec[33:64] END AS DOUBLE[]) AS vec FROM {vectors}, range(1, 3) t(m)),
+    d AS (SELECT x.m, x.id, y.id AS other, list_distance(x.vec, y.vec) AS d FROM v x JOIN v y ON x.m = y.m AND x.id <> y.id),
+    n AS (SELECT *, row_number() OVER (PARTITION BY m, id ORDER BY d, other) AS k FROM d), f AS (SELECT m, id, d AS d1 FROM n WHERE k = 1),
+    l AS (SELECT m, id, other FROM n WHERE k <= 5 UNION ALL SELECT m, id, id FROM v),
+    s AS (SELECT a.m, a.id, b.id AS other, count(*) AS s FROM l a JOIN l b ON a.m = b.m AND a.other = b.other AND a.id <> b.id GROUP BY 1, 2, 3),
+    h AS (SELECT m, id, avg(d) AS h FROM (SELECT m, id, d, row_number() OVER (PARTITION BY m, id ORDER BY s, d DESC, other) AS j FROM s JOIN d USING (m, id, other)) WHERE j <= 5 GROUP BY m, id),
+    p AS (SELECT x.m, g.m AS g, g.id, i, avg(x.vec[i]) AS y FROM n g JOIN v x ON x.id = g.other, range(1, 33) t(i) WHERE g.k <= 5 GROUP BY 1, 2, 3, 4),
+    q AS (SELECT m, g, id, sqrt(sum((vec[i] - y) * (vec[i] - y))) AS d FROM p JOIN v USING (m, id) GROUP BY 1, 2, 3),
+    e AS (SELECT m, g, id, exp(-greatest(d - d1, 0) / greatest(h - d1, 1e-12)) AS e FROM q JOIN f USING (m, id) JOIN h USING (m, id)),
+    r AS (SELECT m, id, max(CASE WHEN m = g THEN e END) / (max(CASE WHEN m <> g THEN e END) + 1e-4) AS r FROM e GROUP BY 1, 2), w AS (SELECT a.m, a.id, 1 / (1 + exp(b.r - a.r)) AS w FROM r a JOIN r b ON a.id = b.id AND a.m <> b.m),
+    c AS (SELECT DISTINCT id, other FROM n WHERE k <= 20),
+    z AS (SELECT id, other, sum(w * exp(-greatest(d - d1, 0) / greatest(h - d1, 1e-12))) AS weight, max(CASE WHEN m = 1 THEN w END) AS first_weight FROM c JOIN d USING (id, other) JOIN f USING (m, id) JOIN h USING (m, id) JOIN w USING (m, id) GROUP BY 1, 2)
+    SELECT id, other, round(weight, 6) AS weight, k AS rank, round(first_weight, 6) AS first_weight FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY weight DESC, other) AS k FROM z) WHERE k <= 5""")
 def wnn(spark, d):
     rows = view(spark, d, "vectors")
-    unit = lambda a: rows.select("id", F.slice(F.transform("vec", lambda x: x.cast("double")), a, 32).alias("vec"))
-    return graph.weighted_neighbors(unit(1), unit(33), 5, 20)
+    half = lambda a: rows.select("id", F.slice("vec", a, 32).alias("vec"))
+    return graph.weighted_neighbors(half(1), half(33), 5, 20).withColumns({c: F.round(c, 6) for c in ("weight", "first_weight")})
 
 
 @query("""WITH v AS (SELECT spot, gene, n * 10000.0::DOUBLE / sum(n) OVER (PARTITION BY spot) AS v FROM {counts}), k AS (SELECT gene AS pair, gene AS ligand, gene + 20 AS receptor FROM {genes}),

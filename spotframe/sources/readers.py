@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spotframe.expect import Violation, expect
 from spotframe.functions.columns import pad_pair, split_pair
+from spotframe.sources.sites import check_sorted, parse_span
 
 
 def _csv(spark: SparkSession, path: str, schema: str, header: bool = False, sep: str = "\t", comment: str | None = None) -> DataFrame:
@@ -66,30 +67,22 @@ def read_value_mask(spark: SparkSession, path: str, n_rows: int | None = None, n
 COVERAGE = "chrom string, start long, end long, percent double, methylated long, unmethylated long, spot string"
 
 
-def read_coverage(spark: SparkSession, path: str, base: int = 1) -> DataFrame:
-    """Coverage rows as chrom, pos (0-based), pct, meth, unmeth, spot. ``base``: where the file starts counting."""
+def read_coverage(spark: SparkSession, path: str, base: int = 1, ordered: bool = False) -> DataFrame:
+    """Coverage rows as chrom, pos (0-based), pct, meth, unmeth, spot. ``base``: where the file starts counting.
+
+    With ``ordered`` each file must be sorted, its chromosomes in one piece each.
+    """
     rows = _csv(spark, path, COVERAGE)
+    if ordered:
+        check_sorted(rows, pos="start")
     rows = expect(rows, chrom=F.col("chrom").isNotNull(), single=(F.col("start") == F.col("end")) & (F.col("start") >= base), percent=F.col("percent").between(0, 100), counts=(F.col("methylated") >= 0) & (F.col("unmethylated") >= 0))
     return rows.select("chrom", (F.col("start") - base).alias("pos"), F.col("percent").alias("pct"), F.col("methylated").alias("meth"), F.col("unmethylated").alias("unmeth"), "spot")
 
 
-def check_sorted(rows: DataFrame, chrom: str = "chrom", pos: str = "pos") -> DataFrame:
-    """Raises Violation unless positions ascend within each chromosome in file order."""
-    from pyspark.sql import Window
-
-    at = F.monotonically_increasing_id()
-    before = F.lag(pos).over(Window.partitionBy(chrom).orderBy("_at"))
-    bad = rows.withColumn("_at", at).withColumn("_before", before).where(F.col(pos) < F.col("_before"))
-    if not bad.isEmpty():
-        raise Violation("positions aren't sorted")
-    return rows
-
-
 def read_region(rows: DataFrame, region: str) -> DataFrame:
     """(spot, site_count, percent) of the sites inside ``chrom:start-end``, 1-based and inclusive."""
-    chrom, _, span = region.partition(":")
-    lo, hi = (int(x) for x in span.split("-"))
-    inside = rows.where((F.col("chrom") == chrom) & F.col("pos").between(lo - 1, hi - 1))
+    chrom, lo, hi = parse_span(region)
+    inside = rows.where((F.col("chrom") == chrom) & (F.col("pos") >= lo) & (F.col("pos") < hi))
     return inside.groupBy("spot").agg(F.count("*").alias("site_count"), (100 * F.sum("meth") / F.nullif(F.sum(F.col("meth") + F.col("unmeth")), F.lit(0))).alias("percent"))
 
 

@@ -4,9 +4,10 @@ import gzip
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from spotframe.expect import Violation
-from spotframe.sources import binary, bundle, readers
+from spotframe.sources import binary, bundle, readers, sites
 
 
 def put(path, text):
@@ -66,6 +67,54 @@ def test_json_and_tables(spark, tmp_path):
     assert tuple(readers.read_pairs(spark, q, "a", "b").first()) == ("01_02", "03_04")
 
 
+def test_sites_by_region(spark, tmp_path):
+    rows = spark.sql("SELECT concat('chr', id % 3) AS chrom, id * 7 % 3000 AS pos, id AS spot FROM range(3000)")
+    sites.write_sites(rows, f"{tmp_path}/s", 200)
+    every = [p.name for p in (tmp_path / "s" / "sites").iterdir() if p.name.endswith(".parquet")]
+    for region, few in (("chr1:501-900", True), ("chr2:1-3000", False), ("chr1:9000-9001", True), ("none:1-5", True)):
+        chrom, lo, hi = sites.parse_span(region)
+        got, want = sites.read_sites(spark, f"{tmp_path}/s", region), rows.where(f"chrom = '{chrom}' AND pos >= {lo} AND pos < {hi}")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        names = sites.files_of(spark, f"{tmp_path}/s", region)
+        assert len(names) <= (2 if few else len(every) // 2) and (not names or {p.rsplit("/")[-1] for p in got.inputFiles()} == set(names))
+    for region in ("chr1", "chr1:0-4", "chr1:5-4", "chr1:a-b"):
+        with pytest.raises(Violation):
+            sites.parse_span(region)
+    with pytest.raises(Exception, match="lacks its place"):
+        sites.write_sites(rows.withColumn("pos", F.expr("nullif(pos, 7)")), f"{tmp_path}/n")
+
+
+def test_order_of_files(spark, tmp_path):
+    def faults(name, places, split=None):
+        text = "".join(f"{c}\t{p}\t{p}\t50\t1\t1\ts\n" for c, p in places)
+        path = put(tmp_path / name, text)
+        if split:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+            spark.conf.set("spark.sql.files.openCostInBytes", 1)
+        try:
+            found = sorted(tuple(r)[1:] for r in sites.order_faults(readers._csv(spark, path, readers.COVERAGE), pos="start").collect())
+            if found:
+                with pytest.raises(Violation):
+                    readers.read_coverage(spark, path, ordered=True)
+            else:
+                assert readers.read_coverage(spark, path, ordered=True).count() == len(places)
+            return found
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+
+    fine = [(c, p) for c in ("chr2", "chr10", "chr1") for p in (1, 1, *range(2, 90))]
+    for split in (None, 200):  # blocks of 200 bytes hold a dozen lines
+        assert faults("fine", fine, split) == []
+        assert faults("down", [*fine[:50], ("chr2", 3), *fine[50:]], split) == [("chr2", "unsorted")]
+        assert [c for c, _ in faults("back", [*fine, ("chr2", 99)], split)]
+        assert ("chr2", "apart") in faults("late", [*fine, *[("chr1", p) for p in range(90, 150)], *[("chr2", p) for p in range(200, 230)]], 200)
+    assert faults("seam", [("c", p) for p in (*range(100, 125), *range(50, 90))], 200) == [("c", "unsorted")]
+    assert faults("bare.cov.gz", fine) == []
+    plan = sites.order_faults(readers._csv(spark, f"{tmp_path}/fine", readers.COVERAGE), pos="start")._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Exchange") < plan.index("MapInPandas")  # of the plan's lines, later ones come first: rows are mapped before anything is shuffled
+
+
 def container(kind, payload, signature=266563789635, size=None):
     return gzip.compress(signature.to_bytes(8, "little") + kind.encode() + (len(payload) if size is None else size).to_bytes(8, "little") + payload)
 
