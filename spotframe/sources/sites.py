@@ -53,7 +53,7 @@ def read_sites(spark: SparkSession, path: str, region: str) -> DataFrame:
 
 
 def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row for each run of equal chromosomes of a file's block. A block that returns to a chromosome ends with a row of it."""
+    """One row for each run of equal chromosomes of a file's block. Where a block returns to a chromosome, the run before counts as not ascending."""
     last, known, nth = None, set(), 0
 
     def row():
@@ -91,6 +91,8 @@ def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def order_faults(rows: DataFrame, chrom: str = "chrom", pos: str = "pos") -> DataFrame:
     """(file, chrom, fault) of files whose positions descend within a chromosome ("unsorted") or whose chromosome comes back ("apart").
 
+    A chromosome that comes back within one block is told as a fault of the one before it.
+
     ``rows`` come straight from files. Each task reads its blocks once, in order, and tells of each run of a chromosome its
     first and last position; only these few rows are shuffled. Null places count as faults.
     """
