@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import functools
-import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spotframe.expect import expect
 from spotframe.functions.columns import divide
-from spotframe.staging import staged
+from spotframe.operators.neighbors import blocks_of, distinct_units
+from spotframe.staging import broadcast_if_small, release, staged
+
+#: Places of a leaf at most in the search for the nearest spot.
+LEAF = 16
 
 
 def affine(rows: DataFrame, x: str, y: str, degrees: float, dx: float, dy: float, centre: tuple[float, float]) -> DataFrame:
@@ -20,6 +23,10 @@ def affine(rows: DataFrame, x: str, y: str, degrees: float, dx: float, dy: float
     return rows.withColumn("moved_x", centre[0] + u * F.cos(a) - v * F.sin(a) + dx).withColumn("moved_y", centre[1] + u * F.sin(a) + v * F.cos(a) + dy)
 
 
+def _finite(c: str) -> Column:
+    return F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c)) < float("inf"))
+
+
 def _cell(c: str, width: float) -> Column:
     return F.floor(F.col(c) / width)
 
@@ -34,39 +41,64 @@ def within(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     return a.join(b, ["part", "_cx", "_cy"]).withColumn("d2", d2).where(F.col("d2") <= radius * radius).select("part", "id", "other", "d2", "x", "y", "ox", "oy")
 
 
+def reference_tree(reference: DataFrame, leaf: int = LEAF) -> DataFrame:
+    """(part, rep, vec, ids, path): distinct places of the spots (part, id, x, y) in the leaves of a tree of their part.
+
+    A leaf holds at most ``leaf`` places, however dense or far apart they are; ``ids`` are a place's two smallest ids.
+    Spots without a finite place can't be near anything and are left out.
+    """
+    placed = reference.where(_finite("x") & _finite("y")).select("part", "id", F.array("x", "y").alias("vec"))
+    return blocks_of(distinct_units(placed, ["part"], 1)[0], ["part"], 2, leaf)
+
+
+def _boxes(tree: DataFrame, level: int) -> DataFrame:
+    """Bounding boxes of the tree's nodes of a level, with the spots in them (a place counts at most twice)."""
+    x, y = F.col("vec")[0], F.col("vec")[1]
+    nodes = tree.where(F.length("path") >= level).groupBy("part", F.substring("path", 1, level).alias("node"))
+    boxes = nodes.agg(F.min(x).alias("xl"), F.max(x).alias("xh"), F.min(y).alias("yl"), F.max(y).alias("yh"), F.sum(F.size("ids")).alias("n"), (F.max(F.length("path")) == level).alias("leaf"))
+    return staged(boxes.withColumn("parent", F.substring("node", 1, max(level - 1, 0))), "boxes")
+
+
+def leaf_pairs(moving: DataFrame, tree: DataFrame, exclude_self: bool = False) -> DataFrame:
+    """(part, id, x, y, node): the leaves of the tree that may hold a spot's nearest one.
+
+    From level to level a spot opens its boxes, and of all those only boxes stay whose nearest corner isn't farther than
+    the farthest corner of another one. A leaf waits with its distances until the deeper ones are reached.
+    """
+    depth = tree.agg(F.max(F.length("path"))).first()[0] or 0
+    near = [F.greatest(F.col(lo) - F.col(v), F.col(v) - F.col(hi), F.lit(0.0)) for v, lo, hi in (("x", "xl", "xh"), ("y", "yl", "yh"))]
+    far = [F.greatest(F.abs(F.col(v) - F.col(lo)), F.abs(F.col(v) - F.col(hi))) for v, lo, hi in (("x", "xl", "xh"), ("y", "yl", "yh"))]
+    # a box of one spot may hold just the spot itself, which is no bound for another one
+    bound = F.when((F.col("n") > 1) | F.lit(not exclude_self), far[0] * far[0] + far[1] * far[1])
+    least = F.min("far").over(Window.partitionBy("part", "id"))
+    columns = ["part", "id", "x", "y", "node", "leaf", "near", "far"]
+    found = moving.where(_finite("x") & _finite("y")).select("part", "id", "x", "y", F.lit("").alias("parent"))
+    waiting = last = None
+    for level in range(depth + 1):
+        boxes = _boxes(tree, level)
+        met = found.join(broadcast_if_small(boxes), ["part", "parent"]).withColumns({"near": near[0] * near[0] + near[1] * near[1], "far": bound}).select(*columns)
+        met = met if waiting is None else met.union(waiting.select(*columns))
+        kept = staged(met.withColumn("least", least).where(F.col("least").isNull() | (F.col("near") <= F.col("least"))).select(*columns), "leaves")
+        release(boxes, last)
+        last = kept
+        waiting, found = kept.where("leaf"), kept.where("NOT leaf").select("part", "id", "x", "y", F.col("node").alias("parent"))
+    return waiting.select("part", "id", "x", "y", "node")
+
+
 def nearest_spot(moving: DataFrame, reference: DataFrame, exclude_self: bool = False) -> DataFrame:
     """(part, id, other, d2): the nearest reference spot of each moving one in its part; ties go to the smaller id.
 
-    Null other and d2 where the part has no reference spot, or with ``exclude_self`` none but the spot itself. There is no
-    radius: boxes of a quartered grid are searched from the whole part down to cells of a few spots, and of a spot's
-    boxes only those stay whose nearest corner isn't farther than the farthest corner of another one. So each spot keeps
-    a handful of boxes at every level, and no pair of far spots is ever formed.
+    Null other and d2 where the part has no reference spot, or with ``exclude_self`` none but the spot itself, or where
+    the moving spot has no finite place. There is no radius: a tree that splits dense boxes alone is searched from the
+    whole part down to leaves of a few places, so neither one far spot nor a dense cluster makes pairs of far spots.
     """
-    spots = reference.select("part", F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"))
-    span = spots.groupBy("part").agg(F.min("ox").alias("x0"), F.min("oy").alias("y0"), F.greatest(F.max("ox") - F.min("ox"), F.max("oy") - F.min("oy")).alias("span"), F.count("*").alias("n"))
-    most = span.agg(F.max("n")).first()[0] or 1
-    levels = max(0, math.ceil(math.log(most / 4, 16))) if most > 4 else 0  # a level has 16 times the boxes of the one above
-    side = 1 << (2 * levels)
-    cell = lambda v, v0: F.least(F.lit(side - 1), F.coalesce(F.floor(divide(F.col(v) - F.col(v0), F.col("span")) * side), F.lit(0))).cast("long")
-    spots = staged(spots.join(span, "part").withColumns({"cx": cell("ox", "x0"), "cy": cell("oy", "y0")}).drop("x0", "y0", "span", "n"), "cells")
-    found = moving.select("part", "id", "x", "y").withColumns({"px": F.lit(0).cast("long"), "py": F.lit(0).cast("long")})
-    for level in range(levels + 1):
-        up = 2 * (levels - level)
-        boxes = spots.groupBy("part", F.shiftright("cx", up).alias("bx"), F.shiftright("cy", up).alias("by"))
-        boxes = boxes.agg(F.min("ox").alias("xl"), F.max("ox").alias("xh"), F.min("oy").alias("yl"), F.max("oy").alias("yh"), F.count("*").alias("n"))
-        boxes = boxes.withColumns({"px": F.shiftright("bx", 2 if level else 0), "py": F.shiftright("by", 2 if level else 0)})
-        near = [F.greatest(F.col(lo) - F.col(v), F.col(v) - F.col(hi), F.lit(0.0)) for v, lo, hi in (("x", "xl", "xh"), ("y", "yl", "yh"))]
-        far = [F.greatest(F.abs(F.col(v) - F.col(lo)), F.abs(F.col(v) - F.col(hi))) for v, lo, hi in (("x", "xl", "xh"), ("y", "yl", "yh"))]
-        # a box of one spot may hold just the spot itself, which is no bound for another one
-        bound = F.when((F.col("n") > 1) | F.lit(not exclude_self), far[0] * far[0] + far[1] * far[1])
-        met = found.join(boxes, ["part", "px", "py"]).withColumns({"near": near[0] * near[0] + near[1] * near[1], "far": bound})
-        least = F.min("far").over(Window.partitionBy("part", "id"))
-        met = met.withColumn("least", least).where(F.col("least").isNull() | (F.col("near") <= F.col("least")))
-        found = staged(met.select("part", "id", "x", "y", F.col("bx").alias("px"), F.col("by").alias("py")), "boxes")
-    d2 = (F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy"))
-    pairs = found.join(spots.withColumnsRenamed({"cx": "px", "cy": "py"}), ["part", "px", "py"])
+    tree = reference_tree(reference)
+    leaves = leaf_pairs(moving, tree, exclude_self)
+    places = tree.select("part", F.col("path").alias("node"), F.col("vec")[0].alias("ox"), F.col("vec")[1].alias("oy"), F.explode("ids").alias("other"))
+    pairs = leaves.join(places, ["part", "node"])
     if exclude_self:
         pairs = pairs.where("id <> other")
+    d2 = (F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy"))
     best = pairs.groupBy("part", "id").agg(F.min(F.struct(d2.alias("d2"), F.col("other").alias("other"))).alias("k"))
     return moving.select("part", "id").join(best, ["part", "id"], "left").select("part", "id", F.col("k.other").alias("other"), F.col("k.d2").alias("d2"))
 
@@ -137,18 +169,30 @@ def to_microns(rows: DataFrame, meta: DataFrame, sample: str, x: str, y: str) ->
     return rows.join(meta.select(sample, "pixel_size_um"), sample).withColumn("x_um", F.col(x) * F.col("pixel_size_um")).withColumn("y_um", F.col(y) * F.col("pixel_size_um")).drop("pixel_size_um")
 
 
-def pair_scores(values: DataFrame, spots: DataFrame, pairs: DataFrame, sigma: float = 125.0, radius: float = 250.0, include_self: bool = True) -> DataFrame:
-    """Incoming score of each pair at each spot: receptor value times the Gaussian-weighted mean of ligand values around.
+def pair_scores(values: DataFrame, spots: DataFrame, pairs: DataFrame, sigma: float = 125.0, radius: float = 250.0, include_self: bool = True, direction: str = "incoming") -> DataFrame:
+    """(id, pair, score) of each pair at each spot: one role's value times the Gaussian-weighted mean of the other's around.
 
-    ``values``: id, gene, value (scaled); ``spots``: id, x, y, part; ``pairs``: pair, ligand, receptor. This is our own
-    definition; weights are exp(-d2 / (2 sigma^2)) within ``radius`` and sum to one at each spot.
+    ``incoming``: the receptor here, ligands around; ``outgoing``: the ligand here, receptors around. ``values``: id,
+    gene, value (scaled); ``spots``: id, x, y, part; ``pairs``: pair, ligand, receptor. This is our own definition;
+    weights are exp(-d2 / (2 sigma^2)) within ``radius`` and sum to one at each spot. A score without a row is zero.
     """
-    near = within(spots, spots, radius)
-    if not include_self:
-        near = near.where("id <> other")
-    near = near.withColumn("w", F.exp(-F.col("d2") / (2 * sigma * sigma)))
+    if direction not in ("incoming", "outgoing"):
+        raise ValueError(f"no direction {direction!r}")
+    here, there = ("receptor", "ligand") if direction == "incoming" else ("ligand", "receptor")
+    near = _around(spots, radius, include_self).withColumn("w", F.exp(-F.col("d2") / (2 * sigma * sigma)))
     total = near.groupBy("id").agg(F.sum("w").alias("total"))
-    ligand = pairs.join(values.withColumnRenamed("gene", "ligand"), "ligand").select("pair", "receptor", F.col("id").alias("other"), F.col("value").alias("sent"))
-    got = near.select("id", "other", "w").join(ligand, "other").groupBy("id", "pair", "receptor").agg(F.sum(F.col("w") * F.col("sent")).alias("got"))
-    out = got.join(total, "id").join(values.withColumnRenamed("gene", "receptor"), ["id", "receptor"])
+    around = pairs.join(values.withColumnRenamed("gene", there), there).select("pair", here, F.col("id").alias("other"), F.col("value").alias("sent"))
+    got = near.select("id", "other", "w").join(around, "other").groupBy("id", "pair", here).agg(F.sum(F.col("w") * F.col("sent")).alias("got"))
+    out = got.join(total, "id").join(values.withColumnRenamed("gene", here), ["id", here])
     return out.select("id", "pair", (divide(F.col("got"), F.col("total")) * F.col("value")).alias("score"))
+
+
+def _around(spots: DataFrame, radius: float, include_self: bool) -> DataFrame:
+    near = within(spots, spots, radius)
+    return near if include_self else near.where("id <> other")
+
+
+def score_available(spots: DataFrame, radius: float = 250.0, include_self: bool = True) -> DataFrame:
+    """``spots`` with score_available: whether any spot lies within ``radius``, itself counted with ``include_self``."""
+    near = _around(spots, radius, include_self)
+    return spots.join(near.select("id").distinct().withColumn("_near", F.lit(True)), "id", "left").withColumn("score_available", F.coalesce("_near", F.lit(False))).drop("_near")

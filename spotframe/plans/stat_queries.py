@@ -249,16 +249,35 @@ def wnn(spark, d):
     return graph.weighted_neighbors(half(1), half(33), 5, 20).withColumns({c: F.round(c, 6) for c in ("weight", "first_weight")})
 
 
+def _pair_inputs(spark, d):
+    """Scaled values, spots in steps of 100 and the pairs of genes that lie 20 apart."""
+    values = matrix.normalize(view(spark, d, "counts"), "spot", "n").select(F.col("spot").alias("id"), "gene", F.col("scaled").alias("value"))
+    pairs = view(spark, d, "genes").select(F.col("gene").alias("pair"), F.col("gene").alias("ligand"), (F.col("gene") + 20).alias("receptor"))
+    return values, _points(spark, d, "true").withColumns({"x": F.col("x") * 100, "y": F.col("y") * 100}), pairs
+
+
 @query("""WITH v AS (SELECT spot, gene, n * 10000.0::DOUBLE / sum(n) OVER (PARTITION BY spot) AS v FROM {counts}), k AS (SELECT gene AS pair, gene AS ligand, gene + 20 AS receptor FROM {genes}),
     w AS (SELECT a.spot AS id, b.spot AS other, exp(-10000.0::DOUBLE * ((a.grid_row - b.grid_row) * (a.grid_row - b.grid_row) + (a.grid_col - b.grid_col) * (a.grid_col - b.grid_col)) / (2 * 125 * 125)) AS w
       FROM {spots} a JOIN spots b ON a.sample = b.sample AND (a.grid_row - b.grid_row) * (a.grid_row - b.grid_row) + (a.grid_col - b.grid_col) * (a.grid_col - b.grid_col) <= 6.25),
     t AS (SELECT id, sum(w) AS t FROM w GROUP BY id), g AS (SELECT w.id, k.pair, k.receptor, sum(w.w * v.v) AS g FROM w JOIN v ON v.spot = w.other JOIN k ON k.ligand = v.gene GROUP BY 1, 2, 3)
     SELECT g.id, g.pair, round(g.g / t.t * v.v, 6) AS score FROM g JOIN t ON t.id = g.id JOIN v ON v.spot = g.id AND v.gene = g.receptor""")
 def lr_score(spark, d):
-    values = matrix.normalize(view(spark, d, "counts"), "spot", "n").select(F.col("spot").alias("id"), "gene", F.col("scaled").alias("value"))
-    pairs = view(spark, d, "genes").select(F.col("gene").alias("pair"), F.col("gene").alias("ligand"), (F.col("gene") + 20).alias("receptor"))
-    spots = _points(spark, d, "true").withColumns({"x": F.col("x") * 100, "y": F.col("y") * 100})
-    return spatial.pair_scores(values, spots, pairs).withColumn("score", F.round("score", 6))
+    return spatial.pair_scores(*_pair_inputs(spark, d)).withColumn("score", F.round("score", 6))
+
+
+@query("""WITH v AS (SELECT spot, gene, n * 10000.0::DOUBLE / sum(n) OVER (PARTITION BY spot) AS v FROM {counts}), k AS (SELECT gene AS pair, gene AS ligand, gene + 20 AS receptor FROM {genes}),
+    w AS (SELECT a.spot AS id, b.spot AS other, exp(-10000.0::DOUBLE * ((a.grid_row - b.grid_row) * (a.grid_row - b.grid_row) + (a.grid_col - b.grid_col) * (a.grid_col - b.grid_col)) / (2 * 125 * 125)) AS w
+      FROM {spots} a JOIN spots b ON a.sample = b.sample AND a.spot <> b.spot AND (a.grid_row - b.grid_row) * (a.grid_row - b.grid_row) + (a.grid_col - b.grid_col) * (a.grid_col - b.grid_col) <= 6.25),
+    t AS (SELECT id, sum(w) AS t FROM w GROUP BY id), g AS (SELECT w.id, k.pair, k.ligand, sum(w.w * v.v) AS g FROM w JOIN v ON v.spot = w.other JOIN k ON k.receptor = v.gene GROUP BY 1, 2, 3)
+    SELECT g.id, g.pair, round(g.g / t.t * v.v, 6) AS score FROM g JOIN t ON t.id = g.id JOIN v ON v.spot = g.id AND v.gene = g.ligand""")
+def lr_score_outgoing(spark, d):
+    return spatial.pair_scores(*_pair_inputs(spark, d), include_self=False, direction="outgoing").withColumn("score", F.round("score", 6))
+
+
+@query("""SELECT a.spot AS id, count(b.spot) > 0 AS score_available FROM {spots} a LEFT JOIN spots b ON a.sample = b.sample AND a.spot <> b.spot
+    AND (a.grid_row - b.grid_row) * (a.grid_row - b.grid_row) + (a.grid_col - b.grid_col) * (a.grid_col - b.grid_col) <= 6.25 GROUP BY a.spot""")
+def scored_spots(spark, d):
+    return spatial.score_available(_pair_inputs(spark, d)[1], include_self=False).select("id", "score_available")
 
 
 @query("""WITH c AS (SELECT * FROM {counts}), r AS (SELECT spot, CAST(sum(n) AS DOUBLE) AS r FROM c GROUP BY spot), g AS (SELECT gene, CAST(sum(n) AS DOUBLE) AS c FROM c GROUP BY gene), t AS (SELECT sum(r) AS t FROM r), k AS (SELECT count(*) AS m FROM {spots}),

@@ -1,5 +1,7 @@
 """Edge rules by hand-made tables, and numerical operators against NumPy."""
 
+import math
+
 import numpy as np
 import pytest
 
@@ -327,6 +329,40 @@ def test_nearest_spot_without_a_radius(spark):
         assert len(got) == len(a)
 
 
+def test_nearest_leaves_stay_few_with_a_far_spot_and_dense_clusters(spark):
+    rng = np.random.default_rng(5)
+    near = [("p", i, float(x), float(y)) for i, (x, y) in enumerate(rng.normal(0, 1e-3, (600, 2)))]
+    spread = [("p", 600 + i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(0, 1e3, (600, 2)))]
+    stacked = [("p", 1200 + i, 5.0, 5.0) for i in range(300)]
+    rows = spark.createDataFrame([*near, *spread, *stacked, ("p", 1500, 1e12, -1e12), ("p", 1501, None, 1.0), ("p", 1502, float("nan"), 1.0)], "part string, id long, x double, y double")
+    tree = spatial.reference_tree(rows)
+    assert tree.groupBy("path").count().agg({"count": "max"}).first()[0] <= spatial.LEAF and tree.count() == 1202
+    assert spatial.leaf_pairs(rows, tree, True).count() <= 8 * 1501  # a few leaves a spot, wherever it lies
+    got = {r["id"]: (r["other"], r["d2"]) for r in spatial.nearest_spot(rows, rows, True).collect()}
+    assert len(got) == 1503 and got[1501] == got[1502] == (None, None)
+    assert got[1200] == (1201, 0.0) and all(got[i] == (1200, 0.0) for i in range(1201, 1500)) and got[1500][1] > 1e23
+    pts = np.array([x[2:] for x in [*near, *spread, *stacked]])
+    for i in (0, 17, 599, 600, 1100):
+        d = (pts[i, 0] - pts[:, 0]) ** 2 + (pts[i, 1] - pts[:, 1]) ** 2
+        d[i] = np.inf
+        assert got[i] == (int(d.argmin()), float(d.min()))
+
+
+def test_pair_scores_in_both_directions(spark):
+    spots = spark.createDataFrame([(1, 0.0, 0.0, "a"), (2, 100.0, 0.0, "a"), (3, 900.0, 0.0, "a"), (4, 0.0, 0.0, "b")], "id long, x double, y double, part string")
+    values = spark.createDataFrame([(1, "l", 2.0), (2, "r", 3.0), (1, "r", 5.0), (3, "l", 7.0), (3, "r", 1.0)], "id long, gene string, value double")
+    pairs = spark.createDataFrame([("l r", "l", "r")], "pair string, ligand string, receptor string")
+    score = lambda **more: {r["id"]: r["score"] for r in spatial.pair_scores(values, spots, pairs, **more).collect()}
+    w = math.exp(-(100.0**2) / (2 * 125.0**2))
+    assert score() == pytest.approx({1: 5 * 2 / (1 + w), 2: 3 * w * 2 / (1 + w), 3: 7.0})
+    assert score(direction="outgoing") == pytest.approx({1: 2 * (5 + w * 3) / (1 + w), 3: 7.0})
+    assert score(include_self=False) == pytest.approx({2: 6.0}) and score(include_self=False, direction="outgoing") == pytest.approx({1: 6.0})
+    flags = lambda own: {r["id"]: r["score_available"] for r in spatial.score_available(spots, include_self=own).collect()}
+    assert flags(False) == {1: True, 2: True, 3: False, 4: False} and all(flags(True).values())
+    with pytest.raises(ValueError):
+        spatial.pair_scores(values, spots, pairs, direction="both")
+
+
 def test_saturation_and_threshold_errors(spark):
     rows = [("s", "a", 10, 1, 5), ("s", "a", 10, 3, 2), ("s", "b", 2, 1, 9), ("s", "c", 8, 2, 4)]
     schema = "sample string, spot string, reads int, depth int, site_count int"
