@@ -33,3 +33,16 @@ def require_same_ids(a: DataFrame, b: DataFrame, key: str) -> None:
     only_a, only_b = a.select(key).join(b.select(key), key, "left_anti"), b.select(key).join(a.select(key), key, "left_anti")
     if not only_a.isEmpty() or not only_b.isEmpty():
         raise Violation(f"{key}: the tables hold different ids")
+
+
+def in_range(x: Column, low: float, high: float) -> Column:
+    """Whether ``x`` is a finite number from low to high; false for null and NaN."""
+    x = x.cast("double")
+    return F.coalesce(x.between(low, high) & ~F.isnan(x), F.lit(False))
+
+
+def expect_fractions(cells: DataFrame, mask: DataFrame, n_rows: int, n_cols: int) -> DataFrame:
+    """``cells`` (i, j, value) if all are fractions at single places of the matrix, as those of ``mask`` are, which holds 0 and 1."""
+    inside = {"row": F.col("i").between(1, n_rows), "col": F.col("j").between(1, n_cols)}
+    expect(mask, unique=[["i", "j"]], zero_or_one=F.col("value").isin(0.0, 1.0), **inside)
+    return expect(cells, unique=[["i", "j"]], fraction=in_range(F.col("value"), 0.0, 1.0), **inside)

@@ -61,3 +61,8 @@ def unit_vector(x: Column) -> Column:
 def squared_distance(x: Column, y: Column) -> Column:
     """Sum of squared differences, left to right in double precision."""
     return F.aggregate(F.zip_with(x, y, lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, d: s + d)
+
+
+def single_spaced(x: Column) -> Column:
+    """x without outer blanks, each run of blanks inside as one space."""
+    return F.trim(F.regexp_replace(x, r"(?U)[\s\x1c-\x1f]+", " "))

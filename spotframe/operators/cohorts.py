@@ -6,19 +6,42 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spotframe.expect import Violation, expect
+from spotframe.expect import Violation, expect, in_range
 from spotframe.functions.columns import divide
 from spotframe.operators.intervals import nearest
 from spotframe.staging import broadcast_if_small
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """``rows`` with the columns of their one row in ``table``; raises where a key has none there or several."""
-    expect(table, unique=[[key]])
-    missing = rows.select(key).join(table.select(key), key, "left_anti").limit(3).collect()
+def lookup(rows: DataFrame, table: DataFrame, key: str | list[str]) -> DataFrame:
+    """``rows`` with the columns of their one row in ``table``; raises where a key has none there or several.
+
+    A key of several columns matches where all of them are equal; one that holds a null has no row.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    expect(table, unique=[keys])
+    missing = rows.select(*keys).join(table.select(*keys), keys, "left_anti").limit(3).collect()
     if missing:
-        raise Violation(f"{key} without a row in the table: {[r[0] for r in missing]}")
-    return rows.join(table, key)
+        raise Violation(f"{', '.join(keys)} without a row in the table: {[tuple(r) for r in missing]}")
+    return rows.join(table, keys)
+
+
+def spot_keys(spots: DataFrame, keys: DataFrame, barcode: str = "barcode", key: str = "key", row: str = "array_row", col: str = "array_col") -> DataFrame:
+    """``spots`` with ``key``, by which they meet a coverage table's ``keys`` (key).
+
+    A barcode RR_CC is the key RRCC, any other one its own. Where all ``keys`` are of four digits but not all barcodes,
+    keys are the grid's coordinates instead, which must be whole numbers from 0 to 99. Two spots of one key raise.
+    """
+    four = r"\A[0-9]{4}\z"
+    own = F.regexp_replace(barcode, r"\A([0-9]{2})_([0-9]{2})\z", "$1$2")
+    seen = keys.agg(F.count("*").alias("n"), F.count_if(~F.coalesce(F.col(key).rlike(four), F.lit(False))).alias("unlike")).first()
+    if not seen["n"] or seen["unlike"] or spots.where(~own.rlike(four)).isEmpty():
+        return expect(spots.withColumn(key, own), unique=[[key]], barcode=F.col(barcode).isNotNull())
+    if lacking := [c for c in (row, col) if c not in spots.columns]:
+        raise Violation(f"keys are coordinates, but there is no {', '.join(lacking)}")
+    whole = {c: in_range(F.col(c), 0, 99) & (F.col(c).cast("double") == F.floor(F.col(c).cast("double"))) for c in (row, col)}
+    placed = spots.withColumn(key, F.format_string("%02d%02d", F.col(row).cast("int"), F.col(col).cast("int")))
+    expect(spots, **whole)
+    return expect(placed, unique=[[key]])
 
 
 def one_to_one(tables: list[DataFrame], key: str) -> DataFrame:

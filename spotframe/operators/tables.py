@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spotframe.expect import Violation
+from spotframe.expect import Violation, expect
 from spotframe.functions.columns import divide
 from spotframe.staging import broadcast_if_small
 
@@ -112,6 +112,15 @@ def inner_concat(rows: DataFrame, key: str, sample: str, annotation: str) -> Dat
     return out
 
 
+def shared_rows(rows: DataFrame, key: str, sample: str, columns: list[str]) -> DataFrame:
+    """(key, columns) of the keys that occur in every sample; raises where samples give a shared key different columns.
+
+    A null and a value differ. Keys that some sample lacks may differ.
+    """
+    shared = rows.join(in_all(rows, key, sample), key, "left_semi")
+    return expect(shared.select(key, *columns).distinct(), unique=[[key]])
+
+
 def membership_counts(rows: DataFrame, key: str, sets: list[Column]) -> DataFrame:
     """(mask, n): how many keys belong to exactly the sets whose bits the mask holds."""
     bits = reduce(lambda a, b: a.bitwiseOR(b), [F.when(s, F.lit(1 << i)).otherwise(F.lit(0)) for i, s in enumerate(sets)])

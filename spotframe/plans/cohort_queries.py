@@ -145,3 +145,27 @@ def whole_numbers(spark, d):
     SELECT region, gene, CAST(CASE WHEN gap = 0 THEN 0 WHEN rt = (strand = '+') THEN gap ELSE -gap END AS BIGINT) AS distance FROM k WHERE k = 1""")
 def signed_tss_distance(spark, d):
     return cohorts.signed_tss_distance(view(spark, d, "regions"), view(spark, d, "genes"), "region", "gene")
+
+
+@query("""SELECT l_orderkey, l_linenumber, spot, cluster FROM {lineitem} JOIN {spots} s ON CAST(floor(l_suppkey / 10) AS BIGINT) = s.grid_row AND l_suppkey % 10 = s.grid_col""")
+def composite_lookup(spark, d):
+    place = [F.floor(F.col("l_suppkey") / 10).cast("long").alias("grid_row"), (F.col("l_suppkey") % 10).cast("long").alias("grid_col")]
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *place)
+    spots = view(spark, d, "spots").select("grid_row", "grid_col", "spot", "cluster")
+    return cohorts.lookup(lines, spots, ["grid_row", "grid_col"]).select("l_orderkey", "l_linenumber", "spot", "cluster")
+
+
+@query("""WITH c AS (SELECT spot, CAST(sum(n) AS BIGINT) AS n FROM {counts} GROUP BY spot) SELECT CASE WHEN s.grid_row > 99 THEN printf('%d_%02d', s.grid_row, s.grid_col) ELSE printf('%02d%02d', s.grid_row, s.grid_col) END AS key, s.spot, c.n FROM {spots} s JOIN c ON c.spot = s.spot""")
+def spot_keys(spark, d):
+    spots = view(spark, d, "spots").select("spot", F.format_string("%02d_%02d", "grid_row", "grid_col").alias("barcode"))
+    wide = F.when(F.col("grid_row") > 99, F.format_string("%d_%02d", "grid_row", "grid_col")).otherwise(F.format_string("%02d%02d", "grid_row", "grid_col"))
+    keys = view(spark, d, "spots").select("spot", wide.alias("key"))
+    found = keys.join(view(spark, d, "counts").groupBy("spot").agg(F.sum("n").alias("n")), "spot").select("key", "n")
+    return cohorts.spot_keys(spots, keys).join(found, "key").select("key", "spot", "n")
+
+
+@query("""WITH c AS (SELECT DISTINCT s.sample, c.gene FROM {counts} c JOIN {spots} s ON c.spot = s.spot), k AS (SELECT gene FROM c GROUP BY gene HAVING count(*) = (SELECT count(DISTINCT sample) FROM c))
+    SELECT gene, symbol, chrom FROM {genes} JOIN k USING (gene)""")
+def shared_pairs(spark, d):
+    rows = view(spark, d, "counts").join(view(spark, d, "spots").select("spot", "sample"), "spot").join(view(spark, d, "genes").select("gene", "symbol", "chrom"), "gene")
+    return tables.shared_rows(rows, "gene", "sample", ["symbol", "chrom"])

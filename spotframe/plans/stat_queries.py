@@ -206,6 +206,11 @@ def snn_shared_excl_self(spark, d):
     return graph.shared_neighbors(_knn(spark, d), 5, False)
 
 
+@query(f"WITH {KNN} SELECT least(id, other) AS a, greatest(id, other) AS b, round(sqrt(max(d2)), 6) AS distance FROM knn GROUP BY 1, 2")
+def knn_distances(spark, d):
+    return graph.distance_graph(_knn(spark, d)).withColumn("distance", F.round("distance", 6))
+
+
 @query(f"WITH {KNN} SELECT k.id, v.label AS feature, CAST(count(*) AS DOUBLE) / 5 AS value FROM knn k JOIN vectors v ON k.other = v.id GROUP BY 1, 2")
 def knn_smooth(spark, d):
     values = view(spark, d, "vectors").select("id", F.col("label").alias("feature"), F.lit(1.0).alias("value"))

@@ -10,6 +10,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spotframe.expect import Violation, expect
+from spotframe.functions.columns import pad_pair
+
 
 @dataclass
 class Bundle:
@@ -104,3 +107,33 @@ def read_cached(spark: SparkSession, folder: str, column: str, make) -> DataFram
             return rows
     make().write.mode("overwrite").parquet(folder)
     return spark.read.parquet(folder)
+
+
+def aligned(bundle: Bundle, modalities: list[str], reference: str, least: int = 3, table: str = "spots", key: str = "spot", position: str = "position") -> Bundle:
+    """``bundle``, if each modality's table "<modality>_<table>" holds the reference's spots at the same positions.
+
+    At least ``least`` spots must be there, each once.
+    """
+    if missing := [m for m in dict.fromkeys([reference, *modalities]) if f"{m}_{table}" not in bundle.tables]:
+        raise Violation(f"missing modalities: {', '.join(missing)}")
+    own = bundle[f"{reference}_{table}"].select(key, position)
+    expect(own, unique=[[key], [position]], given=F.col(key).isNotNull() & F.col(position).isNotNull())
+    if own.limit(least).count() < least:
+        raise Violation(f"fewer than {least} spots")
+    for m in modalities:
+        rows = bundle[f"{m}_{table}"].select(key, position)
+        both = own.withColumn("_side", F.lit(1)).union(rows.withColumn("_side", F.lit(2)))
+        apart = both.groupBy(key, position).agg(F.count("*").alias("_n"), F.count_distinct("_side").alias("_sides")).where("_n <> 2 OR _sides <> 2")
+        if unlike := apart.limit(3).collect():
+            raise Violation(f"{m} isn't aligned with {reference}: {[r[key] for r in unlike]}")
+    return bundle
+
+
+def write_spots(rows: DataFrame, folder: str, spot: str, label: str, name: str = "cluster", more: list[str] = (), grid: tuple[str, str] | None = None) -> None:
+    """A table of spots: barcode, those columns of ``more`` that exist, the label under ``name``.
+
+    With ``grid`` (row, col), the barcode is RR_CC of these columns. Spots are single.
+    """
+    ident = pad_pair(F.col(grid[0]).cast("int"), F.col(grid[1]).cast("int")) if grid else F.col(spot).cast("string")
+    out = rows.select(ident.alias("barcode"), *[c for c in more if c in rows.columns], F.col(label).alias(name))
+    write_delimited(expect(out, unique=[["barcode"]], given=F.col("barcode").isNotNull()), folder, sep=",")
