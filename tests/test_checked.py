@@ -149,7 +149,7 @@ def test_loadings_of_all_genes(spark):
         linalg.zero_filled(some, ids.where("id = 2"), 2)
     counts = spark.createDataFrame([(1, 1, 3), (2, 2, 4)], "spot int, gene int, n int")
     with pytest.raises(Violation):
-        linalg.residual_pca(counts, counts.select("spot"), spark.createDataFrame([(1,)], "gene int"), 1)
+        linalg.residual_pca(counts, counts.select("spot"), spark.createDataFrame([(1,)], "gene int"), 1, counted=True)
 
 
 def test_aligned_modalities_and_spot_table(spark, tmp_path):
