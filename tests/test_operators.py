@@ -459,3 +459,22 @@ def test_cohort_errors_and_edges(spark):
     regions = spark.createDataFrame([(i, "c", a, b) for i, (a, b) in enumerate([(90, 100), (90, 101), (101, 110), (400, 410), (390, 399)])], "region int, chrom string, lo long, hi long")
     got = {r["region"]: (r["gene"], r["distance"]) for r in cohorts.signed_tss_distance(regions, genes, "region", "gene").collect()}
     assert got == {0: (1, -1), 1: (1, 0), 2: (1, 1), 3: (2, -1), 4: (2, 1)}
+
+
+def test_nearest_and_classes_form_no_pairs(spark):
+    """Regions and genes all in one place: as many pairs as regions times genes, none of which may be formed."""
+    from spotframe.operators import intervals
+
+    n = 3000
+    regions = spark.range(n).select("id", F.lit("c").alias("chrom"), (F.col("id") % 7).alias("lo"), (F.col("id") % 7 + 20).alias("hi"))
+    genes = spark.range(n).select(F.col("id").alias("gene"), F.lit("c").alias("chrom"), (F.col("id") % 5 + 3).alias("lo"), (F.col("id") % 5 + 30).alias("hi"), F.when(F.col("id") % 2 == 0, "even").otherwise("odd").alias("kind"))
+    empty = spark.createDataFrame([(n, "c", 5, 5), (n + 1, "c", 90, 95), (n + 2, "d", 1, 2)], "id long, chrom string, lo long, hi long")
+    near = intervals.nearest(regions.union(empty), genes, "id", "gene")
+    kinds = intervals.priority_annotation(regions.union(empty), genes, "id", ["odd", "even"], "none")
+    for df in (near, kinds):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan  # no buckets in which every region meets every gene
+    got = {r["id"]: (r["gene"], r["distance"]) for r in near.collect()}
+    assert len(got) == n + 2 and all(got[i] == (0, 0) for i in range(n + 1)) and got[n + 1] == (4, 56)
+    found = {r["id"]: r["kind"] for r in kinds.collect()}
+    assert len(found) == n + 3 and all(found[i] == "odd" for i in range(n + 1)) and found[n + 1] == found[n + 2] == "none"
