@@ -245,7 +245,8 @@ def deconvolve(counts: DataFrame, profiles: DataFrame, mode: str = "full", least
     """Fitted spots of ``counts`` (spot, gene, n) and figures: sigma, proportions of the summed counts, genes.
 
     ``profiles``: type, gene, share. Platform effects come from genes of a lower fold (0.5) and share (1.25e-4); the fit
-    uses those of ``least_fold`` and ``least_share``. Spots without a count of these genes have no row. Modes:
+    uses those of ``least_fold`` and ``least_share``. Spots without a count of these genes have no row; where no gene passes
+    these limits, no spot has one, and figures say genes 0 with neither sigma nor proportions. Modes:
 
     - full: spot, weights (map by type), converged
     - doublet: also spot_class, first_type, second_type, first_weight, second_weight, gain
@@ -256,9 +257,13 @@ def deconvolve(counts: DataFrame, profiles: DataFrame, mode: str = "full", least
     if mode not in ("full", "doublet", "multi"):
         raise Violation(f"unknown mode {mode}")
     profiles = staged(profiles.where("share > 0").select(F.col("type").cast("string").alias("type"), "gene", F.col("share").cast("double").alias("share")), "profiles")
+    more = {"full": "", "doublet": ", spot_class string, first_type string, second_type string, first_weight double, second_weight double, gain double", "multi": ", types array<string>, type_weights array<double>, confident array<boolean>"}[mode]
+    schema = f"spot {counts.schema['spot'].dataType.simpleString()}, weights map<string, double>, converged boolean{more}"
     bulk = staged(counts.groupBy("gene").agg(F.sum("n").alias("n")), "bulk")
+    chosen = staged(marker_genes(profiles, bulk, least_share, least_fold, least_count), "chosen")
+    if chosen.isEmpty():
+        return counts.sparkSession.createDataFrame([], schema), {"sigma": None, "proportions": {}, "genes": 0}
     effects, proportions = platform_effects(bulk.join(marker_genes(profiles, bulk, 1.25e-4, min(0.5, least_fold), least_count), "gene", "left_semi"), profiles)
-    chosen = marker_genes(profiles, bulk, least_share, least_fold, least_count)
     types = sorted(proportions)
     scaled = profiles.join(effects, "gene").join(chosen, "gene", "left_semi").select("type", "gene", (F.col("share") * F.col("effect")).alias("share"))
     wide = staged(_wide(scaled, types), "shares")
@@ -294,8 +299,6 @@ def deconvolve(counts: DataFrame, profiles: DataFrame, mode: str = "full", least
             if out:
                 yield pd.DataFrame(out)
 
-    more = {"full": "", "doublet": ", spot_class string, first_type string, second_type string, first_weight double, second_weight double, gain double", "multi": ", types array<string>, type_weights array<double>, confident array<boolean>"}[mode]
-    schema = f"spot {counts.schema['spot'].dataType.simpleString()}, weights map<string, double>, converged boolean{more}"
     return rows.mapInPandas(fit, schema), {"sigma": sigma, "proportions": proportions, "genes": n_genes}
 
 

@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spotframe.expect import Violation
 from spotframe.operators import deconvolution as D
@@ -80,3 +81,13 @@ def test_profiles_weigh_cells_alike_and_bad_input_raises(spark):
     assert got == {1: (0.25 + 1.0) / 2, 2: 0.75 / 2}
     with pytest.raises(Violation):
         D.deconvolve(cells.withColumnRenamed("cell", "spot"), spark.createDataFrame([("a", 1, 1.0)], "type string, gene int, share double"), "other")
+
+
+@pytest.mark.parametrize("mode", ["full", "doublet", "multi"])
+def test_no_marker_gene_leaves_no_row(spark, mode):
+    """With more genes than 1 / least_share, all alike, none reaches the published share: no spot can be fitted."""
+    counts = spark.range(6000).select((F.col("id") % 10).cast("int").alias("spot"), F.col("id").alias("gene"), F.lit(20).cast("long").alias("n"))
+    profiles = spark.range(6000).select(F.explode(F.array(F.lit("a"), F.lit("b"))).alias("type"), F.col("id").alias("gene"), F.lit(1 / 6000).alias("share"))
+    fitted, figures = D.deconvolve(counts, profiles, mode)
+    assert fitted.isEmpty() and figures == {"sigma": None, "proportions": {}, "genes": 0}
+    assert ("gain" in fitted.columns) == (mode == "doublet") and ("confident" in fitted.columns) == (mode == "multi")
