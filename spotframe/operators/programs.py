@@ -52,20 +52,29 @@ def overdispersed_genes(counts: DataFrame, spots: DataFrame, n: int) -> DataFram
     return top_k(scored.withColumn("all", F.lit(True)), ["all"], [F.desc("ratio"), F.col("gene")], n).select("gene", "ratio", "rank")
 
 
-def program_input(counts: DataFrame, spots: DataFrame, genes: DataFrame) -> DataFrame:
+def program_input(counts: DataFrame, spots: DataFrame, genes: DataFrame, empty_spots: bool = False) -> DataFrame:
     """(row, col, value): counts of ``genes`` (gene), each gene over its standard deviation over all spots (n - 1).
 
-    Raises Violation where a spot has no count of these genes.
+    Raises Violation where a spot has no count of these genes. With ``empty_spots`` such a spot counts in the deviations and
+    has no row here: its usages are zeros, the only fit of a row of zeros, which ``all_usages`` adds.
     """
     m = spots.select("spot").distinct().count()
     chosen = counts.where("n > 0").join(genes.select("gene"), "gene", "left_semi")
-    if not spots.join(chosen, "spot", "left_anti").isEmpty():
+    if not empty_spots and not spots.join(chosen, "spot", "left_anti").isEmpty():
         raise Violation("a spot has no count of the chosen genes")
     moments = gene_moments(chosen.withColumn("value", F.col("n").cast("double")), m)
     scale = moments.select("gene", F.sqrt(F.col("var") * m / max(m - 1, 1)).alias("sd"))
     return chosen.join(scale, "gene").select(F.col("spot").alias("row"), F.col("gene").alias("col"), divide(F.col("n"), F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0)).alias("value"))
 
 
+def all_usages(usage: DataFrame, spots: DataFrame, k: int) -> DataFrame:
+    """``usage`` (id, vec) with a row of ``k`` zeros for each of ``spots`` that has none; no rows at all stay none."""
+    if usage.isEmpty():
+        return usage
+    missing = spots.select(F.col("spot").alias("id")).distinct().join(usage, "id", "left_anti")
+    return usage.union(missing.select("id", F.array_repeat(F.lit(0.0), k).alias("vec")))
+
+
 def _done(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
@@ -148,9 +157,13 @@ def program_table(counts: DataFrame, spots: DataFrame, usage: DataFrame, k: int,
     return best.join(weights, ["program", "gene"]).select("program", "rank", "gene", "score", "weight")
 
 
-def programs(counts: DataFrame, spots: DataFrame, k: int, folder: str, genes: int = 2000, runs: int = 100, batch: int = 20, top: int = 50) -> tuple[DataFrame, DataFrame, dict]:
-    """``program_table``, usages (id, vec) and figures of a consensus of rank ``k``; the grid's state is kept under ``folder``."""
-    entries = staged(program_input(counts, spots, overdispersed_genes(counts, spots, genes)), "input")
+def programs(counts: DataFrame, spots: DataFrame, k: int, folder: str, genes: int = 2000, runs: int = 100, batch: int = 20, top: int = 50, empty_spots: bool = False) -> tuple[DataFrame, DataFrame, dict]:
+    """``program_table``, usages (id, vec) and figures of a consensus of rank ``k``; the grid's state is kept under ``folder``.
+
+    With ``empty_spots`` a spot without a count of the chosen genes has usages of zero; otherwise it raises.
+    """
+    entries = staged(program_input(counts, spots, overdispersed_genes(counts, spots, genes), empty_spots), "input")
     factorise_grid(entries, [k], runs, folder, batch)
     _, usage, figures = consensus(entries, k, runs, spectra=merged_spectra(counts.sparkSession, folder, k, runs, batch))
+    usage = all_usages(usage, spots, k)
     return program_table(counts, spots, usage, k, top), usage, figures

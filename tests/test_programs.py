@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spotframe.expect import Violation
 from spotframe.operators import programs as P
@@ -73,3 +74,14 @@ def test_grid_resumes_and_programs_are_recovered(spark, tmp_path):
     values = P.per_million(counts).select("spot", "gene", "value")
     got = {(r["program"], r["gene"]): r["score"] for r in P.gene_scores(values, usage, len(n), 3).collect()}
     assert got == pytest.approx({(i, g): beta[i, g] for i in range(3) for g in range(90)}, rel=1e-6, abs=1e-9)
+
+
+def test_spot_without_chosen_counts_has_zero_usages(spark):
+    counts = spark.createDataFrame([(s, g, 1 + (s * g) % 5) for s in range(8) for g in range(4)] + [(8, 9, 3)], "spot int, gene int, n long")
+    spots, genes = counts.select("spot").distinct(), spark.createDataFrame([(g,) for g in range(4)], "gene int")
+    entries = P.program_input(counts, spots, genes, empty_spots=True)
+    assert {r["row"] for r in entries.collect()} == set(range(8))
+    usage = entries.select(F.col("row").alias("id")).distinct().select("id", F.array(F.lit(1.0), F.lit(2.0)).alias("vec"))
+    got = {r["id"]: r["vec"] for r in P.all_usages(usage, spots, 2).collect()}
+    assert got == {s: [1.0, 2.0] for s in range(8)} | {8: [0.0, 0.0]}
+    assert P.all_usages(usage.where("false"), spots, 2).isEmpty()
