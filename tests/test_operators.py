@@ -478,3 +478,25 @@ def test_nearest_and_classes_form_no_pairs(spark):
     assert len(got) == n + 2 and all(got[i] == (0, 0) for i in range(n + 1)) and got[n + 1] == (4, 56)
     found = {r["id"]: r["kind"] for r in kinds.collect()}
     assert len(found) == n + 3 and all(found[i] == "odd" for i in range(n + 1)) and found[n + 1] == found[n + 2] == "none"
+
+
+def test_annotation_lists_form_no_pairs(spark):
+    """Crowded places, long regions, promoters, a distant and a foreign region: lists equal a plain reference, without a join by bucket."""
+    rng = np.random.default_rng(5)
+    genes = [(g, "ab"[g % 2], int(lo), int(lo + rng.integers(1, 60)), "+-"[int(rng.integers(2))]) for g, lo in enumerate(rng.integers(3000, 3400, 80))]
+    regions = [(i, "ab"[i % 2], int(lo), int(lo + n)) for i, (lo, n) in enumerate(zip(rng.integers(2900, 3500, 300), rng.choice([5, 40, 300], 300)))]
+    regions += [(300, "a", 0, 9000), (301, "a", 90000, 90010), (302, "c", 1, 5), (303, "b", 5300, 5310), (304, None, 1, 5)]
+    r = spark.createDataFrame(regions, "region long, chrom string, lo long, hi long")
+    g = spark.createDataFrame(genes, "gene long, chrom string, lo long, hi long, strand string")
+    got = {x["region"]: (x["relation"], x["gene_ids"], x["n_genes"]) for x in intervals.annotate(r, g, "region", "gene", width=50).collect()}
+    bounds = {k: (lo - 2000, lo + 500) if strand == "+" else (hi - 501, hi + 1999) for k, _, lo, hi, strand in genes}
+    for i, chrom, lo, hi in regions:
+        on = [x for x in genes if x[1] == chrom]
+        body = [k for k, _, a, b, _ in on if lo < b and hi > a]
+        near = [k for k, *_ in on if lo < bounds[k][1] and hi > max(0, bounds[k][0])]
+        far = [min(((lo - b if b <= lo else a - hi), a, k) for k, _, a, b, _ in on)[2]] if on and not body else []
+        relation, ids = next(((n, x) for n, x in (("gene", body), ("promoter", near), ("intergenic", far)) if x), ("", []))
+        assert got[i] == (relation, ";".join(map(str, sorted(ids))), len(ids))
+    assert len(got) == len(regions)
+    plan = intervals.annotate(r, g, "region", "gene", width=50)._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" in plan and "collect_set" not in plan
