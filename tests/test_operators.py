@@ -500,3 +500,13 @@ def test_annotation_lists_form_no_pairs(spark):
     assert len(got) == len(regions)
     plan = intervals.annotate(r, g, "region", "gene", width=50)._jdf.queryExecution().optimizedPlan().toString()
     assert "CoGroup" in plan and "collect_set" not in plan
+
+
+def test_genes_of_one_place_are_sorted_once_and_all_count(spark, monkeypatch):
+    genes = spark.range(100).selectExpr("id AS gene", "'c' AS chrom", "100L AS lo", "200L AS hi", "CASE WHEN id < 60 THEN '+' ELSE '-' END AS strand")
+    sites = spark.createDataFrame([("c", 110, 20), ("c", 110, 40), ("c", 150, 60)], "chrom string, pos long, pct long")
+    seen, plain = [], intervals.range_sums
+    monkeypatch.setattr(intervals, "range_sums", lambda points, edges, values: seen.append(edges.count()) or plain(points, edges, values))
+    got = {r["bin"]: (r["mean_percent"], r["covered_genes"], r["observations"]) for r in intervals.metagene_profile(sites, genes, 100, 10, 10).collect() if r["covered_genes"]}
+    assert seen == [2 * 31]
+    assert got == {11: (30.0, 60, 120), 15: (60.0, 60, 60), 18: (30.0, 40, 80), 14: (60.0, 40, 40)}
