@@ -510,3 +510,16 @@ def test_genes_of_one_place_are_sorted_once_and_all_count(spark, monkeypatch):
     got = {r["bin"]: (r["mean_percent"], r["covered_genes"], r["observations"]) for r in intervals.metagene_profile(sites, genes, 100, 10, 10).collect() if r["covered_genes"]}
     assert seen == [2 * 31]
     assert got == {11: (30.0, 60, 120), 15: (60.0, 60, 60), 18: (30.0, 40, 80), 14: (60.0, 40, 40)}
+
+
+def test_regions_of_one_place_make_one_list(spark, monkeypatch):
+    regions = spark.range(300).selectExpr("id AS region", "CASE WHEN id < 290 THEN 'c' END AS chrom", "5 * (id % 2) AS lo", "5 * (id % 2) + 10L AS hi")
+    genes = spark.createDataFrame([(1, "c", 0, 4, "+", "x"), (2, "c", 2, 20, "-", None)], "gene long, chrom string, lo long, hi long, strand string, symbol string")
+    asked, plain = [], intervals.overlapping_lists
+    monkeypatch.setattr(intervals, "overlapping_lists", lambda r, *more: asked.append(r.count()) or plain(r, *more))
+    got = {r["region"]: tuple(r)[1:] for r in intervals.annotate_columns(regions, genes, "region", "gene", ["symbol"]).collect()}
+    assert asked[0] == 2
+    assert got == {i: ("", "", "") if i >= 290 else ("2", "", "gene") if i % 2 else ("1;2", "x;", "gene;gene") for i in range(300)}
+    monkeypatch.setattr(intervals, "HELD", 20)
+    held = intervals.at_places(regions, ["chrom", "lo", "hi"], "at").selectExpr("chrom", "lo", "inline(at)", "size(at) AS n").collect()
+    assert sorted(r["region"] for r in held) == list(range(300)) and max(r["n"] for r in held) < 60
