@@ -523,3 +523,14 @@ def test_regions_of_one_place_make_one_list(spark, monkeypatch):
     monkeypatch.setattr(intervals, "HELD", 20)
     held = intervals.at_places(regions, ["chrom", "lo", "hi"], "at").selectExpr("chrom", "lo", "inline(at)", "size(at) AS n").collect()
     assert sorted(r["region"] for r in held) == list(range(300)) and max(r["n"] for r in held) < 60
+
+
+def test_overlap_join_shuffles_places_and_pairs_all_rows_there(spark):
+    left = spark.range(200).selectExpr("id", "CASE WHEN id < 190 THEN 'c' END AS chrom", "5 * (id % 2) AS lo", "5 * (id % 2) + 4L AS hi")
+    right = spark.range(100).selectExpr("10L AS hi", "id", "'c' AS chrom", "4 * (id % 2) AS lo")
+    pairs = intervals.overlap_join(left, right, 3)
+    assert pairs.columns == ["id", "chrom", "lo", "hi", "r_hi", "r_id", "r_lo"]
+    got = sorted((r["id"], r["r_id"]) for r in pairs.collect())
+    assert got == [(i, j) for i in range(190) for j in range(100) if i % 2 or j % 2 == 0]
+    # pairs are made after the join, from the arrays of two places
+    assert pairs._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[0].count("explode") == 2
