@@ -534,3 +534,23 @@ def test_overlap_join_shuffles_places_and_pairs_all_rows_there(spark):
     assert got == [(i, j) for i in range(190) for j in range(100) if i % 2 or j % 2 == 0]
     # pairs are made after the join, from the arrays of two places
     assert pairs._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[0].count("explode") == 2
+
+
+def test_gene_bins_in_dealt_blocks_against_a_loop(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    sites = [(("s", "t", None)[rng.integers(3)], "xy"[rng.integers(2)], int(p), int(rng.integers(0, 101))) for p in rng.integers(0, 9000, 250)] + [("u", "x", 40, None)]
+    genes = [(i, "xyz"[i % 3], int(lo), int(lo + rng.integers(1, 90)), "+-"[i % 2]) for i, lo in enumerate(rng.integers(0, 8000, 20))] + [(30, "x", 10, 7000, "-"), (31, "x", 10, 7000, "-"), (32, "y", 50, 900, None)]
+    monkeypatch.setattr(intervals, "PAIRING", 60)
+    held, want = {}, {}
+    for spot, chrom, pos, pct in sites:
+        held.setdefault((spot, chrom, pos), []).append(pct)
+    for (spot, chrom, pos), v in held.items():
+        for gene, c, lo, hi, strand in genes:
+            if c == chrom and lo - 2000 <= pos < hi + 2000:
+                b = 20 + (pos - lo) * 100 // (hi - lo) if lo <= pos < hi else (pos - lo + 2000) // 100 if pos < lo else 120 + (pos - hi) // 100
+                b = b if strand == "+" else 139 - b
+                want.setdefault((spot, gene, b), []).append(None if v == [None] else sum(v) / len(v) / 100)
+    df = intervals.gene_bin_rates(spark.createDataFrame(sites, "spot string, chrom string, pos long, pct long"), spark.createDataFrame(genes, "gene int, chrom string, lo long, hi long, strand string"), width=100)
+    got = {(r["spot"], r["gene"], r["bin"]): (r["n_sites"], r["rate"]) for r in df.collect()}
+    assert got == {k: (len(v), None if v[0] is None else pytest.approx(sum(v) / len(v))) for k, v in want.items()}
+    assert "Aggregate" not in df._jdf.queryExecution().optimizedPlan().toString().split("CoGroup")[0]  # no table of all bins
