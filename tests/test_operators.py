@@ -554,3 +554,19 @@ def test_gene_bins_in_dealt_blocks_against_a_loop(spark, monkeypatch):
     got = {(r["spot"], r["gene"], r["bin"]): (r["n_sites"], r["rate"]) for r in df.collect()}
     assert got == {k: (len(v), None if v[0] is None else pytest.approx(sum(v) / len(v))) for k, v in want.items()}
     assert "Aggregate" not in df._jdf.queryExecution().optimizedPlan().toString().split("CoGroup")[0]  # no table of all bins
+
+
+def test_imputed_cells_where_many_are_clipped(spark):
+    rng = np.random.default_rng(9)
+    x = np.clip(0.5 + rng.normal(size=(30, 2)) @ rng.normal(size=(2, 12)), 0, 1)
+    seen = rng.random(x.shape) < 0.7
+    want = np.where(seen, x, np.where(seen, x, 0).sum(0) / seen.sum(0))
+    for _ in range(5):
+        mean = want.mean(0)
+        u, s, v = np.linalg.svd(want - mean, full_matrices=False)
+        plain = u[:, :2] * s[:2] @ v[:2] + mean
+        want = np.where(seen, x, np.clip(plain, 0, 1))
+    assert ((plain < 0) | (plain > 1))[~seen].mean() > 0.1
+    cells = spark.createDataFrame([(i, j, float(x[i, j])) for i in range(30) for j in range(12) if seen[i, j]], "row long, col long, value double")
+    got = {(c["row"], c["col"]): c["value"] for c in linalg.impute_pca(cells, 2, 5, gain=0.0, start_at_mean=True, bounds=(0.0, 1.0))[2].collect()}
+    assert [got[c] for c in sorted(got)] == pytest.approx(want[~seen], abs=1e-6)
