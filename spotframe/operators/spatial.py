@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from spotframe.expect import expect
 from spotframe.functions.columns import divide
 from spotframe.operators.neighbors import blocks_of, distinct_units
-from spotframe.staging import broadcast_if_small, release, staged
+from spotframe.staging import BROADCAST_ROWS, broadcast_if_small, release, staged
 
 #: Places of a leaf at most in the search for the nearest spot.
 LEAF = 16
 
+#: Radii of a tile's side in pair scores.
+TILE = 4
+
 
 def affine(rows: DataFrame, x: str, y: str, degrees: float, dx: float, dy: float, centre: tuple[float, float]) -> DataFrame:
     """Coordinates rotated about the moving image's centre, then moved: columns moved_x, moved_y."""
@@ -173,18 +176,34 @@ def pair_scores(values: DataFrame, spots: DataFrame, pairs: DataFrame, sigma: fl
     """(id, pair, score) of each pair at each spot: one role's value times the Gaussian-weighted mean of the other's around.
 
     ``incoming``: the receptor here, ligands around; ``outgoing``: the ligand here, receptors around. ``values``: id,
-    gene, value (scaled); ``spots``: id, x, y, part; ``pairs``: pair, ligand, receptor. This is our own definition;
-    weights are exp(-d2 / (2 sigma^2)) within ``radius`` and sum to one at each spot. A score without a row is zero.
+    gene, value (scaled), one for an id and gene; ``spots``: id, x, y, part; ``pairs``: pair, ligand, receptor. This is our
+    own definition; weights are exp(-d2 / (2 sigma^2)) within ``radius`` and sum to one at each spot. A score without a row
+    is zero. A value goes to its tile and those in reach, a square of ``TILE`` radii each, not to every spot around it; it
+    meets only spots of a tile that hold the pair's other gene.
     """
     if direction not in ("incoming", "outgoing"):
         raise ValueError(f"no direction {direction!r}")
     here, there = ("receptor", "ligand") if direction == "incoming" else ("ligand", "receptor")
-    near = _around(spots, radius, include_self).withColumn("w", F.exp(-F.col("d2") / (2 * sigma * sigma)))
-    total = near.groupBy("id").agg(F.sum("w").alias("total"))
-    around = pairs.join(values.withColumnRenamed("gene", there), there).select("pair", here, F.col("id").alias("other"), F.col("value").alias("sent"))
-    got = near.select("id", "other", "w").join(around, "other").groupBy("id", "pair", here).agg(F.sum(F.col("w") * F.col("sent")).alias("got"))
-    out = got.join(total, "id").join(values.withColumnRenamed("gene", here), ["id", here])
-    return out.select("id", "pair", (divide(F.col("got"), F.col("total")) * F.col("value")).alias("score"))
+    weight = F.exp(-F.col("d2") / (2 * sigma * sigma))
+    total = _around(spots, radius, include_self).groupBy("id").agg(F.sum(weight).alias("total"))
+    side, reach = TILE * radius, radius * (1 + 2**-10)  # a little farther, for rounding
+    at, tile = spots.select("part", "id", "x", "y"), ["part", "_tx", "_ty"]
+    own = at.withColumn("_tx", _cell("x", side)).withColumn("_ty", _cell("y", side))
+    tiles = staged(own.select(*tile).distinct().withColumn("tile", F.monotonically_increasing_id()), "tiles")
+    own = own.join(tiles, tile).join(total, "id").select("id", "tile", "x", "y", "total")
+    spanned = lambda c: F.explode(F.sequence(F.floor((F.col(c) - reach) / side), F.floor((F.col(c) + reach) / side)))
+    reached = at.withColumn("_tx", spanned("x")).withColumn("_ty", spanned("y")).join(tiles, tile)
+    reached = reached.select("id", "tile", F.col("x").alias("ox"), F.col("y").alias("oy"))
+    few = pairs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    sending = values.join(F.broadcast(pairs.select(F.col(there).alias("gene")).distinct()), "gene", "left_semi") if few else values
+    sent = sending.join(reached, "id").select("tile", F.col("gene").alias(there), F.col("id").alias("other"), "ox", "oy", F.col("value").alias("sent"))
+    got = values.join(own, "id").select("tile", "id", "x", "y", F.col("gene").alias(here), divide(F.col("value"), F.col("total")).alias("share"))
+    got = got.join(F.broadcast(pairs) if few else pairs, here).select("tile", there, "pair", here, "id", "x", "y", "share")
+    d2 = (F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy"))
+    met = got.join(sent, ["tile", there]).withColumn("d2", d2).where(F.col("d2") <= radius * radius)
+    met = met if include_self else met.where("id <> other")
+    out = met.groupBy("id", "pair", here, "share").agg(F.sum(weight * F.col("sent")).alias("got"))
+    return out.select("id", "pair", (F.col("got") * F.col("share")).alias("score"))
 
 
 def _around(spots: DataFrame, radius: float, include_self: bool) -> DataFrame:

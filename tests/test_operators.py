@@ -363,6 +363,50 @@ def test_pair_scores_in_both_directions(spark):
         spatial.pair_scores(values, spots, pairs, direction="both")
 
 
+@pytest.mark.parametrize("direction, own", [("incoming", True), ("outgoing", False)])
+def test_pair_scores_of_scattered_spots_against_a_loop(spark, monkeypatch, direction, own):
+    rng = np.random.default_rng(5)
+    at = {i: ("ab"[i % 2], float(x), float(y)) for i, (x, y) in enumerate(rng.integers(-12, 13, (60, 2)) * 125)}
+    value = {(i, g): float(rng.integers(1, 9)) for i in at for g in "lmrs" if rng.random() < 0.6}
+    pairs = [("p", "l", "r"), ("p", "m", "r"), ("p", "l", "s"), ("q", "l", "r"), ("q", "l", "r"), ("z", "none", "r")]
+    want = {}
+    for i, (part, x, y) in at.items():
+        w = {o: math.exp(-((x - u) ** 2 + (y - v) ** 2) / (2 * 125**2)) for o, (b, u, v) in at.items() if b == part and (x - u) ** 2 + (y - v) ** 2 <= 250**2 and (own or o != i)}
+        for pair, ligand, receptor in pairs:
+            here, there = (receptor, ligand) if direction == "incoming" else (ligand, receptor)
+            if (i, here) in value and any((o, there) in value for o in w):
+                held = want.setdefault((i, pair, here), 0.0)
+                want[i, pair, here] = held + sum(w[o] * value.get((o, there), 0.0) for o in w) / sum(w.values()) * value[i, here]
+    spots = spark.createDataFrame([(i, x, y, b) for i, (b, x, y) in at.items()] + [(90, None, 0.0, "a"), (91, float("nan"), 0.0, "a"), (92, 0.0, 0.0, None)], "id long, x double, y double, part string")
+    values = spark.createDataFrame([(i, g, v) for (i, g), v in value.items()] + [(i, g, 5.0) for i in (90, 91, 92, 93) for g in "lr"], "id long, gene string, value double")
+    for limit in (100_000, 2):  # few pairs, and pairs that are shuffled
+        monkeypatch.setattr(spatial, "BROADCAST_ROWS", limit)
+        got = spatial.pair_scores(values, spots, spark.createDataFrame(pairs, "pair string, ligand string, receptor string"), include_self=own, direction=direction).where("id < 90").collect()
+        got, all_wanted = sorted((r["id"], r["pair"], r["score"]) for r in got), sorted((i, p, x) for (i, p, _), x in want.items())
+        assert [r[:2] for r in got] == [r[:2] for r in all_wanted] and [r[2] for r in got] == pytest.approx([r[2] for r in all_wanted])
+
+
+def test_pair_scores_send_no_value_to_each_spot_around(spark):
+    n = 300
+    spots = spark.range(n).selectExpr("id", "CAST(id AS double) / 10 AS x", "0D AS y", "'a' AS part")
+    values = spark.range(n).selectExpr("id", "'l' AS gene", "1D AS value").union(spark.createDataFrame([(7, "r", 2.0)], "id long, gene string, value double"))
+    pairs = spark.createDataFrame([("l r", "l", "r")], "pair string, ligand string, receptor string")
+    store, none = spark._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def shuffled():
+        stages = store.stageList(None, False, False, none, spark._jvm.java.util.ArrayList())
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    before, limit = shuffled(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert [tuple(r) for r in spatial.pair_scores(values, spots, pairs).collect()] == [(7, "l r", pytest.approx(2.0))]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    assert sum(k for i, k in shuffled().items() if i not in before) < 30 * n  # all of them lie within reach of each other
+
+
 def test_saturation_and_threshold_errors(spark):
     rows = [("s", "a", 10, 1, 5), ("s", "a", 10, 3, 2), ("s", "b", 2, 1, 9), ("s", "c", 8, 2, 4)]
     schema = "sample string, spot string, reads int, depth int, site_count int"
