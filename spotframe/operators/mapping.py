@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,9 @@ from spotframe.functions.columns import divide
 from spotframe.operators.linalg import fit_factor, nmf_runs, run_sums
 from spotframe.staging import release, running_start, staged
 
+#: Values of a sum that come to the driver from each task; longer sums are added up by Spark first.
+HELD = 50_000
+
 
 def split_complexes(pairs: DataFrame, unit: str, ids: str, symbols: str) -> DataFrame:
     """(unit, position, alternates, symbol): one row per subunit; ``;`` parts subunits, ``|`` parts alternate ids.
@@ -81,20 +86,34 @@ def _unit_rows(m: np.ndarray) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
 
 
-def _summed(rows: DataFrame, f: Callable[[pd.DataFrame], np.ndarray], size: int) -> np.ndarray:
-    """The sum of ``f``'s arrays of ``size`` values over all rows; tasks add up theirs, Spark adds the tasks'."""
+def _matrix(column: pa.Array, d: int) -> np.ndarray:
+    """The rows of a list column as a matrix; raises where a list hasn't ``d`` values."""
+    if column.null_count or not pc.all(pc.equal(pc.list_value_length(column), d)).as_py():
+        raise ValueError(f"vectors must have {d} components")
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+
+
+def _lists(m: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1]), pa.int32()), pa.array(m.ravel()))
+
+
+def _summed(rows: DataFrame, f: Callable[[pa.RecordBatch], np.ndarray], size: int) -> np.ndarray:
+    """The sum of ``f``'s arrays of ``size`` values over all rows; tasks add up theirs. Spark adds the tasks' if they are long."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
         for t in parts:
-            if len(t):
-                total += f(t)
-        yield pd.DataFrame({"i": np.arange(size), "x": total})
+            for i in range(0, t.num_rows, 2500):
+                total += f(t.slice(i, 2500))
+        yield pa.RecordBatch.from_pydict({"x": pa.array([total], pa.list_(pa.float64()))})
 
-    out = np.zeros(size)
-    for r in rows.mapInPandas(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
-        out[r["i"]] = r["x"]
-    return out
+    sums = rows.mapInArrow(run, "x array<double>")
+    if size > HELD:
+        sums = sums.select(F.posexplode("x").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x"))
+        out, found = np.zeros(size), sums.toArrow()
+        out[found["i"].to_numpy()] = found["x"].to_numpy()
+        return out
+    return sums.toArrow()["x"].combine_chunks().flatten().to_numpy().reshape(-1, size).sum(0)
 
 
 def harmonize(vectors: DataFrame, clusters: int | None = None, rounds: int = 50, theta: float = 2.0, sigma: float = 0.1, ridge: float = 1.0, steps: int = 20, cluster_tol: float = 1e-5, round_tol: float = 1e-4, blocks: int = 2) -> tuple[DataFrame, list[float], bool]:
@@ -105,7 +124,8 @@ def harmonize(vectors: DataFrame, clusters: int | None = None, rounds: int = 50,
     of all rows. It goes on until the objective falls by less than ``cluster_tol`` of itself or ``steps`` are done. Each
     cluster's ridge regression of the embeddings on the batches is then taken off. Rounds end once the objective falls by
     less than ``round_tol``, or after ``rounds``, as published; only in the first case the result has settled. Sums of size
-    clusters x batches x dimensions leave the tasks.
+    clusters x batches x dimensions leave the tasks. Blocks are staged apart, so a pass reads its own block alone, in as many
+    tasks as the session runs at once.
     """
     batches = [r[0] for r in vectors.select("batch").distinct().orderBy("batch").collect()]  # one row a batch
     place = {b: i for i, b in enumerate(batches)}
@@ -115,46 +135,61 @@ def harmonize(vectors: DataFrame, clusters: int | None = None, rounds: int = 50,
     centre = _unit_rows(np.array([r["vec"] for r in start], float))
     k, d = centre.shape
     vec = F.transform("vec", lambda x: x.cast("double"))
-    current = staged(vectors.select("id", "batch", vec.alias("z"), vec.alias("vec"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).alias("blk")), "embedding")
+    blocked = vectors.select("id", "batch", vec.alias("z"), vec.alias("vec"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).alias("blk"))
+    tasks = max(1, min(vectors.sparkSession.sparkContext.defaultParallelism, n // (blocks * 1000)))
+    current = [staged(blocked.where(F.col("blk") == at).drop("blk").repartition(tasks), "embedding") for at in range(blocks)]
+
+    def batch_of(t: pa.RecordBatch) -> np.ndarray:
+        return t["batch"].to_pandas().map(place).to_numpy()
 
-    def batch_of(t: pd.DataFrame) -> np.ndarray:
-        return t["batch"].map(place).to_numpy()
+    def units(t: pa.RecordBatch) -> np.ndarray:
+        return _unit_rows(_matrix(t["vec"], d))
 
-    def nearest(t: pd.DataFrame, centre: np.ndarray) -> np.ndarray:
-        u = _unit_rows(np.stack(t["vec"]))
+    def nearest(t: pa.RecordBatch, centre: np.ndarray) -> np.ndarray:
+        u = units(t)
         far = u @ centre.T
         return np.concatenate([(np.eye(k)[far.argmax(1)].T @ u).ravel(), [far.max(1).sum()], np.bincount(batch_of(t), minlength=nb)])
 
     close = -np.inf
+    everywhere = functools.reduce(DataFrame.union, current).select("batch", "vec")
     for _ in range(steps):  # k-means start
-        flat = _summed(current, functools.partial(nearest, centre=centre), k * d + 1 + nb)
+        flat = _summed(everywhere, functools.partial(nearest, centre=centre), k * d + 1 + nb)
         sums, before, close = flat[: k * d].reshape(k, d), close, flat[k * d]
         centre = np.where(np.linalg.norm(sums, axis=1, keepdims=True) > 0, _unit_rows(sums), centre)
         if close - before <= 1e-4 * abs(close):
             break
     frequency = flat[k * d + 1 :] / n
 
-    def soft(u: np.ndarray, b: np.ndarray, centre: np.ndarray, balance: np.ndarray) -> np.ndarray:
-        logit = -2 * (1 - u @ centre.T) / sigma
-        r = np.exp(logit - logit.max(1, keepdims=True)) * balance[:, b].T
-        return r / r.sum(1, keepdims=True)
-
-    def assigned(t: pd.DataFrame, centre: np.ndarray, balance: np.ndarray) -> np.ndarray:
-        u, b = _unit_rows(np.stack(t["vec"])), batch_of(t)
-        r = soft(u, b, centre, balance)
-        held = np.stack([r[b == i].sum(0) for i in range(nb)], 1)
-        return np.concatenate([held.ravel(), (r.T @ u).ravel(), [(r * 2 * (1 - u @ centre.T)).sum() + sigma * (r * np.log(np.maximum(r, 1e-300))).sum()]])
-
-    def moments(t: pd.DataFrame, used: list) -> np.ndarray:
-        z, u, b, blk = np.stack(t["z"]), _unit_rows(np.stack(t["vec"])), batch_of(t), t["blk"].to_numpy()
-        mass, total = np.zeros((k, nb)), np.zeros((k, nb, d))
-        for at, (c, w) in enumerate(used):
+    def soft(u: np.ndarray, b: np.ndarray, centre: np.ndarray, balance: np.ndarray) -> tuple[np.ndarray, float]:
+        """Assignments, and the sum over rows of the logarithm of what they were divided by."""
+        r = u @ (2 / sigma * centre.T)
+        top = r.max(1, keepdims=True)
+        r -= top
+        np.exp(r, out=r)
+        r *= balance.T[b]
+        whole = r.sum(1, keepdims=True)
+        r /= whole
+        return r, (top - 2 / sigma + np.log(whole)).sum()
+
+    def assigned(t: pa.RecordBatch, centre: np.ndarray, balance: np.ndarray) -> np.ndarray:
+        u, b = units(t), batch_of(t)
+        r, log = soft(u, b, centre, balance)
+        held = r.T @ np.eye(nb)[b]
+        # distances and entropy: the logarithm of an assignment is its distance's share plus its balance's less ``log``
+        return np.concatenate([held.ravel(), (r.T @ u).ravel(), [sigma * ((held * np.log(balance)).sum() - log)]])
+
+    def moments(t: pa.RecordBatch, used: tuple) -> np.ndarray:
+        z, u, b = _matrix(t["z"], d), units(t), batch_of(t)
+        r = soft(u, b, *used)[0]
+        return np.concatenate([(r.T @ np.eye(nb)[b]).ravel(), np.stack([r[b == i].T @ z[b == i] for i in range(nb)], 1).ravel()])
+
+    def move(parts: Iterator[pa.RecordBatch], used: tuple, shift: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for t in parts:
+            z, b = _matrix(t["z"], d), batch_of(t)
+            r, out = soft(units(t), b, *used)[0], z.copy()
             for i in range(nb):
-                some = (blk == at) & (b == i)
-                r = soft(u[some], b[some], c, w)
-                mass[:, i] += r.sum(0)
-                total[:, i] += r.T @ z[some]
-        return np.concatenate([mass.ravel(), total.ravel()])
+                out[b == i] -= r[b == i] @ shift[:, i]
+            yield pa.RecordBatch.from_arrays([t["id"], t["batch"], t["z"], _lists(out)], ["id", "batch", "z", "vec"])
 
     objective, settled = [], False
     for _ in range(rounds):
@@ -165,7 +200,7 @@ def harmonize(vectors: DataFrame, clusters: int | None = None, rounds: int = 50,
                 rest = held.sum(0) - held[at]
                 balance = ((rest.sum(1, keepdims=True) * frequency + 1) / (rest + 1)) ** theta
                 used[at] = (centre, balance)
-                flat = _summed(current.where(F.col("blk") == at), functools.partial(assigned, centre=centre, balance=balance), k * nb + k * d + 1)
+                flat = _summed(current[at].select("batch", "vec"), functools.partial(assigned, centre=centre, balance=balance), k * nb + k * d + 1)
                 held[at], sums[at], parts[at] = flat[: k * nb].reshape(k, nb), flat[k * nb : -1].reshape(k, d), flat[-1]
             whole = held.sum(0)
             spread = sigma * theta * (whole * np.log((whole + 1) / (whole.sum(1, keepdims=True) * frequency + 1))).sum()
@@ -174,7 +209,7 @@ def harmonize(vectors: DataFrame, clusters: int | None = None, rounds: int = 50,
                 break
             centre = _unit_rows(sums.sum(0))
         objective.append(float(value))
-        flat = _summed(current, functools.partial(moments, used=list(used)), k * nb * (d + 1))
+        flat = sum(_summed(current[at].select("batch", "z", "vec"), functools.partial(moments, used=used[at]), k * nb * (d + 1)) for at in range(blocks))
         mass, total = flat[: k * nb].reshape(k, nb), flat[k * nb :].reshape(k, nb, d)
         shift = np.zeros((k, nb, d))
         for c in range(k):
@@ -182,24 +217,13 @@ def harmonize(vectors: DataFrame, clusters: int | None = None, rounds: int = 50,
             a[0, 0], a[0, 1:], a[1:, 0] = mass[c].sum(), mass[c], mass[c]
             a[1:, 1:] = np.diag(mass[c] + ridge)
             shift[c] = np.linalg.lstsq(a, np.vstack([total[c].sum(0), total[c]]), rcond=None)[0][1:]
-
-        def move(parts: Iterator[pd.DataFrame], used=list(used), shift=shift) -> Iterator[pd.DataFrame]:
-            for t in parts:
-                z, u, b, blk = np.stack(t["z"]), _unit_rows(np.stack(t["vec"])), batch_of(t), t["blk"].to_numpy()
-                out = z.copy()
-                for at, (c, w) in enumerate(used):
-                    some = blk == at
-                    out[some] -= np.einsum("nk,knd->nd", soft(u[some], b[some], c, w), shift[:, b[some]])
-                t["vec"] = list(out)
-                yield t
-
-        moved = staged(current.mapInPandas(move, current.schema), "embedding")
-        release(current)
+        moved = [staged(current[at].mapInArrow(functools.partial(move, used=used[at], shift=shift), current[at].schema), "embedding") for at in range(blocks)]
+        release(*current)
         current = moved
         if len(objective) > 1 and objective[-2] - objective[-1] < round_tol * abs(objective[-2]):
             settled = True
             break
-    return current.select("id", "batch", "vec"), objective, settled
+    return functools.reduce(DataFrame.union, current).select("id", "batch", "vec"), objective, settled
 
 
 def group_spectra(gram: np.ndarray, k: int, neighbors: int, density: float, starts: int = 10, seed: int = 0) -> tuple[np.ndarray, float]:

@@ -39,6 +39,61 @@ def test_harmonize_brings_batches_together(spark):
     assert gap(y) < 0.3 * gap(x)
 
 
+def test_harmonize_against_a_loop_without_shuffled_sums(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    n, k, nb = 90, 3, 2
+    x = rng.normal(size=(n, 5)) + np.eye(5)[rng.integers(0, 3, n)] * 4
+    b = rng.integers(0, nb, n)
+    df = spark.createDataFrame([(i, "uv"[b[i]], x[i].tolist()) for i in range(n)], "id long, batch string, vec array<double>")
+    marks = df.selectExpr("id", "xxhash64(id) AS h", "pmod(xxhash64(id, 1), 2) AS blk").orderBy("id").toPandas()
+    blk, unit = marks["blk"].to_numpy(), lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    y, centre, close = x.copy(), unit(x[marks.sort_values("h")["id"].to_numpy()[:k]]), -np.inf
+    for _ in range(20):
+        far = unit(x) @ centre.T
+        centre, before, close = unit(np.eye(k)[far.argmax(1)].T @ unit(x)), close, far.max(1).sum()
+        if close - before <= 1e-4 * abs(close):
+            break
+    share, want = np.bincount(b) / n, []
+    for _ in range(3):
+        r, value = np.zeros((n, k)), np.inf
+        for step in range(20):
+            dist = 2 * (1 - unit(y) @ centre.T)
+            for at in range(2):
+                rest = np.stack([r[(blk != at) & (b == i)].sum(0) for i in range(nb)], 1)
+                w = np.exp(-dist / 0.1) * (((rest.sum(1, keepdims=True) * share + 1) / (rest + 1)) ** 2)[:, b].T
+                r[blk == at] = (w / w.sum(1, keepdims=True))[blk == at]
+            held = np.stack([r[b == i].sum(0) for i in range(nb)], 1)
+            before, value = value, (r * dist).sum() + 0.1 * (r * np.log(r)).sum() + 0.2 * (held * np.log((held + 1) / (held.sum(1, keepdims=True) * share + 1))).sum()
+            if step and before - value <= 1e-5 * abs(before):
+                break
+            centre = unit(r.T @ unit(y))
+        want.append(value)
+        design, y = np.column_stack([np.ones(n), np.eye(nb)[b]]), x.copy()
+        for c in range(k):
+            fit = np.linalg.lstsq(design.T @ (r[:, [c]] * design) + np.diag([0.0, 1.0, 1.0]), design.T @ (r[:, [c]] * x), rcond=None)[0]
+            y -= r[:, [c]] * fit[1:][b]
+        if len(want) > 1 and want[-2] - want[-1] < 1e-4 * abs(want[-2]):
+            break
+    store, none = spark._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def shuffled():
+        stages = store.stageList(None, False, False, none, spark._jvm.java.util.ArrayList())
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    before = shuffled()
+    corrected, objective, _ = mapping.harmonize(df, clusters=k, rounds=3)
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    # the vectors go to their blocks once; no pass shuffles its sums
+    assert sum(c for i, c in shuffled().items() if i not in before) <= 2 * n
+    got = np.array([r["vec"] for r in corrected.orderBy("id").collect()])
+    assert objective == pytest.approx(want) and np.abs(got - y).max() < 1e-8
+    monkeypatch.setattr(mapping, "HELD", 4)  # long sums are added up by Spark
+    again, longer, _ = mapping.harmonize(df, clusters=k, rounds=1)
+    assert longer == pytest.approx(want[:1]) and again.count() == n
+    with pytest.raises(Exception, match="5 components"):
+        mapping.harmonize(df.union(spark.createDataFrame([(n, "u", [1.0])], df.schema)), clusters=k)
+
+
 def test_consensus(spark):
     rng = np.random.default_rng(1)
     x = rng.random((10, 2)) @ rng.random((2, 8))
