@@ -614,3 +614,11 @@ def test_imputed_cells_where_many_are_clipped(spark):
     cells = spark.createDataFrame([(i, j, float(x[i, j])) for i in range(30) for j in range(12) if seen[i, j]], "row long, col long, value double")
     got = {(c["row"], c["col"]): c["value"] for c in linalg.impute_pca(cells, 2, 5, gain=0.0, start_at_mean=True, bounds=(0.0, 1.0))[2].collect()}
     assert [got[c] for c in sorted(got)] == pytest.approx(want[~seen], abs=1e-6)
+
+
+def test_positions_without_a_rate_count_as_sites_but_not_in_the_mean(spark):
+    sites = spark.createDataFrame([("s", "c", 5, 100), ("s", "c", 5, 0), ("s", "c", 7, None), ("s", "c", 8, 25), ("t", "c", 7, None)], "spot string, chrom string, pos long, pct long")
+    genes = spark.createDataFrame([(1, "c", 3000, 3100, "+"), (2, "c", 1000, 1100, "-"), (3, "c", 1000, 1100, "-")], "gene int, chrom string, lo long, hi long, strand string")
+    df = intervals.gene_bin_rates(sites, genes, digits=2)
+    want = {(spot, gene): (139 - 10, n, rate) for gene in (2, 3) for spot, n, rate in (("s", 3, 0.38), ("t", 1, None))}
+    assert {(r["spot"], r["gene"]): (r["bin"], r["n_sites"], r["rate"]) for r in df.collect()} == want
