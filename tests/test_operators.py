@@ -622,3 +622,19 @@ def test_positions_without_a_rate_count_as_sites_but_not_in_the_mean(spark):
     df = intervals.gene_bin_rates(sites, genes, digits=2)
     want = {(spot, gene): (139 - 10, n, rate) for gene in (2, 3) for spot, n, rate in (("s", 3, 0.38), ("t", 1, None))}
     assert {(r["spot"], r["gene"]): (r["bin"], r["n_sites"], r["rate"]) for r in df.collect()} == want
+
+
+def test_change_of_a_round_is_that_of_all_missing_cells_where_some_are_clipped(spark):
+    rng = np.random.default_rng(11)
+    x = np.clip(0.5 + rng.normal(size=(25, 2)) @ rng.normal(size=(2, 12)), 0, 1)
+    seen = rng.random(x.shape) < 0.6
+    want, mse = np.where(seen, x, np.where(seen, x, 0).sum(0) / seen.sum(0)), []
+    for _ in range(4):
+        mean = want.mean(0)
+        u, s, v = np.linalg.svd(want - mean, full_matrices=False)
+        new = np.where(seen, x, np.clip(u[:, :2] * s[:2] @ v[:2] + mean, 0, 1))
+        mse.append(((new - want) ** 2).sum() / (~seen).sum())
+        want = new
+    cells = spark.createDataFrame([(f"r{i}", f"c{j:02}", float(x[i, j])) for i in range(25) for j in range(12) if seen[i, j]], "row string, col string, value double")
+    _, _, imputed, history = linalg.impute_pca(cells, 2, 4, gain=0.0, start_at_mean=True, bounds=(0.0, 1.0))
+    assert [r["mse"] for r in history.orderBy("round").collect()] == pytest.approx(mse, rel=1e-6)
