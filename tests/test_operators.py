@@ -1,6 +1,7 @@
 """Edge rules by hand-made tables, and numerical operators against NumPy."""
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -638,3 +639,21 @@ def test_change_of_a_round_is_that_of_all_missing_cells_where_some_are_clipped(s
     cells = spark.createDataFrame([(f"r{i}", f"c{j:02}", float(x[i, j])) for i in range(25) for j in range(12) if seen[i, j]], "row string, col string, value double")
     _, _, imputed, history = linalg.impute_pca(cells, 2, 4, gain=0.0, start_at_mean=True, bounds=(0.0, 1.0))
     assert [r["mse"] for r in history.orderBy("round").collect()] == pytest.approx(mse, rel=1e-6)
+
+
+def test_rounds_of_moves_shuffle_no_edges(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    edges = [(i, j, 1.0) for i in range(40) for j in range(i + 1, 40) if rng.random() < (0.6 if i // 10 == j // 10 else 0.05)]
+    seen, kept = [], graph.staged
+
+    def staged(df, name):
+        if "wants" in df.columns and len(seen) < 2:
+            df.collect()
+            seen.append(df._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0])
+        return kept(df, name)
+
+    monkeypatch.setattr(graph, "staged", staged)
+    df = spark.createDataFrame(edges, "a long, b long, weight double")
+    got = {r["id"]: r["cluster"] for r in graph.communities(df, repeats=1, levels=1).collect()}
+    assert len(set(got.values())) == 4 and all(len({got[i] for i in range(g, g + 10)}) == 1 for g in range(0, 40, 10))
+    assert seen and all("sum(weight" in p and not re.search(r"Exchange hashpartitioning\(x#\d+L, c#\d+L", p) for p in seen)
