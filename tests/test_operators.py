@@ -657,3 +657,20 @@ def test_rounds_of_moves_shuffle_no_edges(spark, monkeypatch):
     got = {r["id"]: r["cluster"] for r in graph.communities(df, repeats=1, levels=1).collect()}
     assert len(set(got.values())) == 4 and all(len({got[i] for i in range(g, g + 10)}) == 1 for g in range(0, 40, 10))
     assert seen and all("sum(weight" in p and not re.search(r"Exchange hashpartitioning\(x#\d+L, c#\d+L", p) for p in seen)
+
+
+def test_region_bin_rates_equal_the_means_of_spots(spark):
+    rng = np.random.default_rng(12)
+    sites = [(int(rng.integers(0, 6)), "xy"[rng.integers(2)], int(p), int(rng.integers(0, 101))) for p in rng.integers(0, 900, 400)]
+    genes = [(i, "xyz"[i % 3], int(lo), int(lo + rng.integers(0, 400)), "+-"[i % 2]) for i, lo in enumerate(rng.integers(0, 800, 20))] + [(50, "x", 100, 60_000, "-")]
+    sites = spark.createDataFrame(sites, "spot int, chrom string, pos long, pct long")
+    genes = spark.createDataFrame(genes, "gene int, chrom string, lo long, hi long, strand string")
+    spots = spark.createDataFrame([(s, "abc"[s % 3]) for s in range(5)], "spot int, region string")
+    for flank, flank_bins, body_bins in ((60, 3, 4), (1000, 2, 1)):
+        want = intervals.region_bin_means(intervals.gene_bin_rates(sites, genes, flank, flank_bins, body_bins), spots, 2 * flank_bins + body_bins)
+        want = {(r["region"], r["gene"], r["bin"]): (r["n"], pytest.approx(r["rate"], abs=1e-12)) for r in want.collect()}
+        df = intervals.region_bin_rates(sites, genes, spots, flank, flank_bins, body_bins)
+        assert {(r["region"], r["gene"], r["bin"]): (r["n"], r["rate"]) for r in df.collect()} == want
+    bad = sites.withColumn("pct", F.when(F.col("spot") < 5, 101).otherwise(0))
+    with pytest.raises(Violation):
+        intervals.region_bin_rates(bad, genes, spots)
