@@ -674,3 +674,7 @@ def test_region_bin_rates_equal_the_means_of_spots(spark):
     bad = sites.withColumn("pct", F.when(F.col("spot") < 5, 101).otherwise(0))
     with pytest.raises(Violation):
         intervals.region_bin_rates(bad, genes, spots)
+
+
+def test_communities_of_no_edge(spark):
+    assert graph.communities(spark.createDataFrame([], "a long, b long, weight double"), repeats=1).collect() == []
